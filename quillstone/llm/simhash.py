@@ -204,14 +204,20 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4, bands=3)
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, max_bits: int = 8, bands: int = 5) -> DataFrame:
+#: Up to this many ids are sent to all tasks to filter documents; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def keep_one(docs: DataFrame, max_bits: int = 8, bands: int = 5) -> DataFrame:
     """Documents without near copies: of each component the row with the smallest id stays.
 
     Five-word shingles. Two texts that share 0.8 of their shingles differ in about nine bits of 64 and unrelated texts
-    in 32, so the pipeline links at 8 bits. Of repeated rows with one id, one stays. Rows with a null id stay unless a
-    document with an id is in their component.
+    in 32, so the pipeline links at 8 bits. Of repeated rows with one id, one stays. Rows with a null id stay.
     """
-    found = near_duplicates(docs, 5, max_bits, bands)
-    keep = found.filter("component_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(keep.filter("doc_id IS NOT NULL").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns)
+    found = written(near_duplicates(docs, 5, max_bits, bands), "near-duplicates")
+    drop = found.filter("component_id IS NOT NULL AND doc_id != component_id").select("doc_id").distinct()
+    small = drop.count() <= BROADCAST_IDS
+    left = docs.join(drop.hint("broadcast" if small else "merge"), "doc_id", "left_anti").select(*docs.columns)
+    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        left = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+    return left

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from .common import bounded_ids, code_points, fold, letters_or_digits, mix, one_label, slices, strings, table, word_hashes, written
 
 BITS = 20
-PREFIX = 5
+PREFIX = 4
 
 
 def term_buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, bucket) of each word and of each word's first five letters, in groups of bounded size."""
+    """(row, bucket) of each word and of each word's first four letters, in groups of bounded size."""
     for at, part in slices([x.lower() for x in texts]):
         codes, owner = code_points(part)
         whole, piece, prefix = word_hashes(codes, owner, letters_or_digits(codes), PREFIX)
@@ -76,11 +76,12 @@ def train_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 8
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, positives: int = 4000, unlabelled: int = 8000, features: int = 512, least_z: float = 4.0) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, positives: int = 4000, unlabelled: int = 8000, features: int = 512, least_z: float = 4.0, least_lift: float = 3.0) -> Model | None:
     """Fit on whole texts of at most ``positives`` toxic and ``unlabelled`` other documents of the training fold.
 
     The class prior is the share of toxic rows among the fold's labels. The ``features`` buckets are those whose
-    document frequency among the positives exceeds that among the unlabelled most, by ``least_z`` standard errors at least.
+    document frequency among the positives exceeds that among the unlabelled most, by ``least_z`` standard errors and
+    ``least_lift`` times at least.
     """
     rest = fold(F.col("doc_id"), folds)
     known = one_label(labels, "toxic").filter(rest != held)
@@ -108,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, positives: in
     found = sample.select("label", F.explode("terms").alias("t")).groupBy("t").agg(rate(1).alias("p"), rate(0).alias("u"), F.count("*").alias("n")).filter("n >= 3")
     error = F.sqrt(F.col("p") * (1 - F.col("p")) / F.lit(float(sizes[1])) + F.col("u") * (1 - F.col("u")) / F.lit(float(sizes[0])))
     score = (F.col("p") - F.col("u")) / error
-    best = found.withColumn("z", score).filter(F.col("z") >= least_z).orderBy(F.desc("z"), "t").limit(features)
+    best = found.withColumn("z", score).filter((F.col("z") >= least_z) & (F.col("p") >= least_lift * F.col("u"))).orderBy(F.desc("z"), "t").limit(features)
     buckets = np.sort(np.array([r["t"] for r in best.collect()], dtype=np.int64))
     if not len(buckets):
         return None
