@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,39 +9,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_path, written  # noqa: F401  the operators take them from here
+
 #: A word is a run of anything but ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 #: Texts are handed to numpy in slices of about this many characters, so a worker's memory does not follow the batch.
 SLICE_CHARS = 500_000
 
-_LOCAL: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder of ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR")))
-    return f"{base.rstrip('/')}/quillstone-{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: later steps do not recompute it and survive lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    out = df.write
-    if by:
-        out = out.partitionBy(by)
-    out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(k)
@@ -63,10 +40,14 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
 def bounded_ids(rows: DataFrame, label: str, per_label: int) -> DataFrame:
     """At most ``per_label`` rows of each label, picked by a hash of the id, so the pick does not depend on the partitions.
 
-    The rank filter lets Spark keep only that many rows per task before the shuffle.
+    Rows are counted per label first, and only those whose hash lies under a threshold that leaves about a fifth more
+    than ``per_label`` are ranked, so a common label does not send its rows to one task. Labels must be few.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col("doc_id")), F.col("doc_id"))
-    return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_label).drop("_rank")
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    near = rows.join(counts.hint("broadcast"), label).filter(place < F.lit(1.2 * per_label + 200) / F.col("_n") * F.lit(float(1 << 40)))
+    order = Window.partitionBy(label).orderBy(place, F.col("doc_id"))
+    return near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_label).drop("_rank", "_n")
 
 
 def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:

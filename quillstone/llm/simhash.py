@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import stars
 from .common import table, written
-from .components import stars
 
 _PART_BYTES = 1 << 22
 
