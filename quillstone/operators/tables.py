@@ -250,5 +250,7 @@ class TableStore:
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         found = dict(self._commits(name))
+        if not found:
+            raise ValueError(f"{name} has no version")
         number = version or max(found)
         return self.spark.read.parquet(f"{self.root}/{name}/v={number}-{found[number]}")

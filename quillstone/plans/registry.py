@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import reads, scalars, tables, vectors
+from . import events, reads, reports, resolve, scalars, tables, vectors
 
-_ALL = scalars.QUERIES | reads.QUERIES | tables.QUERIES | vectors.QUERIES
+_ALL = scalars.QUERIES | reads.QUERIES | tables.QUERIES | vectors.QUERIES | resolve.QUERIES | reports.QUERIES | events.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
