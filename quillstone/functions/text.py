@@ -210,12 +210,11 @@ def flatten_tex(c: Column) -> Column:
     for sign, park in zip(_ESCAPED, _PARKED, strict=True):
         out = F.replace(out, F.lit("\\" + sign), F.lit(park))
     out = F.regexp_replace(F.regexp_replace(out, r"(?U)^\s+", ""), r"(?U)\s", " ")
-    out = F.translate(out, "{}", "")
     out = F.regexp_replace(out, r"\\LaTeX(?![A-Za-z])", "LaTeX")
     out = F.regexp_replace(out, r"\\TeX(?![A-Za-z])", "TeX")
     out = F.regexp_replace(out, r"\\(ldots|dots)(?![A-Za-z])", "…")
     out = F.regexp_replace(F.regexp_replace(out, r"\\[A-Za-z]+", ""), r"\\(.)", "$1")
-    return strip_space(F.translate(out, _PARKED, _ESCAPED))
+    return strip_space(F.translate(F.translate(out, "{}", ""), _PARKED, _ESCAPED))
 
 
 def sanitize_bibtex(c: Column) -> Column:
