@@ -71,11 +71,10 @@ def _covered(positions: str) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """Counts of every whole text, with the input row as ``row``."""
-    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = out.withColumn("t", text)
+def profiles(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Counts of every whole text, with the columns ``keep`` (all if None) of the input row as ``row``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns])
+    out = docs.select(row.alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     out = out.withColumn("words", F.filter(F.split("t", WORD_GAP), lambda w: w != ""))
     out = out.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumn("solid", F.translate("t", _SPACE, "")).withColumn("rest", F.regexp_replace("solid", r"\p{Ll}+", ""))
@@ -139,13 +138,14 @@ def _word_distance(share: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), (inside + 1.0) / 2))
 
 
-def judged(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def judged(docs: DataFrame, limits: Limits = Limits(), keep: list[str] | None = None) -> DataFrame:
     """Profiles with ``class_distance``, ``word_distance`` (null if not tested), ``base_failed`` and ``kept``.
 
     ``docs`` needs text and lang. Null and empty texts have no words and fail the base rule. Without any document in a reference language
-    only the base rule judges. Repeated rows are judged each; an empty table gives no rows; other columns stay in ``row``.
+    only the base rule judges. Repeated rows are judged each; an empty table gives no rows; the columns ``keep`` (lang among
+    them; all if None) stay in ``row``.
     """
-    made = written(profiles(docs), "profiles")
+    made = written(profiles(docs, keep), "profiles")
     refs = references(made)
     least = lambda cols: (F.least(*cols) if len(cols) > 1 else cols[0]) if cols else F.lit(None).cast("double")
     tested = F.col("n_words") >= limits.test_words
@@ -157,9 +157,7 @@ def judged(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    slim = docs.withColumn("lang", F.col("lang"))
-    return judged(slim).select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+    return judged(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"]).select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
