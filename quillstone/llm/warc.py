@@ -27,9 +27,12 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a binary or string column: four letters for every five hex digits."""
-    digest = F.sha1(data)
+#: Up to this many revisits are sent to all tasks; more are joined by a shuffle of the pages.
+BROADCAST_REVISITS = 500_000
+
+
+def base32(digest: Column) -> Column:
+    """Upper-case base32 of a hex SHA-1: four letters for every five hex digits."""
     letters = []
     for k in range(8):
         v = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
@@ -37,15 +40,16 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*letters)
 
 
-def revisit_plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``(page_id, digest, refers_to)`` for each distinct page and payload; refers_to is null for responses.
+def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """``(page_id, digest, refers_to)`` of each distinct page and payload that is a revisit.
 
     Of equal payloads of at least ``least_bytes`` the largest page_id is the response. Only ids and digests are moved.
     """
-    small = pages.select(F.col("page_id").cast("long"), base32_sha1("html").alias("digest"), (F.octet_length("html") >= least_bytes).alias("large")).distinct()
+    small = written(pages.select("page_id", F.sha1("html").alias("digest"), (F.octet_length("html") >= least_bytes).alias("large")).distinct(), "payloads")
     last = small.groupBy("digest").agg(F.max("page_id").alias("last"))
     joined = small.join(last.hint("merge"), "digest")
-    return joined.select("page_id", "digest", F.when(F.col("large") & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    again = F.col("large") & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
+    return joined.filter(again).select("page_id", "digest", F.col("last").alias("refers_to"))
 
 
 def record_text(date: str) -> Column:
@@ -81,11 +85,15 @@ def record_text(date: str) -> Column:
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, records_per_file: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write ``pages(page_id, url, html, …)`` as whole-file gzip WARC files with Spark's own text writer."""
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    plan = written(revisit_plan(own, least_bytes), "revisits")
-    keyed = own.withColumn("digest", base32_sha1("html"))
+    plan = written(revisits(own, least_bytes), "revisits")
+    keyed = own.withColumn("digest", F.sha1("html"))
     on = keyed["page_id"].eqNullSafe(plan["page_id"]) & (keyed["digest"] == plan["digest"])
-    records = keyed.join(plan.hint("merge"), on).select(keyed["page_id"], "url", "html", keyed["digest"], "refers_to")
-    records.select(record_text(date).alias("value")).write.option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(folder)
+    small = plan.count() <= BROADCAST_REVISITS
+    records = keyed.join(plan.hint("broadcast" if small else "shuffle_hash"), on, "left").select(keyed["page_id"], "url", "html", keyed["digest"], "refers_to")
+    records = records.withColumn("digest", base32(F.col("digest")))
+    # these archives are read once, by the normaliser: they are written at the fastest level
+    out = records.select(record_text(date).alias("value")).write.option("maxRecordsPerFile", records_per_file)
+    out.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(folder)
 
 
 def inflate(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
