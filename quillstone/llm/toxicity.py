@@ -1,6 +1,7 @@
 """Operator 2: toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; every other text of the training fold is unlabelled. A linear classifier is
+Confirmed toxic texts are the positives; the unlabelled texts are a sample of the whole training fold, whose share of
+toxic texts is the class prior. A linear classifier is
 trained in numpy on the risk ``prior * R+(f) + max(0, R_unlabelled-(f) - prior * R_positive-(f))``: the second part
 estimates the risk on negatives and must not fall below zero.
 """
@@ -77,7 +78,8 @@ def train_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 8
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, positives: int = 4000, unlabelled: int = 8000, features: int = 512, least_z: float = 4.0, least_lift: float = 3.0) -> Model | None:
-    """Fit on whole texts of at most ``positives`` toxic and ``unlabelled`` other documents of the training fold.
+    """Fit on whole texts of at most ``positives`` toxic documents and ``unlabelled`` documents of any kind of the
+    training fold.
 
     The class prior is the share of toxic rows among the fold's labels. The ``features`` buckets are those whose
     document frequency among the positives exceeds that among the unlabelled most, by ``least_z`` standard errors and
@@ -89,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, positives: in
     if not share["n"] or share["p"] >= 1:
         return None
     toxic = known.filter("label = 1").select("doc_id").withColumn("label", F.lit(1))
-    other = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter((rest != held) & F.col("doc_id").isNotNull()).join(toxic.select("doc_id").hint("merge"), "doc_id", "left_anti").withColumn("label", F.lit(0))
+    other = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter((rest != held) & F.col("doc_id").isNotNull()).withColumn("label", F.lit(0))
     ids = bounded_ids(toxic, "label", positives).unionByName(bounded_ids(other.distinct(), "label", unlabelled))
 
     def terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
