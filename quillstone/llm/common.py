@@ -106,22 +106,28 @@ def mix(x: np.ndarray, salt: int, bits: int) -> np.ndarray:
 _POWERS = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(64)], dtype=np.uint64)
 
 
-def word_hashes(codes: np.ndarray, owner: np.ndarray, inside: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Hashes of the runs where ``inside`` holds, the piece of each run, and the hashes of each run's first ``prefix`` characters.
+def word_hashes(codes: np.ndarray, owner: np.ndarray, inside: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Hashes of the runs where ``inside`` holds, the piece of each run, and for each length in ``prefixes`` which runs are
+    longer and the hashes of their beginnings.
 
     Positions above 63 of a run reuse the powers in turn, so very long words are still read whole.
     """
     where = np.flatnonzero(inside)
     if not len(where):
         none = np.empty(0, dtype=np.uint64)
-        return none, np.empty(0, dtype=np.int64), none if prefix else None
+        return none, np.empty(0, dtype=np.int64), [(none.astype(bool), none) for _ in prefixes]
     first = np.flatnonzero(np.diff(where, prepend=-2) != 1)
-    start = where[first]
-    run = np.repeat(np.arange(len(first)), np.diff(first, append=len(where)))
-    offset = where - start[run]
-    part = (codes[where].astype(np.uint64) + np.uint64(1)) * _POWERS[offset & 63]
-    whole = np.add.reduceat(part, first)
-    return whole, owner[start], np.add.reduceat(np.where(offset < prefix, part, np.uint64(0)), first) if prefix else None
+    start, length = where[first], np.diff(first, append=len(where))
+    run = np.repeat(np.arange(len(first)), length)
+    part = (codes[where].astype(np.uint64) + np.uint64(1)) * _POWERS[(where - start[run]) & 63]
+    begun = []
+    for n in prefixes:
+        longer = length > n
+        sums = part[first[longer]].copy()
+        for k in range(1, n):
+            sums += part[first[longer] + k]
+        begun.append((longer, sums))
+    return np.add.reduceat(part, first), owner[start], begun
 
 
 def letters_or_digits(codes: np.ndarray) -> np.ndarray:

@@ -19,16 +19,19 @@ from pyspark.sql import functions as F
 from .common import bounded_ids, code_points, fold, letters_or_digits, mix, one_label, slices, strings, table, word_hashes, written
 
 BITS = 20
-PREFIX = 4
+#: Beginnings of longer words that count as terms beside the words themselves.
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 def term_buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, bucket) of each word and of each word's first four letters, in groups of bounded size."""
+    """(row, bucket) of each word and of the beginnings of longer words, in groups of bounded size."""
     for at, part in slices([x.lower() for x in texts]):
         codes, owner = code_points(part)
-        whole, piece, prefix = word_hashes(codes, owner, letters_or_digits(codes), PREFIX)
+        whole, piece, begun = word_hashes(codes, owner, letters_or_digits(codes), PREFIXES)
         row = np.asarray(at)[piece] if len(piece) else piece
-        yield np.concatenate([row, row]), np.concatenate([mix(whole, 1, BITS), mix(prefix, 2, BITS)])
+        rows = [row, *(row[longer] for longer, _ in begun)]
+        buckets = [mix(whole, 1, BITS), *(mix(own, n, BITS) for n, (_, own) in zip(PREFIXES, begun, strict=True))]
+        yield np.concatenate(rows), np.concatenate(buckets)
 
 
 class Model:
@@ -53,8 +56,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 800, batch: int = 512, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative risk with logistic loss; when the negative part is below zero its gradient is reversed."""
+def train_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 1500, batch: int = 512, rate: float = 0.03, decay: float = 1e-4, drop: float = 0.4, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Adam on the non-negative risk with logistic loss; when the negative part is below zero its gradient is reversed.
+
+    Terms are dropped at random from the batches, so that one term is enough where texts usually have several.
+    """
     rng = np.random.default_rng(seed)
     p, u = np.flatnonzero(positive), np.flatnonzero(~positive)
     w = np.zeros(x.shape[1] + 1)
@@ -63,6 +69,7 @@ def train_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 8
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
         bp, bu = x[rng.choice(p, min(batch, len(p)))], x[rng.choice(u, min(batch, len(u)))]
+        bp, bu = bp * (rng.random(bp.shape) >= drop), bu * (rng.random(bu.shape) >= drop)
         zp, zu = bp @ w[:-1] + w[-1], bu @ w[:-1] + w[-1]
         sp, su = sigmoid(zp), sigmoid(zu)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
