@@ -85,10 +85,13 @@ def directions(gaps: DataFrame) -> DataFrame:
     return gaps.select(
         "topic_id",
         F.concat(F.lit("Research Direction: "), F.col("title")).alias("title"),
-        F.concat(F.lit("Addressing gap: "), F.col("description")).alias("description"),
-        F.concat(F.lit("Difficulty "), F.col("difficulty"), F.lit(", cost "), F.col("estimated_cost")).alias("rationale"),
+        F.concat(F.col("description"), F.lit("\n\n"), F.col("recommendation")).alias("description"),
+        F.concat(F.lit("Based on gap analysis. Evidence: "), F.col("evidence")).alias("rationale"),
         feasibility_score(F.col("difficulty")).alias("feasibility_score"),
         F.when(F.col("difficulty") != "", F.col("difficulty")).alias("implementation_complexity"),
+        "estimated_cost",
+        "industry_viability",
+        "time_to_mvp",
     )
 
 
@@ -106,6 +109,38 @@ def rerank_prompts(topics: DataFrame, ranked: DataFrame, size: int = 10) -> Data
     return per.join(topics, "topic_id").select("topic_id", "batch", F.concat(F.lit("Topic: "), _quoted(F.col("topic")), F.lit("\nScore each of the "), F.col("n").cast("string"), F.lit(" papers from 0 to 1.\n"), F.col("body")).alias("prompt"))
 
 
+def expansion_prompts(topics: DataFrame) -> DataFrame:
+    """H8: one prompt per topic for queries, concepts, subtopics and keywords."""
+    shape = '{"expanded_queries": [string], "related_concepts": [string], "subtopics": [string], "search_keywords": [string]}'
+    return topics.select("topic_id", F.concat(F.lit("Research topic: "), F.col("topic"), F.lit(f"\nList search queries, related concepts, subtopics and keywords as JSON: {shape}")).alias("prompt"))
+
+
+def analysis_prompts(texts: DataFrame, most_chars: int = 5000) -> DataFrame:
+    """H8: one prompt per paper text, cut to ``most_chars``."""
+    shape = '{"problem_statement": string, "methodology": string, "dataset": string, "evaluation_metrics": [string], "key_findings": string, "limitations": string, "future_work": string}'
+    return texts.select("paper_id", F.concat(F.lit(f"Describe this paper as JSON only: {shape}\nText: "), truncate_chars(F.coalesce("text", F.lit("")), most_chars)).alias("prompt"))
+
+
+def gap_prompts(topics: DataFrame, papers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """H8: one prompt per topic: ``papers(topic_id, rank, title, limitations)`` by 1-based index, titles cut at 100 and
+    limitations at 200 characters, then ``evidence(topic_id, index, text)`` in order. No ids."""
+    lines = lambda order, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))), lambda x: x["_line"]), "\n")
+    item = F.concat(F.col("rank").cast("string"), F.lit('. {"title": '), _quoted(truncate_chars(F.col("title"), 100)), F.lit(', "limitation": '), _quoted(truncate_chars(F.coalesce("limitations", F.lit("")), 200)), F.lit("}"))
+    own = papers.groupBy("topic_id").agg(lines(["rank"], item).alias("_papers"))
+    quote = F.concat(F.lit("paper "), F.col("index").cast("string"), F.lit(": "), _quoted(truncate_chars(F.col("text"), 500)))
+    found = evidence.groupBy("topic_id").agg(lines(["index", "text"], quote).alias("_evidence"))
+    shape = '{"gaps": [{"gap_type": "unexplored|conflicting|limitation", "title": string, "description": string, "evidence_indices": [1], "related_paper_indices": [1]}]}'
+    joined = topics.join(own, "topic_id").join(found, "topic_id", "left")
+    extra = F.when(F.col("_evidence").isNotNull(), F.concat(F.lit("\nPassages:\n"), F.col("_evidence"))).otherwise("")
+    return joined.select("topic_id", F.concat(F.lit("Topic: "), F.col("topic"), F.lit("\nPapers:\n"), F.col("_papers"), extra, F.lit(f"\nName three to five research gaps as JSON only, papers by their number: {shape}")).alias("prompt"))
+
+
+def feasibility_prompts(gaps: DataFrame) -> DataFrame:
+    """H8: one prompt per gap, its evidence cut at 500 characters."""
+    shape = '{"difficulty": "low|medium|high", "estimated_cost": string, "industry_viability": string, "time_to_mvp": string, "required_expertise": [string], "potential_challenges": [string], "recommendation": string}'
+    return gaps.select("topic_id", "title", F.concat(F.lit("Research gap: "), F.col("title"), F.lit("\nDescription: "), F.coalesce("description", F.lit("")), F.lit("\nEvidence: "), truncate_chars(F.coalesce("evidence", F.lit("")), 500), F.lit(f"\nJudge its feasibility as JSON: {shape}")).alias("prompt"))
+
+
 def gap_evidence(hits: DataFrame, ranked: DataFrame) -> DataFrame:
     """H9: chunks with text, by the index of their paper in the ranked list; other papers are dropped."""
     own = hits.filter("paper_id IS NOT NULL").filter(~_blank(F.col("text")))

@@ -79,14 +79,27 @@ def default_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def feasibility(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("paper_id")
-    g = papers(spark, sf).select("topic_id", "title", F.col("external_id").alias("description"), F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high"), F.lit("")), (k % 4 + 1).cast("int")).alias("difficulty"), F.lit("1").alias("estimated_cost"))
+    g = papers(spark, sf).select("topic_id", "title", F.col("external_id").alias("description"), F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high"), F.lit("")), (k % 4 + 1).cast("int")).alias("difficulty"), F.lit("1").alias("estimated_cost"), F.lit("v").alias("industry_viability"), F.lit("t").alias("time_to_mvp"), F.lit("go").alias("recommendation"), F.col("external_id").alias("evidence"))
     return H.directions(g)
 
 
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
     rows = _ranked(spark, sf).join(papers(spark, sf).select("paper_id", "title", "abstract"), "paper_id")
-    topics = table(spark, sf, "documents").select(F.col("source").alias("topic_id")).distinct().withColumn("topic", F.concat(F.lit("topic "), "topic_id"))
-    return H.rerank_prompts(topics, rows)
+    topics = _topics(spark, sf)
+    limited = rows.withColumn("limitations", F.substring("abstract", 1, 300))
+    evidence = rows.filter("rank <= 3").select("topic_id", F.col("rank").alias("index"), F.col("abstract").alias("text"))
+    kinds = {
+        "expansion": H.expansion_prompts(topics).select(F.col("topic_id").alias("key"), "prompt"),
+        "rerank": H.rerank_prompts(topics, rows).select(F.concat_ws("/", "topic_id", "batch").alias("key"), "prompt"),
+        "analysis": H.analysis_prompts(rows.select("paper_id", F.col("abstract").alias("text"))).select(F.col("paper_id").cast("string").alias("key"), "prompt"),
+        "gap": H.gap_prompts(topics, limited, evidence).select(F.col("topic_id").alias("key"), "prompt"),
+        "feasibility": H.feasibility_prompts(_report_gaps(spark, sf)).select(F.concat_ws("/", "topic_id", "title").alias("key"), "prompt"),
+    }
+    out = None
+    for kind, part in kinds.items():
+        part = part.select(F.lit(kind).alias("kind"), "key", "prompt")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def gap_evidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,7 +173,7 @@ QUERIES = {
     "gap_valid": (gap_valid, f"WITH {PAPERS}, g AS (SELECT paper_id, CASE WHEN paper_id % 5 = 0 THEN 'type' WHEN paper_id % 7 = 0 OR title = '' THEN 'title' WHEN paper_id % 11 = 0 THEN 'description' WHEN paper_id % 13 = 0 THEN 'evidence' END AS f FROM papers) SELECT paper_id, 'gap ' || paper_id || ': ' || f AS fault FROM g"),
     "gap_refs": (gap_refs, f"WITH {TOPIC_PAPERS}, {_RANKED} SELECT a.topic_id, a.rank AS gap, a.paper_id || ',' || b.paper_id AS evidence FROM ranked a JOIN ranked b ON a.topic_id = b.topic_id AND b.rank = a.rank + 1 WHERE a.rank <= 3 AND a.topic_id NOT IN ('src3', 'src4')"),
     "default_queries": (default_queries, f"WITH {PAPERS} SELECT paper_id, CASE WHEN paper_id % 3 = 0 THEN title ELSE topic_id END AS queries FROM papers"),
-    "feasibility": (feasibility, f"WITH {PAPERS}, g AS (SELECT *, ['low', 'medium', 'high', ''][paper_id % 4 + 1] AS d FROM papers) SELECT topic_id, 'Research Direction: ' || title AS title, 'Addressing gap: ' || external_id AS description, 'Difficulty ' || d || ', cost 1' AS rationale, CASE d WHEN 'low' THEN 0.9 WHEN 'medium' THEN 0.6 WHEN 'high' THEN 0.3 ELSE 0.5 END::DOUBLE AS feasibility_score, nullif(d, '') AS implementation_complexity FROM g"),
+    "feasibility": (feasibility, f"WITH {PAPERS}, g AS (SELECT *, ['low', 'medium', 'high', ''][paper_id % 4 + 1] AS d FROM papers) SELECT topic_id, 'Research Direction: ' || title AS title, external_id || chr(10) || chr(10) || 'go' AS description, 'Based on gap analysis. Evidence: ' || external_id AS rationale, CASE d WHEN 'low' THEN 0.9 WHEN 'medium' THEN 0.6 WHEN 'high' THEN 0.3 ELSE 0.5 END::DOUBLE AS feasibility_score, nullif(d, '') AS implementation_complexity, '1' AS estimated_cost, 'v' AS industry_viability, 't' AS time_to_mvp FROM g"),
     "prompts": (prompts, None),
     "gap_evidence": (gap_evidence, f"WITH {TOPIC_PAPERS}, {_RANKED} SELECT r.topic_id, rank AS index, sha256(substr(text, 1, 500)) AS hash, turn AS score FROM conversations c JOIN ranked r ON r.paper_id = c.conv_id WHERE rank <= 20 AND trim(text) <> ''"),
     "paper_summaries": (paper_summaries, f"WITH {PAPERS} SELECT topic_id, paper_id, {_AN.format(chr(39) + 'm' + chr(39) + ' || paper_id')} AS methodology, {_AN.format(chr(39) + 'f' + chr(39) + ' || paper_id')} AS key_findings, CASE WHEN paper_id % 3 <> 0 AND paper_id % 11 <> 0 THEN 'l' ELSE '' END AS limitations, coalesce(venue, '') AS venue, year, round(n_chars / 33047.0, 6)::DOUBLE AS score FROM papers"),
