@@ -72,8 +72,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
         hits = own.select("doc_id", "words", "hashes", F.explode_outer("hashes").alias("h")).join(signature.hint("broadcast"), "h")
         return _verified(hits.drop("h").join(item.hint("broadcast"), "item_id"), width)
     keyed = own.select("doc_id", F.explode_outer(F.array_distinct("hashes")).alias("h")).join(signature.hint("merge"), "h").select("doc_id", "item_id").distinct()
-    pairs = keyed.join(item.hint("merge"), "item_id")
-    return _verified(own.join(pairs.hint("merge"), "doc_id"), width)
+    pairs = keyed.join(item.hint("merge"), "item_id").withColumnRenamed("doc_id", "_id")
+    return _verified(own.join(pairs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id"), width)
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
