@@ -1,8 +1,9 @@
 """Operator 6: quality rules with a divergence test against language references. Built-in functions only.
 
 A document's histograms of character classes and of common words are compared with those of each reference language by
-Jensen-Shannon distance. The references are summed over all documents of that language. A document fails if even
-its nearest reference is too far; short documents, whose histograms say little, are not tested.
+Jensen-Shannon distance. The references are summed over all documents of that language. Words are compared twice: the
+common words among themselves, and with one bin more for all other words, which tells texts with hardly any common
+word. A document fails if even its nearest reference is too far; short documents, whose histograms say little, are not tested.
 """
 
 from __future__ import annotations
@@ -30,11 +31,14 @@ _SPACE = " \t\n\x0b\x0c\r"
 class Limits:
     base_words: int = 50
     repeat_percent: int = 50
-    #: Words, and common words, that a document must have for its histograms to be tested.
+    #: Words that a document must have for its histograms to be tested.
     test_words: int = 80
+    #: From so many common words on the word distance is more than a rough value; it guards nothing.
     test_common: int = 20
     class_distance: float = 0.22
     word_distance: float = 0.75
+    #: With the bin of other words. A text without any common word is at about 0.35.
+    rest_distance: float = 0.3
 
 
 #: Windows up to this many share a long with their position.
@@ -106,18 +110,28 @@ def profiles(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return out.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", _covered("repeats").alias("n_repeat_words"), *CLASSES, size("ranks").alias("n_common"), runs.alias("common"))
 
 
-def references(made: DataFrame) -> list[tuple[list[float], list[float]]]:
-    """(class shares, common-word shares) per reference language, over all documents of the language.
+def _sums(made: DataFrame) -> list[tuple[list[float], list[float], float]]:
+    """(class counts, common-word counts, words) per reference language, over all documents of the language.
 
     The driver gets one row per language and at most ``len(WORDS)`` word counts for each.
     """
     known = made.withColumn("lang", F.col("row.lang").cast("string")).filter(F.col("lang").isin(list(COMMON)))
-    classes = {r["lang"]: [float(r[c] or 0) for c in CLASSES] for r in known.groupBy("lang").agg(*[F.sum(c).alias(c) for c in CLASSES]).collect()}
-    counts: dict[str, list[float]] = {lang: [0.0] * len(WORDS) for lang in classes}
+    totals = {r["lang"]: r for r in known.groupBy("lang").agg(*[F.sum(c).alias(c) for c in (*CLASSES, "n_words")]).collect()}
+    counts: dict[str, list[float]] = {lang: [0.0] * len(WORDS) for lang in totals}
     for r in known.select("lang", F.explode("common").alias("x")).groupBy("lang", "x.w").agg(F.sum("x.c").alias("n")).collect():
         counts[r["lang"]][r["w"]] = float(r["n"])
-    shares = lambda v: [x / sum(v) for x in v]
-    return [(shares(classes[k]), shares(counts[k])) for k in sorted(classes) if sum(classes[k]) and sum(counts[k])]
+    found = [([float(totals[k][c] or 0) for c in CLASSES], counts[k], float(totals[k]["n_words"] or 0)) for k in sorted(totals)]
+    return [(classes, own, n) for classes, own, n in found if sum(classes) and sum(own)]
+
+
+def _shares(sums: list[tuple[list[float], list[float], float]]) -> list[tuple[list[float], list[float]]]:
+    part = lambda v: [x / sum(v) for x in v]
+    return [(part(classes), part(own)) for classes, own, _ in sums]
+
+
+def references(made: DataFrame) -> list[tuple[list[float], list[float]]]:
+    """(class shares, common-word shares) per reference language, over all documents of the language."""
+    return _shares(_sums(made))
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -132,27 +146,39 @@ def _class_distance(share: list[float]) -> Column:
 
 
 def _word_distance(share: list[float]) -> Column:
-    """Bins that the document lacks add their whole reference share."""
+    """Bins that the document lacks add their whole reference share. A text without common words shares no bin: 1."""
     ref = F.array(*[F.lit(x) for x in share])
     inside = F.aggregate("common", F.lit(0.0), lambda a, x: a + _term(x["c"] / F.col("n_common").cast("double"), F.get(ref, x["w"])) - F.get(ref, x["w"]))
-    return F.sqrt(F.greatest(F.lit(0.0), (inside + 1.0) / 2))
+    return F.when(F.col("n_common") > 0, F.sqrt(F.greatest(F.lit(0.0), (inside + 1.0) / 2))).otherwise(1.0)
+
+
+def _rest_distance(counts: list[float], n_words: float) -> Column:
+    """As the word distance, with shares of all words and a bin for those that are not common."""
+    share = [x / n_words for x in counts]
+    ref, n = F.array(*[F.lit(x) for x in share]), F.col("n_words").cast("double")
+    inside = F.aggregate("common", F.lit(0.0), lambda a, x: a + _term(x["c"] / n, F.get(ref, x["w"])) - F.get(ref, x["w"]))
+    rest = _term(1 - F.col("n_common") / n, F.lit(max(0.0, 1 - sum(share))))
+    return F.sqrt(F.greatest(F.lit(0.0), (inside + sum(share) + rest) / 2))
 
 
 def judged(docs: DataFrame, limits: Limits = Limits(), keep: list[str] | None = None) -> DataFrame:
-    """Profiles with ``class_distance``, ``word_distance`` (null if not tested), ``base_failed`` and ``kept``.
+    """Profiles with ``class_distance``, ``word_distance``, ``rest_distance`` (null if not tested), ``base_failed`` and ``kept``.
 
     ``docs`` needs text and lang. Null and empty texts have no words and fail the base rule. Without any document in a reference language
     only the base rule judges. Repeated rows are judged each; an empty table gives no rows; the columns ``keep`` (lang among
     them; all if None) stay in ``row``.
     """
     made = written(profiles(docs, keep), "profiles")
-    refs = references(made)
+    sums = _sums(made)
+    refs = _shares(sums)
     least = lambda cols: (F.least(*cols) if len(cols) > 1 else cols[0]) if cols else F.lit(None).cast("double")
     tested = F.col("n_words") >= limits.test_words
     base = (F.col("n_words") < limits.base_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
     out = made.withColumn("class_distance", F.when(tested, least([_class_distance(c) for c, _ in refs])))
-    out = out.withColumn("word_distance", F.when(tested & (F.col("n_common") >= limits.test_common), least([_word_distance(w) for _, w in refs])))
-    far = (F.coalesce("class_distance", F.lit(0.0)) > limits.class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > limits.word_distance)
+    out = out.withColumn("word_distance", F.when(tested, least([_word_distance(w) for _, w in refs])))
+    out = out.withColumn("rest_distance", F.when(tested, least([_rest_distance(own, n) for _, own, n in sums])))
+    beyond = lambda c, most: F.coalesce(c, F.lit(0.0)) > most
+    far = beyond("class_distance", limits.class_distance) | beyond("word_distance", limits.word_distance) | beyond("rest_distance", limits.rest_distance)
     return out.withColumn("base_failed", base).withColumn("kept", ~base & ~far)
 
 

@@ -360,6 +360,32 @@ def test_divergence_equals_numpy(docs):
             assert r["word_distance"] == pytest.approx(min(distance(v / v.sum(), np.array(q)) for _, q in refs), abs=1e-9)
 
 
+def test_texts_with_hardly_any_common_word_fail(spark):
+    rng = random.Random(6)
+    common = quality_rules.COMMON["en"]
+    filler = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 8))) + "q"
+    made = lambda n, share: " ".join(rng.choice(common) if rng.random() < share else filler() for _ in range(n))
+    clean = [(k, made(300, 0.3), "en") for k in range(40)]
+    spread = [" ".join(filler() for _ in range(3000)) + " " + " ".join(common[:30])]  # 1 % common words, many enough for the first test
+    rows = [*clean, (100, made(400, 0.0), "en"), (101, " ".join([made(700, 0.0), "the the the of"]), "en"), (102, spread[0], "en"), (103, made(79, 0.0), "en")]
+    got = {r["doc_id"]: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).select("row.doc_id", "n_common", "kept", "class_distance", "word_distance", "rest_distance").collect()}
+    assert all(got[k]["kept"] for k in range(40)) and got[103]["kept"] and got[103]["rest_distance"] is None
+    assert not any(got[k]["kept"] for k in (100, 101, 102))
+    assert got[100]["n_common"] == 0 and got[100]["word_distance"] == 1.0
+    assert got[102]["word_distance"] < 0.75
+    known = [(Counter(x for x in words(t) if x in quality_rules.WORDS), len(words(t))) for _, t, _ in rows]
+    n = sum(k for _, k in known)
+    q = np.array([sum(c[x] for c, _ in known) / n for x in quality_rules.WORDS])
+    q = np.append(q, 1 - q.sum())
+    for (i, _, _), (c, k) in zip(rows, known, strict=True):
+        if k >= 80:
+            p = np.array([c[x] / k for x in quality_rules.WORDS])
+            p = np.append(p, 1 - p.sum())
+            m = (p + q) / 2
+            part = lambda v, m=m: sum(x * np.log2(x / y) for x, y in zip(v, m, strict=True) if x > 0)
+            assert got[i]["rest_distance"] == pytest.approx(np.sqrt((part(p) + part(q)) / 2), abs=1e-6)
+
+
 # --- op7, op9 -----------------------------------------------------------------------------------------------------
 
 
