@@ -20,30 +20,35 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def boilerplate(docs: DataFrame, host: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """``(host, drop array<long>)``: hashes of the lines on more than ``ratio`` of the host's pages and ``least_pages`` at least.
 
     Lines travel as 64-bit hashes and are counted in the map tasks first. A host has at most (mean distinct lines of a
-    page) / ratio such lines, so its array stays short however many pages it has.
+    page) / ratio such lines, so its array stays short however many pages it has. With
+    ``copies_once``, pages of a host with the same text (by hash) are one page in both counts.
     """
     pages = docs.filter(F.col(host).isNotNull()).select(F.col(host).cast("string").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    if copies_once:
+        pages = pages.withColumn("page", F.xxhash64("text"))
+    totals = (pages.select("host", "page").distinct() if copies_once else pages).groupBy("host").agg(F.count("*").alias("pages"))
     own = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.xxhash64(_trimmed(x))))
     # explode_outer: with explode, Spark would filter on the size of the array and so compute the array twice
-    counts = pages.select("host", F.explode_outer(own).alias("line")).filter("line IS NOT NULL").groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    lines = pages.select("host", *(["page"] if copies_once else []), F.explode_outer(own).alias("line")).filter("line IS NOT NULL")
+    counts = (lines.distinct() if copies_once else lines).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
     joined = counts.join(totals.hint("merge"), "host").filter(F.col("n") > F.lit(ratio) * F.col("pages"))
     return joined.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("drop"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """``docs(text, <host>, …)`` with two columns more, ``n_lines`` and ``n_dropped``, and the text without such lines.
 
     Lines are parted by line feeds and compared without white space at their ends; blank lines are never counted or
     dropped. A page counts once for a line however often it has it. Rows with a null host keep their text; null texts
-    stay null with 0 lines. Repeated rows count as pages of their own. An empty table gives no rows; other columns pass
+    stay null with 0 lines. Repeated rows count as pages of their own, unless ``copies_once``: then exact copies
+    on a host count as one page, so that no text is dropped for being copied. An empty table gives no rows; other columns pass
     through.
     """
-    found = written(boilerplate(docs, host, ratio, least_pages), "boilerplate")
+    found = written(boilerplate(docs, host, ratio, least_pages, copies_once), "boilerplate")
     size = found.agg(F.sum(F.size("drop"))).first()[0] or 0
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(host).cast("string").alias("host"), F.col("text").alias("own_text"))
     joined = rows.join(found.hint("broadcast" if size <= BROADCAST_LINES else "merge"), "host", "left")
@@ -60,8 +65,11 @@ def op8_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """The pipeline's form: the columns of documents, with n_chars of the text that is left."""
-    cut = drop_boilerplate(docs)
+    """The pipeline's form: the columns of documents, with n_chars of the text that is left.
+
+    Near-dedup comes later, so copies of one text count as one page here.
+    """
+    cut = drop_boilerplate(docs, copies_once=True)
     return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -490,6 +490,15 @@ def test_lines(spark, odd, none):
     assert line_dedup.clean_documents(odd).columns == odd.columns
 
 
+def test_copies_of_a_text_are_one_page_in_the_pipeline(spark):
+    copied = "one text\nof several lines\nfoot"
+    rows = [(k, f"own line {k}\nfoot", "h") for k in range(20)] + [(100 + k, copied, "h") for k in range(15)] + [(200 + k, copied, f"s{k // 5}") for k in range(10)]
+    df = spark.createDataFrame([(i, t, h, len(t)) for i, t, h in rows], "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in line_dedup.clean_documents(df).collect()}
+    want = {i: t.removesuffix("\nfoot") if h == "h" else t for i, t, h in rows}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 # --- SQL ----------------------------------------------------------------------------------------------------------
 
 
