@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,42 +41,57 @@ def _lower(texts: list[str]) -> list[str]:
     return [x.lower() for x in texts]
 
 
+#: Languages in one block of the matrix of log probabilities (32 MB a block), which are broadcast one by one.
+BLOCK = 256
+#: Up to this many languages a training task sums its counts in a dense matrix; beyond, it hands them on slice by slice.
+DENSE = 64
+
+
+def score(prior: np.ndarray, blocks: list[np.ndarray], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Best language and its posterior probability for each text, over the columns of all ``blocks``."""
+    total = np.tile(prior, (len(texts), 1))
+    for at, part in slices(_lower(texts)):
+        codes, owner = code_points(part)
+        for bucket, piece in gram_buckets(codes, owner):
+            if not len(bucket):
+                continue
+            first = np.flatnonzero(np.diff(piece, prepend=-1))
+            rows = np.asarray(at)[piece[first]]
+            for k, column in enumerate(c for x in blocks for c in x.T):
+                np.add.at(total[:, k], rows, np.add.reduceat(column[bucket], first, dtype=np.float64))
+    best = total.argmax(axis=1)
+    return best, 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+
+
 class Model:
-    """Log probabilities of every bucket under each language, and the log priors."""
+    """Log probabilities of every bucket under each language, in blocks of languages, and the log priors."""
 
-    def __init__(self, names: list[str], counts: np.ndarray, documents: np.ndarray, smoothing: float = 0.5) -> None:
+    def __init__(self, names: list[str], counts: np.ndarray | Iterable[np.ndarray], documents: np.ndarray, smoothing: float = 0.5) -> None:
         self.names = names
-        self.log_p = np.log((counts + smoothing) / (counts + smoothing).sum(axis=0, keepdims=True)).astype(np.float32)
+        whole = [counts[:, k : k + BLOCK] for k in range(0, len(names), BLOCK)] if isinstance(counts, np.ndarray) else counts
+        self.blocks = [np.log((c + smoothing) / (c + smoothing).sum(axis=0, keepdims=True)).astype(np.float32) for c in whole]
         self.prior = np.log(documents / documents.sum())
 
+    @property
+    def log_p(self) -> np.ndarray:
+        return np.concatenate(self.blocks, axis=1)
+
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Best language and its posterior probability for each text."""
-        total = np.tile(self.prior, (len(texts), 1))
-        for at, part in slices(_lower(texts)):
-            codes, owner = code_points(part)
-            for bucket, piece in gram_buckets(codes, owner):
-                if not len(bucket):
-                    continue
-                first = np.flatnonzero(np.diff(piece, prepend=-1))
-                rows = np.asarray(at)[piece[first]]
-                for k in range(len(self.names)):
-                    np.add.at(total[:, k], rows, np.add.reduceat(self.log_p[:, k][bucket], first, dtype=np.float64))
-        best = total.argmax(axis=1)
-        return best, 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-
-
-def fit(docs: DataFrame, train: DataFrame, per_language: int = 3000, languages: int = 64) -> Model | None:
-    """Learn from ``train(doc_id, label)``: whole texts of at most ``per_language`` documents of each of the
-    ``languages`` commonest labels (both are documented bounds of the fit; scoring covers every row)."""
-    common = [r["label"] for r in train.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages).collect()]
-    if not common:
+        return score(self.prior, self.blocks, texts)
+
+
+def fit(docs: DataFrame, train: DataFrame, per_language: int = 3000) -> Model | None:
+    """Learn from ``train(doc_id, label)``: whole texts of at most ``per_language`` documents of every label (a documented
+    bound of the fit; scoring covers every row). The driver and each worker hold 128 KB a label."""
+    names = sorted(r["label"] for r in train.select("label").distinct().collect())
+    if not names:
         return None
-    ids = bounded_ids(train.filter(F.col("label").isin(common)), "label", per_language)
-    names = sorted(common)
+    ids = bounded_ids(train, "label", per_language)
     place = {x: k for k, x in enumerate(names)}
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(names), 1 << BITS), dtype=np.int64)
+        dense = len(names) <= DENSE
+        total = np.zeros((len(names) if dense else 0, 1 << BITS), dtype=np.int64)
         seen = np.zeros(len(names), dtype=np.int64)
         for frame in frames:
             label = frame["label"].map(place).to_numpy()
@@ -85,34 +100,51 @@ def fit(docs: DataFrame, train: DataFrame, per_language: int = 3000, languages:
                 codes, owner = code_points(part)
                 own = label[np.asarray(at)]
                 for bucket, piece in gram_buckets(codes, owner):
-                    total += np.bincount((own[piece] << BITS) + bucket, minlength=len(names) << BITS).reshape(total.shape)
+                    place_of = (own[piece] << BITS) + bucket
+                    if dense:
+                        total += np.bincount(place_of, minlength=len(names) << BITS).reshape(total.shape)
+                        continue
+                    found, n = np.unique(place_of, return_counts=True)
+                    yield pd.DataFrame({"label": found >> BITS, "bucket": found & ((1 << BITS) - 1), "n": n})
         k, b = np.nonzero(total)
         yield pd.DataFrame({"label": np.concatenate([k, np.arange(len(names))]), "bucket": np.concatenate([b, np.full(len(names), -1)]), "n": np.concatenate([total[k, b], seen])})
 
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label")
     rows = picked.mapInPandas(count, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts, documents = np.zeros((1 << BITS, len(names))), np.zeros(len(names))
+    documents = np.zeros(len(names))
     own = rows["bucket"] >= 0
-    counts[rows["bucket"][own], rows["label"][own]] = rows["n"][own]
     documents[rows["label"][~own]] = rows["n"][~own]
-    return Model(names, counts, np.maximum(documents, 1))
+    label, bucket, n = (rows.loc[own, c].to_numpy() for c in ("label", "bucket", "n"))
+
+    def blocks() -> Iterator[np.ndarray]:
+        for k in range(0, len(names), BLOCK):
+            here = (label >= k) & (label < k + BLOCK)
+            counts = np.zeros((1 << BITS, min(BLOCK, len(names) - k)))
+            counts[bucket[here], label[here] - k] = n[here]
+            yield counts
+
+    return Model(names, blocks(), np.maximum(documents, 1))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``(doc_id, lang_pred, score)``; ``und`` with score 0 for a text that is null or has no letter, or without a model."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.names, model.prior) if model else None)
+    parts = [spark.sparkContext.broadcast(x) for x in (model.blocks if model else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        names_of, prior = shared.value or ([], None)
+        blocks = [x.value for x in parts]
+        step = max(1, (1 << 22) // max(1, len(names_of)))
         for batch in batches:
             texts = strings(batch.column(1))
-            known = np.array([m is not None and _LETTER.search(x) is not None for x in texts], dtype=bool)
-            names, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
-            if m is not None and len(texts):
-                best, p = m.scores(texts)
-                names[known], score[known] = np.array(m.names, dtype=object)[best[known]], p[known]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            known = np.array([bool(names_of) and _LETTER.search(x) is not None for x in texts], dtype=bool)
+            names, sure = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+            for k in range(0, len(texts) if names_of else 0, step):
+                best, p = score(prior, blocks, texts[k : k + step])
+                here = known[k : k + step]
+                names[k : k + step][here], sure[k : k + step][here] = np.array(names_of, dtype=object)[best[here]], p[here]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(sure)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 

@@ -190,6 +190,20 @@ def test_language_scores_equal_plain_counts():
     assert best.tolist() == plain and ((p > 0) & (p <= 1)).all()
 
 
+def test_every_language_is_learnt(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = []
+    for k in range(70):  # the last are the rarest
+        signs = [chr(0x4E00 + 20 * k + i) for i in range(20)]
+        rows += [(len(rows) + i, " ".join("".join(rng.choices(signs, k=4)) for _ in range(15)), f"l{k:02}") for i in range(20 if k < 60 else 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for block in (256, 32):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()}
+        assert len(got) == len(rows) and set(got.values()) == {f"l{k:02}" for k in range(70)}
+        assert sum(got[i] == lang for i, _, lang in rows) > 0.98 * len(rows)
+
+
 # --- op3 ----------------------------------------------------------------------------------------------------------
 
 
