@@ -75,11 +75,14 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, wi
     """Cut each document's ids (with the end id) into pieces of ``capacity``; ``with_ids`` adds the ids as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, width = encoder(tokenizer).encode, struct.pack("<I", end_id), 4 * capacity
+        enc, end, width = encoder(tokenizer), struct.pack("<I", end_id), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            flat, counts = enc.batch(batch.column(1).to_pylist())
+            flat, upto = memoryview(flat.astype("<u4", copy=False)).cast("B"), 0
+            for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
+                ids = bytes(flat[upto : upto + 4 * n]) + end
+                upto += 4 * n
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))

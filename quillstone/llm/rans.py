@@ -59,6 +59,8 @@ class Table:
     def of_counts(cls, counts: np.ndarray) -> Table:
         """Counts over the corpus -> frequencies; what rounding leaves goes to the commonest ids."""
         room = (1 << SCALE) - len(counts)
+        if room < 0:
+            raise ValueError(f"{len(counts)} ids do not fit a scale of 2**{SCALE}")
         total = max(1, int(counts.sum()))
         freq = 1 + (counts.astype(object) * room // total).astype(np.int64)
         order = np.argsort(-counts, kind="stable")
@@ -144,7 +146,31 @@ def block_bytes(block: Block, t: Table) -> bytes:
     return _HEAD.pack(b"QRB1", block.start, len(block.doc_ids), len(block.ids), lanes, len(marks), len(words), len(docs), zlib.crc32(body)) + body
 
 
-def read_block(read, t: Table) -> Block:
+@dataclass
+class Stored:
+    """A block as it lies in a file: its documents and what decoding needs."""
+
+    start: int
+    doc_ids: list[int | None]
+    lengths: np.ndarray
+    n: int
+    lanes: int
+    marks: list[tuple[int, int, np.ndarray]]
+    words: np.ndarray
+
+    def ids(self, t: Table, low: int = 0, high: int | None = None) -> np.ndarray:
+        """The block's ids from ``low`` up to ``high``, decoded from the checkpoint before to the one after."""
+        high = self.n if high is None else high
+        if low >= high:
+            return np.empty(0, dtype=np.uint32)
+        rows = [m[0] for m in self.marks]
+        first = int(np.searchsorted(rows, low // self.lanes, side="right")) - 1
+        last = int(np.searchsorted(rows, -(-high // self.lanes), side="left"))
+        found = decode_ids(self.n, self.lanes, self.marks, self.words, t, first, last if last < len(rows) else None)
+        return found[low - rows[first] * self.lanes : high - rows[first] * self.lanes]
+
+
+def read_block(read, t: Table) -> Stored:
     """``read(n)`` gives the next n bytes."""
     magic, start, n_docs, n, lanes, n_marks, n_words, docs, crc = _HEAD.unpack(read(_HEAD.size))
     body = read(docs + n_marks * (8 + 8 * lanes) + 4 * n_words)
@@ -158,7 +184,34 @@ def read_block(read, t: Table) -> Block:
         marks.append((row, word, np.frombuffer(body, "<u8", lanes, at + 8)))
         at += 8 + 8 * lanes
     words = np.frombuffer(body, "<u4", n_words, at)
-    return Block(start, [None if d == _NO_ID else int(d) for d in ids], lengths, decode_ids(n, lanes, marks, words, t))
+    return Stored(start, [None if d == _NO_ID else int(d) for d in ids], lengths, n, lanes, marks, words)
+
+
+def block_index(f, t: Table) -> list[tuple[int, int]]:
+    """(position, first token) of every block of an open file of this table."""
+    magic, crc = struct.unpack("<4sI", f.read(8))
+    f.seek(f.size() - 8)
+    n, end = struct.unpack("<I4s", f.read(8))
+    if magic != b"QRA1" or end != b"QRAE" or crc != t.crc:
+        raise ValueError("not a whole file of this table")
+    f.seek(f.size() - 8 - 16 * n)
+    return list(struct.iter_unpack("<QQ", f.read(16 * n)))
+
+
+def read_range(path: str, t: Table, start: int, stop: int) -> np.ndarray:
+    """Ids of the places ``start`` up to ``stop`` that lie in this file. Only the blocks that the index names are read, and
+    only the rows between their checkpoints decoded."""
+    found = [np.empty(0, dtype=np.uint32)]
+    with files.at(path) as f:
+        index = block_index(f, t)
+        firsts = [first for _, first in index]
+        for k in range(max(0, int(np.searchsorted(firsts, start, side="right")) - 1), len(index)):
+            if firsts[k] >= stop:
+                break
+            f.seek(index[k][0])
+            b = read_block(f.read, t)
+            found.append(b.ids(t, max(0, start - b.start), min(b.n, stop - b.start)))
+    return np.concatenate(found)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, partitions: int) -> DataFrame:
@@ -166,17 +219,15 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, partitions: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        wide = enc.tokenizer.get_vocab_size() > 1 << 16
-        end, part, at = struct.pack("<I", end_id), TaskContext.get().partitionId(), 0
+        kind = "<u2" if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        part, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype=kind)
         for batch in batches:
-            ids, starts, counts = [], [], []
-            for text in batch.column(1):
-                raw = enc.encode(text.as_py()) + end
-                ids.append(raw if wide else np.frombuffer(raw, "<u4").astype("<u2").tobytes())
-                starts.append(at)
-                counts.append(len(raw) // 4)
-                at += counts[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "part", "at", "n", "ids"])
+            ids, counts = enc.batch(batch.column(1).to_pylist())
+            ids, after = ids.astype(kind), np.cumsum(counts)
+            rows = [np.concatenate([ids[z - n : z], end]).tobytes() for z, n in zip(after.tolist(), counts.tolist(), strict=True)]
+            counts = counts + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(rows), part, dtype=np.int32)), pa.array(at + np.cumsum(counts) - counts), pa.array(counts), pa.array(rows, pa.binary())], ["doc_id", "part", "at", "n", "ids"])
+            at += int(counts.sum())
 
     ranged = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tie", F.xxhash64("text")).repartitionByRange(partitions, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return ranged.drop("tie").mapInArrow(run, "doc_id long, part int, at long, n long, ids binary")
@@ -190,16 +241,16 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """How often each id occurs in all documents. Tasks count on their own; the driver gets one row per id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, dtype=np.int64)
+        total, kind = np.zeros(vocabulary, dtype=np.int64), np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
         for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total += np.bincount(_id_array(raw.as_py(), n), minlength=vocabulary) if n > 4096 else 0
-                if n <= 4096:
-                    np.add.at(total, _id_array(raw.as_py(), n), 1)
+            own, column = batch.column(0), batch.column(0).buffers()
+            if len(own):  # the rows' bytes lie end to end in one buffer
+                ends = np.frombuffer(column[1], "<i4", len(own) + 1, 4 * own.offset)
+                total += np.bincount(np.frombuffer(column[2], kind, int(ends[-1] - ends[0]) // kind.itemsize, int(ends[0])), minlength=vocabulary)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["id", "c"])
 
-    rows = tokens.select("n", "ids").mapInArrow(run, "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).toPandas()
+    rows = tokens.select("ids").mapInArrow(run, "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).toPandas()
     counts = np.zeros(vocabulary, dtype=np.int64)
     counts[rows["id"].to_numpy(dtype=np.int64)] = rows["c"].to_numpy(dtype=np.int64)
     return counts
@@ -280,32 +331,41 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
-    """Decode the files -> ``(doc_id, start, n_tokens, ids_crc32)`` and, if asked for, the ids as an array."""
+    """Decode the files -> ``(doc_id, start, n_tokens, ids_crc32)`` and, if asked for, the ids as an array.
+
+    The files' indices are read first; blocks, not files, are then dealt to the tasks.
+    """
     table_path = f"{folder}/table.qrt"
 
+    def loaded() -> Table:
+        with files.stream(table_path) as f:
+            return Table.from_bytes(f.read())
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = loaded()
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with files.at(path) as f:
+                    at = [position for position, _ in block_index(f, t)]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(at)), pa.array(at, pa.int64())], ["path", "position"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = None
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                if t is None:
-                    with files.stream(table_path) as f:
-                        t = Table.from_bytes(f.read())
+            t = t or loaded()
+            for path, position in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with files.at(path) as f:
-                    magic, crc = struct.unpack("<4sI", f.read(8))
-                    f.seek(f.size() - 8)
-                    n_blocks, end = struct.unpack("<I4s", f.read(8))
-                    if magic != b"QRA1" or end != b"QRAE" or crc != t.crc:
-                        raise ValueError(f"{path} is not a whole file of this table")
-                    f.seek(8)
-                    for _ in range(n_blocks):
-                        b = read_block(f.read, t)
-                        after = np.cumsum(b.lengths.astype(np.int64))
-                        own = [b.ids[z - n : z] for z, n in zip(after, b.lengths.astype(np.int64), strict=True)]
-                        columns = [pa.array(b.doc_ids, pa.int64()), pa.array(b.start + after - b.lengths), pa.array(b.lengths.astype(np.int64)), pa.array([zlib.crc32(x.astype("<u4", copy=False).tobytes()) for x in own], pa.int64())]
-                        yield pa.RecordBatch.from_arrays(columns + [pa.array([x.tolist() for x in own], pa.list_(pa.int64()))] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
-
-    n = max(1, min(manifest.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return manifest.select("path").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+                    f.seek(position)
+                    b = read_block(f.read, t)
+                ids, n = b.ids(t).astype("<u4", copy=False), b.lengths.astype(np.int64)
+                after = np.cumsum(n)
+                own = [ids[z - k : z] for z, k in zip(after.tolist(), n.tolist(), strict=True)]
+                columns = [pa.array(b.doc_ids, pa.int64()), pa.array(b.start + after - n), pa.array(n), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array([x.tolist() for x in own], pa.list_(pa.int64()))] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+
+    blocks = written(manifest.select("path").mapInArrow(index, "path string, position long"), "token-blocks")
+    n = max(1, min(blocks.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return blocks.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

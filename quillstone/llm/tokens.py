@@ -1,15 +1,18 @@
 """Whole texts to token ids with a public tokenizer file, at word speed.
 
-The tokenizer's BPE is context free between white space, so the ids of each word are looked up in a bounded
-cache and only words that are new to the worker go through the tokenizers library.
+The tokenizer's BPE is context free between white space, so a batch is split into words by Arrow, its distinct words are
+looked up in a bounded cache, and only words that are new to the worker go through the tokenizers library.
 """
 
 from __future__ import annotations
 
 import os
-import struct
 import unicodedata
+from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The two rules of the tokenizer file that a word's pieces depend on.
@@ -32,59 +35,115 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-class _Words(dict):
-    """White-space separated chunk of lower-case text -> its ids as little-endian 32-bit integers.
+#: White space beyond ASCII, which the tokenizer takes for a gap as well.
+_WIDE_GAP = regex.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
-    Two generations: when the young one is full it becomes the old one, and words still in use move back.
+
+class _Words:
+    """White-space separated chunks of lower-case text and their ids, which lie end to end in one array.
+
+    When ``most`` chunks are held, all are forgotten and learned anew as they come.
     """
 
     def __init__(self, tokenizer, most: int) -> None:
-        super().__init__()
-        self.model, self.most, self.old = tokenizer.model, most, {}
-        self.letters = _byte_letters()
-
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
-        if found is None:
-            head = chunk.rstrip(".,;:!?")
-            if chunk.isalpha() and len(chunk) < 1000:
-                found = self.piece(chunk)
-            elif head.isalpha() and len(head) < 1000:  # a word and its punctuation, which is one piece
-                found = self[head] + self[chunk[len(head) :]]
-            else:
-                found = b"".join(map(self.piece, _PIECE.findall(chunk)))
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = found
-        return found
-
-    def piece(self, text: str) -> bytes:
+        self.model, self.most, self.letters = tokenizer.model, most, _byte_letters()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = array("I"), array("q", [0])
+
+    def places(self, chunks: list[str]) -> np.ndarray:
+        """The place of each of these distinct chunks among the known ones."""
+        get = self.known.get
+        found = [get(x, -1) for x in chunks]
+        new = [i for i, at in enumerate(found) if at < 0]
+        if len(self.known) + len(new) > self.most:
+            self._forget()
+            new = range(len(chunks))
+        for i in new:
+            found[i] = self._learn(chunks[i])
+        return np.array(found, dtype=np.int64)
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks at these places, end to end, and how many each has."""
+        flat, ends = np.array(self.flat, dtype=np.uint32), np.array(self.ends, dtype=np.int64)
+        n = (ends[1:] - ends[:-1])[at]
+        before = np.cumsum(n) - n
+        return flat[np.arange(int(n.sum())) + np.repeat(ends[at] - before, n)], n
+
+    def _learn(self, chunk: str) -> int:
+        if chunk in self.known:  # as the head of one before it
+            return self.known[chunk]
+        head = chunk.rstrip(".,;:!?")
+        if chunk.isalpha() and len(chunk) < 1000:
+            ids = self._piece(chunk)
+        elif head and len(head) < len(chunk) and head.isalpha() and len(head) < 1000:  # a word and its punctuation, which is one piece
+            ids = self._ids(self._learn(head)) + self._ids(self._learn(chunk[len(head) :]))
+        else:
+            ids = array("I", [i for x in _PIECE.findall(chunk) for i in self._piece(x)])
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+        self.known[chunk] = at = len(self.ends) - 2
+        return at
+
+    def _ids(self, at: int) -> array:
+        return self.flat[self.ends[at] : self.ends[at + 1]]
+
+    def _piece(self, text: str) -> array:
         mapped = text if text.isascii() and text.isprintable() else "".join([self.letters[b] for b in text.encode("utf-8", "surrogatepass")])
-        return struct.pack(f"<{len(found := self.model.tokenize(mapped))}I", *[t.id for t in found])
+        return array("I", [t.id for t in self.model.tokenize(mapped)])
 
 
 class Encoder:
-    """``encode(text)`` gives the ids that the tokenizers library gives with add_special_tokens=False, as bytes."""
+    """The ids that the tokenizers library gives with add_special_tokens=False, for batches of whole texts."""
 
-    def __init__(self, path: str, cache_words: int = 400_000) -> None:
+    def __init__(self, path: str, cache_words: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = _Words(self.tokenizer, cache_words)
 
+    def batch(self, texts: list[str | None], most: int = 8_000_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each text has. Taken up in slices of about ``most`` characters."""
+        ids, counts, part, size = [], [], [], 0
+        for k, text in enumerate(texts, 1):
+            part.append(text or "")
+            size += len(part[-1])
+            if size > most or k == len(texts):
+                own, n = self._slice(part)
+                ids.append(own)
+                counts.append(n)
+                part, size = [], 0
+        none = [np.empty(0, dtype=np.uint32)], [np.empty(0, dtype=np.int64)]
+        return np.concatenate(ids or none[0]), np.concatenate(counts or none[1])
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:
-                text = text.replace("Σ", "σ")  # the library lower-cases letter by letter
-        if _ODD.search(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return b"".join([i.to_bytes(4, "little") for i in ids])
-        return b"".join(map(self.words.__getitem__, text.lower().split()))
+        """The ids of one text as little-endian unsigned 32-bit integers."""
+        return self.batch([text])[0].astype("<u4").tobytes()
+
+    def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain, odd = [], {}
+        for i, text in enumerate(texts):
+            if not text.isascii():
+                text = unicodedata.normalize("NFC", text)
+                if "Σ" in text:
+                    text = text.replace("Σ", "σ")  # the library lower-cases letter by letter
+                text = _WIDE_GAP.sub(" ", text)
+            if _ODD.search(text):
+                odd[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=np.uint32)
+                text = ""
+            plain.append(text.lower())
+        chunks = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
+        offsets, words = np.asarray(chunks.offsets), chunks.flatten().dictionary_encode()
+        ids, n = self.words.gather(self.words.places(words.dictionary.to_pylist())[words.indices.to_numpy()])
+        upto = np.concatenate([[0], np.cumsum(n)])[offsets - offsets[0]]
+        counts = np.diff(upto)
+        if odd:
+            ids = np.concatenate([odd[i] if i in odd else ids[upto[i] : upto[i + 1]] for i in range(len(texts))])
+            counts[list(odd)] = [len(x) for x in odd.values()]
+        return ids, counts
 
 
 _ENCODERS: dict[str, Encoder] = {}

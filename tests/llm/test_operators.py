@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from quillstone.llm import decontaminate, langid, line_dedup, packing, quality_knn, quality_rules, rans, simhash, tokens, toxicity, warc
+from quillstone.llm import decontaminate, files, langid, line_dedup, packing, quality_knn, quality_rules, rans, simhash, tokens, toxicity, warc
 from quillstone.scratch import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -62,6 +62,10 @@ def test_encoder_equals_the_library():
     for text in cases:
         assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
     assert e.encode(None) == b""
+    ids, counts = e.batch([None, *cases], most=5000)
+    assert counts.tolist() == [0] + [len(e.tokenizer.encode(x, add_special_tokens=False).ids) for x in cases]
+    assert ids.tolist() == [i for x in cases for i in e.tokenizer.encode(x, add_special_tokens=False).ids]
+    assert [x.tolist() for x in e.batch([])] == [[], []]
 
 
 # --- op1 ----------------------------------------------------------------------------------------------------------
@@ -464,7 +468,10 @@ def test_rans_blocks(n):
         raw = rans.block_bytes(rans.Block(7, [None, 3], np.array([0, n]), ids), t)
         import io
 
-        assert (rans.read_block(io.BytesIO(raw).read, t).ids == ids).all()
+        block = rans.read_block(io.BytesIO(raw).read, t)
+        assert (block.ids(t) == ids).all()
+        for low, high in ((0, 0), (0, 1), (n // 3, n // 3 + 1), (n // 2, n), (n - 1, n)):
+            assert (block.ids(t, low, high) == ids[low:high]).all()
         with pytest.raises(ValueError):
             rans.read_block(io.BytesIO(raw[:-1] + bytes([raw[-1] ^ 1])).read, t)
 
@@ -481,6 +488,15 @@ def test_rans_files(spark, odd, none):
         at += r["n_tokens"]
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) and r["ids"][-1] == 1
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == Counter((i, tuple(np.frombuffer(enc.encode(t), "<u4").tolist()) + (1,)) for i, t, *_ in odd_rows())
+    whole = [i for r in got for i in r["ids"]]
+    with files.stream(f"{folder}/table.qrt") as f:
+        t = rans.Table.from_bytes(f.read())
+    for m in manifest.collect():  # any range of a file through its index, from a middle checkpoint too
+        for low, high in ((0, m["tokens"]), (m["tokens"] // 3, m["tokens"] // 2), (m["tokens"] - 1, m["tokens"])):
+            low, high = m["start"] + low, m["start"] + high
+            assert rans.read_range(m["path"], t, low, high).tolist() == whole[low:high]
+    with pytest.raises(ValueError):
+        rans.Table.of_counts(np.ones((1 << rans.SCALE) + 1, dtype=np.int64))
     empty = scratch_path(spark, "rans-test")
     assert rans.read_tokens(spark, rans.write_tokens(none, empty), empty).count() == 0
 
