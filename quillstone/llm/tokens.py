@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import unicodedata
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ import regex
 
 #: The two rules of the tokenizer file that a word's pieces depend on.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts with these go whole through the library: special tokens' strings, and separators that str.split() takes
-#: for white space but the tokenizer does not.
+#: Texts with these go whole through the library: special tokens' strings, and separators on which rules differ. White
+#: space beyond ASCII inside a chunk parts its pieces anyway.
 _ODD = regex.compile("<\\||[\x1c-\x1f᠎]")
 
 
@@ -35,10 +36,6 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-#: White space beyond ASCII, which the tokenizer takes for a gap as well.
-_WIDE_GAP = regex.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-
-
 class _Words:
     """White-space separated chunks of lower-case text and their ids, which lie end to end in one array.
 
@@ -52,18 +49,19 @@ class _Words:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.ends = array("I"), array("q", [0])
+        #: Places of chunks whose texts must go whole through the library.
+        self.odd: set[int] = set()
 
     def places(self, chunks: list[str]) -> np.ndarray:
         """The place of each of these distinct chunks among the known ones."""
-        get = self.known.get
-        found = [get(x, -1) for x in chunks]
-        new = [i for i, at in enumerate(found) if at < 0]
+        found = np.fromiter(map(self.known.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
+        new = np.flatnonzero(found < 0).tolist()
         if len(self.known) + len(new) > self.most:
             self._forget()
             new = range(len(chunks))
         for i in new:
             found[i] = self._learn(chunks[i])
-        return np.array(found, dtype=np.int64)
+        return found
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks at these places, end to end, and how many each has."""
@@ -79,20 +77,22 @@ class _Words:
         if chunk.isalpha() and len(chunk) < 1000:
             ids = self._piece(chunk)
         elif head and len(head) < len(chunk) and head.isalpha() and len(head) < 1000:  # a word and its punctuation, which is one piece
-            ids = self._ids(self._learn(head)) + self._ids(self._learn(chunk[len(head) :]))
+            ids = [*self._ids(self._learn(head)), *self._ids(self._learn(chunk[len(head) :]))]
         else:
-            ids = array("I", [i for x in _PIECE.findall(chunk) for i in self._piece(x)])
+            ids = [i for x in _PIECE.findall(chunk) for i in self._piece(x)]
         self.flat.extend(ids)
         self.ends.append(len(self.flat))
         self.known[chunk] = at = len(self.ends) - 2
+        if _ODD.search(chunk):
+            self.odd.add(at)
         return at
 
     def _ids(self, at: int) -> array:
         return self.flat[self.ends[at] : self.ends[at + 1]]
 
-    def _piece(self, text: str) -> array:
+    def _piece(self, text: str) -> list[int]:
         mapped = text if text.isascii() and text.isprintable() else "".join([self.letters[b] for b in text.encode("utf-8", "surrogatepass")])
-        return array("I", [t.id for t in self.model.tokenize(mapped)])
+        return [t.id for t in self.model.tokenize(mapped)]
 
 
 class Encoder:
@@ -124,23 +124,22 @@ class Encoder:
         return self.batch([text])[0].astype("<u4").tobytes()
 
     def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain, odd = [], {}
-        for i, text in enumerate(texts):
+        plain = []
+        for text in texts:
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text)
                 if "Σ" in text:
                     text = text.replace("Σ", "σ")  # the library lower-cases letter by letter
-                text = _WIDE_GAP.sub(" ", text)
-            if _ODD.search(text):
-                odd[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=np.uint32)
-                text = ""
             plain.append(text.lower())
         chunks = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
         offsets, words = np.asarray(chunks.offsets), chunks.flatten().dictionary_encode()
-        ids, n = self.words.gather(self.words.places(words.dictionary.to_pylist())[words.indices.to_numpy()])
+        at = self.words.places(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        ids, n = self.words.gather(at)
         upto = np.concatenate([[0], np.cumsum(n)])[offsets - offsets[0]]
         counts = np.diff(upto)
-        if odd:
+        if self.words.odd:
+            where = np.searchsorted(offsets - offsets[0], np.flatnonzero(np.isin(at, list(self.words.odd))), side="right") - 1
+            odd = {i: np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=np.uint32) for i in set(where.tolist())}
             ids = np.concatenate([odd[i] if i in odd else ids[upto[i] : upto[i + 1]] for i in range(len(texts))])
             counts[list(odd)] = [len(x) for x in odd.values()]
         return ids, counts

@@ -57,7 +57,7 @@ def docs(spark):
 def test_encoder_equals_the_library():
     e = tokens.Encoder(tokens.default_tokenizer(), cache_words=50)
     rng = random.Random(2)
-    signs = "aAbBéÉßİΣσ'sS1٣ \n\t  ́<|endoftext|>.,!#\U0001f600中\x85​\x1c\x00ǅ"
+    signs = "aAbBéÉßİΣσ'sS1٣ \n\t  ́<|endoftext|>.,!#\U0001f600中\x85\xa0\u3000\u2028​\x1c\x00ǅ"
     cases = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["a<|endoftext|>b", LONG[:5000], "don't won't it's"]
     for text in cases:
         assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
