@@ -12,7 +12,7 @@ from quillstone.llm.decontaminate import decontaminated
 from quillstone.llm.line_dedup import clean_documents
 from quillstone.llm.packing import pack
 from quillstone.llm.quality_rules import good_documents
-from quillstone.llm.simhash import keep_one
+from quillstone.llm.near_copies import keep_one
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,20 +28,39 @@ from ..operators.graph import stars
 from .common import table, written
 
 _PART_BYTES = 1 << 22
+#: Over so many tasks the fingerprints of one component are spread when they learn its smallest id.
+SALTS = 16
 
 
-def _bits_of(buffer: bytes, starts: list[int], ends: list[int]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(buffer[a:b], 42) for a, b in zip(starts, ends, strict=True)], dtype="<u8")
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return bits.sum(axis=0, dtype=np.int64)
+_LANES = np.uint64(0x0101010101010101)
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of each row's values (rows, n) have each bit. Eight byte-wide lanes add up 255 values at a time."""
+    out = np.zeros((len(h), 8, 8), dtype=np.int64)
+    starts = np.arange(0, h.shape[1], 255)
+    for k in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(k)) & _LANES, starts, axis=1)
+        out[:, :, k] = lanes.view(np.uint8).reshape(len(h), -1, 8).sum(axis=1, dtype=np.int64)
+    return out.reshape(len(h), 64)
+
 
+def remixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Other hashes of the same shingles; seed 0 leaves them as they are."""
+    if not seed:
+        return h
+    z = h + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Majority of the XXH64 (seed 42) bits of the word shingles; signed 64 bits. No word: zero."""
+
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the word shingles, repeats included, a few MB of text at a time. No word: nothing."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    digest = xxhash.xxh64_intdigest
     carry: list[bytes] = []
-    count, ones, at = 0, np.zeros(64, dtype=np.int64), 0
+    count, at = 0, 0
     while at < len(raw) or at == 0:
         end = min(len(raw), at + _PART_BYTES)
         while end < len(raw) and not raw[end : end + 1].isspace():
@@ -53,12 +72,21 @@ def fingerprint(text: str | None, shingle: int) -> int:
             width = min(shingle, n)
             lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
             ends = np.cumsum(lengths + 1) - 1
-            ones += _bits_of(b" ".join(words), (ends - lengths)[: n - width + 1].tolist(), ends[width - 1 :].tolist())
+            joined, starts = b" ".join(words), (ends - lengths)[: n - width + 1].tolist()
+            yield np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], dtype=np.uint64)
             count += n - width + 1
         carry = words[-(shingle - 1) :] if shingle > 1 else []
         if last:
             break
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<i8")[0]) if count else 0
+
+
+def fingerprint(text: str | None, shingle: int, seeds: int = 1) -> list[int]:
+    """Majority of the bits of the shingles' hashes, for each of ``seeds`` mixes of them; signed 64 bits. No word: zeros."""
+    count, ones = 0, np.zeros((seeds, 64), dtype=np.int64)
+    for h in shingle_hashes(text, shingle):
+        ones += bit_counts(np.stack([remixed(h, k) for k in range(seeds)]))
+        count += len(h)
+    return np.packbits(2 * ones > count, axis=1, bitorder="little").view("<i8")[:, 0].tolist() if count else [0] * seeds
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -66,7 +94,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(x.as_py(), shingle) for x in batch.column(1)]
+            fp = [fingerprint(x.as_py(), shingle)[0] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -194,30 +222,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, bands:
     own = written(fingerprints(docs, shingle), "fingerprints")
     fps = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     star = stars(fingerprint_links(fps, max_bits, bands))
-    root = fps.join(star.select(F.col("a").alias("fp"), F.col("b").alias("root")).hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(root.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component_id"), "fingerprint-components")
+    star = written(star.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(star.select("b", "b").distinct()), "members")
+    # only linked fingerprints are joined by their root, in salts, since one root may have a third of them
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")
+    member = star.join(fps.hint("merge"), "fp")
+    least = member.groupBy("root", salt).agg(F.min("least").alias("least")).groupBy("root").agg(F.min("least").alias("component_id"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of = written(star.withColumn("salt", salt).join(least.hint("merge"), ["root", "salt"]).select("fp", "component_id"), "fingerprint-components")
+    of = written(fps.join(of.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
     return own.join(of.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4, bands=3)
-
-
-#: Up to this many ids are sent to all tasks to filter documents; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
-
-
-def keep_one(docs: DataFrame, max_bits: int = 8, bands: int = 5) -> DataFrame:
-    """Documents without near copies: of each component the row with the smallest id stays.
-
-    Five-word shingles. Two texts that share 0.8 of their shingles differ in about nine bits of 64 and unrelated texts
-    in 32, so the pipeline links at 8 bits. Of repeated rows with one id, one stays. Rows with a null id stay.
-    """
-    found = written(near_duplicates(docs, 5, max_bits, bands), "near-duplicates")
-    drop = found.filter("component_id IS NOT NULL AND doc_id != component_id").select("doc_id").distinct()
-    small = drop.count() <= BROADCAST_IDS
-    left = docs.join(drop.hint("broadcast" if small else "merge"), "doc_id", "left_anti").select(*docs.columns)
-    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        left = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
-    return left

@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from quillstone.llm import decontaminate, files, langid, line_dedup, packing, quality_knn, quality_rules, rans, simhash, tokens, toxicity, warc
+from quillstone.llm import decontaminate, files, langid, line_dedup, near_copies, packing, quality_knn, quality_rules, rans, simhash, tokens, toxicity, warc
 from quillstone.scratch import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -245,7 +245,8 @@ def test_fingerprint_in_parts(monkeypatch):
     want = [plain_fingerprint(t, 4) for t in texts]
     for part in (1 << 22, 7, 40):
         monkeypatch.setattr(simhash, "_PART_BYTES", part)
-        assert [simhash.fingerprint(t, 4) & (1 << 64) - 1 for t in texts] == want
+        assert [simhash.fingerprint(t, 4)[0] & (1 << 64) - 1 for t in texts] == want
+        assert [simhash.fingerprint(t, 4, 3)[0] for t in texts] == [simhash.fingerprint(t, 4)[0] for t in texts]
 
 
 @pytest.mark.parametrize(("most", "bands"), [(4, 3), (8, 5), (4, 1)])
@@ -289,9 +290,64 @@ def test_near_duplicates(docs, odd, none):
     assert len(out) == odd.count()
     assert {r["component_id"] for r in out if r["doc_id"] in (1, 2, 3)} == {1} and {r["component_id"] for r in out if r["doc_id"] in (5, 6)} == {5}
     assert simhash.near_duplicates(none).count() == 0
-    kept = sorted([r["doc_id"] for r in simhash.keep_one(odd).collect()], key=str)
+    kept = sorted([r["doc_id"] for r in near_copies.keep_one(odd).collect()], key=str)
     assert kept.count(5) == 1 and 6 not in kept and 2 not in kept and 1 in kept
-    assert simhash.keep_one(none).columns == none.columns
+    assert near_copies.keep_one(none).columns == none.columns and near_copies.keep_one(none).count() == 0
+
+
+def shingle_set(text):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
+
+
+def brute_groups(texts):
+    """Smallest position of each text's group, by the Jaccard similarity of all pairs."""
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = random.Random(17)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    texts = []
+    for base in range(12):
+        own = [rng.choice(vocabulary) for _ in range(300)]
+        for edits in [0, 0, 1, 2, 4, 5, 6, 7, 8, 10, 14, 20, 40][: 13 if base < 6 else 4]:  # 0.8 lies at about seven edits
+            copy = list(own)
+            for at in rng.sample(range(300), edits):
+                copy[at] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    texts += [None, "", " ", "a b", "A  b", "a c"]
+    df = spark.createDataFrame([(i, t, "s", i) for i, t in enumerate(texts)], "doc_id long, text string, f0 string, key int")
+    kept = {r["doc_id"] for r in near_copies.keep_one(df).collect()}
+    want = {i for i, g in enumerate(brute_groups(texts)) if i == g}
+    assert want <= kept and len(kept - want) <= 0.1 * (len(texts) - len(want))  # no clean text goes, nine in ten copies do
+
+
+def test_near_copies_keep_a_defined_row(spark):
+    a, b, c = ("one two three four five six seven " * 9, "ONE two three four five six seven " * 9, "other words of a text that is alone in its group")
+    rows = [(7, a, "y"), (7, a, "x"), (7, b, "z"), (7, c, "w"), (9, a, "v"), (None, b, "u"), (None, c, "t"), (None, "null id alone here", "s")]
+    for order in (rows, rows[::-1]):
+        got = near_copies.keep_one(spark.createDataFrame(order, "doc_id long, text string, _key string").repartition(3)).collect()
+        assert sorted([(r["doc_id"], r["text"]) for r in got], key=str) == sorted([(7, min((a, b), key=lambda t: key_of(spark, t))), (7, c), (None, "null id alone here")], key=str)
+        if got[0]["text"] == a or any(r["text"] == a for r in got):
+            first = spark.createDataFrame(rows[:2], "doc_id long, text string, _key string").selectExpr("_key", "xxhash64(*) AS h").orderBy("h").first()["_key"]
+            assert [r["_key"] for r in got if r["text"] == a] == [first]
+
+
+def key_of(spark, text):
+    return spark.createDataFrame([(text,)], "text string").select(near_copies.text_key(F.col("text"))).first()[0]
 
 
 # --- op5 ----------------------------------------------------------------------------------------------------------
