@@ -1,9 +1,11 @@
 """Operator 6: quality rules with a divergence test against language references. Built-in functions only.
 
-A document's histograms of character classes and of common words are compared with those of each reference language by
-Jensen-Shannon distance. The references are summed over all documents of that language. Words are compared twice: the
-common words among themselves, and with one bin more for all other words, which tells texts with hardly any common
-word. A document fails if even its nearest reference is too far; short documents, whose histograms say little, are not tested.
+The references come from the corpus itself, one for each value of ``lang``: the histogram of character classes, and the
+common words, which are those that make up at least ``common_share`` of all words of the language. A document is compared
+with the reference of its own language by Jensen-Shannon distance, for words twice: the common words among themselves,
+and with one bin more for all other words, which tells texts with hardly any common word. Documents
+without a language, or of a language with few documents, have no reference and are not tested; nor are short
+documents, whose histograms say little.
 """
 
 from __future__ import annotations
@@ -15,16 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD_GAP, table, written
 
-#: Common words of the reference languages.
-COMMON = {
-    "en": "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec mais ou elle".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si".split(),
-}
-WORDS = sorted({w for own in COMMON.values() for w in own})
-CLASSES = ("c_lower", "c_upper", "c_digit", "c_space", "c_punct", "c_other")
+CLASSES = ("c_lower", "c_upper", "c_caseless", "c_digit", "c_space", "c_punct", "c_other")
 _SPACE = " \t\n\x0b\x0c\r"
+#: Up to this many languages and distinct common words are sent to all tasks; more are joined by a shuffle.
+BROADCAST_LANGUAGES, BROADCAST_WORDS = 10_000, 5_000
 
 
 @dataclass(frozen=True)
@@ -33,12 +29,14 @@ class Limits:
     repeat_percent: int = 50
     #: Words that a document must have for its histograms to be tested.
     test_words: int = 80
-    #: From so many common words on the word distance is more than a rough value; it guards nothing.
-    test_common: int = 20
-    class_distance: float = 0.22
-    word_distance: float = 0.75
-    #: With the bin of other words. A text without any common word is at about 0.35.
-    rest_distance: float = 0.3
+    #: Documents that a language must have for a reference.
+    reference_docs: int = 30
+    #: Share of a language's words from which on a word is common: at most 500 words a language.
+    common_share: float = 0.002
+    class_distance: float = 0.25
+    word_distance: float = 0.66
+    #: With the bin of other words. A text without any common word is at about 0.35 or more.
+    rest_distance: float = 0.34
 
 
 #: Windows up to this many share a long with their position.
@@ -75,10 +73,38 @@ def _covered(positions: str) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def profiles(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Counts of every whole text, with the columns ``keep`` (all if None) of the input row as ``row``."""
+def _words(text: Column) -> Column:
+    return F.split(F.coalesce(text.cast("string"), F.lit("")), WORD_GAP)
+
+
+def common_words(docs: DataFrame, share: float) -> DataFrame:
+    """``(lang, w, share)``: the lower-case words that make up ``share`` of all words of their language, over all documents."""
+    # explode_outer: with explode, Spark would filter on the size of the array and so compute the array twice
+    words = docs.filter("lang IS NOT NULL").select(F.col("lang").cast("string"), F.explode_outer(_words(F.lower("text"))).alias("w")).filter("w != ''")
+    counts = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    few = docs.select("lang").distinct().limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    joined = counts.filter("n > 1").join(totals.hint("broadcast" if few else "merge"), "lang")
+    return joined.select("lang", "w", (F.col("n") / F.col("total")).alias("share")).filter(F.col("share") >= share)
+
+
+def profiles(docs: DataFrame, keep: list[str] | None = None, common: DataFrame | None = None) -> DataFrame:
+    """Counts of every whole text, with the columns ``keep`` (all if None) of the input row as ``row``.
+
+    ``common(lang, w, …)`` are the words counted in ``runs``: those of any language while they are few, else
+    those of the document's language.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns])
-    out = docs.select(row.alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    out = docs.select(row.alias("row"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    wanted = [r["w"] for r in common.select("w").distinct().limit(BROADCAST_WORDS + 1).collect()] if common is not None else []
+    if len(wanted) > BROADCAST_WORDS:
+        own = common.groupBy("lang").agg(F.collect_list("w").alias("own"))
+        few = own.count() <= BROADCAST_LANGUAGES
+        out = out.join(own.hint("broadcast" if few else "merge"), "lang", "left").select("row", "lang", "t", F.coalesce("own", F.array().cast("array<string>")).alias("own"))
+        is_common = lambda w: F.array_contains("own", w)
+    else:
+        out = out.withColumn("own", F.lit(None))
+        is_common = lambda w: w.isin(wanted) if wanted else F.lit(False)
     out = out.withColumn("words", F.filter(F.split("t", WORD_GAP), lambda w: w != ""))
     out = out.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumn("solid", F.translate("t", _SPACE, "")).withColumn("rest", F.regexp_replace("solid", r"\p{Ll}+", ""))
@@ -86,52 +112,37 @@ def profiles(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     out = out.withColumn("windows", windows)
     size = lambda c: F.size(c).cast("long")
     length = lambda c: F.length(c).cast("long")
-    upper, digit, punct = (F.regexp_replace("rest", p, "") for p in (r"\p{Lu}+", r"\p{Nd}+", r"[.,;:!?'\"()\-]+"))
-    common = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(WORDS))
+    less = lambda pattern: length("rest") - length(F.regexp_replace("rest", pattern, ""))
     out = out.select(
         "row",
+        "lang",
         size("words").alias("n_words"),
         length("solid").alias("word_chars"),
         (length("rest") - length(F.translate("rest", "#*$%&|<>", ""))).alias("n_symbols"),
         (size("lines") - size(F.array_distinct("lines"))).alias("n_dup_lines"),
         "windows",
         (length("solid") - length("rest")).alias("c_lower"),
-        (length("rest") - length(upper)).alias("c_upper"),
-        (length("rest") - length(digit)).alias("c_digit"),
+        less(r"\p{Lu}+").alias("c_upper"),
+        less(r"[\p{Lo}\p{Lm}\p{Lt}]+").alias("c_caseless"),
+        less(r"\p{Nd}+").alias("c_digit"),
         (length("t") - length("solid")).alias("c_space"),
-        (length("rest") - length(punct)).alias("c_punct"),
-        F.sort_array(F.transform(common, lambda w: F.array_position(F.array(*[F.lit(x) for x in WORDS]), w).cast("int") - 1)).alias("ranks"),
+        less(r"[.,;:!?'\"()\-]+").alias("c_punct"),
+        F.sort_array(F.filter(F.split(F.lower("t"), WORD_GAP), is_common)).alias("common"),
     )
-    out = out.withColumn("c_other", F.col("word_chars") - F.col("c_lower") - F.col("c_upper") - F.col("c_digit") - F.col("c_punct"))
+    out = out.withColumn("c_other", F.col("word_chars") - sum((F.col(c) for c in CLASSES if c not in ("c_space", "c_other")), F.lit(0)))
     out = with_repeats(out)
-    starts = F.filter(F.sequence(F.lit(0), F.size("ranks") - 1), lambda i: F.coalesce(F.get(F.col("ranks"), i) != F.get(F.col("ranks"), i - 1), F.lit(True)))
-    out = out.withColumn("starts", F.when(F.size("ranks") > 0, starts).otherwise(F.array().cast("array<int>")))
-    runs = F.transform("starts", lambda i, k: F.struct(F.get(F.col("ranks"), i).alias("w"), (F.coalesce(F.get(F.col("starts"), k + 1), F.size("ranks")) - i).alias("c")))
-    return out.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", _covered("repeats").alias("n_repeat_words"), *CLASSES, size("ranks").alias("n_common"), runs.alias("common"))
-
-
-def _sums(made: DataFrame) -> list[tuple[list[float], list[float], float]]:
-    """(class counts, common-word counts, words) per reference language, over all documents of the language.
-
-    The driver gets one row per language and at most ``len(WORDS)`` word counts for each.
-    """
-    known = made.withColumn("lang", F.col("row.lang").cast("string")).filter(F.col("lang").isin(list(COMMON)))
-    totals = {r["lang"]: r for r in known.groupBy("lang").agg(*[F.sum(c).alias(c) for c in (*CLASSES, "n_words")]).collect()}
-    counts: dict[str, list[float]] = {lang: [0.0] * len(WORDS) for lang in totals}
-    for r in known.select("lang", F.explode("common").alias("x")).groupBy("lang", "x.w").agg(F.sum("x.c").alias("n")).collect():
-        counts[r["lang"]][r["w"]] = float(r["n"])
-    found = [([float(totals[k][c] or 0) for c in CLASSES], counts[k], float(totals[k]["n_words"] or 0)) for k in sorted(totals)]
-    return [(classes, own, n) for classes, own, n in found if sum(classes) and sum(own)]
+    starts = F.filter(F.sequence(F.lit(0), F.size("common") - 1), lambda i: F.coalesce(F.get(F.col("common"), i) != F.get(F.col("common"), i - 1), F.lit(True)))
+    out = out.withColumn("starts", F.when(F.size("common") > 0, starts).otherwise(F.array().cast("array<int>")))
+    runs = F.transform("starts", lambda i, k: F.struct(F.get(F.col("common"), i).alias("w"), (F.coalesce(F.get(F.col("starts"), k + 1), F.size("common")) - i).alias("c")))
+    return out.select("row", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", _covered("repeats").alias("n_repeat_words"), *CLASSES, runs.alias("runs"))
 
 
-def _shares(sums: list[tuple[list[float], list[float], float]]) -> list[tuple[list[float], list[float]]]:
-    part = lambda v: [x / sum(v) for x in v]
-    return [(part(classes), part(own)) for classes, own, _ in sums]
-
-
-def references(made: DataFrame) -> list[tuple[list[float], list[float]]]:
-    """(class shares, common-word shares) per reference language, over all documents of the language."""
-    return _shares(_sums(made))
+def references(made: DataFrame, common: DataFrame, least_docs: int) -> DataFrame:
+    """``(lang, shares of the classes, map of common words to their shares)`` of every language with enough documents."""
+    total = F.nullif(sum((F.sum(c) for c in CLASSES), F.lit(0)), F.lit(0))
+    classes = made.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("docs"), *[(F.sum(c) / total).alias(f"r{c[1:]}") for c in CLASSES])
+    words = common.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("w", "share"))).alias("r_words"), F.sum("share").alias("r_common"))
+    return classes.filter(F.col("docs") >= least_docs).drop("docs").join(words.hint("merge"), "lang", "left")
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -140,52 +151,105 @@ def _term(p: Column, q: Column) -> Column:
     return part(p) + part(q)
 
 
-def _class_distance(share: list[float]) -> Column:
-    total = sum((F.col(c) for c in CLASSES), F.lit(0)).cast("double")
-    return F.sqrt(F.greatest(F.lit(0.0), sum((_term(F.col(c) / total, F.lit(q)) for c, q in zip(CLASSES, share, strict=True)), F.lit(0.0)) / 2))
-
-
-def _word_distance(share: list[float]) -> Column:
-    """Bins that the document lacks add their whole reference share. A text without common words shares no bin: 1."""
-    ref = F.array(*[F.lit(x) for x in share])
-    inside = F.aggregate("common", F.lit(0.0), lambda a, x: a + _term(x["c"] / F.col("n_common").cast("double"), F.get(ref, x["w"])) - F.get(ref, x["w"]))
-    return F.when(F.col("n_common") > 0, F.sqrt(F.greatest(F.lit(0.0), (inside + 1.0) / 2))).otherwise(1.0)
-
-
-def _rest_distance(counts: list[float], n_words: float) -> Column:
-    """As the word distance, with shares of all words and a bin for those that are not common."""
-    share = [x / n_words for x in counts]
-    ref, n = F.array(*[F.lit(x) for x in share]), F.col("n_words").cast("double")
-    inside = F.aggregate("common", F.lit(0.0), lambda a, x: a + _term(x["c"] / n, F.get(ref, x["w"])) - F.get(ref, x["w"]))
-    rest = _term(1 - F.col("n_common") / n, F.lit(max(0.0, 1 - sum(share))))
-    return F.sqrt(F.greatest(F.lit(0.0), (inside + sum(share) + rest) / 2))
+def with_distances(made: DataFrame) -> DataFrame:
+    """Add the three distances of rows with a reference (``r_…``) to rows of profiles; null without a reference."""
+    share = lambda w: F.element_at("r_words", w)
+    own = F.filter(F.transform("runs", lambda x: F.struct(x["c"].alias("c"), share(x["w"]).alias("q"))), lambda x: x["q"].isNotNull())
+    out = made.withColumn("own", F.when(F.col("r_words").isNotNull(), own))
+    out = out.withColumn("n_common", F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["c"]))
+    total = F.nullif(F.col("n_words"), F.lit(0)).cast("double")
+    chars = F.nullif(sum((F.col(c) for c in CLASSES), F.lit(0)), F.lit(0)).cast("double")
+    classes = sum((_term(F.col(c) / chars, F.col(f"r{c[1:]}")) for c in CLASSES), F.lit(0.0))
+    # bins that the document lacks add their whole reference share; a text without common words shares no bin
+    of = lambda n, q: F.aggregate("own", F.lit(0.0), lambda a, x: a + _term(x["c"] / n, x["q"] / q) - x["q"] / q)
+    root = lambda x: F.sqrt(F.greatest(F.lit(0.0), x / 2))
+    words = F.when(F.col("n_common") > 0, root(of(F.col("n_common").cast("double"), F.col("r_common")) + 1.0)).otherwise(1.0)
+    rest = root(of(total, F.lit(1.0)) + F.col("r_common") + _term(1 - F.col("n_common") / total, F.greatest(F.lit(0.0), 1 - F.col("r_common"))))
+    known = F.col("r_words").isNotNull()
+    return out.withColumn("class_distance", F.when(F.col("r_lower").isNotNull(), root(classes))).withColumn("word_distance", F.when(known, words)).withColumn("rest_distance", F.when(known, rest))
 
 
 def judged(docs: DataFrame, limits: Limits = Limits(), keep: list[str] | None = None) -> DataFrame:
     """Profiles with ``class_distance``, ``word_distance``, ``rest_distance`` (null if not tested), ``base_failed`` and ``kept``.
 
-    ``docs`` needs text and lang. Null and empty texts have no words and fail the base rule. Without any document in a reference language
-    only the base rule judges. Repeated rows are judged each; an empty table gives no rows; the columns ``keep`` (lang among
-    them; all if None) stay in ``row``.
+    ``docs`` needs text and lang. Null and empty texts have no words and fail the base rule. Only the base rule
+    judges documents of fewer than ``test_words`` words, without a language, or of a language with fewer than ``reference_docs``
+    documents; a language without common words has its classes tested alone. Repeated rows are judged
+    each; an empty table gives no rows; the columns ``keep`` (all if None) stay in ``row``, whatever their names.
     """
-    made = written(profiles(docs, keep), "profiles")
-    sums = _sums(made)
-    refs = _shares(sums)
-    least = lambda cols: (F.least(*cols) if len(cols) > 1 else cols[0]) if cols else F.lit(None).cast("double")
+    common = written(common_words(docs, limits.common_share), "common-words")
+    made = written(profiles(docs, keep, common), "profiles")
+    refs = written(references(made, common, limits.reference_docs), "references")
+    few = refs.count() <= BROADCAST_LANGUAGES
+    out = with_distances(made.join(refs.hint("broadcast" if few else "merge"), "lang", "left"))
     tested = F.col("n_words") >= limits.test_words
     base = (F.col("n_words") < limits.base_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
-    out = made.withColumn("class_distance", F.when(tested, least([_class_distance(c) for c, _ in refs])))
-    out = out.withColumn("word_distance", F.when(tested, least([_word_distance(w) for _, w in refs])))
-    out = out.withColumn("rest_distance", F.when(tested, least([_rest_distance(own, n) for _, own, n in sums])))
-    beyond = lambda c, most: F.coalesce(c, F.lit(0.0)) > most
-    far = beyond("class_distance", limits.class_distance) | beyond("word_distance", limits.word_distance) | beyond("rest_distance", limits.rest_distance)
-    return out.withColumn("base_failed", base).withColumn("kept", ~base & ~far)
+    most = {"class_distance": limits.class_distance, "word_distance": limits.word_distance, "rest_distance": limits.rest_distance}
+    for name in most:
+        out = out.withColumn(name, F.when(tested, F.col(name)))
+    far = F.lit(False)
+    for name, value in most.items():
+        far = far | (F.coalesce(F.col(name), F.lit(0.0)) > value)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *CLASSES, "n_common", *most]
+    return out.select("row", *counts, base.alias("base_failed"), (~base & ~far).alias("kept"))
 
 
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"]).select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+    found = judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[F.round(c, 6).alias(c) for c in ("class_distance", "word_distance", "rest_distance")])
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The pipeline's form: rows that are kept, with the columns they came with."""
     return judged(docs).filter("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+_GAP = r"'[\x20\x09-\x0D]+'"
+_PUNCT = """'[.,;:!?''"()\\-]+'"""
+_L = Limits()
+
+
+def _sql_less(pattern: str) -> str:
+    return f"len(solid) - len(regexp_replace(solid, {pattern}, '', 'g'))"
+
+
+def _sql_term(p: str, q: str) -> str:
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({p} + {q})) ELSE 0.0 END"
+    return f"({part(p)} + {part(q)})"
+
+
+OP6_SQL = f"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), {_GAP}, '', 'g') AS solid FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, {_GAP}), lambda x: x <> '') AS words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+b AS (SELECT doc_id, lang, words, len(words) AS n_words, len(solid) AS word_chars, {_sql_less("'[#*$%&|<>]+'")} AS n_symbols,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, {_sql_less(r"'[\p{Ll}]+'")} AS c_lower, {_sql_less(r"'[\p{Lu}]+'")} AS c_upper,
+             {_sql_less(r"'[\p{Lo}\p{Lm}\p{Lt}]+'")} AS c_caseless, {_sql_less(r"'[\p{Nd}]+'")} AS c_digit, len(t) - len(solid) AS c_space,
+             {_sql_less(_PUNCT)} AS c_punct FROM w),
+c AS (SELECT *, word_chars - c_lower - c_upper - c_caseless - c_digit - c_punct AS c_other FROM b),
+x AS (SELECT doc_id, unnest(range(1, n_words - 1)) AS i, words FROM c WHERE n_words >= 3),
+y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS k FROM x),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM y WHERE k > 1) GROUP BY doc_id),
+u AS (SELECT doc_id, lang, lower(unnest(words)) AS w FROM c),
+n AS (SELECT lang, w, count(*) AS n FROM u WHERE lang IS NOT NULL GROUP BY lang, w),
+s AS (SELECT lang, w, n / total AS share FROM n JOIN (SELECT lang, sum(n) AS total FROM n GROUP BY lang) USING (lang) WHERE n > 1 AND n / total >= {_L.common_share}::DOUBLE),
+e AS (SELECT lang, sum(share) AS r_common, count(*) AS bins FROM s GROUP BY lang),
+l AS (SELECT lang, {", ".join(f"sum({c})::DOUBLE / sum({' + '.join(CLASSES)}) AS r{c[1:]}" for c in CLASSES)} FROM c WHERE lang IS NOT NULL
+      GROUP BY lang HAVING count(*) >= {_L.reference_docs}),
+d AS (SELECT doc_id, u.lang, u.w, count(*) AS c, any_value(share) AS q FROM u JOIN s ON u.lang = s.lang AND u.w = s.w GROUP BY doc_id, u.lang, u.w),
+m AS (SELECT doc_id, sum(c) AS n_common FROM d GROUP BY doc_id),
+g AS (SELECT d.doc_id, sum({_sql_term("(c / n_common::DOUBLE)", "(q / r_common)")} - q / r_common) AS s_words,
+             sum({_sql_term("(c / n_words::DOUBLE)", "q")} - q) AS s_rest
+      FROM d JOIN m USING (doc_id) JOIN e ON d.lang = e.lang JOIN (SELECT doc_id, n_words FROM c) USING (doc_id) GROUP BY d.doc_id),
+j AS (SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words, l.lang IS NOT NULL AND n_words >= {_L.test_words} AS tested,
+             e.lang IS NOT NULL AS worded, coalesce(n_common, 0) AS n_common, r_common, coalesce(s_words, 0) AS s_words, coalesce(s_rest, 0) AS s_rest,
+             {" + ".join(_sql_term(f"({c} / (word_chars + c_space)::DOUBLE)", f"r{c[1:]}") for c in CLASSES)} AS s_class
+      FROM c LEFT JOIN r USING (doc_id) LEFT JOIN l ON c.lang = l.lang LEFT JOIN e ON c.lang = e.lang LEFT JOIN m USING (doc_id) LEFT JOIN g USING (doc_id)),
+k AS (SELECT *, n_words < {_L.base_words} OR 100 * n_repeat_words > {_L.repeat_percent} * n_words AS base_failed,
+             CASE WHEN tested THEN sqrt(greatest(0.0, s_class / 2)) END AS dc,
+             CASE WHEN tested AND worded THEN CASE WHEN n_common > 0 THEN sqrt(greatest(0.0, (s_words + 1.0) / 2)) ELSE 1.0 END END AS dw,
+             CASE WHEN tested AND worded THEN sqrt(greatest(0.0, (s_rest + r_common + {_sql_term("(1 - n_common / n_words::DOUBLE)", "greatest(0.0, 1 - r_common)")}) / 2)) END AS dr FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(dc, 0) <= {_L.class_distance} AND coalesce(dw, 0) <= {_L.word_distance} AND coalesce(dr, 0) <= {_L.rest_distance} AS kept,
+       round(dc, 6) AS class_distance, round(dw, 6) AS word_distance, round(dr, 6) AS rest_distance FROM k
+"""

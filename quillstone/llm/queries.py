@@ -27,5 +27,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_warc_normaliser": warc.OP1_SQL, "op5_minhash_containment": decontaminate.OP5_SQL, "op8_site_line_dedup": line_dedup.OP8_SQL}
+    found = {"op1_warc_normaliser": warc.OP1_SQL, "op5_minhash_containment": decontaminate.OP5_SQL, "op6_divergence_rules": quality_rules.OP6_SQL, "op8_site_line_dedup": line_dedup.OP8_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

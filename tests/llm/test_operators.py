@@ -415,49 +415,74 @@ def test_rule_counts(spark, odd, none, monkeypatch, low):
     assert quality_rules.good_documents(odd).columns == odd.columns
 
 
+def plain_distances(rows, limits):
+    """Class, word and rest distance of each (text, lang), from plain counts over all rows."""
+    import regex
+
+    signs = {"c_lower": r"\p{Ll}", "c_upper": r"\p{Lu}", "c_caseless": r"[\p{Lo}\p{Lm}\p{Lt}]", "c_digit": r"\p{Nd}", "c_space": r"[\x20\x09-\x0D]", "c_punct": r"[.,;:!?'\"()\-]"}
+    per_lang, chars, docs_of = {}, {}, Counter(lang for _, lang in rows)
+    made = []
+    for text, lang in rows:
+        c = [len(regex.findall(signs[k], text or "")) for k in signs]
+        made.append((Counter(w.lower() for w in words(text)), np.array([*c, len(text or "") - sum(c)], dtype=float)))
+        per_lang.setdefault(lang, Counter()).update(made[-1][0])
+        chars[lang] = chars.get(lang, 0) + made[-1][1]
+
+    def distance(p, q):
+        m = (p + q) / 2
+        part = lambda v: sum(x * np.log2(x / y) for x, y in zip(v, m, strict=True) if x > 0)
+        return np.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+    out = []
+    for (_, lang), (own, c) in zip(rows, made, strict=True):
+        n = sum(own.values())
+        if n < limits.test_words or lang is None or docs_of[lang] < limits.reference_docs:
+            out.append((None, None, None))
+            continue
+        total = sum(per_lang[lang].values())
+        common = sorted(w for w, k in per_lang[lang].items() if k > 1 and k / total >= limits.common_share)
+        q, p = (np.array([x[w] for w in common], dtype=float) for x in (per_lang[lang], own))
+        words_far = (distance(p / p.sum(), q / q.sum()) if p.sum() else 1.0) if common else None
+        rest_far = distance(np.append(p, n - p.sum()) / n, np.append(q, total - q.sum()) / total) if common else None
+        out.append((distance(c / c.sum(), chars[lang] / chars[lang].sum()), words_far, rest_far))
+    return out
+
+
+def check_distances(got, want):
+    for r, w in zip(got, want, strict=True):
+        for name, value in zip(("class_distance", "word_distance", "rest_distance"), w, strict=True):
+            assert r[name] is None if value is None else r[name] == pytest.approx(value, abs=1e-9), (r, w)
+
+
 @needs_tables
-def test_divergence_equals_numpy(docs):
+@pytest.mark.parametrize("broadcast", [quality_rules.BROADCAST_WORDS, 0])
+def test_divergence_equals_numpy(docs, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "BROADCAST_WORDS", broadcast)
     limits = quality_rules.Limits()
-    made = quality_rules.judged(docs)
-    refs = quality_rules.references(made)
-    distance = lambda p, q: float(np.sqrt(max(0.0, sum(x * np.log2(x / m) for x, m in zip(p, (p + q) / 2, strict=True) if x) / 2 + sum(x * np.log2(x / m) for x, m in zip(q, (p + q) / 2, strict=True) if x) / 2)))
-    for r in made.collect():
-        if r["n_words"] < limits.test_words:
-            assert r["class_distance"] is None
-            continue
-        p = np.array([r[c] for c in quality_rules.CLASSES], dtype=float)
-        assert sum(p) == len(r["row"]["text"])
-        assert r["class_distance"] == pytest.approx(min(distance(p / p.sum(), np.array(c)) for c, _ in refs), abs=1e-9)
-        if r["n_common"] >= limits.test_common:
-            w = Counter(x.lower() for x in words(r["row"]["text"]) if x.lower() in quality_rules.WORDS)
-            v = np.array([w[x] for x in quality_rules.WORDS], dtype=float)
-            assert r["word_distance"] == pytest.approx(min(distance(v / v.sum(), np.array(q)) for _, q in refs), abs=1e-9)
+    rows = docs.orderBy("doc_id").collect()
+    got = quality_rules.judged(docs).orderBy("row.doc_id").collect()
+    check_distances(got, plain_distances([(r["text"], r["lang"]) for r in rows], limits))
+    assert sum(r["word_distance"] is not None for r in got) > 50
 
 
-def test_texts_with_hardly_any_common_word_fail(spark):
+def test_texts_with_hardly_any_common_word_fail_and_other_languages_stay(spark):
     rng = random.Random(6)
-    common = quality_rules.COMMON["en"]
+    common = [f"{a}{b}" for a in "tbwh" for b in ("he", "of", "is", "and", "or")]
     filler = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 8))) + "q"
     made = lambda n, share: " ".join(rng.choice(common) if rng.random() < share else filler() for _ in range(n))
-    clean = [(k, made(300, 0.3), "en") for k in range(40)]
-    spread = [" ".join(filler() for _ in range(3000)) + " " + " ".join(common[:30])]  # 1 % common words, many enough for the first test
-    rows = [*clean, (100, made(400, 0.0), "en"), (101, " ".join([made(700, 0.0), "the the the of"]), "en"), (102, spread[0], "en"), (103, made(79, 0.0), "en")]
-    got = {r["doc_id"]: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).select("row.doc_id", "n_common", "kept", "class_distance", "word_distance", "rest_distance").collect()}
-    assert all(got[k]["kept"] for k in range(40)) and got[103]["kept"] and got[103]["rest_distance"] is None
-    assert not any(got[k]["kept"] for k in (100, 101, 102))
-    assert got[100]["n_common"] == 0 and got[100]["word_distance"] == 1.0
-    assert got[102]["word_distance"] < 0.75
-    known = [(Counter(x for x in words(t) if x in quality_rules.WORDS), len(words(t))) for _, t, _ in rows]
-    n = sum(k for _, k in known)
-    q = np.array([sum(c[x] for c, _ in known) / n for x in quality_rules.WORDS])
-    q = np.append(q, 1 - q.sum())
-    for (i, _, _), (c, k) in zip(rows, known, strict=True):
-        if k >= 80:
-            p = np.array([c[x] / k for x in quality_rules.WORDS])
-            p = np.append(p, 1 - p.sum())
-            m = (p + q) / 2
-            part = lambda v, m=m: sum(x * np.log2(x / y) for x, y in zip(v, m, strict=True) if x > 0)
-            assert got[i]["rest_distance"] == pytest.approx(np.sqrt((part(p) + part(q)) / 2), abs=1e-6)
+    clean = [(k, made(300, 0.5), "en") for k in range(60)]
+    bad = [(100, made(400, 0.0), "en"), (101, " ".join([made(700, 0.0), *common[:4]]), "en"), (102, " ".join(filler() for _ in range(3000)) + " " + " ".join(common), "en")]
+    signs = [chr(0x4E00 + 20 * k + i) for k in range(20) for i in range(15)]
+    chinese = lambda: " ".join("".join(rng.choice(signs) for _ in range(rng.randint(1, 6))) for _ in range(200))
+    italian = " ".join(rng.choice("il lo la gli un una di del della che non per con sono come anche più questo era nel tutto ogni casa tempo".split()) + rng.choice(["", "", "o", "i", "re"]) for _ in range(200))
+    other = [(200, italian, "it"), (201, italian + " e", None), (202, chinese(), "zh"), (203, made(79, 0.0), "en")] + [(300 + k, chinese(), "ja") for k in range(40)]
+    rows = [*clean, *bad, *other]
+    found = quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).orderBy("row.doc_id").collect()
+    got = {r["row"]["doc_id"]: r for r in found}
+    assert all(got[k]["kept"] for k in range(60)) and not any(got[k]["kept"] for k in (100, 101, 102))
+    assert all(got[k]["kept"] for k, _, _ in other), [k for k, _, _ in other if not got[k]["kept"]]
+    assert all(got[k]["class_distance"] is None for k in (200, 201, 202, 203)) and got[300]["class_distance"] < 0.05
+    check_distances(found, plain_distances([(t, lang) for _, t, lang in rows], quality_rules.Limits()))
 
 
 # --- op7, op9 -----------------------------------------------------------------------------------------------------
