@@ -2,12 +2,13 @@
 
 Two texts that share 0.8 of their five-word shingles differ in about ten of 64 fingerprint bits, too many for one exact
 search with a small radius. So each text has ``SEEDS`` independent fingerprints, each searched within ``MAX_BITS`` by the
-trees of ``simhash``; a pair is a candidate if one of them is that close and all of them together are not far. Every
+trees of ``simhash``; a pair is a candidate if one of them is that close. Every
 candidate link is then checked by the Jaccard similarity of the two sets of shingles, and only true ones join texts.
 
-No shard returns all pairs of a group. Rounds of spanning links come first, each from other starting points; what they
-verify is joined into components. At last the pairs of texts within reach that still lie in different components are
-compared, every one of them, so no candidate pair is left out.
+No shard returns all pairs of a group. There is a round for each fingerprint, in which a shard returns links that span its
+groups, between texts of different components; what is verified is joined into components before the next round. At last the pairs
+of texts within reach that still lie in different components are compared, every one of them, so no candidate pair is
+left out.
 """
 
 from __future__ import annotations
@@ -26,10 +27,7 @@ from .common import written
 from .simhash import band_masks, build_tree, fingerprint, route, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-SEEDS, MAX_BITS, BANDS = 4, 8, 5
-#: Bits that may differ over all fingerprints together: ten each are expected at 0.8, this is four standard deviations more.
-TOTAL_BITS = 62
-SPANNING_ROUNDS = 2
+SEEDS, MAX_BITS, BANDS = 3, 8, 5
 #: Up to this many text keys are sent to all tasks to filter documents; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 FPS = [f"f{k}" for k in range(SEEDS)]
@@ -78,32 +76,24 @@ def _cells(x: np.ndarray, mask: int, reach: int, block: int) -> Iterator[np.ndar
         yield rows
 
 
-def _close(one: np.ndarray, rest: np.ndarray, seed: int) -> np.ndarray:
-    """Which of ``rest`` (n, seeds) are candidates for ``one``."""
-    hit = _bits(rest[:, seed], one[seed]) <= MAX_BITS
-    at = np.flatnonzero(hit)
-    hit[at] = _bits(rest[at], one).sum(axis=1) <= TOTAL_BITS
-    return hit
-
-
-def _linked(x: np.ndarray, seed: int) -> np.ndarray:
+def _linked(x: np.ndarray) -> np.ndarray:
     """Rows with another within ``MAX_BITS``."""
-    own, found = x[:, seed], np.zeros(len(x), dtype=bool)
+    found = np.zeros(len(x), dtype=bool)
     for i in range(0, len(x), 256):
-        found[i : i + 256] = (_bits(own[i : i + 256, None], own[None, :]) <= MAX_BITS).sum(axis=1) > 1
+        found[i : i + 256] = (_bits(x[i : i + 256, None], x[None, :]) <= MAX_BITS).sum(axis=1) > 1
     return np.flatnonzero(found)
 
 
-def spanning(keys: np.ndarray, x: np.ndarray, component: np.ndarray, seed: int, turn: int) -> np.ndarray:
+def spanning(keys: np.ndarray, x: np.ndarray, component: np.ndarray) -> np.ndarray:
     """Pairs (n, 2) of keys that connect every group of candidates; each row is compared with those not yet reached."""
-    order = np.argsort((keys.view(np.uint64) ^ np.uint64(turn * 0x9E37)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+    order = np.argsort(keys, kind="stable")
     keys, x, component = keys[order], x[order], component[order]
     rest, out = np.arange(len(keys)), []
     while len(rest):
         todo, rest = [rest[0]], rest[1:]
         while todo and len(rest):
             p = todo.pop()
-            hit = _close(x[p], x[rest], seed)
+            hit = _bits(x[rest], x[p]) <= MAX_BITS
             if hit.any():
                 found = rest[hit]
                 todo.extend(found)
@@ -113,46 +103,45 @@ def spanning(keys: np.ndarray, x: np.ndarray, component: np.ndarray, seed: int,
     return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
 
 
-def remaining(keys: np.ndarray, x: np.ndarray, component: np.ndarray, seed: int) -> np.ndarray:
+def remaining(keys: np.ndarray, x: np.ndarray, component: np.ndarray) -> np.ndarray:
     """All candidate pairs of different components. Rows of the largest component are not compared with each other."""
     names, code, n = np.unique(component, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return np.empty((0, 2), dtype=np.int64)
     out = []
     for i in np.flatnonzero(code != n.argmax()):
-        hit = np.flatnonzero(_close(x[i], x, seed) & (code != code[i]) & ((code == n.argmax()) | (keys > keys[i])))
+        hit = np.flatnonzero((_bits(x, x[i]) <= MAX_BITS) & (code != code[i]) & ((code == n.argmax()) | (keys > keys[i])))
         out.append(np.stack([np.full(len(hit), keys[i]), keys[hit]], axis=1))
     return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
 
 
-def candidates(texts: DataFrame, trees: Broadcast, turn: int | None) -> DataFrame:
-    """``texts(key, component, f0, …)`` -> distinct candidate pairs ``(a, b)``, a < b: spanning ones of this turn, or all
-    those between components if ``turn`` is None."""
-    reach = MAX_BITS // BANDS
+def candidates(texts: DataFrame, trees: Broadcast, seeds: list[int], all_pairs: bool = False) -> DataFrame:
+    """``texts(key, component, f0, …)`` -> distinct candidate pairs ``(a, b)``, a < b, of different components by these
+    fingerprints: such as span every group, or all."""
+    reach, names = MAX_BITS // BANDS, [FPS[k] for k in seeds]
 
     def to_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            own = frame[FPS].to_numpy(dtype=np.int64).reshape(-1, SEEDS).view(np.uint64)
+            keys, component = frame["key"].to_numpy(dtype=np.int64), frame["component"].to_numpy(dtype=np.int64)
             for t, (seed, mask, vantage, radius) in enumerate(trees.value):
-                row, node = route(own[:, seed], vantage, radius, mask, reach)
-                yield frame.iloc[row].assign(tree=np.int32(t), shard=node)
+                if seed in seeds:
+                    own = frame[FPS[seed]].to_numpy(dtype=np.int64)
+                    row, node = route(own.view(np.uint64), vantage, radius, mask, reach)
+                    yield pd.DataFrame({"tree": np.full(len(row), t, dtype=np.int32), "shard": node, "key": keys[row], "component": component[row], "fp": own[row]})
 
     def link(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        seed, mask, _, _ = trees.value[key[0]]
-        x = np.ascontiguousarray(frame[FPS].to_numpy(dtype=np.int64)).view(np.uint64)
+        x = frame["fp"].to_numpy(dtype=np.int64).view(np.uint64)
         keys, component = frame["key"].to_numpy(dtype=np.int64), frame["component"].to_numpy(dtype=np.int64)
         out = [np.empty((0, 2), dtype=np.int64)]
-        for rows in _cells(x[:, seed], mask, reach, 2048):
+        for rows in _cells(x, trees.value[key[0]][1], reach, 2048):
             if len(rows) <= 8192:
-                rows = rows[_linked(x[rows], seed)]
+                rows = rows[_linked(x[rows])]
             if len(rows) > 1:
-                own = keys[rows], x[rows], component[rows], seed
-                out.append(remaining(*own) if turn is None else spanning(*own, turn))
+                out.append((remaining if all_pairs else spanning)(keys[rows], x[rows], component[rows]))
         pairs = np.concatenate(out)
         return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
-    names = ", ".join(f"{x} long" for x in ["key", "component", *FPS])
-    shards = texts.select("key", "component", *FPS).mapInPandas(to_shards, names + ", tree int, shard long")
+    shards = texts.select("key", "component", *names).mapInPandas(to_shards, "tree int, shard long, key long, component long, fp long")
     return shards.groupBy("tree", "shard").applyInPandas(link, "a long, b long").distinct()
 
 
@@ -184,22 +173,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def text_groups(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``own`` of texts_of(docs) -> (``(key, least, n)`` of every distinct text, ``(a, b)``: text a belongs to b's group, its
     smallest key; texts alone in their group are left out)."""
+    spark = docs.sparkSession
     texts = written(own.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.first(x).alias(x) for x in FPS]), "texts")
     trees = forest(texts)
-    pairs = written(candidates(texts.withColumn("component", F.col("key")), trees, 0), "candidates")
-    near = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = written(shingle_sets(docs, texts, near), "shingle-sets")
-    texts_near = written(texts.join(near.hint("merge"), "key"), "texts-with-candidates")
-    links = written(verified(pairs, sets), "links")
-    star = stars(links)
-    for turn in [*range(1, SPANNING_ROUNDS), None]:
-        named = texts_near.join(star.select(F.col("a").alias("key"), F.col("b").alias("component")).hint("merge"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        new = written(candidates(named, trees, turn).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "candidates")
-        more = written(verified(new, sets), "links")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            star = stars(links)
-        pairs = pairs.unionByName(new)
+    sets = spark.createDataFrame([], "key long, shingles array<long>")
+    star = spark.createDataFrame([], "a long, b long")
+    for turn in [*range(SEEDS), None]:
+        own_texts = texts if turn is not None else texts.join(sets.select("key").hint("merge"), "key", "left_semi")
+        named = own_texts.join(star.select(F.col("a").alias("key"), F.col("b").alias("component")).hint("merge"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        pairs = written(candidates(named, trees, list(range(SEEDS)) if turn is None else [turn], turn is None), "candidates")
+        new = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(sets.select("key").hint("merge"), "key", "left_anti")
+        sets = sets.unionByName(written(shingle_sets(docs, texts, new), "shingle-sets"))
+        links = written(verified(pairs, sets), "links")
+        if links.limit(1).count():
+            star = stars(star.unionByName(links))
     return texts.select("key", "least", "n"), star
 
 

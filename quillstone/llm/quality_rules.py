@@ -41,6 +41,8 @@ class Limits:
 
 #: Windows up to this many share a long with their position.
 _LOW = (1 << 20) - 1
+#: Up to this many distinct repeated windows are looked up one by one.
+_FEW = 32
 
 
 def _position(x: Column) -> Column:
@@ -50,21 +52,27 @@ def _position(x: Column) -> Column:
 def with_repeats(out: DataFrame) -> DataFrame:
     """Add ``repeats``: sorted start positions of the three-word windows whose hash occurs twice or more.
 
-    Up to 2**20 windows, the upper 44 bits of the hash and the position share a long, so plain longs are sorted; neighbours
+    The hashes are sorted alone first, which gives those that occur twice. Texts with few of them, the usual case, look
+    each window up among these. For others, up to 2**20 windows, the upper 44 bits of the hash and the position share a long, so plain longs are sorted; neighbours
     with equal upper bits are then compared in full. Longer texts sort (hash, position) pairs. Each step is a column of
     its own, since Spark would evaluate an expression inside a lambda once per element.
     """
     h, n = F.col("windows"), F.size("windows")
+    out = out.withColumn("in_order", F.sort_array("windows"))
+    out = out.withColumn("dups", F.array_distinct(F.filter("in_order", lambda x, i: F.coalesce(x == F.get(F.col("in_order"), i - 1), F.lit(False)))))
+    few = F.size("dups") <= _FEW
+    found = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains("dups", F.get(h, i)))
+    out = out.withColumn("found", F.when(few & (F.size("dups") > 0), found).otherwise(F.array().cast("array<int>")))
     packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~_LOW)).bitwiseOR(i.cast("long"))))
     pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))
-    out = out.withColumn("packed", F.when(n <= _LOW, packed).otherwise(F.array().cast("array<bigint>")))
-    out = out.withColumn("pairs", F.when(n > _LOW, pairs).otherwise(F.array().cast("array<struct<h:bigint,i:bigint>>")))
+    out = out.withColumn("packed", F.when(~few & (n <= _LOW), packed).otherwise(F.array().cast("array<bigint>")))
+    out = out.withColumn("pairs", F.when(~few & (n > _LOW), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:bigint>>")))
     get = lambda c, i: F.get(F.col(c), i)
     twin = lambda x, y: F.coalesce((F.shiftright(x, 20) == F.shiftright(y, 20)) & (F.get(h, _position(x)) == F.get(h, _position(y))), F.lit(False))
     same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
     short = F.filter("packed", lambda x, i: twin(x, get("packed", i - 1)) | twin(x, get("packed", i + 1)))
     long = F.filter("pairs", lambda x, i: same(x, get("pairs", i - 1)) | same(x, get("pairs", i + 1)))
-    return out.withColumn("repeats", F.sort_array(F.concat(F.transform(short, lambda x: _position(x).cast("long")), F.transform(long, lambda x: x["i"]))))
+    return out.withColumn("repeats", F.when(few, F.col("found").cast("array<bigint>")).otherwise(F.sort_array(F.concat(F.transform(short, lambda x: _position(x).cast("long")), F.transform(long, lambda x: x["i"])))))
 
 
 def _covered(positions: str) -> Column:
@@ -88,61 +96,80 @@ def common_words(docs: DataFrame, share: float) -> DataFrame:
     return joined.select("lang", "w", (F.col("n") / F.col("total")).alias("share")).filter(F.col("share") >= share)
 
 
-def profiles(docs: DataFrame, keep: list[str] | None = None, common: DataFrame | None = None) -> DataFrame:
-    """Counts of every whole text, with the columns ``keep`` (all if None) of the input row as ``row``.
+def _class_counts(out: DataFrame) -> list[Column]:
+    """``word_chars`` and counts of the classes but c_other from ``t``, ``solid`` (without white space) and ``rest`` (without lower case)."""
+    length = lambda c: F.length(c).cast("long")
+    less = lambda pattern: length("rest") - length(F.regexp_replace("rest", pattern, ""))
+    return [
+        length("solid").alias("word_chars"),
+        (length("solid") - length("rest")).alias("c_lower"),
+        less(r"\p{Lu}+").alias("c_upper"),
+        less(r"[\p{Lo}\p{Lm}\p{Lt}]+").alias("c_caseless"),
+        less(r"\p{Nd}+").alias("c_digit"),
+        (length("t") - length("solid")).alias("c_space"),
+        less(r"[.,;:!?'\"()\-]+").alias("c_punct"),
+    ]
 
-    ``common(lang, w, …)`` are the words counted in ``runs``: those of any language while they are few, else
-    those of the document's language.
-    """
-    row = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns])
+
+def _parted(docs: DataFrame, row: Column) -> DataFrame:
     out = docs.select(row.alias("row"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    wanted = [r["w"] for r in common.select("w").distinct().limit(BROADCAST_WORDS + 1).collect()] if common is not None else []
-    if len(wanted) > BROADCAST_WORDS:
-        own = common.groupBy("lang").agg(F.collect_list("w").alias("own"))
-        few = own.count() <= BROADCAST_LANGUAGES
-        out = out.join(own.hint("broadcast" if few else "merge"), "lang", "left").select("row", "lang", "t", F.coalesce("own", F.array().cast("array<string>")).alias("own"))
-        is_common = lambda w: F.array_contains("own", w)
-    else:
-        out = out.withColumn("own", F.lit(None))
-        is_common = lambda w: w.isin(wanted) if wanted else F.lit(False)
+    return out.withColumn("solid", F.translate("t", _SPACE, "")).withColumn("rest", F.regexp_replace("solid", r"\p{Ll}+", ""))
+
+
+def _with_other(out: DataFrame) -> DataFrame:
+    return out.withColumn("c_other", F.col("word_chars") - sum((F.col(c) for c in CLASSES if c not in ("c_space", "c_other")), F.lit(0)))
+
+
+def _barrier(out: DataFrame) -> DataFrame:
+    """The same rows. Spark moves no filter below a generator, so what stands above reads these columns and does not
+    evaluate them again."""
+    return out.select(F.inline_outer(F.array(F.struct(*out.columns))))
+
+
+def references(docs: DataFrame, limits: Limits) -> DataFrame:
+    """``(lang, shares of the classes, map of common words to their shares)`` of every language with enough documents."""
+    counted = _parted(docs.filter("lang IS NOT NULL"), F.lit(None))
+    counted = _barrier(_with_other(counted.select("lang", *_class_counts(counted))))
+    total = F.nullif(sum((F.sum(c) for c in CLASSES), F.lit(0)), F.lit(0))
+    classes = counted.groupBy("lang").agg(F.count("*").alias("docs"), *[(F.sum(c) / total).alias(f"r{c[1:]}") for c in CLASSES])
+    words = common_words(docs, limits.common_share).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("w", "share"))).alias("r_words"), F.sum("share").alias("r_common"))
+    return classes.filter(F.col("docs") >= limits.reference_docs).drop("docs").join(words.hint("merge"), "lang", "left")
+
+
+def profiles(docs: DataFrame, refs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Counts of every whole text, with the columns ``keep`` (all if None) of the input row as ``row`` and its reference.
+
+    ``runs`` holds the count of each common word of the document's language with its share there.
+    """
+    wanted = [r["w"] for r in refs.select(F.explode(F.map_keys("r_words")).alias("w")).distinct().limit(BROADCAST_WORDS + 1).collect()]
+    few = refs.count() <= BROADCAST_LANGUAGES
+    out = _parted(docs, F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns])).join(refs.hint("broadcast" if few else "merge"), "lang", "left")
+    r_columns = [c for c in refs.columns if c != "lang"]
+    # while common words are few, a set of all languages' words is looked up before the map of the own language
+    is_common = (lambda w: w.isin(wanted) if wanted else F.lit(False)) if len(wanted) <= BROADCAST_WORDS else (lambda w: F.coalesce(F.element_at("r_words", w).isNotNull(), F.lit(False)))
     out = out.withColumn("words", F.filter(F.split("t", WORD_GAP), lambda w: w != ""))
     out = out.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    out = out.withColumn("solid", F.translate("t", _SPACE, "")).withColumn("rest", F.regexp_replace("solid", r"\p{Ll}+", ""))
     windows = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(3)]))).otherwise(F.array().cast("array<bigint>"))
     out = out.withColumn("windows", windows)
     size = lambda c: F.size(c).cast("long")
     length = lambda c: F.length(c).cast("long")
-    less = lambda pattern: length("rest") - length(F.regexp_replace("rest", pattern, ""))
     out = out.select(
         "row",
-        "lang",
+        *r_columns,
         size("words").alias("n_words"),
-        length("solid").alias("word_chars"),
         (length("rest") - length(F.translate("rest", "#*$%&|<>", ""))).alias("n_symbols"),
         (size("lines") - size(F.array_distinct("lines"))).alias("n_dup_lines"),
         "windows",
-        (length("solid") - length("rest")).alias("c_lower"),
-        less(r"\p{Lu}+").alias("c_upper"),
-        less(r"[\p{Lo}\p{Lm}\p{Lt}]+").alias("c_caseless"),
-        less(r"\p{Nd}+").alias("c_digit"),
-        (length("t") - length("solid")).alias("c_space"),
-        less(r"[.,;:!?'\"()\-]+").alias("c_punct"),
+        *_class_counts(out),
         F.sort_array(F.filter(F.split(F.lower("t"), WORD_GAP), is_common)).alias("common"),
     )
-    out = out.withColumn("c_other", F.col("word_chars") - sum((F.col(c) for c in CLASSES if c not in ("c_space", "c_other")), F.lit(0)))
-    out = with_repeats(out)
+    out = with_repeats(_with_other(out))
     starts = F.filter(F.sequence(F.lit(0), F.size("common") - 1), lambda i: F.coalesce(F.get(F.col("common"), i) != F.get(F.col("common"), i - 1), F.lit(True)))
     out = out.withColumn("starts", F.when(F.size("common") > 0, starts).otherwise(F.array().cast("array<int>")))
-    runs = F.transform("starts", lambda i, k: F.struct(F.get(F.col("common"), i).alias("w"), (F.coalesce(F.get(F.col("starts"), k + 1), F.size("common")) - i).alias("c")))
-    return out.select("row", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", _covered("repeats").alias("n_repeat_words"), *CLASSES, runs.alias("runs"))
-
-
-def references(made: DataFrame, common: DataFrame, least_docs: int) -> DataFrame:
-    """``(lang, shares of the classes, map of common words to their shares)`` of every language with enough documents."""
-    total = F.nullif(sum((F.sum(c) for c in CLASSES), F.lit(0)), F.lit(0))
-    classes = made.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("docs"), *[(F.sum(c) / total).alias(f"r{c[1:]}") for c in CLASSES])
-    words = common.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("w", "share"))).alias("r_words"), F.sum("share").alias("r_common"))
-    return classes.filter(F.col("docs") >= least_docs).drop("docs").join(words.hint("merge"), "lang", "left")
+    share = lambda w: F.element_at("r_words", w)
+    runs = F.transform("starts", lambda i, k: F.struct((F.coalesce(F.get(F.col("starts"), k + 1), F.size("common")) - i).alias("c"), share(F.get(F.col("common"), i)).alias("q")))
+    out = out.withColumn("runs", runs)
+    return out.select("row", *r_columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", _covered("repeats").alias("n_repeat_words"), *CLASSES, F.filter("runs", lambda x: x["q"].isNotNull()).alias("runs"))
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -152,21 +179,20 @@ def _term(p: Column, q: Column) -> Column:
 
 
 def with_distances(made: DataFrame) -> DataFrame:
-    """Add the three distances of rows with a reference (``r_…``) to rows of profiles; null without a reference."""
-    share = lambda w: F.element_at("r_words", w)
-    own = F.filter(F.transform("runs", lambda x: F.struct(x["c"].alias("c"), share(x["w"]).alias("q"))), lambda x: x["q"].isNotNull())
-    out = made.withColumn("own", F.when(F.col("r_words").isNotNull(), own))
-    out = out.withColumn("n_common", F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["c"]))
+    """Add the three distances to rows of profiles; null without a reference. ``made`` is evaluated once."""
+    out = _barrier(made).withColumn("n_common", F.aggregate("runs", F.lit(0).cast("long"), lambda a, x: a + x["c"]))
+    out = _barrier(out.withColumn("n_common", F.when(F.col("r_words").isNotNull(), F.col("n_common"))))
     total = F.nullif(F.col("n_words"), F.lit(0)).cast("double")
     chars = F.nullif(sum((F.col(c) for c in CLASSES), F.lit(0)), F.lit(0)).cast("double")
     classes = sum((_term(F.col(c) / chars, F.col(f"r{c[1:]}")) for c in CLASSES), F.lit(0.0))
     # bins that the document lacks add their whole reference share; a text without common words shares no bin
-    of = lambda n, q: F.aggregate("own", F.lit(0.0), lambda a, x: a + _term(x["c"] / n, x["q"] / q) - x["q"] / q)
+    of = lambda n, q: F.aggregate("runs", F.lit(0.0), lambda a, x: a + _term(x["c"] / n, x["q"] / q) - x["q"] / q)
     root = lambda x: F.sqrt(F.greatest(F.lit(0.0), x / 2))
     words = F.when(F.col("n_common") > 0, root(of(F.col("n_common").cast("double"), F.col("r_common")) + 1.0)).otherwise(1.0)
     rest = root(of(total, F.lit(1.0)) + F.col("r_common") + _term(1 - F.col("n_common") / total, F.greatest(F.lit(0.0), 1 - F.col("r_common"))))
     known = F.col("r_words").isNotNull()
-    return out.withColumn("class_distance", F.when(F.col("r_lower").isNotNull(), root(classes))).withColumn("word_distance", F.when(known, words)).withColumn("rest_distance", F.when(known, rest))
+    out = out.withColumn("class_distance", F.when(F.col("r_lower").isNotNull(), root(classes)))
+    return _barrier(out.withColumn("word_distance", F.when(known, words)).withColumn("rest_distance", F.when(known, rest)).drop("runs", "r_words"))
 
 
 def judged(docs: DataFrame, limits: Limits = Limits(), keep: list[str] | None = None) -> DataFrame:
@@ -177,11 +203,7 @@ def judged(docs: DataFrame, limits: Limits = Limits(), keep: list[str] | None =
     documents; a language without common words has its classes tested alone. Repeated rows are judged
     each; an empty table gives no rows; the columns ``keep`` (all if None) stay in ``row``, whatever their names.
     """
-    common = written(common_words(docs, limits.common_share), "common-words")
-    made = written(profiles(docs, keep, common), "profiles")
-    refs = written(references(made, common, limits.reference_docs), "references")
-    few = refs.count() <= BROADCAST_LANGUAGES
-    out = with_distances(made.join(refs.hint("broadcast" if few else "merge"), "lang", "left"))
+    out = with_distances(profiles(docs, written(references(docs, limits), "references"), keep))
     tested = F.col("n_words") >= limits.test_words
     base = (F.col("n_words") < limits.base_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
     most = {"class_distance": limits.class_distance, "word_distance": limits.word_distance, "rest_distance": limits.rest_distance}

@@ -399,8 +399,9 @@ def plain_counts(text):
     return len(w), sum(map(len, w)), sum((text or "").count(x) for x in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
-@pytest.mark.parametrize("low", [(1 << 20) - 1, 7])
-def test_rule_counts(spark, odd, none, monkeypatch, low):
+@pytest.mark.parametrize(("low", "few"), [((1 << 20) - 1, 32), ((1 << 20) - 1, -1), (7, -1), (7, 1)])
+def test_rule_counts(spark, odd, none, monkeypatch, low, few):
+    monkeypatch.setattr(quality_rules, "_FEW", few)
     if low == 7:  # then texts of more than seven windows take the path of very long ones
         monkeypatch.setattr(quality_rules, "_LOW", low)
     extra = spark.createDataFrame([(50, "a b c a b c\n\na b c\n# x | y <z>\na b c"), (51, "x " * 200), (52, "one two three")], "doc_id long, text string").withColumn("lang", F.lit("en"))
