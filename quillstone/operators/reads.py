@@ -21,8 +21,8 @@ def authors_by_paper(links: DataFrame, authors: DataFrame) -> DataFrame:
 
 
 def with_authors(papers: DataFrame, links: DataFrame, authors: DataFrame) -> DataFrame:
-    """Papers with an author array, empty where there is none."""
-    return papers.join(authors_by_paper(links, authors), "paper_id", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
+    """Papers with an analysis, each with an author array, empty where there is none."""
+    return papers.filter("analysis IS NOT NULL").join(authors_by_paper(links, authors), "paper_id", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
 
 
 def authors_of(links: DataFrame, authors: DataFrame, paper_id: Column | int) -> DataFrame:

@@ -27,15 +27,23 @@ def keep_old(old: Column, new: Column, was: Column, has: Column) -> Column:
     return F.when(was, old).otherwise(new)
 
 
-def last_per_key(delta: DataFrame, keys: list[str], order: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+#: The column of a delta that holds the order of its rows.
+ORDER = "ordinal"
+
+
+def last_per_key(delta: DataFrame, keys: list[str], order: str = ORDER) -> DataFrame:
+    """The last row of each key by ``order``; ties, and deltas without that column, go by a hash of the row."""
+    ties = F.xxhash64(*[F.col(f"`{c}`") for c in delta.columns])
+    by = [F.desc_nulls_last(order)] if order in delta.columns else []
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*by, ties))
     return delta.withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
 def upsert(old: DataFrame, delta: DataFrame, keys: list[str], rules: dict[str, Rule], default: Rule = overwrite) -> DataFrame:
-    """Old rows, changed and new rows; ``delta`` must have one row per key. Both sides are dealt by the key once."""
+    """Old rows, changed and new rows. Of a key's rows in ``delta`` the last one by ``ordinal`` counts; that column is not
+    stored unless ``old`` has it. Both sides are dealt by the key once, for the last rows and the join."""
     left = old.withColumn("_was", F.lit(True)).alias("o")
-    right = delta.withColumn("_has", F.lit(True)).alias("d")
+    right = last_per_key(delta, keys).withColumn("_has", F.lit(True)).alias("d")
     on = [F.col(f"o.{k}") == F.col(f"d.{k}") for k in keys]
     joined = left.join(right, on, "full_outer")
     was, has = F.coalesce(F.col("o._was"), F.lit(False)), F.coalesce(F.col("d._has"), F.lit(False))
@@ -61,8 +69,8 @@ def upsert_authors(old: DataFrame, delta: DataFrame) -> DataFrame:
     """Authors with an id go by it, the rest by their lower-case trimmed name; names are overwritten."""
     ident = lambda df: df.filter("author_id IS NOT NULL")
     named = lambda df: df.filter("author_id IS NULL").withColumn("key", author_key(F.col("name")))
-    by_id = upsert(ident(old), last_per_key(ident(delta), ["author_id"], "ordinal").drop("ordinal"), ["author_id"], {})
-    by_name = upsert(named(old), last_per_key(named(delta), ["key"], "ordinal").drop("ordinal"), ["key"], {}).drop("key")
+    by_id = upsert(ident(old), ident(delta), ["author_id"], {})
+    by_name = upsert(named(old), named(delta), ["key"], {}).drop("key")
     return by_id.unionByName(by_name.select(*by_id.columns))
 
 
@@ -130,9 +138,10 @@ def upsert_cleanup_tasks(old: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def start_stages(old: DataFrame, started: DataFrame) -> DataFrame:
-    """A new (run, stage) has attempt 1; another start adds one and resets times and error."""
+    """A new (run, stage) has attempt 1; every other start, within ``started`` too, adds one and resets times and error."""
+    started = started.withColumn("attempt", F.count("*").over(Window.partitionBy("run_id", "stage")))
     rules: dict[str, Rule] = {
-        "attempt": lambda o, n, was, has: F.when(has, F.coalesce(o, F.lit(0)) + 1).otherwise(o).cast("int"),
+        "attempt": lambda o, n, was, has: F.when(has, F.coalesce(o, F.lit(0)) + n).otherwise(o).cast("int"),
         "status": lambda o, n, was, has: F.when(has, "running").otherwise(o),
         "completed_at": lambda o, n, was, has: F.when(~has, o),
         "error_message": lambda o, n, was, has: F.when(~has, o),
@@ -141,19 +150,21 @@ def start_stages(old: DataFrame, started: DataFrame) -> DataFrame:
 
 
 def update_topics(topics: DataFrame, delta: DataFrame) -> DataFrame:
-    """New status, stage, progress and error; completed_at is set only once. Unknown topics are not added."""
+    """New status, stage, progress and error, of a topic's changes the last; completed_at is set only once, by the
+    first change that completes. Unknown topics are not added."""
     cols = topics.columns
-    d = delta.select("topic_id", *[F.col(c).alias(f"_{c}") for c in ("status", "current_stage", "progress", "error_message", "at")], F.lit(True).alias("_has"))
+    first = F.min(F.when(F.col("status") == "completed", F.col("at"))).over(Window.partitionBy("topic_id"))
+    delta = last_per_key(delta.withColumn("_at", first), ["topic_id"])
+    d = delta.select("topic_id", *[F.col(c).alias(f"_{c}") for c in ("status", "current_stage", "progress", "error_message")], "_at", F.lit(True).alias("_has"))
     j = topics.join(d, "topic_id", "left")
     for c in ("status", "current_stage", "progress", "error_message"):
         j = j.withColumn(c, F.when(F.col("_has"), F.col(f"_{c}")).otherwise(F.col(c)))
-    done = F.when(F.col("_has") & (F.col("status") == "completed"), F.coalesce("completed_at", "_at")).otherwise(F.col("completed_at"))
-    return j.withColumn("completed_at", done).select(*cols)
+    return j.withColumn("completed_at", F.coalesce("completed_at", "_at")).select(*cols)
 
 
 def update_columns(old: DataFrame, delta: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Set columns of existing rows; rows without a delta keep theirs."""
-    d = delta.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_has"))
+    """Set columns of existing rows, by the last change of each; rows without a delta keep theirs."""
+    d = last_per_key(delta, keys).select(*keys, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_has"))
     j = old.join(d, keys, "left")
     return j.select(*[F.when(F.col("_has"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
 

@@ -49,8 +49,8 @@ def unit(v: Column) -> Column:
     return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))[0]
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, by: list[str] | None = None, chunk_types: tuple[str, ...] | None = None) -> DataFrame:
-    """The k best of each query by exact cosine within the columns ``by`` (the topic).
+def top_k(queries: DataFrame, vectors: DataFrame, k: int | None, by: list[str] | None = None, chunk_types: tuple[str, ...] | None = None) -> DataFrame:
+    """The k best of each query (all if None) by exact cosine within the columns ``by`` (the topic).
 
     Vectors are normalised once and stream past a checked, broadcast set of queries; each task keeps k rows per query
     before the shuffle (Spark's window group limit). Ties go to the smaller point.
@@ -62,7 +62,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, by: list[str] | None =
     small = asked.select("query_id").limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
     hits = own.join(asked.hint("broadcast" if small else "merge"), by).withColumn("score", F.round(dot(F.col("_v"), F.col("_q")), 6)).drop("_v", "_q")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", F.row_number().over(order))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def search_chunks(queries: DataFrame, vectors: DataFrame, k: int = 12) -> DataFrame:
@@ -76,8 +77,8 @@ def rank_limit(n: Column, most: int) -> Column:
 
 
 def rank_papers(queries: DataFrame, vectors: DataFrame, per_topic: int, chunk_types: tuple[str, ...] | None = None) -> DataFrame:
-    """Search, best chunk per paper, cap by the topic's number of papers."""
-    hits = top_k(queries, vectors, per_topic, chunk_types=chunk_types)
+    """Search, best chunk per paper, cap by the topic's number of papers. ``per_topic`` of 0 or less sets no limit."""
+    hits = top_k(queries, vectors, per_topic if per_topic > 0 else None, chunk_types=chunk_types)
     n = vectors.groupBy("topic_id").agg(F.count_distinct("paper_id").alias("_n"))
     ranked = best_score(hits).join(n, "topic_id")
     return ranked.filter(F.col("rank") <= rank_limit(F.col("_n"), per_topic)).drop("_n")

@@ -19,7 +19,8 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def papers_with_authors(spark: SparkSession, sf: str) -> DataFrame:
-    out = R.with_authors(_orders(spark, sf).filter("o_orderstatus = 'F'"), links(spark, sf), _authors(spark, sf))
+    rows = _orders(spark, sf).withColumn("analysis", F.expr("CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END"))
+    out = R.with_authors(rows, links(spark, sf), _authors(spark, sf))
     return out.select("paper_id", F.array_join("authors", "; ").alias("authors"), F.size("authors").alias("n"))
 
 
@@ -156,7 +157,7 @@ def readiness(spark: SparkSession, sf: str) -> DataFrame:
 
 _TERMS = "list_filter(string_split(trim(regexp_replace(lower(abstract), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda t: t <> '')"
 QUERIES = {
-    "papers_with_authors": (papers_with_authors, f"WITH {LINKS} SELECT o.o_orderkey AS paper_id, coalesce(string_agg(s.s_name, '; ' ORDER BY position, author_id), '') AS authors, count(s.s_name)::INT AS n FROM orders o LEFT JOIN links l ON o.o_orderkey = l.paper_id LEFT JOIN supplier s ON s.s_suppkey = l.author_id WHERE o_orderstatus = 'F' GROUP BY 1"),
+    "papers_with_authors": (papers_with_authors, f"WITH {LINKS} SELECT o.o_orderkey AS paper_id, coalesce(string_agg(s.s_name, '; ' ORDER BY position, author_id), '') AS authors, count(s.s_name)::INT AS n FROM orders o LEFT JOIN links l ON o.o_orderkey = l.paper_id LEFT JOIN supplier s ON s.s_suppkey = l.author_id WHERE o_orderstatus <> 'O' GROUP BY 1"),
     "topic_papers_ranked": (topic_papers_ranked, f"WITH {PAPERS}, {TOPIC_PAPERS} SELECT t.topic_id, t.paper_id, t.score, p.year FROM topic_papers t JOIN papers p USING (paper_id)"),
     "paper_author_rows": (paper_author_rows, f"WITH {LINKS} SELECT paper_id, position, s_name AS name FROM links JOIN supplier ON s_suppkey = author_id"),
     "status_scan": (status_scan, "SELECT o_orderkey AS paper_id, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderstatus NOT IN ('F', 'O')"),

@@ -32,7 +32,8 @@ def read_atom_xml(payloads: DataFrame, keys: list[str], column: str = "payload")
 
 def lookup_by_ids(records: DataFrame, ids: DataFrame) -> DataFrame:
     """A3: the records of ``ids(id)``; an id without one gives a row with an error."""
-    return ids.select("id").distinct().join(records, "id", "left").withColumn("error", F.when(F.col("title").isNull(), F.concat(F.lit("no record for "), "id")))
+    found = ids.select("id").distinct().join(records.withColumn("_there", F.lit(True)), "id", "left")
+    return found.withColumn("error", F.when(F.col("_there").isNull(), F.concat(F.lit("no record for "), "id"))).drop("_there")
 
 
 def build_search_expr(topic: Column, keywords: Column) -> Column:
@@ -83,14 +84,17 @@ def useful_chars(markdown: Column) -> Column:
 
 
 def classify_conversion(status: Column, useful: Column, ocr_useful: Column, policy: str = "fallback") -> Column:
-    """``ok``, ``ocr``, ``rejected`` or ``error``."""
-    good = useful if policy == "fallback" else F.lit(True)
-    return F.when(status != "success", "error").when(good, "ok").when(F.coalesce(ocr_useful, F.lit(False)), "ocr").otherwise("rejected")
+    """``ok``, ``ocr``, ``rejected``, ``partial``, ``error`` or ``unknown``. Unusable text is rejected under every policy;
+    under ``fallback`` a usable text read by OCR stands in for it. A null status is unknown."""
+    second = F.coalesce(ocr_useful, F.lit(False)) if policy == "fallback" else F.lit(False)
+    done = F.when(F.coalesce(useful, F.lit(False)), "ok").when(second, "ocr").otherwise("rejected")
+    return F.when(status == "success", done).when(status == "partial_success", "partial").when(status.isin("skipped", "failure"), "error").otherwise("unknown")
 
 
 def join_warnings(warnings: Column, most: int = 1024) -> Column:
-    """Joined, cut to bytes; a cut character is dropped."""
-    return F.regexp_replace(F.try_validate_utf8(truncate_bytes(F.array_join(warnings, "; "), most).cast("string")), "�+$", "")
+    """Each cut to bytes, then joined; a cut character is dropped."""
+    cut = lambda w: F.regexp_replace(F.make_valid_utf8(truncate_bytes(w, most).cast("string")), "�+$", "")
+    return F.array_join(F.transform(warnings, cut), "; ")
 
 
 def document_ledger(documents: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 from quillstone.operators import chunking as K
 from quillstone.operators import judged as H
+from quillstone.operators import reads as R
 from quillstone.operators import resolve as C
 from quillstone.operators import tables as D
 from quillstone.operators import vectors as G
 from quillstone.operators.graph import stars
+from quillstone.sources import records as S
 
 
 def chunks(spark, text, size, overlap):
@@ -40,16 +42,16 @@ def resolved(spark, rows):
 
 
 def test_doi_merge(spark):
-    a = record(0, "semantic_scholar", doi="10.1234/ABC", title="A", year=2024)
-    b = record(1, "arxiv", doi="https://doi.org/10.1234/abc", pdf_url="http://p")
+    a = record(0, "semantic_scholar", doi="10.77/TIDE.4", title="Tide tables", year=2019)
+    b = record(1, "arxiv", doi="https://doi.org/10.77/tide.4", pdf_url="http://p")
     out = resolved(spark, [a, b])
     assert len(out) == 1 and out[0]["source"] == "semantic_scholar" and out[0]["pdf_url"] == "http://p"
 
 
 def test_title_year_author(spark):
-    ada = [{"name": "Ada Lovelace", "author_id": None}]
-    a = record(0, "semantic_scholar", title="Neural Methods: A Study", year=2023, authors=ada)
-    b = record(1, "arxiv", title=" neural methods a study ", year=2023, authors=ada)
+    own = [{"name": "Runa Vik", "author_id": None}]
+    a = record(0, "semantic_scholar", title="Tidal Gauges; a survey", year=2017, authors=own)
+    b = record(1, "arxiv", title=" tidal gauges   A survey", year=2017, authors=own)
     assert len(resolved(spark, [a, b])) == 1
     assert len(resolved(spark, [a | {"authors": []}, b | {"authors": []}])) == 2
 
@@ -123,6 +125,50 @@ def test_shared_paper_has_one_id_and_two_memberships(spark):
     assert [tuple(r) for r in out] == [("t1", "p", "b", 0.5), ("t2", "p", "b", None)]
 
 
+def test_delta_rows_apply_in_order(spark):
+    old = spark.createDataFrame([("s", "x", 1, "old", 5)], "source string, external_id string, id int, title string, created_at int")
+    delta = spark.createDataFrame([(1, "s", "x", 9, "first", 6), (3, "s", "x", 8, "last", 8), (2, "s", "x", 7, "second", 7), (1, "s", "y", 2, "a", 6), (2, "s", "y", 3, None, 7)], "ordinal int, source string, external_id string, id int, title string, created_at int")
+    for d in (delta, delta.orderBy(F.desc("ordinal")).repartition(3)):
+        got = sorted(tuple(r) for r in D.upsert_papers(old, d).collect())
+        assert got == [("s", "x", 1, "last", 5), ("s", "y", 3, None, 7)]
+    cols = "topic_id string, paper_id string, discovery_source string, score double"
+    twice = spark.createDataFrame([("t", "p", "b", None, 2), ("t", "p", "a", None, 1)], cols + ", ordinal int")
+    assert [tuple(r) for r in D.upsert_memberships(spark.createDataFrame([], cols), twice).collect()] == [("t", "p", "b", None)]
+    stages = spark.createDataFrame([(1, "a", 2, "failed", "t0", "bad")], "run_id int, stage string, attempt int, status string, completed_at string, error_message string")
+    started = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "a"), (2, "a"), (3, "b")], "run_id int, stage string")
+    assert sorted((r["run_id"], r["attempt"], r["status"]) for r in D.start_stages(stages, started).collect()) == [(1, 4, "running"), (2, 3, "running"), (3, 1, "running")]
+    topics = spark.createDataFrame([("t", "new", "s", 0.0, None, None)], "topic_id string, status string, current_stage string, progress double, error_message string, completed_at int")
+    changes = spark.createDataFrame([("t", "completed", "report", 1.0, None, 4, 1), ("t", "completed", "report", 1.0, None, 6, 2), ("t", "failed", "index", 0.5, "late", 9, 3)], "topic_id string, status string, current_stage string, progress double, error_message string, at int, ordinal int")
+    assert [tuple(r) for r in D.update_topics(topics, changes).collect()] == [("t", "failed", "index", 0.5, "late", 4)]
+    sets = spark.createDataFrame([("t", 1.0, 2), ("t", 0.5, 1)], "topic_id string, progress double, ordinal int")
+    assert [r["progress"] for r in D.update_columns(topics, sets, ["topic_id"], ["progress"]).collect()] == [1.0]
+
+
+def test_no_limit_ranks_every_paper(spark):
+    vectors = spark.createDataFrame([("t", k, k, "abstract", [1.0, 0.1 * k]) for k in range(5)], "topic_id string, paper_id int, point_id int, chunk_type string, embedding array<double>")
+    asked = spark.createDataFrame([(1, "t", [1.0, 0.0])], "query_id int, topic_id string, embedding array<double>")
+    for most, n in ((0, 5), (-1, 5), (2, 2), (9, 5)):
+        assert [r["paper_id"] for r in G.rank_papers(asked, vectors, most).orderBy("rank").collect()] == list(range(n))
+
+
+def test_lookup_and_conversion(spark):
+    found = S.lookup_by_ids(spark.createDataFrame([("a", None), ("b", "x")], "id string, title string"), spark.createDataFrame([("a",), ("b",), ("c",)], "id string"))
+    assert {r["id"]: r["error"] for r in found.collect()} == {"a": None, "b": None, "c": "no record for c"}
+    rows = [("success", True, None), ("success", False, True), ("success", False, False), ("success", None, None), ("partial_success", True, None), ("skipped", True, True), ("failure", True, True), ("odd", True, None), (None, True, None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, status string, useful boolean, ocr boolean").orderBy("k")
+    of = lambda policy: [r[0] for r in df.select(S.classify_conversion(F.col("status"), F.col("useful"), F.col("ocr"), policy)).collect()]
+    assert of("fallback") == ["ok", "ocr", "rejected", "rejected", "partial", "error", "error", "unknown", "unknown"]
+    assert of("never") == ["ok", "rejected", "rejected", "rejected", "partial", "error", "error", "unknown", "unknown"]
+    assert spark.range(1).select(S.join_warnings(F.array(F.lit("abcé"), F.lit("xyz")), 4)).first()[0] == "abc; xyz"
+
+
+def test_papers_without_analysis_have_no_row(spark):
+    papers = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "paper_id int, analysis string")
+    links = spark.createDataFrame([(1, 9, 0), (2, 9, 0)], "paper_id int, author_id int, position int")
+    got = R.with_authors(papers, links, spark.createDataFrame([(9, "N")], "author_id int, name string")).collect()
+    assert {r["paper_id"]: r["authors"] for r in got} == {1: ["N"], 3: []}
+
+
 def test_table_store(spark, tmp_path):
     store = D.TableStore(spark, str(tmp_path))
     store.commit("a", spark.range(3))
