@@ -5,8 +5,8 @@ search with a small radius. So each text has ``SEEDS`` independent fingerprints,
 trees of ``simhash``; a pair is a candidate if one of them is that close. Every
 candidate link is then checked by the Jaccard similarity of the two sets of shingles, and only true ones join texts.
 
-No shard returns all pairs of a group. There is a round for each fingerprint, in which a shard returns links that span its
-groups, between texts of different components; what is verified is joined into components before the next round. At last the pairs
+No shard returns all pairs of a group. There are rounds of one tree, of the other trees of the first fingerprint, and
+of each other fingerprint, in which a shard returns links that span its groups, between texts of different components; what is verified is joined into components before the next round. At last the pairs
 of texts within reach that still lie in different components are compared, every one of them, so no candidate pair is
 left out.
 """
@@ -115,16 +115,34 @@ def remaining(keys: np.ndarray, x: np.ndarray, component: np.ndarray) -> np.ndar
     return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
 
 
-def candidates(texts: DataFrame, trees: Broadcast, seeds: list[int], all_pairs: bool = False) -> DataFrame:
+def forest_of(pairs: np.ndarray) -> np.ndarray:
+    """Those of the pairs (n, 2) that connect what the ones before them do not."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    kept = []
+    for i, (a, b) in enumerate(pairs.tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            root[a] = b
+            kept.append(i)
+    return pairs[kept]
+
+
+def candidates(texts: DataFrame, trees: Broadcast, chosen: list[int], all_pairs: bool = False) -> DataFrame:
     """``texts(key, component, f0, …)`` -> distinct candidate pairs ``(a, b)``, a < b, of different components by these
-    fingerprints: such as span every group, or all."""
-    reach, names = MAX_BITS // BANDS, [FPS[k] for k in seeds]
+    trees: such as span every group of a shard, or all."""
+    reach, names = MAX_BITS // BANDS, [FPS[k] for k in sorted({k // BANDS for k in chosen})]
 
     def to_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             keys, component = frame["key"].to_numpy(dtype=np.int64), frame["component"].to_numpy(dtype=np.int64)
             for t, (seed, mask, vantage, radius) in enumerate(trees.value):
-                if seed in seeds:
+                if t in chosen:
                     own = frame[FPS[seed]].to_numpy(dtype=np.int64)
                     row, node = route(own.view(np.uint64), vantage, radius, mask, reach)
                     yield pd.DataFrame({"tree": np.full(len(row), t, dtype=np.int32), "shard": node, "key": keys[row], "component": component[row], "fp": own[row]})
@@ -139,6 +157,7 @@ def candidates(texts: DataFrame, trees: Broadcast, seeds: list[int], all_pairs:
             if len(rows) > 1:
                 out.append((remaining if all_pairs else spanning)(keys[rows], x[rows], component[rows]))
         pairs = np.concatenate(out)
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0) if all_pairs else forest_of(pairs)
         return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
     shards = texts.select("key", "component", *names).mapInPandas(to_shards, "tree int, shard long, key long, component long, fp long")
@@ -178,10 +197,12 @@ def text_groups(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
     trees = forest(texts)
     sets = spark.createDataFrame([], "key long, shingles array<long>")
     star = spark.createDataFrame([], "a long, b long")
-    for turn in [*range(SEEDS), None]:
-        own_texts = texts if turn is not None else texts.join(sets.select("key").hint("merge"), "key", "left_semi")
+    # one tree first: large groups are joined by it, so that the others find few pairs in them that are not joined yet
+    rounds = [[0], list(range(1, BANDS)), *[list(range(k * BANDS, (k + 1) * BANDS)) for k in range(1, SEEDS)], None]
+    for chosen in rounds:
+        own_texts = texts if chosen else texts.join(sets.select("key").hint("merge"), "key", "left_semi")
         named = own_texts.join(star.select(F.col("a").alias("key"), F.col("b").alias("component")).hint("merge"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        pairs = written(candidates(named, trees, list(range(SEEDS)) if turn is None else [turn], turn is None), "candidates")
+        pairs = written(candidates(named, trees, chosen or list(range(SEEDS * BANDS)), chosen is None), "candidates")
         new = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(sets.select("key").hint("merge"), "key", "left_anti")
         sets = sets.unionByName(written(shingle_sets(docs, texts, new), "shingle-sets"))
         links = written(verified(pairs, sets), "links")
