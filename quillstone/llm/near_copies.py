@@ -5,10 +5,13 @@ search with a small radius. So each text has ``SEEDS`` independent fingerprints,
 trees of ``simhash``; a pair is a candidate if one of them is that close. Every
 candidate link is then checked by the Jaccard similarity of the two sets of shingles, and only true ones join texts.
 
-No shard returns all pairs of a group. There are rounds of one tree, of the other trees of the first fingerprint, and
-of each other fingerprint, in which a shard returns links that span its groups, between texts of different components; what is verified is joined into components before the next round. At last the pairs
-of texts within reach that still lie in different components are compared, every one of them, so no candidate pair is
-left out.
+No shard returns all pairs of a group. There is a round of one tree and a round of all, in which a shard returns links
+that span its groups, between texts of different components; what is verified is joined into components before the
+next round. At last the pairs of texts within reach that still lie in different components are compared, every one of
+them, so no candidate pair is left out. Most of these are well below the similarity, so a shard first bounds them by
+sketches: bit b of a text's sketch is the parity of its shingles that hash to b. Common shingles cancel, so two sketches
+differ in no more bits than their texts have shingles of their own; a pair that differs in more than the similarity
+allows is none, and only the others leave the shard.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ from .simhash import band_masks, build_tree, fingerprint, route, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 SEEDS, MAX_BITS, BANDS = 3, 8, 5
+SKETCH_BITS = 1024
 #: Up to this many text keys are sent to all tasks to filter documents; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 FPS = [f"f{k}" for k in range(SEEDS)]
+SETS = "key long, shingles array<long>, sketch binary"
 
 
 def text_key(text: Column) -> Column:
@@ -103,14 +108,29 @@ def spanning(keys: np.ndarray, x: np.ndarray, component: np.ndarray) -> np.ndarr
     return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
 
 
-def remaining(keys: np.ndarray, x: np.ndarray, component: np.ndarray) -> np.ndarray:
-    """All candidate pairs of different components. Rows of the largest component are not compared with each other."""
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """The parities of distinct shingle hashes by their top bits, as 64-bit words."""
+    at = (shingles.view(np.uint64) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=SKETCH_BITS) & 1, bitorder="little").view(np.uint64)
+
+
+def may_be_similar(sketch: np.ndarray, n: np.ndarray, own_sketch: np.ndarray, own_n: int) -> np.ndarray:
+    """False only where a text with that sketch and number of shingles is below ``SIMILARITY`` to the own one: sets of
+    s shingles in sum are that similar if at most s * (1 - SIMILARITY) / (1 + SIMILARITY) are not shared."""
+    differ = np.bitwise_count(sketch ^ own_sketch).sum(axis=-1, dtype=np.int64)
+    return differ <= (n + own_n) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-6
+
+
+def remaining(keys: np.ndarray, x: np.ndarray, component: np.ndarray, sketch: np.ndarray, n_shingles: np.ndarray) -> np.ndarray:
+    """All candidate pairs of different components that may be similar. Rows of the largest component are not compared
+    with each other."""
     names, code, n = np.unique(component, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return np.empty((0, 2), dtype=np.int64)
     out = []
     for i in np.flatnonzero(code != n.argmax()):
         hit = np.flatnonzero((_bits(x, x[i]) <= MAX_BITS) & (code != code[i]) & ((code == n.argmax()) | (keys > keys[i])))
+        hit = hit[may_be_similar(sketch[hit], n_shingles[hit], sketch[i], n_shingles[i])]
         out.append(np.stack([np.full(len(hit), keys[i]), keys[hit]], axis=1))
     return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
 
@@ -135,50 +155,53 @@ def forest_of(pairs: np.ndarray) -> np.ndarray:
 
 def candidates(texts: DataFrame, trees: Broadcast, chosen: list[int], all_pairs: bool = False) -> DataFrame:
     """``texts(key, component, f0, …)`` -> distinct candidate pairs ``(a, b)``, a < b, of different components by these
-    trees: such as span every group of a shard, or all."""
+    trees: such as span every group of a shard, or all that may be similar by ``sketch`` and ``n``, then columns of texts."""
     reach, names = MAX_BITS // BANDS, [FPS[k] for k in sorted({k // BANDS for k in chosen})]
+    extra = ["sketch", "n"] if all_pairs else []
 
     def to_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keys, component = frame["key"].to_numpy(dtype=np.int64), frame["component"].to_numpy(dtype=np.int64)
             for t, (seed, mask, vantage, radius) in enumerate(trees.value):
                 if t in chosen:
                     own = frame[FPS[seed]].to_numpy(dtype=np.int64)
                     row, node = route(own.view(np.uint64), vantage, radius, mask, reach)
-                    yield pd.DataFrame({"tree": np.full(len(row), t, dtype=np.int32), "shard": node, "key": keys[row], "component": component[row], "fp": own[row]})
+                    moved = {c: frame[c].to_numpy()[row] for c in ["key", "component", *extra]}
+                    yield pd.DataFrame({"tree": np.full(len(row), t, dtype=np.int32), "shard": node, **moved, "fp": own[row]})
 
     def link(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         x = frame["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-        keys, component = frame["key"].to_numpy(dtype=np.int64), frame["component"].to_numpy(dtype=np.int64)
+        own = [frame["key"].to_numpy(dtype=np.int64), x, frame["component"].to_numpy(dtype=np.int64)]
+        if all_pairs:
+            own += [np.frombuffer(b"".join(frame["sketch"]), dtype=np.uint64).reshape(len(x), -1), frame["n"].to_numpy(dtype=np.int64)]
         out = [np.empty((0, 2), dtype=np.int64)]
         for rows in _cells(x, trees.value[key[0]][1], reach, 2048):
             if len(rows) <= 8192:
                 rows = rows[_linked(x[rows])]
             if len(rows) > 1:
-                out.append((remaining if all_pairs else spanning)(keys[rows], x[rows], component[rows]))
+                out.append((remaining if all_pairs else spanning)(*(column[rows] for column in own)))
         pairs = np.concatenate(out)
         pairs = np.unique(np.sort(pairs, axis=1), axis=0) if all_pairs else forest_of(pairs)
         return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
-    shards = texts.select("key", "component", *names).mapInPandas(to_shards, "tree int, shard long, key long, component long, fp long")
+    shards = texts.select("key", "component", *names, *extra).mapInPandas(to_shards, "tree int, shard long, key long, component long, " + "sketch binary, n int, " * all_pairs + "fp long")
     return shards.groupBy("tree", "shard").applyInPandas(link, "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame, texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """``(key, shingles array<long>)``: the distinct shingle hashes of these texts, each read from one of its rows."""
+    """``(key, shingles array<long>, sketch)``: the distinct shingle hashes of these texts, each read from one of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *shingle_hashes(x.as_py(), SHINGLE)])).view(np.int64) for x in batch.column(1)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["key", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat, pa.array([sketch_of(x).tobytes() for x in sets], pa.binary())], ["key", "shingles", "sketch"])
 
     wanted = written(texts.join(keys.hint("merge"), "key").select("key", "least"), "texts-to-compare")
     hint = "broadcast" if wanted.count() <= BROADCAST_KEYS else "merge"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("own"), F.col("text").cast("string").alias("text"))
     rows = rows.join(wanted.hint(hint), (F.col("own") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least")), "inner")
-    return rows.select("key", "text").mapInArrow(run, "key long, shingles array<long>").dropDuplicates(["key"])
+    return rows.select("key", "text").mapInArrow(run, SETS).dropDuplicates(["key"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -195,14 +218,14 @@ def text_groups(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     texts = written(own.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.first(x).alias(x) for x in FPS]), "texts")
     trees = forest(texts)
-    sets = spark.createDataFrame([], "key long, shingles array<long>")
+    sets = spark.createDataFrame([], SETS)
     star = spark.createDataFrame([], "a long, b long")
     # one tree first: large groups are joined by it, so that the others find few pairs in them that are not joined yet
-    rounds = [[0], list(range(1, BANDS)), *[list(range(k * BANDS, (k + 1) * BANDS)) for k in range(1, SEEDS)], None]
-    for chosen in rounds:
-        own_texts = texts if chosen else texts.join(sets.select("key").hint("merge"), "key", "left_semi")
+    every = list(range(SEEDS * BANDS))
+    for chosen, last in [([0], False), (every[1:], False), (every, True)]:
+        own_texts = texts.drop("n").join(sets.select("key", "sketch", F.size("shingles").alias("n")).hint("merge"), "key") if last else texts
         named = own_texts.join(star.select(F.col("a").alias("key"), F.col("b").alias("component")).hint("merge"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        pairs = written(candidates(named, trees, chosen or list(range(SEEDS * BANDS)), chosen is None), "candidates")
+        pairs = written(candidates(named, trees, chosen, last), "candidates")
         new = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(sets.select("key").hint("merge"), "key", "left_anti")
         sets = sets.unionByName(written(shingle_sets(docs, texts, new), "shingle-sets"))
         links = written(verified(pairs, sets), "links")

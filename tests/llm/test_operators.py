@@ -335,6 +335,20 @@ def test_near_copies_against_all_pairs(spark):
     assert want <= kept and len(kept - want) <= 0.1 * (len(texts) - len(want))  # no clean text goes, nine in ten copies do
 
 
+def test_sketches_pass_every_similar_pair_and_few_others():
+    rng = np.random.default_rng(3)
+    passed = {True: [], False: []}
+    for n in (1, 5, 40, 300, 3000):
+        for changed in (0, 0.02, 0.05, 0.1, 0.11, 0.12, 0.2, 0.5):
+            a = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+            b = np.unique(np.concatenate([a[round(changed * n) :], rng.integers(-(1 << 63), 1 << 63, round(changed * n))]))
+            similar = len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+            passed[similar].append(bool(near_copies.may_be_similar(near_copies.sketch_of(b)[None], np.array([len(b)]), near_copies.sketch_of(a), len(a))[0]))
+    assert all(passed[True]) and len(passed[True]) > 15 and np.mean(passed[False]) < 0.5
+    none = near_copies.sketch_of(np.empty(0, dtype=np.int64))
+    assert not none.any() and near_copies.may_be_similar(none[None], np.array([0]), none, 0).all()
+
+
 def test_near_copies_keep_a_defined_row(spark):
     a, b, c = ("one two three four five six seven " * 9, "ONE two three four five six seven " * 9, "other words of a text that is alone in its group")
     rows = [(7, a, "y"), (7, a, "x"), (7, b, "z"), (7, c, "w"), (9, a, "v"), (None, b, "u"), (None, c, "t"), (None, "null id alone here", "s")]
