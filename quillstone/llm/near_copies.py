@@ -5,10 +5,9 @@ search with a small radius. So each text has ``SEEDS`` independent fingerprints,
 trees of ``simhash``; a pair is a candidate if one of them is that close. Every
 candidate link is then checked by the Jaccard similarity of the two sets of shingles, and only true ones join texts.
 
-No shard returns all pairs of a group. There is a round of one tree and a round of all, in which a shard returns links
-that span its groups, between texts of different components; what is verified is joined into components before the
-next round. At last the pairs of texts within reach that still lie in different components are compared, every one of
-them, so no candidate pair is left out. Most of these are well below the similarity, so a shard first bounds them by
+No shard returns all pairs of a group. In a first round each shard returns links that span its groups; what is
+verified is joined into components. Then the pairs of texts within reach that still lie in different components are
+compared, every one of them, so no candidate pair is left out. Most of these are well below the similarity, so a shard first bounds them by
 sketches: bit b of a text's sketch is the parity of its shingles that hash to b. Common shingles cancel, so two sketches
 differ in no more bits than their texts have shingles of their own; a pair that differs in more than the similarity
 allows is none, and only the others leave the shard.
@@ -220,12 +219,11 @@ def text_groups(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
     trees = forest(texts)
     sets = spark.createDataFrame([], SETS)
     star = spark.createDataFrame([], "a long, b long")
-    # one tree first: large groups are joined by it, so that the others find few pairs in them that are not joined yet
     every = list(range(SEEDS * BANDS))
-    for chosen, last in [([0], False), (every[1:], False), (every, True)]:
+    for last in (False, True):
         own_texts = texts.drop("n").join(sets.select("key", "sketch", F.size("shingles").alias("n")).hint("merge"), "key") if last else texts
         named = own_texts.join(star.select(F.col("a").alias("key"), F.col("b").alias("component")).hint("merge"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        pairs = written(candidates(named, trees, chosen, last), "candidates")
+        pairs = written(candidates(named, trees, every, last), "candidates")
         new = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(sets.select("key").hint("merge"), "key", "left_anti")
         sets = sets.unionByName(written(shingle_sets(docs, texts, new), "shingle-sets"))
         links = written(verified(pairs, sets), "links")
