@@ -12,9 +12,10 @@ texts have a word in common, and texts are joined on (band, place, word).
   of a second sketch.
 * Equal sets of shingles are one row from the start; a text gives its words once per task.
 * No group of texts with a common word returns all its pairs. First every text is linked to the smallest of the group; what
-  is verified is joined into components. Then all pairs of a group that lie in different components are compared, natively in
-  small groups, and in large ones by dense sketches, block by block in as many tasks as there are pairs of blocks; only pairs
-  within the bound leave. Pairs are verified by the exact overlap of their shingles.
+  is verified is joined into components. Then pairs of a group that lie in different components are compared: in small
+  groups by Spark's join, in large ones by dense sketches, block by block in as many tasks as there are pairs of blocks. A first
+  round returns the closest text of another component for each text, a second one all that are left within the bound
+  of the sketches. Pairs are verified by the exact overlap of their shingles.
 """
 
 from __future__ import annotations
@@ -54,14 +55,28 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+class _WordHashes(dict):
+    """XXH64 of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_HASHES, _MOST_HASHES = _WordHashes(), 400_000
+
+
 def shingle_set(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; a text of fewer words is one shingle, one without words none."""
     words = (text or b"").lower().split()
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    if len(_HASHES) > _MOST_HASHES:
+        _HASHES.clear()
     width = min(width, len(words))
     out = np.full(max(0, len(h) - width + 1) if width else 0, width, dtype=np.uint64)
     for k in range(width):
-        out = mixed(out, k) * np.uint64(0x100000001B3) + h[k : k + len(out)]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[k : k + len(out)]
     return np.unique(mixed(out))
 
 
@@ -122,8 +137,8 @@ def join_keys(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
-    """A dense parity sketch of four bits or more a shingle, as 64-bit words. Halves can be folded by XOR."""
-    bits = 1 << max(10, int(4 * len(own) - 1).bit_length())
+    """A dense parity sketch of sixteen bits or more a shingle, as 64-bit words. Halves can be folded by XOR."""
+    bits = 1 << max(10, int(16 * len(own) - 1).bit_length())
     at = (mixed(own, 10) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
 
@@ -133,20 +148,25 @@ def folded(words: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
 
 
-def pairs_of_blocks(frame: pd.DataFrame, percent: int = PERCENT) -> np.ndarray:
+def pairs_of_blocks(frame: pd.DataFrame, percent: int = PERCENT, closest: bool = False) -> np.ndarray:
     """Pairs (n, 2) of keys of different components whose sketches allow ``percent``: of one block, or of two blocks each
-    with the other."""
+    with the other. With ``closest``, each text of the first block has only the pair that differs least."""
     words = [np.frombuffer(x, dtype=np.uint64) for x in frame["sketch"]]
     least = min(map(len, words))
     x = np.stack([folded(w, least) for w in words])
     keys, group, n, block = (frame[c].to_numpy(dtype=np.int64) for c in ("key", "component", "n", "block"))
     one = block == block.min()
-    two = np.flatnonzero(~one if not one.all() else one)
+    two = np.flatnonzero(~one) if not one.all() else np.arange(len(keys))
     out = [np.empty((0, 2), dtype=np.int64)]
     for i in np.flatnonzero(one):
-        other = two[(group[two] != group[i]) & (block[two] != block[i] if not one.all() else keys[two] > keys[i])]
+        other = two[group[two] != group[i]]
+        if one.all() and not closest:
+            other = other[keys[other] > keys[i]]
         differ = np.bitwise_count(x[other] ^ x[i]).sum(axis=1, dtype=np.int64)
-        other = other[differ <= (n[other] + n[i]) * (100 - percent) // (100 + percent)]
+        near = differ <= (n[other] + n[i]) * (100 - percent) // (100 + percent)
+        other, differ = other[near], differ[near]
+        if closest and len(other):
+            other = other[[differ.argmin()]]
         out.append(np.stack([np.full(len(other), keys[i]), keys[other]], axis=1))
     return np.concatenate(out)
 
@@ -205,28 +225,33 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def remaining_pairs(members: DataFrame, star: DataFrame, sets: DataFrame, percent: int, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Pairs ``(a, b)`` with a common word that lie in different components, but for such as the sketches rule out."""
+def mixed_groups(members: DataFrame, star: DataFrame) -> DataFrame:
+    """``(word, key, component, size)`` of the groups with a common word that lie in several components."""
     component = star.select(F.col("a").alias("key"), F.col("b").alias("component"))
     named = members.select("word", "key").join(component.hint("merge"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     group = Window.partitionBy("word")
-    mixed_groups = named.withColumns({"lo": F.min("component").over(group), "hi": F.max("component").over(group), "size": F.count("*").over(group)}).filter("lo < hi")
-    rows = written(mixed_groups.select("word", "key", "component", "size"), "mixed-groups")
-    few = rows.filter(F.col("size") <= small)
-    other = few.select("word", F.col("key").alias("key2"), F.col("component").alias("component2"))
-    pairs = few.join(other.hint("merge"), "word").filter("key < key2 AND component != component2").select(F.col("key").alias("a"), F.col("key2").alias("b"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    many = rows.filter(F.col("size") > small).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sized = named.withColumns({"lo": F.min("component").over(group), "hi": F.max("component").over(group), "size": F.count("*").over(group)})
+    return sized.filter("lo < hi").select("word", "key", "component", "size")
+
+
+def small_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs ``(a, b)`` of different components in groups of few texts."""
+    other = rows.select("word", F.col("key").alias("key2"), F.col("component").alias("component2"))
+    return rows.join(other.hint("merge"), "word").filter("key < key2 AND component != component2").select(F.col("key").alias("a"), F.col("key2").alias("b"))
+
+
+def large_pairs(rows: DataFrame, sets: DataFrame, percent: int, closest: bool, block: int = BLOCK) -> DataFrame:
+    """Pairs ``(a, b)`` of different components in groups of any size, but for such as the sketches rule out."""
+    many = rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     cells = many.select("word", "key", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     cells = cells.select("word", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "component", "block")
     cells = cells.join(sets.select("key", F.size("shingles").alias("n"), "sketch").hint("merge"), "key")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        found = pairs_of_blocks(frame, percent)
+        found = pairs_of_blocks(frame, percent, closest)
         return pd.DataFrame({"a": found.min(axis=1), "b": found.max(axis=1)})
 
-    large = cells.groupBy("word", "i", "j").applyInPandas(compare, "a long, b long")
-    return pairs.unionByName(large).distinct()
+    return cells.groupBy("word", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -248,10 +273,14 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     first = written(members.filter("lo < key").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct(), "candidates")
     links = written(verified(first, sets, percent), "links")
     star = stars(links)
-    rest = written(remaining_pairs(members, star, sets, percent), "remaining-pairs")
-    more = written(verified(rest, sets, percent), "links")
-    if more.limit(1).count():
-        star = stars(star.unionByName(more))
+    for closest in (True, False):
+        rows = written(mixed_groups(members, star), "mixed-groups")
+        pairs = large_pairs(rows.filter(F.col("size") > SMALL), sets, percent, closest)
+        if closest:
+            pairs = pairs.unionByName(small_pairs(rows.filter(F.col("size") <= SMALL)))
+        links = written(verified(written(pairs.distinct(), "pairs"), sets, percent), "links")
+        if links.limit(1).count():
+            star = stars(star.unionByName(links))
     member = written(star.select(F.col("a").alias("key"), F.col("b").alias("root")).union(star.select("b", "b").distinct()), "members")
     # one component may have a third of the texts: they learn its smallest id in salts
     salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")

@@ -174,10 +174,13 @@ def test_large_groups_in_blocks(spark):
     members = spark.createDataFrame([(7, k) for k in sorted(set(keys))], "word long, key long")
     table = spark.createDataFrame([(k, s.view(np.int64).tolist(), bytearray(parity_join.sketch(s).tobytes())) for k, s in dict(zip(keys, sets, strict=True)).items()], "key long, shingles array<long>, sketch binary")
     none = spark.createDataFrame([], "a long, b long")  # noqa: F811
-    small = parity_join.verified(parity_join.remaining_pairs(members, none, table, 85, small=1000), table, 85)
-    large = parity_join.verified(parity_join.remaining_pairs(members, none, table, 85, small=1, block=40), table, 85)
+    groups = parity_join.mixed_groups(members, none)
+    small = parity_join.verified(parity_join.small_pairs(groups), table, 85)
+    large = parity_join.verified(parity_join.large_pairs(groups, table, 85, False, block=40).distinct(), table, 85)
+    closest = [tuple(r) for r in parity_join.large_pairs(groups, table, 85, True, block=40).collect()]
     want = {tuple(sorted((keys[a], keys[b]))) for a, b in brute_links([t for _, t in rows])[1] if keys[a] != keys[b]}
     assert {tuple(r) for r in small.collect()} == {tuple(r) for r in large.collect()} == want and len(want) > 100
+    assert 0 < len(closest) <= 4 * len(rows)
 
 
 def test_join_of_odd_rows(spark, odd, none, monkeypatch):  # noqa: F811
