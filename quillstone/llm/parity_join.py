@@ -14,8 +14,9 @@ texts have a word in common, and texts are joined on (band, place, word).
 * No group of texts with a common word returns all its pairs. First every text is linked to the smallest of the group; what
   is verified is joined into components. Then pairs of a group that lie in different components are compared: in small
   groups by Spark's join, in large ones by dense sketches, block by block in as many tasks as there are pairs of blocks. A first
-  round returns the closest text of another component for each text, a second one all that are left within the bound
-  of the sketches. Pairs are verified by the exact overlap of their shingles.
+  round returns the ``CLOSEST`` texts of other components for each text and names the groups where there were more within
+  the bound of the sketches; a second one returns all that are left there. Pairs are verified by the exact overlap of
+  their shingles.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SHINGLE, PERCENT = 4, 85
 LIGHT = 1
 #: Groups of texts with a common word are compared by Spark's join up to this size, and beyond it in blocks of ``BLOCK``.
 SMALL, BLOCK = 16, 2048
+#: So many texts of other components each text of a large group is compared with exactly before all are.
+CLOSEST = 3
 #: Up to this many rows are sent to all tasks to filter documents; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: Over so many tasks the texts of one component are spread when they learn its smallest id.
@@ -82,7 +85,7 @@ def shingle_set(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
 
 def set_key(own: np.ndarray) -> int:
     """A signed 64-bit value that stands for a whole set."""
-    return int((np.bitwise_xor.reduce(mixed(own, 1)) ^ np.uint64(len(own))).view(np.int64)) if len(own) else 0
+    return int((np.bitwise_xor.reduce(own) ^ np.uint64(len(own))).view(np.int64)) if len(own) else 0
 
 
 def most_different(total: int, percent: int = PERCENT) -> int:
@@ -108,9 +111,9 @@ def band_of(n: int, percent: int = PERCENT) -> tuple[int, int]:
     return band, starts[band] * 100 // percent
 
 
-def _words(own: np.ndarray, part: np.ndarray, m: int, salt: int) -> np.ndarray:
+def _words(own: np.ndarray, part: np.ndarray, m: int) -> np.ndarray:
     words = np.zeros(m, dtype=np.uint64)
-    np.bitwise_xor.at(words, part, mixed(own, salt))
+    np.bitwise_xor.at(words, part, own)
     return words
 
 
@@ -126,11 +129,11 @@ def join_keys(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         m = differ + 1 + (differ + 1) * 6 // 100 + (differ >= 8)
         part = ((own >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         light = np.bincount(part, minlength=m) <= LIGHT
-        words = _words(own, part, m, 2)
+        words = _words(own, part, m)
         at = np.uint64(b << 32) + np.arange(m, dtype=np.uint64)
         out.append(mixed(words ^ mixed(at, 3), 4)[~light])
         if light.sum() >= m - differ:
-            second = _words(own, ((own & _LOW) * np.uint64(m) >> np.uint64(32)).astype(np.int64), m, 5)
+            second = _words(own, ((own & _LOW) * np.uint64(m) >> np.uint64(32)).astype(np.int64), m)
             first = mixed(words ^ mixed(at, 6), 7)[light]
             out.append(mixed(second[None, :] ^ mixed(at, 8)[None, :] ^ first[:, None], 9).ravel())
     return np.concatenate(out)
@@ -139,7 +142,7 @@ def join_keys(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 def sketch(own: np.ndarray) -> np.ndarray:
     """A dense parity sketch of sixteen bits or more a shingle, as 64-bit words. Halves can be folded by XOR."""
     bits = 1 << max(10, int(16 * len(own) - 1).bit_length())
-    at = (mixed(own, 10) & np.uint64(bits - 1)).astype(np.int64)
+    at = (own & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
 
 
@@ -148,27 +151,28 @@ def folded(words: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
 
 
-def pairs_of_blocks(frame: pd.DataFrame, percent: int = PERCENT, closest: bool = False) -> np.ndarray:
+def pairs_of_blocks(frame: pd.DataFrame, percent: int = PERCENT, closest: int | None = None) -> tuple[np.ndarray, bool]:
     """Pairs (n, 2) of keys of different components whose sketches allow ``percent``: of one block, or of two blocks each
-    with the other. With ``closest``, each text of the first block has only the pair that differs least."""
+    with the other. With ``closest``, a text of the first block has only so many, those that differ least; then also
+    whether any had more."""
     words = [np.frombuffer(x, dtype=np.uint64) for x in frame["sketch"]]
     least = min(map(len, words))
     x = np.stack([folded(w, least) for w in words])
     keys, group, n, block = (frame[c].to_numpy(dtype=np.int64) for c in ("key", "component", "n", "block"))
     one = block == block.min()
     two = np.flatnonzero(~one) if not one.all() else np.arange(len(keys))
-    out = [np.empty((0, 2), dtype=np.int64)]
+    out, more = [np.empty((0, 2), dtype=np.int64)], False
     for i in np.flatnonzero(one):
         other = two[group[two] != group[i]]
-        if one.all() and not closest:
+        if one.all() and closest is None:
             other = other[keys[other] > keys[i]]
         differ = np.bitwise_count(x[other] ^ x[i]).sum(axis=1, dtype=np.int64)
         near = differ <= (n[other] + n[i]) * (100 - percent) // (100 + percent)
         other, differ = other[near], differ[near]
-        if closest and len(other):
-            other = other[[differ.argmin()]]
+        if closest is not None and len(other) > closest:
+            other, more = other[np.argpartition(differ, closest)[:closest]], True
         out.append(np.stack([np.full(len(other), keys[i]), keys[other]], axis=1))
-    return np.concatenate(out)
+    return np.concatenate(out), more
 
 
 def texts_of(docs: DataFrame, width: int) -> DataFrame:
@@ -240,18 +244,21 @@ def small_pairs(rows: DataFrame) -> DataFrame:
     return rows.join(other.hint("merge"), "word").filter("key < key2 AND component != component2").select(F.col("key").alias("a"), F.col("key2").alias("b"))
 
 
-def large_pairs(rows: DataFrame, sets: DataFrame, percent: int, closest: bool, block: int = BLOCK) -> DataFrame:
-    """Pairs ``(a, b)`` of different components in groups of any size, but for such as the sketches rule out."""
+def large_pairs(rows: DataFrame, sets: DataFrame, percent: int, closest: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Pairs ``(a, b)`` of different components in groups of any size, but for such as the sketches rule out; with
+    ``closest``, a row ``more`` (the word) for a group where a text had more than so many."""
     many = rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     cells = many.select("word", "key", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     cells = cells.select("word", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "component", "block")
     cells = cells.join(sets.select("key", F.size("shingles").alias("n"), "sketch").hint("merge"), "key")
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        found = pairs_of_blocks(frame, percent, closest)
-        return pd.DataFrame({"a": found.min(axis=1), "b": found.max(axis=1)})
+    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        found, more = pairs_of_blocks(frame, percent, closest)
+        pairs = pd.DataFrame({"a": found.min(axis=1), "b": found.max(axis=1)}).astype("Int64").assign(more=pd.NA)
+        mark = pd.DataFrame({"a": [pd.NA], "b": [pd.NA], "more": [key[0]]}).astype("Int64")
+        return pd.concat([pairs.astype("Int64"), mark]) if more else pairs.astype("Int64")
 
-    return cells.groupBy("word", "i", "j").applyInPandas(compare, "a long, b long")
+    return cells.groupBy("word", "i", "j").applyInPandas(compare, "a long, b long, more long")
 
 
 def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -270,17 +277,20 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     members = written(words.filter("lo < hi").select("word", "key", "lo").distinct(), "common-words")
     wanted = written(members.select("key").distinct().join(texts.hint("merge"), "key"), "texts-to-compare")
     sets = written(shingle_sets(docs, wanted, width), "shingle-sets")
+
+    def joined(star: DataFrame, pairs: DataFrame) -> DataFrame:
+        links = written(verified(pairs, sets, percent), "links")
+        return stars(star.unionByName(links)) if links.limit(1).count() else star
+
     first = written(members.filter("lo < key").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct(), "candidates")
-    links = written(verified(first, sets, percent), "links")
-    star = stars(links)
-    for closest in (True, False):
-        rows = written(mixed_groups(members, star), "mixed-groups")
-        pairs = large_pairs(rows.filter(F.col("size") > SMALL), sets, percent, closest)
-        if closest:
-            pairs = pairs.unionByName(small_pairs(rows.filter(F.col("size") <= SMALL)))
-        links = written(verified(written(pairs.distinct(), "pairs"), sets, percent), "links")
-        if links.limit(1).count():
-            star = stars(star.unionByName(links))
+    star = joined(docs.sparkSession.createDataFrame([], "a long, b long"), first)
+    rows = written(mixed_groups(members, star), "mixed-groups")
+    near = written(large_pairs(rows.filter(F.col("size") > SMALL), sets, percent, CLOSEST), "closest-texts")
+    pairs = near.filter("more IS NULL").select("a", "b").unionByName(small_pairs(rows.filter(F.col("size") <= SMALL)))
+    star = joined(star, written(pairs.distinct(), "pairs"))
+    again = members.join(near.filter("more IS NOT NULL").select(F.col("more").alias("word")).distinct().hint("merge"), "word", "left_semi")
+    rest = large_pairs(mixed_groups(again, star), sets, percent).select("a", "b")
+    star = joined(star, written(rest.distinct(), "remaining-pairs"))
     member = written(star.select(F.col("a").alias("key"), F.col("b").alias("root")).union(star.select("b", "b").distinct()), "members")
     # one component may have a third of the texts: they learn its smallest id in salts
     salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
@@ -288,8 +298,7 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     of = member.withColumn("salt", salt).join(least.hint("merge"), ["root", "salt"]).select("key", "component_id")
     of = written(texts.join(of.hint("merge"), "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id")), "components")
-    joined = own.join(of.hint("merge"), "key", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return own.join(of.hint("merge"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op12_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:

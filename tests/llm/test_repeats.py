@@ -176,11 +176,13 @@ def test_large_groups_in_blocks(spark):
     none = spark.createDataFrame([], "a long, b long")  # noqa: F811
     groups = parity_join.mixed_groups(members, none)
     small = parity_join.verified(parity_join.small_pairs(groups), table, 85)
-    large = parity_join.verified(parity_join.large_pairs(groups, table, 85, False, block=40).distinct(), table, 85)
-    closest = [tuple(r) for r in parity_join.large_pairs(groups, table, 85, True, block=40).collect()]
+    large = parity_join.verified(parity_join.large_pairs(groups, table, 85, block=40).select("a", "b").distinct(), table, 85)
+    closest = parity_join.large_pairs(groups, table, 85, 1, block=40).filter("a IS NOT NULL").count()
+    assert parity_join.large_pairs(groups, table, 85, 1, block=40).filter("more = 7").count()
+    assert not parity_join.large_pairs(groups, table, 85, 150).filter("more IS NOT NULL").count()
     want = {tuple(sorted((keys[a], keys[b]))) for a, b in brute_links([t for _, t in rows])[1] if keys[a] != keys[b]}
     assert {tuple(r) for r in small.collect()} == {tuple(r) for r in large.collect()} == want and len(want) > 100
-    assert 0 < len(closest) <= 4 * len(rows)
+    assert 0 < closest <= 4 * len(rows)
 
 
 def test_join_of_odd_rows(spark, odd, none, monkeypatch):  # noqa: F811
