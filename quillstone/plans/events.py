@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import TableStore
+from ..scratch import scratch_path
 from ..sources import records as S
 from ..sources import sinks
+from ..streaming import processors as P
 from ..streaming import state as J
 from .views import JOB_EVENTS, PAPERS, TOPIC_PAPERS, job_events, papers, table, topic_papers
 
@@ -89,13 +88,8 @@ def result_json(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.result_json(_reports(spark, sf).select("topic_id", "status", "papers", "gaps"))
 
 
-def _out(spark: SparkSession, tag: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-") + f"/{tag}"
-
-
 def artefacts(spark: SparkSession, sf: str) -> DataFrame:
-    path = _out(spark, "artefacts")
+    path = scratch_path(spark, "artefacts")
     sinks.write_text(_reports(spark, sf), "markdown", path)
     return spark.read.text(path, lineSep="\n\f\n").select("topic_id", F.col("value").alias("markdown"))
 
@@ -109,19 +103,73 @@ def stage_events(spark: SparkSession, sf: str) -> DataFrame:
 _STAGE = "s AS (SELECT user_id AS run_id, event_type AS stage, CASE WHEN event_id % 5 = 0 THEN 'failed' WHEN event_id % 2 = 0 THEN 'started' ELSE 'completed' END AS kind, ts, event_id FROM events)"
 
 
+def _followed(spark: SparkSession, events: DataFrame, key: str, processor: P.StatefulProcessor, rows: str) -> str:
+    """The events as a file stream in four micro-batches by time, every tenth event twice; the folder of what was written."""
+    src, out, checkpoint = (scratch_path(spark, t) for t in ("events", "state", "offsets"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    part = F.least(F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) * 4 / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)) + 1)), F.lit(3))
+    for k in range(4):
+        own = events.filter(part == k)
+        own.unionByName(own.filter("event_id % 10 = 0")).coalesce(1).write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(src)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
+    J.follow(spark, src, schema, key, processor, rows, out, checkpoint, files=1).awaitTermination()
+    return out
+
+
+def _jobs(spark: SparkSession, sf: str) -> str:
+    e = job_events(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "job_id", "kind", F.col("props").alias("error"))
+    clear = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.to_timestamp(F.lit(_CLEARED)).alias("ts"), F.lit(-1).cast("long").alias("job_id"), F.lit("cleared").alias("kind"), F.lit(None).cast("string").alias("error"))
+    return _followed(spark, e.unionByName(clear), "job_id", P.JobProcessor(), P.JOB_ROWS)
+
+
 def job_state(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as a file stream in several micro-batches; the state after the last."""
-    src, out, ck = (_out(spark, t) for t in ("events", "state", "offsets"))
-    e = job_events(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "job_id", "kind")
-    e.unionByName(e.filter("event_id % 10 = 0")).repartitionByRange(4, "event_id").write.json(src)
-    J.follow(spark, src, "event_id long, ts timestamp, job_id long, kind string", J.job_state, out, ck).awaitTermination()
-    return J.current_state(spark, out).select("job_id", "attempts", "failures", "retries", "state")
+    """J1 as a stream: the state after the last batch."""
+    rows = J.written_rows(spark, _jobs(spark, sf), P.JOB_ROWS, "state")
+    return J.current_rows(rows, "job_id").select("job_id", "attempts", "failures", "retries", "state")
 
 
 def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
-    return J.dead_letters(job_events(spark, sf)).select("job_id", "event_id")
+    """J1 as a stream: the failures that killed jobs."""
+    dead = J.written_rows(spark, _jobs(spark, sf), P.JOB_ROWS, "dead")
+    return dead.select("job_id", "event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "error")
+
+
+def dead_letters_batch(spark: SparkSession, sf: str) -> DataFrame:
+    return J.dead_letters(job_events(spark, sf).withColumn("error", F.col("props"))).select("job_id", "event_id", "ts", "error")
+
+
+def stuck_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """J2 as a stream: every delivery after which its job was silent for 11 minutes."""
+    return J.written_rows(spark, _jobs(spark, sf), P.JOB_ROWS, "stuck").select("job_id", "event_id")
+
+
+def queue_depth_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return J.depth_after(spark, _jobs(spark, sf), P.JOB_ROWS)
+
+
+def latest_status_stream(spark: SparkSession, sf: str) -> DataFrame:
+    e = job_events(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("job_id").alias("key"), "kind")
+    out = _followed(spark, e, "key", P.StatusProcessor(), P.STATUS_ROWS)
+    return J.current_statuses(spark, out, P.STATUS_ROWS).select(F.col("key").alias("job_id"), "kind", "event_id")
+
+
+def _runs(spark: SparkSession, sf: str) -> str:
+    stage = F.element_at(F.array(*[F.lit(n) for n, _ in J.STAGES]), (F.col("event_id") % 7 + 1).cast("int"))
+    e = stage_events(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "run_id", stage.alias("stage"), "kind", F.concat(F.lit("fault "), F.col("event_id").cast("string")).alias("error"))
+    return _followed(spark, e, "run_id", P.RunProcessor(dict(J.STAGES)), P.RUN_ROWS)
+
+
+def stage_stream(spark: SparkSession, sf: str) -> DataFrame:
+    rows = J.written_rows(spark, _runs(spark, sf), P.RUN_ROWS, "stage")
+    return J.current_rows(rows, "run_id", "stage").select("run_id", "stage", "status", "attempt", "failures", "error")
+
+
+def topic_stream(spark: SparkSession, sf: str) -> DataFrame:
+    rows = J.written_rows(spark, _runs(spark, sf), P.RUN_ROWS, "topic")
+    return J.current_rows(rows, "run_id").select("run_id", "stage", "status", "progress", "error")
 
 
+_CLEARED = "2024-01-15 00:00:00"
 _NOW = "2024-01-30 00:00:00"
 
 
@@ -156,7 +204,7 @@ def pipeline_run(spark: SparkSession, sf: str) -> DataFrame:
 
 def stage_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Two stages through the table store, run twice under one run id: the second run repeats nothing."""
-    store = TableStore(spark, _out(spark, "run"))
+    store = TableStore(spark, scratch_path(spark, "run"))
     stages = [("kept", lambda t: t["papers"].filter("year > 2005")), ("counted", lambda t: t["kept"].groupBy("year").agg(F.count("*").alias("n")))]
     tables = {"papers": papers(spark, sf)}
     first = J.run_pipeline(stages, tables, store, "r1")
@@ -170,7 +218,10 @@ def replay(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _JOB = """p AS (SELECT job_id, count(*) FILTER (WHERE kind = 'failed') AS failures, count(*) FILTER (WHERE kind = 'delivered') AS attempts, arg_max(kind, (ts, event_id)) AS last, max(ts) AS last_seen FROM job_events GROUP BY 1),
-j AS (SELECT *, least(failures, 3) AS retries, CASE WHEN failures > 3 THEN 'dead' WHEN last = 'completed' THEN 'done' WHEN last = 'delivered' THEN 'processing' ELSE 'queued' END AS state FROM p)"""
+j AS (SELECT *, least(failures, 3) AS retries, CASE WHEN failures >= 3 THEN 'dead' WHEN last = 'completed' THEN 'done' WHEN last = 'delivered' THEN 'processing' ELSE 'queued' END AS state FROM p)"""
+_STAGES = "s AS (SELECT event_id, ts, user_id AS run_id, event_id % 7 AS i, [" + ", ".join(f"'{n}'" for n, _ in J.STAGES) + "][event_id % 7 + 1] AS stage, CASE WHEN event_id % 5 = 0 THEN 'failed' WHEN event_id % 2 = 0 THEN 'started' ELSE 'completed' END AS kind FROM events)"
+_MARK = "w AS (SELECT epoch_ms(max(ts)) - 600000 AS mark FROM events)"
+_DEAD = "dead AS (SELECT job_id, event_id, ts, props AS error FROM job_events WHERE kind = 'failed' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) = 3)"
 _RUN = ", ".join(f"'{s}'" for s, _ in J.STAGES)
 _USE = "length(translate(text, ' ' || chr(9) || chr(13) || chr(10) || '#*_`-', ''))"
 QUERIES = {
@@ -186,10 +237,16 @@ QUERIES = {
     "result_json": (result_json, f"WITH {TOPIC_PAPERS}, t AS (SELECT topic_id, string_agg(paper_id::VARCHAR, ',' ORDER BY paper_id) AS p FROM topic_papers GROUP BY 1) SELECT topic_id, '{{\"topic_id\":\"' || topic_id || '\",\"status\":\"completed\",\"papers\":[' || p || '],\"gaps\":[]}}' AS document FROM t WHERE topic_id <> 'src7'"),
     "artefacts": (artefacts, "SELECT DISTINCT source AS topic_id, '# Report ' || source AS markdown FROM documents WHERE source <> 'src7'"),
     "job_state": (job_state, f"WITH {JOB_EVENTS}, {_JOB} SELECT job_id, attempts, failures, retries, state FROM j"),
-    "dead_letters": (dead_letters, f"WITH {JOB_EVENTS} SELECT job_id, event_id FROM job_events WHERE kind = 'failed' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) = 4"),
+    "dead_letters": (dead_letters, f"WITH {JOB_EVENTS}, {_DEAD} SELECT * FROM dead"),
+    "dead_letters_batch": (dead_letters_batch, f"WITH {JOB_EVENTS}, {_DEAD} SELECT * FROM dead"),
+    "stuck_stream": (stuck_stream, f"WITH {JOB_EVENTS}, {_MARK}, n AS (SELECT job_id, event_id, kind, epoch_ms(ts) AS ms, lead(epoch_ms(ts)) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS nxt FROM job_events) SELECT job_id, event_id FROM n, w WHERE kind = 'delivered' AND coalesce(nxt, mark) > ms + 660000"),
+    "queue_depth_stream": (queue_depth_stream, f"WITH {JOB_EVENTS}, {_JOB}, {_DEAD} SELECT count(*) FILTER (WHERE state = 'queued') AS ready, count(*) FILTER (WHERE state = 'processing') AS processing, (SELECT count(*) FROM dead WHERE ts > TIMESTAMP '{_CLEARED}') AS dead FROM j"),
+    "latest_status_stream": (latest_status_stream, f"WITH {JOB_EVENTS}, {_MARK}, l AS (SELECT job_id, arg_max(kind, (ts, event_id)) AS kind, arg_max(event_id, (ts, event_id)) AS event_id, epoch_ms(max(ts)) AS ms FROM job_events GROUP BY 1) SELECT job_id, kind, event_id FROM l, w WHERE ms + 86400000 > mark"),
+    "stage_stream": (stage_stream, f"WITH {_STAGES} SELECT run_id, stage, arg_max(CASE kind WHEN 'started' THEN 'running' ELSE kind END, (ts, event_id)) AS status, count(*) FILTER (WHERE kind IN ('started', 'failed')) AS attempt, count(*) FILTER (WHERE kind = 'failed') AS failures, nullif(arg_max(CASE WHEN kind = 'failed' THEN 'fault ' || event_id ELSE '' END, (ts, event_id)), '') AS error FROM s GROUP BY run_id, stage"),
+    "topic_stream": (topic_stream, f"WITH {_STAGES}, l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1) SELECT run_id, stage, CASE WHEN kind = 'failed' THEN 'failed' WHEN kind = 'completed' AND i = 6 THEN 'completed' ELSE 'processing' END AS status, CASE WHEN kind = 'completed' AND i = 6 THEN 1.0 ELSE [{', '.join(str(m) for _, m in J.STAGES)}][i + 1] END::DOUBLE AS progress, CASE WHEN kind = 'failed' THEN 'fault ' || event_id END AS error FROM l"),
     "stuck_jobs": (stuck_jobs, f"WITH {JOB_EVENTS}, {_JOB} SELECT job_id FROM j WHERE last = 'delivered' AND last_seen < TIMESTAMP '{_NOW}' - INTERVAL 11 MINUTE"),
-    "stage_state": (stage_state, f"WITH {_STAGE} SELECT run_id, stage, count(*) FILTER (WHERE kind = 'started') AS attempt, arg_max(kind, (ts, event_id)) AS status, count(*) FILTER (WHERE kind = 'failed') AS failures FROM s GROUP BY ALL"),
-    "queue_depth": (queue_depth, f"WITH {JOB_EVENTS}, p AS (SELECT job_id, count(*) FILTER (WHERE kind = 'enqueued') AS e, count(*) FILTER (WHERE kind = 'delivered') AS d, count(*) FILTER (WHERE kind = 'completed') AS c, count(*) FILTER (WHERE kind = 'failed') AS f FROM job_events GROUP BY 1) SELECT sum(greatest(e - d, 0))::BIGINT AS ready, sum(greatest(d - c - f, 0))::BIGINT AS processing, count(*) FILTER (WHERE f > 3) AS dead FROM p"),
+    "stage_state": (stage_state, f"WITH {_STAGE} SELECT run_id, stage, count(*) FILTER (WHERE kind IN ('started', 'failed')) AS attempt, arg_max(kind, (ts, event_id)) AS status, count(*) FILTER (WHERE kind = 'failed') AS failures FROM s GROUP BY ALL"),
+    "queue_depth": (queue_depth, f"WITH {JOB_EVENTS}, p AS (SELECT job_id, count(*) FILTER (WHERE kind = 'enqueued') AS e, count(*) FILTER (WHERE kind = 'delivered') AS d, count(*) FILTER (WHERE kind = 'completed') AS c, count(*) FILTER (WHERE kind = 'failed') AS f FROM job_events GROUP BY 1) SELECT sum(greatest(e - d, 0))::BIGINT AS ready, sum(greatest(d - c - f, 0))::BIGINT AS processing, count(*) FILTER (WHERE f >= 3) AS dead FROM p"),
     "latest_status": (latest_status, f"WITH {JOB_EVENTS} SELECT job_id, arg_max(kind, (ts, event_id)) AS kind, arg_max(event_id, (ts, event_id)) AS event_id FROM job_events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '{_NOW}' - INTERVAL 24 HOUR"),
     "status_stream": (status_stream, f"WITH {JOB_EVENTS} SELECT job_id, arg_max(kind, (ts, event_id)) AS kind, 0 AS sequence FROM job_events WHERE event_id < 5000 GROUP BY 1 UNION ALL SELECT job_id, kind, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id)::INT FROM job_events WHERE event_id >= 5000"),
     "pipeline_run": (pipeline_run, f"WITH e AS (SELECT user_id * 10 + event_id % 10 AS run_id, (event_id % 7)::INT AS i, event_id % 29 = 0 AS bad FROM events WHERE event_id % 23 < 9), g AS (SELECT DISTINCT run_id FROM e), x AS (SELECT g.run_id, s.i FROM g, (SELECT unnest(range(7))::INT AS i) s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.run_id = g.run_id AND e.i = s.i AND NOT bad)), m AS (SELECT run_id, min(i) AS i FROM x GROUP BY 1), b AS (SELECT DISTINCT run_id FROM e WHERE bad) SELECT g.run_id, [{_RUN}][m.i + 1] AS stage, coalesce([{', '.join(str(m) for _, m in J.STAGES)}][m.i + 1], 1.0)::DOUBLE AS progress, CASE WHEN m.i IS NULL THEN 'completed' WHEN b.run_id IS NOT NULL THEN 'failed' ELSE 'processing' END AS status FROM g LEFT JOIN m USING (run_id) LEFT JOIN b USING (run_id)"),

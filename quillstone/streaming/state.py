@@ -1,7 +1,8 @@
 """Job and stage state over event logs (J1-J8), as batch plans and as Structured Streaming queries.
 
-The events carry what the state needs, so state is kept by grouped maxima and counts. A streaming query upserts the
-groups that a micro-batch touches in ``foreachBatch``; replayed events are dropped first.
+The events carry what the state needs, so batch plans are grouped maxima and counts. A streaming query keeps the state of
+each key in the state store (``processors``) and writes the rows that a micro-batch changed under the batch's number, so a
+repeated batch changes nothing; replayed events are dropped first.
 """
 
 from __future__ import annotations
@@ -10,31 +11,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 TERMINAL = ["completed", "failed"]
 
 
 def distinct_events(events: DataFrame) -> DataFrame:
-    """Each event once; on a stream the watermark bounds what is remembered."""
+    """Each event once; on a stream its watermark bounds what is remembered."""
     if events.isStreaming:
-        return events.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
+        return events.dropDuplicatesWithinWatermark(["event_id"])
     return events.dropDuplicates(["event_id"])
 
 
 def job_state(events: DataFrame, max_retries: int = 3) -> DataFrame:
-    """Per job its attempts, retries and state. A failure is retried ``max_retries`` times, then the job is dead; a
-    completion removes it. Associative counts and the last event, so partial results combine."""
+    """Per job its attempts, retries and state. The failure number ``max_retries`` is the last, after it the job is dead;
+    a completion removes it. Associative counts and the last event, so partial results combine."""
     last = F.max_by("kind", F.struct("ts", "event_id"))
     per = events.groupBy("job_id").agg(F.count_if(F.col("kind") == "failed").alias("failures"), F.count_if(F.col("kind") == "delivered").alias("attempts"), F.count_if(F.col("kind") == "completed").alias("completions"), last.alias("last"), F.max("ts").alias("last_seen"))
-    state = F.when(F.col("failures") > max_retries, "dead").when(F.col("last") == "completed", "done").when(F.col("last") == "delivered", "processing").otherwise("queued")
+    state = F.when(F.col("failures") >= max_retries, "dead").when(F.col("last") == "completed", "done").when(F.col("last") == "delivered", "processing").otherwise("queued")
     return per.withColumn("retries", F.least("failures", F.lit(max_retries))).withColumn("state", state)
 
 
 def dead_letters(events: DataFrame, max_retries: int = 3) -> DataFrame:
-    """The failure that killed each dead job."""
+    """The failure that killed each dead job, with its error and time."""
     n = F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "event_id"))
-    return events.filter("kind = 'failed'").withColumn("n", n).filter(F.col("n") == max_retries + 1).select("job_id", "event_id", "ts")
+    return events.filter("kind = 'failed'").withColumn("n", n).filter(F.col("n") == max_retries).select("job_id", "event_id", "ts", "error")
 
 
 def stuck_jobs(events: DataFrame, now: object, idle_ms: int) -> DataFrame:
@@ -44,8 +45,9 @@ def stuck_jobs(events: DataFrame, now: object, idle_ms: int) -> DataFrame:
 
 
 def stage_state(events: DataFrame) -> DataFrame:
-    """``(run_id, stage, kind started|completed|failed, ts, event_id)`` -> current row with attempts."""
-    return events.groupBy("run_id", "stage").agg(F.count_if(F.col("kind") == "started").alias("attempt"), F.max_by("kind", F.struct("ts", "event_id")).alias("status"), F.count_if(F.col("kind") == "failed").alias("failures"))
+    """``(run_id, stage, kind started|completed|failed, ts, event_id)`` -> current row with attempts. A failure is
+    recorded as a start that failed, so it counts as an attempt too."""
+    return events.groupBy("run_id", "stage").agg(F.count_if(F.col("kind").isin("started", "failed")).alias("attempt"), F.max_by("kind", F.struct("ts", "event_id")).alias("status"), F.count_if(F.col("kind") == "failed").alias("failures"))
 
 
 def queue_depth(events: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def queue_depth(events: DataFrame) -> DataFrame:
     per = events.groupBy("job_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("enqueued", "delivered", "completed", "failed")])
     waiting = F.greatest(F.col("enqueued") - F.col("delivered"), F.lit(0))
     active = F.greatest(F.col("delivered") - F.col("completed") - F.col("failed"), F.lit(0))
-    return per.agg(F.sum(waiting).alias("ready"), F.sum(active).alias("processing"), F.count_if(F.col("failed") > 3).alias("dead"))
+    return per.agg(F.sum(waiting).alias("ready"), F.sum(active).alias("processing"), F.count_if(F.col("failed") >= 3).alias("dead"))
 
 
 def latest_status(events: DataFrame, key: str, now: object, ttl_hours: int = 24) -> DataFrame:
@@ -100,21 +102,55 @@ def run_pipeline(stages: list[tuple[str, Callable[[dict[str, DataFrame]], DataFr
     return ran
 
 
-def follow(spark: SparkSession, path: str, schema: str, state: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Follow a folder of JSON events: new events are appended without repeats to ``out``/events, and ``state`` over the keys
-    that a batch touches is written to ``out``/state under the batch's number. A repeated batch writes the same again."""
-    stream = spark.readStream.schema(schema).json(path)
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: How far events may be out of order between files.
+DELAY = "10 minutes"
 
-    def update(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/events/batch={number}")
-        seen = spark.read.parquet(f"{out}/events").filter(F.col("batch") <= number)
-        touched = seen.join(batch.select("job_id").distinct(), "job_id", "left_semi").drop("batch")
-        state(distinct_events(touched)).write.mode("overwrite").parquet(f"{out}/state/batch={number}")
 
-    return distinct_events(stream).writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def batch_writer(out: str) -> Callable[[DataFrame, int], None]:
+    """A micro-batch's rows go to ``out``/batch=<number>, a folder for each ``what``: all its tables in one write, and the same
+    batch again replaces what it wrote."""
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy("what").parquet(f"{out}/batch={number}")
 
-def current_state(spark: SparkSession, out: str, key: str = "job_id") -> DataFrame:
-    """The state of every key after the last batch that touched it."""
-    rows = spark.read.parquet(f"{out}/state")
-    return rows.groupBy(key).agg(F.max_by(F.struct("*"), "batch").alias("r")).select("r.*").drop("batch")
+    return write
+
+
+def follow(spark: SparkSession, path: str, schema: str, key: str, processor: StatefulProcessor, rows: str, out: str, checkpoint: str, files: int = 1000, delay: str = DELAY) -> StreamingQuery:
+    """Follow a folder of JSON events (with ``event_id`` and ``ts``) through a processor whose state is kept by ``key``: each
+    batch reads its own events and the state of their keys. The state store must be RocksDB, which is set for the session."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.createDataFrame([], rows).write.mode("overwrite").partitionBy("what").parquet(f"{out}/batch=-1")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
+    events = distinct_events(stream.withWatermark("ts", delay)).withColumn("us", F.unix_micros("ts"))
+    found = events.groupBy(key).transformWithStateInPandas(processor, rows, "Append", "EventTime")
+    return found.writeStream.foreachBatch(batch_writer(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def written_rows(spark: SparkSession, out: str, rows: str, what: str) -> DataFrame:
+    """All rows of a kind, with the number of their batch."""
+    return spark.read.schema(f"{rows}, batch long").parquet(out).filter(F.col("what") == what).drop("what")
+
+
+def current_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """The row of each key after the last batch that changed it."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct("*"), "batch").alias("r")).select("r.*").drop("batch")
+
+
+def current_statuses(spark: SparkSession, out: str, rows: str) -> DataFrame:
+    """The last event of every key that is still in the store; of a batch that lets a key expire and sets it, the later
+    event counts."""
+    every = spark.read.schema(f"{rows}, batch long").parquet(out)
+    last = every.groupBy("key").agg(F.max_by(F.struct("what", "kind", "event_id", "us"), F.struct("us", "event_id", F.col("what") == "expired")).alias("r"))
+    return last.select("key", "r.*").filter("what = 'set'").drop("what")
+
+
+def depth_after(spark: SparkSession, out: str, rows: str) -> DataFrame:
+    """Ready, processing and dead jobs, from what each batch added; dead letters before the last clearing are gone."""
+    states = written_rows(spark, out, rows, "state").agg(F.coalesce(F.sum("ready"), F.lit(0)).alias("ready"), F.coalesce(F.sum("processing"), F.lit(0)).alias("processing"))
+    kinds = written_rows(spark, out, rows, "clear").select("us", F.lit(1).alias("clear")).unionByName(written_rows(spark, out, rows, "dead").select("us", F.lit(0).alias("clear")))
+    cleared = F.coalesce(F.max(F.when(F.col("clear") == 1, F.col("us"))), F.lit(-(1 << 62)))
+    last = kinds.agg(cleared.alias("cleared"))
+    dead = kinds.filter("clear = 0").join(last.hint("broadcast"), F.col("us") > F.col("cleared")).agg(F.count("*").alias("dead"))
+    return states.join(dead.hint("broadcast"))
