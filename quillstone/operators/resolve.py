@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identity_keys, normalize_arxiv_id, normalize_doi, normalize_title, title_year_key
+from ..scratch import written
 from .graph import stars
 
 FILLED = ["id", "title", "abstract", "url", "pdf_url", "external_id", "year", "venue", "doi", "arxiv_id"]
@@ -53,21 +54,56 @@ def shared_author(a: Column, b: Column) -> Column:
     return F.coalesce(F.arrays_overlap(names(a), names(b)), F.lit(False))
 
 
-def block_keys(records: DataFrame) -> DataFrame:
-    """``(topic_id, ordinal, key)``: a superset of everything by which two records can ever match."""
-    kinds = {"d": normalize_doi(F.col("doi")), "a": normalize_arxiv_id(F.col("arxiv_id")), "e": F.lower(F.trim(F.coalesce("external_id", F.lit("")))), "t": normalize_title(F.col("title"))}
-    keys = F.filter(F.array(*[F.when(v != "", F.concat(F.lit(k + ":"), v)) for k, v in kinds.items()]), lambda x: x.isNotNull())
-    return records.select("topic_id", "ordinal", F.explode(keys).alias("key"))
+#: Groups of records with one identity up to this size are folded in order by one task; larger ones are merged by Spark.
+FOLD_ROWS = 10_000
+
+
+def _identities(records: DataFrame) -> DataFrame:
+    """Each record's node and the values that its identities are made of."""
+    names = F.array_distinct(F.filter(F.transform(F.coalesce("authors", F.array().cast("array<struct<name:string,author_id:string>>")), lambda x: normalize_title(x["name"])), lambda n: n != ""))
+    lower = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return records.select("topic_id", "ordinal", F.xxhash64(F.lit("record"), "topic_id", "ordinal").alias("node"), normalize_doi(F.col("doi")).alias("d"), normalize_arxiv_id(F.col("arxiv_id")).alias("a"), lower("source").alias("s"), lower("external_id").alias("e"), normalize_title(F.col("title")).alias("t"), F.coalesce("year", F.lit(0)).alias("y"), names.alias("names"))
+
+
+def _key(kind: str, *parts: str) -> Column:
+    return F.xxhash64(F.lit(kind), "topic_id", *parts)
+
+
+def _derived(labels: DataFrame) -> DataFrame:
+    """``(component, key)``: all (title, year, author) that a paper merged from some of a component's records can have, and the
+    (source, external id) where one lacks the latter."""
+    titles = labels.filter("t != ''").select("topic_id", "component", "t").distinct()
+    years = labels.filter("y > 0").select("component", "y").distinct()
+    names = labels.select("component", F.explode("names").alias("n")).distinct()
+    works = titles.join(years.hint("merge"), "component").join(names.hint("merge"), "component").select("component", _key("work", "t", "y", "n").alias("key"))
+    bare = labels.filter("e = ''").select("component").distinct()
+    source = labels.join(bare.hint("merge"), "component", "left_semi")
+    ids = source.select("topic_id", "component", "s").distinct().join(source.filter("e != ''").select("component", "e").distinct().hint("merge"), "component")
+    return works.unionByName(ids.select("component", _key("source", "s", "e").alias("key"))).distinct()
 
 
 def components(records: DataFrame) -> DataFrame:
-    """``(topic_id, ordinal, component)``: records that share block keys, directly or through others. Links go from a
-    record to its key, so a common key costs one link per record, never one per pair."""
-    node = F.xxhash64(F.lit("record"), "topic_id", "ordinal")
-    keyed = block_keys(records).select("topic_id", "ordinal", node.alias("a"), F.xxhash64(F.lit("key"), "topic_id", "key").alias("b"))
-    star = stars(keyed.select("a", "b"))
-    own = records.select("topic_id", "ordinal", node.alias("a")).join(star.hint("merge"), "a", "left")
-    return own.select("topic_id", "ordinal", F.coalesce("b", "a").alias("component"))
+    """``(topic_id, ordinal, component)``: records that the loop can ever bring together, directly or through others.
+
+    First by what records themselves share: DOI, arXiv id, (source, external id), or (title, year, author). A paper merged
+    from several records may also have the title of one, the year of another and the author of a third, so components are
+    then joined by all such combinations until no two share one. Links go from a record to its key, so a common key costs
+    one link per record; a title alone links nothing.
+    """
+    own = written(_identities(records), "identities")
+    strong = F.filter(F.array(F.when(F.col("d") != "", _key("doi", "d")), F.when(F.col("a") != "", _key("arxiv", "a")), F.when(F.col("e") != "", _key("source", "s", "e"))), lambda x: x.isNotNull())
+    works = F.when((F.col("t") != "") & (F.col("y") > 0), F.transform("names", lambda n: F.xxhash64(F.lit("work"), "topic_id", "t", "y", n))).otherwise(F.array().cast("array<bigint>"))
+    star = stars(own.select(F.col("node").alias("a"), F.explode(F.concat(strong, works)).alias("b")))
+    labels = own.join(star.select(F.col("a").alias("node"), "b").hint("merge"), "node", "left").withColumn("component", F.coalesce("b", "node")).drop("b")
+    while True:
+        labels = written(labels, "labels")
+        keys = written(_derived(labels), "derived-keys")
+        shared = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+        links = written(keys.join(shared.hint("merge"), "key").select(F.col("component").alias("a"), F.col("lo").alias("b")).filter("a != b").distinct(), "bridges")
+        if not links.limit(1).count():
+            return labels.select("topic_id", "ordinal", "component")
+        star = stars(links).select(F.col("a").alias("component"), "b")
+        labels = labels.join(star.hint("merge"), "component", "left").withColumn("component", F.coalesce("b", "component")).drop("b")
 
 
 def _title(text: str | None) -> str:
@@ -103,7 +139,7 @@ def merge_pair(first: dict, second: dict) -> dict:
 
 
 def reconcile_in_order(records: list[dict]) -> list[dict]:
-    """The order-dependent resolution of one component. Small by construction: it runs once per component."""
+    """The order-dependent resolution of one component."""
     papers: list[dict] = []
     by_key: dict[str, int] = {}
     by_title: dict[str, list[int]] = {}
@@ -134,27 +170,55 @@ def reconcile_in_order(records: list[dict]) -> list[dict]:
     return papers
 
 
-def reconcile(records: DataFrame) -> DataFrame:
+def merge_in_order(records: DataFrame) -> DataFrame:
+    """C6 for whole components that are one paper: every field is the first that is not empty, authors are those of the first
+    record that has any, with ids and further names from the later ones. By grouped aggregates, so of any size."""
+    some = lambda c: F.when(~F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0"), F.col("ordinal"))
+    first = lambda c: F.when(F.count(some(c)) > 0, F.min_by(c, some(c))).otherwise(F.max_by(c, "ordinal")).alias(c)
+    merged = records.groupBy("topic_id", "component").agg(F.min("ordinal").alias("ordinal"), F.min_by("source", "ordinal").alias("source"), *[first(c) for c in FILLED])
+    listed = records.filter(F.size("authors") > 0)
+    base = listed.groupBy("component").agg(F.min("ordinal").alias("base"))
+    entries = listed.select("component", "ordinal", F.posexplode("authors").alias("pos", "x")).join(base.hint("merge"), "component")
+    entries = entries.select("component", F.struct("ordinal", "pos").alias("at"), (F.col("ordinal") == F.col("base")).alias("own"), "x.name", "x.author_id", normalize_title(F.col("x.name")).alias("key"))
+    later = F.when(~F.col("own") & (F.coalesce("author_id", F.lit("")) != ""), F.col("at"))
+    named = entries.filter("key != ''").groupBy("component", "key").agg(F.min("at").alias("at"), F.min_by("name", "at").alias("name"), F.min_by("author_id", "at").alias("author_id"), F.min_by("author_id", later).alias("later"), F.max(F.when(F.col("own"), F.col("at"))).alias("last_own"))
+    filled = lambda: F.when(F.coalesce("author_id", F.lit("")) == "", F.coalesce("later", "author_id")).otherwise(F.col("author_id"))
+    places = named.select("component", F.col("last_own").alias("at"), "later").filter("at IS NOT NULL")
+    kept = entries.filter("own").select("component", "at", "name", "author_id").join(places.hint("merge"), ["component", "at"], "left").select("component", "at", "name", filled().alias("author_id"))
+    added = named.filter("last_own IS NULL").select("component", "at", "name", filled().alias("author_id"))
+    lists = kept.unionByName(added).groupBy("component").agg(F.array_sort(F.collect_list(F.struct("at", "name", "author_id"))).alias("x"))
+    authors = lists.select("component", F.transform("x", lambda x: F.struct(x["name"].alias("name"), x["author_id"].alias("author_id"))).alias("authors"))
+    none = F.array().cast("array<struct<name:string,author_id:string>>")
+    return merged.join(authors.hint("merge"), "component", "left").withColumns({"authors": F.coalesce("authors", none), "year": F.coalesce("year", F.lit(0))})
+
+
+def reconcile(records: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """C4: one row per paper, in the order in which each was first seen (``ordinal``).
 
-    Components are found by distributed joins; those of one record pass through untouched and only the others are folded,
-    each by itself.
+    Components are found by joins on true identities. Those of one record pass through untouched. A component of more than
+    ``fold_rows`` records that all have the same first identity is one paper whatever the order, and is merged by
+    aggregates; the others are folded in order, each by itself.
     """
-    own = records.join(components(records).hint("merge"), ["topic_id", "ordinal"])
-    n = own.groupBy("component").agg(F.count("*").alias("_n"))
-    sized = own.join(n.hint("merge"), "component")
-    alone = sized.filter("_n = 1").select(*records.columns)
+    labels = components(records)
+    keys = records.select("topic_id", "ordinal", normalize_doi(F.col("doi")).alias("d"), normalize_arxiv_id(F.col("arxiv_id")).alias("x"), F.lower(F.trim("source")).alias("s"), F.lower(F.trim(F.coalesce("external_id", F.lit("")))).alias("e"))
+    identity = F.when(F.col("d") != "", F.concat(F.lit("d:"), "d")).when(F.col("x") != "", F.concat(F.lit("a:"), "x")).when(F.col("e") != "", F.concat(F.lit("s:"), "s", F.lit(":"), "e"))
+    named = labels.join(keys.select("topic_id", "ordinal", identity.alias("_i")).hint("merge"), ["topic_id", "ordinal"])
+    n = named.groupBy("component").agg(F.count("*").alias("_n"), (F.count("_i") == F.count("*")).alias("_all"), (F.min("_i") == F.max("_i")).alias("_same"))
+    sized = n.select("component", "_n", (F.coalesce(F.col("_all") & F.col("_same"), F.lit(False)) & (F.col("_n") > fold_rows)).alias("_one"))
+    own = records.join(labels.hint("merge"), ["topic_id", "ordinal"]).join(sized.hint("merge"), "component")
+    alone = own.filter("_n = 1").select(*records.columns)
+    merged = merge_in_order(own.filter("_one")).select(*records.columns)
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ordinal")
-        rows = frame.drop(columns=["component", "_n"]).to_dict("records")
+        rows = frame.drop(columns=["component", "_n", "_one"]).to_dict("records")
         for r in rows:
             r["authors"] = [dict(a) for a in (r["authors"] if r["authors"] is not None else [])]
             r["year"] = 0 if pd.isna(r["year"]) else int(r["year"])
-        return pd.DataFrame(reconcile_in_order(rows), columns=[c for c in frame.columns if c not in ("component", "_n")])
+        return pd.DataFrame(reconcile_in_order(rows), columns=[c for c in frame.columns if c not in ("component", "_n", "_one")])
 
-    many = sized.filter("_n > 1").groupBy("component").applyInPandas(fold, records.schema)
-    return alone.unionByName(many)
+    many = own.filter("_n > 1 AND NOT _one").groupBy("component").applyInPandas(fold, records.schema)
+    return alone.unionByName(many).unionByName(merged)
 
 
 def reconcile_closure(records: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Keyed upserts, deletes, table rules and versioned tables.
 
 An upsert is a new table version from the old one and a delta: a full outer join on the key with one rule per column.
-A delta's repeated keys are reduced to the last row first, since rows are applied in order.
+Rows of a delta with the same key are applied in order.
 """
 
 from __future__ import annotations
@@ -31,27 +31,47 @@ def keep_old(old: Column, new: Column, was: Column, has: Column) -> Column:
 ORDER = "ordinal"
 
 
-def last_per_key(delta: DataFrame, keys: list[str], order: str = ORDER) -> DataFrame:
-    """The last row of each key by ``order``; ties, and deltas without that column, go by a hash of the row."""
+def _order(delta: DataFrame, order: str) -> Column:
     ties = F.xxhash64(*[F.col(f"`{c}`") for c in delta.columns])
-    by = [F.desc_nulls_last(order)] if order in delta.columns else []
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*by, ties))
+    return F.struct(F.col(f"`{order}`"), ties) if order in delta.columns else F.struct(ties)
+
+
+def _unordered(n: Column) -> Column:
+    return F.when(n > 1, F.raise_error(F.lit(f"a key repeats in a delta without the column {ORDER}")).cast("int")).otherwise(F.lit(1))
+
+
+def last_per_key(delta: DataFrame, keys: list[str], order: str = ORDER) -> DataFrame:
+    """The last row of each key by ``order``, a null of which is first; rows equal in it go by a hash. Without that column a key must not
+    repeat."""
+    per_key = Window.partitionBy(*keys)
+    n = F.row_number().over(per_key.orderBy(_order(delta, order).desc())) if order in delta.columns else _unordered(F.count("*").over(per_key))
     return delta.withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
+def applied(delta: DataFrame, keys: list[str], order: str = ORDER) -> DataFrame:
+    """``(keys, first, last, varied, _has)``: the first and the last row of each key and, for each column, whether it changed in
+    between. Rows are aggregated in the map tasks, so a hot key is not gathered."""
+    row = F.struct(*[F.col(f"`{c}`") for c in delta.columns if c not in keys])
+    at = _order(delta, order)
+    varied = F.struct(*[(F.min(F.xxhash64(f"`{c}`")) != F.max(F.xxhash64(f"`{c}`"))).alias(c) for c in delta.columns if c not in keys])
+    made = delta.groupBy(*keys).agg(F.min_by(row, at).alias("first"), F.max_by(row, at).alias("last"), varied.alias("varied"), F.count("*").alias("_rows"))
+    return made.withColumn("_has", F.lit(True) if order in delta.columns else _unordered(F.col("_rows")) == 1).drop("_rows")
+
+
 def upsert(old: DataFrame, delta: DataFrame, keys: list[str], rules: dict[str, Rule], default: Rule = overwrite) -> DataFrame:
-    """Old rows, changed and new rows. Of a key's rows in ``delta`` the last one by ``ordinal`` counts; that column is not
-    stored unless ``old`` has it. Both sides are dealt by the key once, for the last rows and the join."""
+    """Old rows, changed and new rows, as if the rows of ``delta`` came one by one in the order of ``ordinal``: a new key takes what is
+    only inserted from its first row and what is overwritten from its last. That column is not stored unless ``old`` has it."""
     left = old.withColumn("_was", F.lit(True)).alias("o")
-    right = last_per_key(delta, keys).withColumn("_has", F.lit(True)).alias("d")
+    right = applied(delta, keys).alias("d")
     on = [F.col(f"o.{k}") == F.col(f"d.{k}") for k in keys]
     joined = left.join(right, on, "full_outer")
     was, has = F.coalesce(F.col("o._was"), F.lit(False)), F.coalesce(F.col("d._has"), F.lit(False))
     out = [F.coalesce(f"o.{k}", f"d.{k}").alias(k) for k in keys]
     for c in old.columns:
         if c not in keys:
-            new = F.col(f"d.{c}") if c in delta.columns else F.lit(None)
-            out.append(rules.get(c, default if c in delta.columns else keep_old)(F.col(f"o.{c}"), new, was, has).alias(c))
+            rule = rules.get(c, default if c in delta.columns else keep_old)
+            new = F.col(f"d.{'first' if rule is keep_old else 'last'}.{c}") if c in delta.columns else F.lit(None)
+            out.append(rule(F.col(f"o.{c}"), new, was, has).alias(c))
     return joined.select(*out).select(*old.columns)
 
 
@@ -90,8 +110,9 @@ EMBEDDING = ["embedded_content_hash", "embedding_provider", "embedding_model", "
 
 
 def upsert_chunks(old: DataFrame, delta: DataFrame) -> DataFrame:
-    """Key (topic, paper, type, index). An unchanged hash keeps status and embedding, else they are reset."""
-    same = F.col("o.content_hash").eqNullSafe(F.col("d.content_hash"))
+    """Key (topic, paper, type, index). A hash that never changed keeps status and embedding, else they are reset, even if the
+    last row has the old hash again."""
+    same = F.col("o.content_hash").eqNullSafe(F.col("d.first.content_hash")) & ~F.col("d.varied.content_hash")
     reset = lambda value: lambda old, new, was, has: F.when(has & ~(was & same), F.lit(value)).otherwise(old)
     rules = {c: reset(None) for c in EMBEDDING if c in old.columns} | {"embedding_status": reset("pending"), "id": keep_old}
     return upsert(old, delta, ["topic_id", "paper_id", "chunk_type", "chunk_index"], rules)
@@ -138,8 +159,10 @@ def upsert_cleanup_tasks(old: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def start_stages(old: DataFrame, started: DataFrame) -> DataFrame:
-    """A new (run, stage) has attempt 1; every other start, within ``started`` too, adds one and resets times and error."""
-    started = started.withColumn("attempt", F.count("*").over(Window.partitionBy("run_id", "stage")))
+    """A new (run, stage) has attempt 1; every other start, within ``started`` too, adds one and resets times and error. Without
+    ``ordinal`` the largest time counts."""
+    last = (lambda c: F.max_by(c, ORDER)) if ORDER in started.columns else F.max
+    started = started.groupBy("run_id", "stage").agg(F.count("*").alias("attempt"), *[last(c).alias(c) for c in started.columns if c not in ("run_id", "stage", "attempt", ORDER)])
     rules: dict[str, Rule] = {
         "attempt": lambda o, n, was, has: F.when(has, F.coalesce(o, F.lit(0)) + n).otherwise(o).cast("int"),
         "status": lambda o, n, was, has: F.when(has, "running").otherwise(o),

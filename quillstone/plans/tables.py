@@ -4,22 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tables as D
 from .views import LINKS, PAPERS, TOPIC_PAPERS, job_events, links, papers, table, topic_papers
 
 
+def _twice(delta: DataFrame, **first: Column) -> DataFrame:
+    """Every row of a delta after an earlier row of the same key with other values."""
+    return delta.withColumns(first).withColumn("ordinal", F.lit(1)).unionByName(delta.withColumn("ordinal", F.lit(2)))
+
+
 def upsert_papers(spark: SparkSession, sf: str) -> DataFrame:
     p = papers(spark, sf).select(F.col("paper_id").alias("id"), "source", "external_id", "title", "venue", "year").withColumn("created_at", F.lit(1))
     new = p.filter("id % 3 = 0").select((F.col("id") + 1_000_000).alias("id"), "source", "external_id", F.reverse("title").alias("title"), F.lit(None).cast("string").alias("venue"), "year", F.lit(2).alias("created_at"))
-    return D.upsert_papers(p.filter("id % 2 = 0"), new)
+    twice = _twice(new, title=F.concat(F.lit("draft "), "title"), id=F.col("id") + 1_000_000, created_at=F.lit(3))
+    return D.upsert_papers(p.filter("id % 2 = 0"), twice)
 
 
 def upsert_memberships(spark: SparkSession, sf: str) -> DataFrame:
     t = topic_papers(spark, sf).select("topic_id", "paper_id", F.lit("a").alias("discovery_source"), "score")
-    return D.upsert_memberships(t.filter("paper_id % 2 = 0"), t.filter("paper_id % 3 = 0").select("topic_id", "paper_id", F.lit("b").alias("discovery_source"), F.lit(None).cast("double").alias("score")))
+    new = t.filter("paper_id % 3 = 0").select("topic_id", "paper_id", F.lit("b").alias("discovery_source"), F.lit(None).cast("double").alias("score"))
+    return D.upsert_memberships(t.filter("paper_id % 2 = 0"), _twice(new, discovery_source=F.lit("c"), score=F.lit(0.25)))
 
 
 def upsert_authors(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,7 +53,8 @@ def chunk_upsert(spark: SparkSession, sf: str) -> DataFrame:
     c = _chunks(spark, sf)
     changed = F.when(F.col("chunk_index") % 2 == 1, F.reverse("text")).otherwise(F.col("text"))
     delta = c.filter("paper_id % 3 = 0").select("id", "topic_id", "paper_id", "chunk_type", "chunk_index", changed.alias("text"), F.sha2(changed, 256).alias("content_hash"))
-    out = D.upsert_chunks(c.filter("paper_id % 2 = 0"), delta)
+    back = F.when(F.col("chunk_index") % 3 == 2, F.lit("other")).otherwise(F.col("content_hash"))  # changed, then changed back
+    out = D.upsert_chunks(c.filter("paper_id % 2 = 0"), _twice(delta, content_hash=back))
     return out.select("paper_id", "chunk_index", "content_hash", "embedding_status", "embedded_content_hash", "qdrant_point_id")
 
 
@@ -71,18 +79,20 @@ def topic_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 def upsert_titled(spark: SparkSession, sf: str) -> DataFrame:
     p = papers(spark, sf).groupBy("topic_id", "title").agg(F.min("paper_id").alias("id"), F.max("year").alias("description"))
-    return D.upsert_titled(p.filter("id % 2 = 0"), p.filter("id % 3 = 0").select("topic_id", "title", (F.col("id") * 10).alias("id"), (F.col("description") + 1).alias("description")))
+    new = p.filter("id % 3 = 0").select("topic_id", "title", (F.col("id") * 10).alias("id"), (F.col("description") + 1).alias("description"))
+    return D.upsert_titled(p.filter("id % 2 = 0"), _twice(new, id=F.col("id") + 5, description=F.lit(0)))
 
 
 def upsert_documents(spark: SparkSession, sf: str) -> DataFrame:
     p = papers(spark, sf).select("paper_id", F.sha2("abstract", 256).alias("pdf_hash"), F.lit("completed").alias("status"))
-    return D.upsert_documents(p.filter("paper_id % 2 = 0"), p.filter("paper_id % 3 = 0").withColumn("status", F.lit("failed")))
+    return D.upsert_documents(p.filter("paper_id % 2 = 0"), _twice(p.filter("paper_id % 3 = 0").withColumn("status", F.lit("failed")), status=F.lit("running")))
 
 
 def upsert_tasks(spark: SparkSession, sf: str) -> DataFrame:
     p = papers(spark, sf).select(F.col("topic_id").alias("collection_name"), F.col("external_id").alias("point_id"), F.lit("old").alias("reason"), F.when(F.col("paper_id") % 4 == 0, "completed").otherwise("failed").alias("status"), F.lit(3).alias("attempts"), F.lit("e").alias("error_message"), "paper_id")
     cols = ["collection_name", "point_id", "reason", "status", "attempts", "error_message"]
-    return D.upsert_cleanup_tasks(p.filter("paper_id % 2 = 0").select(*cols), p.filter("paper_id % 3 = 0").select("collection_name", "point_id", F.lit("new").alias("reason"), F.lit("pending").alias("status")))
+    new = p.filter("paper_id % 3 = 0").select("collection_name", "point_id", F.lit("new").alias("reason"), F.lit("pending").alias("status"))
+    return D.upsert_cleanup_tasks(p.filter("paper_id % 2 = 0").select(*cols), _twice(new, reason=F.lit("older")))
 
 
 def stage_upsert(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,15 +164,15 @@ def tables_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 _OD = "o AS (SELECT *, paper_id AS id FROM papers WHERE paper_id % 2 = 0), d AS (SELECT *, paper_id AS id FROM papers WHERE paper_id % 3 = 0)"
 QUERIES = {
-    "upsert_papers": (upsert_papers, f"WITH {PAPERS} SELECT CASE WHEN paper_id % 2 = 0 THEN paper_id ELSE paper_id + 1000000 END AS id, source, external_id, CASE WHEN paper_id % 3 = 0 THEN reverse(title) ELSE title END AS title, CASE WHEN paper_id % 3 <> 0 THEN venue END AS venue, year, CASE WHEN paper_id % 2 = 0 THEN 1 ELSE 2 END AS created_at FROM papers WHERE paper_id % 2 = 0 OR paper_id % 3 = 0"),
-    "upsert_memberships": (upsert_memberships, f"WITH {TOPIC_PAPERS} SELECT topic_id, paper_id, CASE WHEN paper_id % 3 = 0 THEN 'b' ELSE 'a' END AS discovery_source, CASE WHEN paper_id % 2 = 0 THEN score END AS score FROM topic_papers WHERE paper_id % 2 = 0 OR paper_id % 3 = 0"),
+    "upsert_papers": (upsert_papers, f"WITH {PAPERS} SELECT CASE WHEN paper_id % 2 = 0 THEN paper_id ELSE paper_id + 2000000 END AS id, source, external_id, CASE WHEN paper_id % 3 = 0 THEN reverse(title) ELSE title END AS title, CASE WHEN paper_id % 3 <> 0 THEN venue END AS venue, year, CASE WHEN paper_id % 2 = 0 THEN 1 ELSE 3 END AS created_at FROM papers WHERE paper_id % 2 = 0 OR paper_id % 3 = 0"),
+    "upsert_memberships": (upsert_memberships, f"WITH {TOPIC_PAPERS} SELECT topic_id, paper_id, CASE WHEN paper_id % 3 = 0 THEN 'b' ELSE 'a' END AS discovery_source, CASE WHEN paper_id % 2 = 0 THEN score ELSE 0.25 END AS score FROM topic_papers WHERE paper_id % 2 = 0 OR paper_id % 3 = 0"),
     "upsert_authors": (upsert_authors, "SELECT CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS author_id, CASE WHEN c_custkey % 3 = 0 THEN ' ' || upper(c_name) ELSE c_name END AS name FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0"),
     "linked_authors": (linked_authors, f"WITH {LINKS}, o AS (SELECT paper_id, author_id, position::INT AS position FROM links WHERE author_id % 2 = 0), n AS (SELECT paper_id, author_id, row_number() OVER (PARTITION BY paper_id ORDER BY position * 100000 + author_id) - 1 AS k FROM links WHERE author_id % 3 = 0 AND author_id % 7 <> 0), m AS (SELECT paper_id, max(position) + 1 AS nxt FROM o GROUP BY 1) SELECT * FROM o UNION ALL SELECT n.paper_id, n.author_id, (coalesce(nxt, 0) + k)::INT FROM n LEFT JOIN m USING (paper_id) WHERE n.author_id % 2 <> 0"),
-    "chunk_upsert": (chunk_upsert, f"WITH {_CHUNKS}, c AS (SELECT *, paper_id % 3 = 0 AND chunk_index % 2 = 1 AS changed FROM chunks WHERE paper_id % 2 = 0 OR paper_id % 3 = 0), h AS (SELECT *, sha256(CASE WHEN changed THEN reverse(text) ELSE text END) AS nh, paper_id % 2 = 0 AND (NOT changed OR reverse(text) = text) AS keep FROM c) SELECT paper_id, chunk_index, nh AS content_hash, CASE WHEN keep THEN 'completed' ELSE 'pending' END AS embedding_status, CASE WHEN keep THEN sha256(text) END AS embedded_content_hash, CASE WHEN keep THEN 'p' END AS qdrant_point_id FROM h"),
+    "chunk_upsert": (chunk_upsert, f"WITH {_CHUNKS}, c AS (SELECT *, paper_id % 3 = 0 AND chunk_index % 2 = 1 AS changed FROM chunks WHERE paper_id % 2 = 0 OR paper_id % 3 = 0), h AS (SELECT *, sha256(CASE WHEN changed THEN reverse(text) ELSE text END) AS nh, paper_id % 2 = 0 AND (NOT changed OR reverse(text) = text) AND NOT (paper_id % 3 = 0 AND chunk_index % 3 = 2) AS keep FROM c) SELECT paper_id, chunk_index, nh AS content_hash, CASE WHEN keep THEN 'completed' ELSE 'pending' END AS embedding_status, CASE WHEN keep THEN sha256(text) END AS embedded_content_hash, CASE WHEN keep THEN 'p' END AS qdrant_point_id FROM h"),
     "stale_chunks": (stale_chunks, f"WITH {_CHUNKS} SELECT paper_id, chunk_index FROM chunks WHERE paper_id % 2 <> 0 OR chunk_index < 2"),
     "topic_papers_delete": (topic_papers_delete, f"WITH {LINKS} SELECT DISTINCT o_orderkey AS paper_id FROM orders JOIN links ON paper_id = o_orderkey WHERE author_id % 2 <> 0"),
     "topic_delete": (topic_delete, f"WITH {TOPIC_PAPERS} SELECT paper_id AS id, CASE WHEN paper_id % 2 = 0 AND topic_id NOT IN ('src1', 'src2') THEN paper_id END AS gap_id, 'direction' AS kind FROM topic_papers WHERE paper_id % 3 = 0 UNION ALL SELECT paper_id, NULL, 'gap' FROM topic_papers WHERE paper_id % 2 = 0 AND topic_id NOT IN ('src1', 'src2')"),
-    "upsert_titled": (upsert_titled, f"WITH {PAPERS}, p AS (SELECT topic_id, title, min(paper_id) AS id, max(year) AS description FROM papers GROUP BY 1, 2) SELECT topic_id, title, CASE WHEN id % 2 = 0 THEN id ELSE id * 10 END AS id, CASE WHEN id % 3 = 0 THEN description + 1 ELSE description END AS description FROM p WHERE id % 2 = 0 OR id % 3 = 0"),
+    "upsert_titled": (upsert_titled, f"WITH {PAPERS}, p AS (SELECT topic_id, title, min(paper_id) AS id, max(year) AS description FROM papers GROUP BY 1, 2) SELECT topic_id, title, CASE WHEN id % 2 = 0 THEN id ELSE id * 10 + 5 END AS id, CASE WHEN id % 3 = 0 THEN description + 1 ELSE description END AS description FROM p WHERE id % 2 = 0 OR id % 3 = 0"),
     "upsert_documents": (upsert_documents, f"WITH {PAPERS} SELECT paper_id, sha256(abstract) AS pdf_hash, CASE WHEN paper_id % 3 = 0 THEN 'failed' ELSE 'completed' END AS status FROM papers WHERE paper_id % 2 = 0 OR paper_id % 3 = 0"),
     "upsert_tasks": (upsert_tasks, f"WITH {PAPERS} SELECT topic_id AS collection_name, external_id AS point_id, CASE WHEN paper_id % 3 = 0 THEN 'new' ELSE 'old' END AS reason, CASE WHEN paper_id % 4 = 0 THEN 'completed' WHEN paper_id % 3 = 0 THEN 'pending' ELSE 'failed' END AS status, CASE WHEN paper_id % 2 = 0 THEN 3 ELSE 0 END AS attempts, CASE WHEN paper_id % 3 <> 0 THEN 'e' END AS error_message FROM papers WHERE paper_id % 2 = 0 OR paper_id % 3 = 0"),
     "stage_upsert": (stage_upsert, "WITH e AS (SELECT event_id, user_id AS run_id, CASE event_type WHEN 'click' THEN 'enqueued' WHEN 'view' THEN 'delivered' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'created' END AS stage FROM events), o AS (SELECT run_id, stage, max(event_id) AS m FROM e WHERE event_id % 2 = 0 GROUP BY 1, 2), d AS (SELECT run_id, stage, max(event_id) AS n FROM e WHERE event_id % 3 = 0 GROUP BY 1, 2) SELECT run_id, stage, CASE WHEN n IS NOT NULL THEN 'running' ELSE 'completed' END AS status, CASE WHEN m IS NOT NULL AND n IS NOT NULL THEN 2 ELSE 1 END AS attempt, coalesce(n, m) AS started_at, CASE WHEN n IS NULL THEN m END AS completed_at, CASE WHEN n IS NULL THEN 'x' END AS error_message FROM o FULL JOIN d USING (run_id, stage)"),

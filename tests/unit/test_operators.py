@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from quillstone.operators import reads as R
 from quillstone.operators import resolve as C
 from quillstone.operators import tables as D
 from quillstone.operators import vectors as G
+from quillstone.plans import resolve as plans
 from quillstone.operators.graph import stars
 from quillstone.sources import records as S
 
@@ -19,16 +21,16 @@ def chunks(spark, text, size, overlap):
 
 
 def test_paragraphs(spark):
-    assert chunks(spark, "one two\n\nthree four\n\nfive six", 4, 1) == [("one two\n\nthree four", 4), ("four\n\nfive six", 3)]
-    assert [n for _, n in chunks(spark, "word " * 10, 4, 1)] == [4, 4, 4]
+    assert chunks(spark, "ebb and flood\n\nslack\n \nspring tide rises", 5, 2) == [("ebb and flood\n\nslack", 4), ("flood slack\n\nspring tide rises", 5)]
+    assert [n for _, n in chunks(spark, "salt " * 11, 5, 2)] == [5, 5, 5]
     assert chunks(spark, "a b", 0, 0) == []
     assert chunks(spark, "", 4, 1) == []
 
 
 def test_markdown(spark):
-    md = "# Introduction\n\nsome text\n\n## Methods\n\nmore text\n#\nend"
+    md = "# Harbours\n\nthe quay\n\n## Moorings\n\nropes hold\n#\nfast"
     rows = K.chunk_markdown(spark.createDataFrame([(1, md)], "id int, md string"), "id", "md", 50, 0).orderBy("chunk_index").collect()
-    assert [r["heading"] for r in rows] == ["Introduction", "Methods"]
+    assert [r["heading"] for r in rows] == ["Harbours", "Moorings"]
     assert "#" in rows[1]["text"]
 
 
@@ -67,6 +69,43 @@ def test_components_equal_whole_loop(spark):
     assert [(r["ordinal"], r["doi"], r["arxiv_id"], r["year"]) for r in got] == [(r["ordinal"], r["doi"], r["arxiv_id"], r["year"]) for r in sorted(whole, key=lambda r: r["ordinal"])]
 
 
+def whole_loop(rows):
+    out = []
+    for topic in {r["topic_id"] for r in rows}:
+        own = sorted((r for r in rows if r["topic_id"] == topic), key=lambda r: r["ordinal"])
+        out += C.reconcile_in_order([dict(r, year=r["year"] or 0, authors=[dict(a) for a in r["authors"]]) for r in own])
+    return sorted(out, key=lambda r: (r["topic_id"], r["ordinal"]))
+
+
+def test_sparse_records_equal_the_whole_loop(spark):
+    """Titles, years, authors and ids are often missing, so merged papers get combinations that no record has."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(500):
+        pick = lambda v, p=0.6: v if rng.random() < p else ""
+        authors = [{"name": rng.choice(["Ann", "Bo", "ann ", "", "Cy"]), "author_id": pick(f"i{k}", 0.3) or None} for _ in range(rng.randrange(3))]
+        rows.append(record(k, rng.choice(["semantic_scholar", "arxiv"]), title=pick(f"title {rng.randrange(25)}"), year=rng.choice([0, 2020, 2021]), doi=pick(f"10.1/{rng.randrange(120)}", 0.3), arxiv_id=pick(f"24.{rng.randrange(120)}", 0.3), external_id=pick(f"x{rng.randrange(300)}", 0.7), authors=authors, venue=pick(f"v{k}", 0.3)))
+    df = spark.createDataFrame(rows, C.RECORD)
+    assert [r.asDict(True) for r in C.reconcile(df).orderBy("topic_id", "ordinal").collect()] == whole_loop(rows)
+
+
+def test_one_identity_of_any_size_merges_alike(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(240):
+        authors = [{"name": rng.choice(["Ann", "Bo", " ann", "", "Cy", "Di"]), "author_id": rng.choice([None, "", f"i{k}"])} for _ in range(rng.randrange(4))]
+        rows.append(record(k, rng.choice(["semantic_scholar", "arxiv"]), id=rng.choice(["", str(k)]), title=rng.choice(["", f"t{k % 3}"]), year=rng.choice([0, 2001]), doi=f"10.5/{k % 6}", venue=rng.choice(["", f"v{k}"]), authors=authors))
+    df = spark.createDataFrame(rows, C.RECORD)
+    many, one = (sorted((r.asDict(True) for r in C.reconcile(df, n).collect()), key=lambda r: r["ordinal"]) for n in (1, 10**6))
+    assert many == one == whole_loop(rows)
+
+
+def test_a_common_title_joins_nothing(spark):
+    rows = [record(k, "arxiv" if k % 2 else "semantic_scholar", title="Editorial" if k % 3 == 0 else f"title {k}", year=2020, authors=[{"name": f"author {k}", "author_id": None}]) for k in range(300)]
+    df = spark.createDataFrame(rows, C.RECORD)
+    assert C.components(df).groupBy("component").count().agg(F.max("count")).first()[0] == 1
+
+
 def test_quota(spark):
     q = spark.createDataFrame([("t", k, f"q{k}") for k in range(3)], "topic_id string, position int, query string")
     rows = C.allocate_quota(q, 10).collect()
@@ -130,10 +169,19 @@ def test_delta_rows_apply_in_order(spark):
     delta = spark.createDataFrame([(1, "s", "x", 9, "first", 6), (3, "s", "x", 8, "last", 8), (2, "s", "x", 7, "second", 7), (1, "s", "y", 2, "a", 6), (2, "s", "y", 3, None, 7)], "ordinal int, source string, external_id string, id int, title string, created_at int")
     for d in (delta, delta.orderBy(F.desc("ordinal")).repartition(3)):
         got = sorted(tuple(r) for r in D.upsert_papers(old, d).collect())
-        assert got == [("s", "x", 1, "last", 5), ("s", "y", 3, None, 7)]
+        assert got == [("s", "x", 1, "last", 5), ("s", "y", 2, None, 6)]
     cols = "topic_id string, paper_id string, discovery_source string, score double"
     twice = spark.createDataFrame([("t", "p", "b", None, 2), ("t", "p", "a", None, 1)], cols + ", ordinal int")
     assert [tuple(r) for r in D.upsert_memberships(spark.createDataFrame([], cols), twice).collect()] == [("t", "p", "b", None)]
+    scores = spark.createDataFrame([("t", "p", "a", 0.4, 1), ("t", "p", "b", 0.9, 2)], cols + ", ordinal int")
+    assert [tuple(r) for r in D.upsert_memberships(spark.createDataFrame([], cols), scores).collect()] == [("t", "p", "b", 0.4)]
+    with pytest.raises(Exception, match="a key repeats"):
+        D.upsert_memberships(spark.createDataFrame([], cols), scores.drop("ordinal")).collect()
+    chunk = "topic_id string, paper_id int, chunk_type string, chunk_index int, id string, content_hash string, embedding_status string, embedded_content_hash string"
+    chunks = spark.createDataFrame([("t", p, "pdf", 0, "i", "h1", "completed", "h1") for p in (1, 2, 3)], chunk)
+    changes = [(1, "h1", 1), (1, "h2", 2), (1, "h1", 3), (2, "h1", 1), (2, "h1", 2), (3, "h2", 1)]
+    moved = spark.createDataFrame([("t", p, "pdf", 0, "j", h, k) for p, h, k in changes], "topic_id string, paper_id int, chunk_type string, chunk_index int, id string, content_hash string, ordinal int")
+    assert sorted(tuple(r)[4:] for r in D.upsert_chunks(chunks, moved).collect()) == [("i", "h1", "completed", "h1"), ("i", "h1", "pending", None), ("i", "h2", "pending", None)]
     stages = spark.createDataFrame([(1, "a", 2, "failed", "t0", "bad")], "run_id int, stage string, attempt int, status string, completed_at string, error_message string")
     started = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "a"), (2, "a"), (3, "b")], "run_id int, stage string")
     assert sorted((r["run_id"], r["attempt"], r["status"]) for r in D.start_stages(stages, started).collect()) == [(1, 4, "running"), (2, 3, "running"), (3, 1, "running")]
@@ -184,3 +232,13 @@ def test_analysis(spark):
     df = spark.createDataFrame([(k, json.dumps(c)) for k, c in enumerate(cases)], "k int, raw string")
     rows = H.parse_outputs(df, "raw", H.ANALYSIS).select("k", H.analysis_fault(F.col("value"), F.col("raw")).alias("f")).orderBy("k").collect()
     assert [r["f"] for r in rows] == [None, "dataset", "evaluation_metrics", "size", "evaluation_metrics"]
+
+
+def test_reconcile_of_the_tables_equals_the_whole_loop(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    rows = plans._records(spark, sf)
+    want = [(r["topic_id"], r["ordinal"], r["source"], r["title"], r["pdf_url"], r["doi"], len(r["authors"])) for r in whole_loop([r.asDict(True) for r in rows.collect()])]
+    got = plans.reconcile_loop(spark, sf).select("topic_id", "ordinal", "source", "title", "pdf_url", "doi", "authors").orderBy("topic_id", "ordinal")
+    assert [tuple(r) for r in got.collect()] == want
