@@ -75,6 +75,19 @@ def request_metrics(log: DataFrame) -> DataFrame:
     )
 
 
+def duration_sketches(log: DataFrame, window: str = "1 hour", size: int = 400) -> DataFrame:
+    """a mergeable quantile sketch of the durations (``ms``) of every service, operation and window of ``ts``, to be kept and
+    combined later."""
+    return log.groupBy("service", "operation", F.window("ts", window)["start"].alias("start")).agg(F.kll_sketch_agg_double(F.col("ms").cast("double"), F.lit(size)).alias("sketch"))
+
+
+def duration_quantiles(sketches: DataFrame, *keys: str) -> DataFrame:
+    """p50, p95 and p99 of the kept sketches' durations by ``keys``. The share of durations up to a value is off by less than a
+    hundredth of all at the default size."""
+    merged = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("s"))
+    return merged.select(*keys, F.kll_sketch_get_n_double("s").alias("requests"), *[F.kll_sketch_get_quantile_double("s", F.lit(q)).alias(f"p{round(100 * q)}") for q in (0.5, 0.95, 0.99)])
+
+
 def token_usage(calls: DataFrame, *keys: str) -> DataFrame:
     """F10."""
     return calls.groupBy(*keys).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"))

@@ -1,7 +1,10 @@
-"""Chunking (K1-K5): word windows in closed form, paragraphs by a fold inside one row, Markdown by sections."""
+"""Chunking (K1-K5): word windows in closed form, paragraphs packed in one pass over a text, Markdown by sections."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,39 +33,64 @@ def chunk_words(rows: DataFrame, key: str, text: str, size: int, overlap: int) -
     return out.withColumn("words", F.size(F.split("chunk", " ")))
 
 
-def _paragraph_state(c: Column) -> Column:
-    return c.cast("struct<done:array<struct<text:string,words:int>>,parts:array<string>,n:int>")
+#: Unicode white space, as Java's ``(?U)\\s`` has it.
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_WORDS, _ENDS, _BLANK = re.compile(_SPACE), re.compile(f"^{_SPACE}|{_SPACE}$"), re.compile(r"\n[ \t]*\n")
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in _WORDS.split(text) if w]
+
+
+def pack_paragraphs(text: str | None, size: int, overlap: int) -> list[tuple[str, int]]:
+    """K3 for one text: (chunk, words). Every word is looked at a bounded number of times."""
+    done: list[tuple[str, int]] = []
+    parts: list[str] = []
+    held = 0
+
+    def tail(n: int) -> list[str]:
+        own = _words(" ".join(parts)) if n > 0 else []  # parts have no more than ``size`` words
+        return own[-n:] if n > 0 else []
+
+    for paragraph in _BLANK.split(re.sub("\r\n?", "\n", text or "")):
+        paragraph = _ENDS.sub("", paragraph)
+        words = _words(paragraph)
+        if not words:
+            continue
+        if len(words) <= size and held + len(words) <= size:
+            parts.append(paragraph)
+            held += len(words)
+            continue
+        carry = tail(overlap if len(words) > size else min(overlap, size - len(words)))
+        if parts:
+            done.append(("\n\n".join(parts), held))
+        if len(words) > size:
+            words = carry + words
+            starts = range(0, max(1, len(words) - overlap), size - overlap)
+            windows = [words[k : k + size] for k in starts]
+            done += [(" ".join(w), len(w)) for w in windows[:-1]]
+            parts, held = [" ".join(windows[-1])], len(windows[-1])
+        else:
+            parts, held = [x for x in (" ".join(carry), paragraph) if x], len(carry) + len(words)
+    return done + [("\n\n".join(parts), held)] if parts else done
 
 
 def paragraph_chunks(text: Column, size: int, overlap: int) -> Column:
     """K3: blank-line paragraphs packed up to ``size`` words as ``array<struct<text, words>>``.
 
     A full chunk hands its last ``min(overlap, size - next)`` words to the next one; they count there. A paragraph of more
-    than ``size`` words is cut by K2 with the carried words in front.
+    than ``size`` words is cut by K2 with the carried words in front. The fold depends on its own carry, so it runs as a pandas
+    function, once over each text.
     """
     if size <= 0:
         return F.array().cast(f"array<{CHUNK}>")
     overlap = max(0, min(overlap, size - 1))
-    paragraphs = F.filter(F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), r"\n[ \t]*\n"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
-    items = F.transform(paragraphs, lambda p: F.struct(p.alias("p"), word_list(p).alias("w")))
-    tail = lambda parts, n: F.slice(word_list(F.array_join(parts, " ")), F.greatest(F.size(word_list(F.array_join(parts, " "))) - n, F.lit(0)) + 1, F.greatest(n, F.lit(0)))
-    full = lambda s: F.when(F.size(s["parts"]) > 0, F.concat(s["done"], F.array(F.struct(F.array_join(s["parts"], "\n\n").alias("text"), s["n"].alias("words"))))).otherwise(s["done"])
-
-    def step(s: Column, x: Column) -> Column:
-        n = F.size(x["w"])
-        fits = s["n"] + n <= size
-        add = F.struct(s["done"].alias("done"), F.concat(s["parts"], F.array(x["p"])).alias("parts"), (s["n"] + n).cast("int").alias("n"))
-        carry = tail(s["parts"], F.least(F.lit(overlap), F.lit(size) - n))
-        text = F.array_join(carry, " ")
-        flush = F.struct(full(s).alias("done"), F.filter(F.array(text, x["p"]), lambda v: v != "").alias("parts"), (F.size(carry) + n).cast("int").alias("n"))
-        lead = F.concat(F.when(F.size(s["parts"]) > 0, tail(s["parts"], F.lit(overlap))).otherwise(F.array().cast("array<string>")), x["w"])
-        windows = F.transform(word_windows(lead, size, overlap), lambda c: F.struct(c.alias("text"), F.size(F.split(c, " ")).alias("words")))
-        last = F.element_at(windows, -1)
-        cut = F.struct(F.concat(full(s), F.slice(windows, 1, F.size(windows) - 1)).alias("done"), F.array(last["text"]).alias("parts"), last["words"].cast("int").alias("n"))
-        return _paragraph_state(F.when(n > size, cut).when(fits, add).otherwise(flush))
-
-    start = _paragraph_state(F.struct(F.array().alias("done"), F.array().alias("parts"), F.lit(0).alias("n")))
-    return F.aggregate(items, start, step, full)
+
+    @F.pandas_udf(f"array<{CHUNK}>")
+    def pack(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"text": t, "words": n} for t, n in pack_paragraphs(x, size, overlap)] for x in texts])
+
+    return pack(text)
 
 
 def sections(markdown: DataFrame, key: str, text: str) -> DataFrame:
@@ -91,16 +119,17 @@ def plan_refresh(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """K4: per chunk ``retained``, ``replaced``, ``removed`` or ``added``, and whether it must be embedded."""
     o = old.select(*key, "chunk_index", F.col("content_hash").alias("_o"), F.col("is_current").alias("_c"))
     n = new.select(*key, "chunk_index", F.col("content_hash").alias("_n"))
-    j = o.join(n, [*key, "chunk_index"], "full_outer")
+    j = o.join(n.hint("merge"), [*key, "chunk_index"], "full_outer")
     action = F.when(F.col("_n").isNull(), "removed").when(F.col("_o").isNull(), "added").when(F.col("_o") == F.col("_n"), "retained").otherwise("replaced")
-    return j.select(*key, "chunk_index", action.alias("action")).join(o.select(*key, "chunk_index", "_c"), [*key, "chunk_index"], "left").withColumn("embed", (F.col("action") != "removed") & ~((F.col("action") == "retained") & F.coalesce("_c", F.lit(False)))).drop("_c")
+    embed = (F.col("action") != "removed") & ~((F.col("action") == "retained") & F.coalesce("_c", F.lit(False)))
+    return j.withColumn("action", action).select(*key, "chunk_index", "action", embed.alias("embed"))
 
 
 def plan_pdf_index(papers: DataFrame, chunks: DataFrame, chunk_types: tuple[str, ...] | None = ("pdf",)) -> DataFrame:
     """K5: papers with a PDF that are not wholly indexed; ``None`` counts every type of chunk."""
     own = chunks if chunk_types is None else chunks.filter(F.col("chunk_type").isin(list(chunk_types)))
     state = own.groupBy("paper_id").agg(F.bool_and("is_current").alias("_done"))
-    hit = papers.filter(F.coalesce("pdf_url", F.lit("")) != "").join(state, "paper_id", "left")
+    hit = papers.filter(F.coalesce("pdf_url", F.lit("")) != "").join(state.hint("merge"), "paper_id", "left")
     return hit.filter(~F.coalesce("_done", F.lit(False))).drop("_done")
 
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .aggregates import best_score
 
 IDENTITY = ["provider", "model", "dimensions", "instruction_version", "indexing_version"]
-#: Queries up to this many rows are sent to the vectors; more are dealt by topic.
-BROADCAST_QUERIES = 10_000
+#: Queries up to this many bytes of vectors are sent to the vectors; more are dealt by topic.
+BROADCAST_BYTES = 64 << 20
 
 
 def vector_faults(rows: DataFrame, key: str, dimension: int) -> DataFrame:
@@ -26,17 +28,40 @@ def query_text(instruction: Column, query: Column) -> Column:
     return F.concat(F.lit("Instruct: "), instruction, F.lit("\nQuery:"), query)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where it is used inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hashed_embedding(text: Column, dimension: int) -> Column:
-    """G3's default: term frequencies hashed to ``dimension`` bins, normalised to length one."""
+    """G3's default: term frequencies hashed to ``dimension`` bins, normalised to length one; without words zeros.
+
+    The bins are sorted once, the ends of their runs give the counts, and zeros fill the gaps between them: the work is that of
+    sorting the words plus the dimension.
+    """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    bins = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int"))
-    # the one-element array binds the bins once; inside the inner lambda they would be computed anew for each bin
-    counts = F.transform(F.array(bins), lambda own: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("double")))[0]
-    return F.transform(F.array(counts), unit)[0]
+    bins = F.array_sort(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int")))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    empty = F.array().cast("array<int>")
+    ends_of = lambda own: F.when(F.size(own) > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.size(own), F.lit(1)) - 1), lambda i: ~F.get(own, i).eqNullSafe(F.get(own, i + 1)))).otherwise(empty)
+
+    def dense(own: Column, ends: Column) -> Column:
+        before = lambda k: F.when(k > 0, F.get(ends, k - 1)).otherwise(-1)
+        last_bin = lambda k: F.when(k > 0, F.get(own, before(k))).otherwise(-1)
+        runs = F.flatten(F.transform(ends, lambda e, k: F.concat(zeros(F.get(own, e) - last_bin(k) - 1), F.array((e - before(k)).cast("double")))))
+        return F.concat(runs, zeros(F.lit(dimension - 1) - F.coalesce(F.get(own, F.size(own) - 1), F.lit(-1))))
+
+    return _let(_let(bins, lambda own: _let(ends_of(own), lambda ends: dense(own, ends))), unit)
+
+
+def model_embedding(make: Callable[[], Callable], batch_size: int = 32) -> Callable[[Column], Column]:
+    """A model as an embedder: ``make`` runs once in each worker and returns a function from a numpy array of texts to the
+    matrix of their vectors."""
+    return predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch_size)
 
 
 def embed(rows: DataFrame, text: str, dimension: int, fn: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``fn`` maps a text column to a vector column, for instance a pandas_udf over a model."""
+    """``fn`` maps a text column to a vector column, for instance ``model_embedding``."""
     return rows.withColumn("embedding", (fn or (lambda c: hashed_embedding(c, dimension)))(F.col(text)))
 
 
@@ -53,14 +78,14 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int | None, by: list[str] |
     """The k best of each query (all if None) by exact cosine within the columns ``by`` (the topic).
 
     Vectors are normalised once and stream past a checked, broadcast set of queries; each task keeps k rows per query
-    before the shuffle (Spark's window group limit). Ties go to the smaller point.
+    before the shuffle (Spark's window group limit). Scores are ranked as they are, not rounded; ties go to the smaller point.
     """
     by = by or ["topic_id"]
     own = vectors if chunk_types is None else vectors.filter(F.col("chunk_type").isin(list(chunk_types)))
     own = own.withColumn("_v", unit(F.col("embedding"))).drop("embedding")
     asked = queries.select("query_id", *by, unit(F.col("embedding")).alias("_q"))
-    small = asked.select("query_id").limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    hits = own.join(asked.hint("broadcast" if small else "merge"), by).withColumn("score", F.round(dot(F.col("_v"), F.col("_q")), 6)).drop("_v", "_q")
+    size = asked.agg(F.sum(8 * F.size("_q") + 64)).first()[0] or 0
+    hits = own.join(asked.hint("broadcast" if size <= BROADCAST_BYTES else "merge"), by).withColumn("score", dot(F.col("_v"), F.col("_q"))).drop("_v", "_q")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
     ranked = hits.withColumn("rank", F.row_number().over(order))
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
@@ -98,7 +123,7 @@ def blend(ranked: DataFrame, judged: DataFrame, size: int = 10, vector: float =
     good = judged.join(check.filter("_ok"), ["topic_id", "batch"], "left_semi")
     j = rows.join(good, ["topic_id", "batch", "index"], "left")
     mixed = F.when(F.col("judge").isNotNull(), F.lit(vector) * F.col("score") + F.lit(judge) * F.col("judge")).otherwise(F.col("score"))
-    out = j.select("topic_id", "paper_id", F.round(mixed, 8).alias("score"))
+    out = j.select("topic_id", "paper_id", mixed.alias("score"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("score"), "paper_id")))
 
 
@@ -157,15 +182,6 @@ def collection_check(points: DataFrame, dimension: int, expected: int) -> DataFr
     return out.withColumn("ok", (F.col("n") == expected) & (F.col("low") == dimension) & (F.col("high") == dimension))
 
 
-def build_generation(chunks: DataFrame, embedded: DataFrame, expected: Column) -> tuple[DataFrame, DataFrame]:
-    """(points of the generation, its row): unexpected points are dropped; ready only if every chunk has its point."""
-    want = chunks.select(expected.alias("point_id"))
-    points = embedded.join(want, "point_id", "left_semi")
-    both = points.select(F.lit(1).alias("p")).unionByName(want.select(F.lit(0).alias("p")))
-    row = both.agg(F.count_if(F.col("p") == 1).alias("indexed_chunks"), F.count_if(F.col("p") == 0).alias("chunks"))
-    return points, row.withColumn("status", F.when(F.col("indexed_chunks") == F.col("chunks"), "ready").otherwise("failed"))
-
-
 def snapshot_digest(chunks: DataFrame, fields: list[str]) -> DataFrame:
     """One digest over all chunks, whatever their order.
 

@@ -139,6 +139,15 @@ def request_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return A.request_metrics(log)
 
 
+def duration_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of merged hourly sketches, held against the exact shares of durations below them and up to them."""
+    log = table(spark, sf, "events").select((F.col("user_id") % 3).alias("service"), F.col("event_type").alias("operation"), "ts", F.col("value").alias("ms"))
+    found = A.duration_quantiles(A.duration_sketches(log), "service")
+    shares = log.join(found.hint("broadcast"), "service").groupBy("service", "requests")
+    near = lambda p, q: (F.avg((F.col("ms") < F.col(p)).cast("int")) <= q + 0.01) & (F.avg((F.col("ms") <= F.col(p)).cast("int")) >= q - 0.01)
+    return shares.agg(near("p50", 0.5).alias("p50_near"), near("p95", 0.95).alias("p95_near"), near("p99", 0.99).alias("p99_near"))
+
+
 def token_usage(spark: SparkSession, sf: str) -> DataFrame:
     words = F.size(F.split("text", " ")).cast("long")
     c = table(spark, sf, "conversations").select("conv_id", F.when(F.col("role") != "assistant", words).otherwise(0).alias("input_tokens"), F.when(F.col("role") == "assistant", words).otherwise(0).alias("output_tokens"))
@@ -181,6 +190,7 @@ QUERIES = {
     "batch_progress": (batch_progress, f"WITH {JOB_EVENTS}, b AS (SELECT job_id AS batch, count(*) AS total, count(*) FILTER (WHERE kind IN ('completed', 'failed')) AS finished, count(*) FILTER (WHERE kind = 'failed') AS failed FROM job_events GROUP BY 1) SELECT *, round(0.35::DOUBLE + 0.30::DOUBLE * finished / total, 6) AS progress, finished = total AS done FROM b"),
     "job_metrics": (job_metrics, f"WITH {JOB_EVENTS}, p AS (SELECT job_id, count(*) FILTER (WHERE kind = 'enqueued') AS e, count(*) FILTER (WHERE kind = 'delivered') AS d, count(*) FILTER (WHERE kind = 'completed') AS c, count(*) FILTER (WHERE kind = 'failed') AS f FROM job_events GROUP BY 1) SELECT sum(c)::BIGINT AS processed, sum(f)::BIGINT AS failed_attempts, sum(least(f, 3))::BIGINT AS retries, count(*) FILTER (WHERE f > 3) AS terminal, sum(greatest(e - d, 0))::BIGINT AS queued, sum(greatest(d - c - f, 0))::BIGINT AS active FROM p"),
     "request_metrics": (request_metrics, "WITH l AS (SELECT user_id % 3 AS service, event_type AS operation, CASE WHEN event_id % 17 = 0 THEN 429 WHEN event_id % 13 = 0 THEN 503 ELSE 200 END AS status, event_id % 4 AS attempt, value AS ms, event_id % 19 = 0 AS rejected FROM events) SELECT service, operation, count(*) AS requests, count(*) FILTER (WHERE status = 429) AS throttled, count(*) FILTER (WHERE attempt > 0) AS retried, count(*) FILTER (WHERE rejected) AS rejected, round(avg(ms), 6) AS mean_ms, count(*) FILTER (WHERE status >= 500) AS server_errors FROM l GROUP BY ALL"),
+    "duration_quantiles": (duration_quantiles, "SELECT user_id % 3 AS service, count(*) AS requests, true AS p50_near, true AS p95_near, true AS p99_near FROM events GROUP BY 1"),
     "token_usage": (token_usage, "WITH c AS (SELECT conv_id, role, len(string_split(text, ' ')) AS n FROM conversations) SELECT conv_id, coalesce(sum(n) FILTER (WHERE role <> 'assistant'), 0)::BIGINT AS input_tokens, coalesce(sum(n) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS output_tokens, sum(n)::BIGINT AS total_tokens FROM c GROUP BY 1"),
     "quota_usage": (quota_usage, "WITH m AS (SELECT date_trunc('minute', ts) AS m, count(*) AS calls FROM events GROUP BY 1), d AS (SELECT date_trunc('day', m) AS day, sum(calls)::BIGINT AS day_calls FROM m GROUP BY 1) SELECT strftime(m, '%Y-%m-%d %H:%M') AS minute, calls, day_calls, calls > 2 AS over_minute, day_calls > 300 AS over_day FROM m JOIN d ON date_trunc('day', m.m) = d.day"),
     "readiness": (readiness, "WITH e AS (SELECT user_id AS probe, event_type AS dependency, CASE WHEN max(value) > 190 THEN 'down' ELSE 'ok' END AS state FROM events GROUP BY ALL) SELECT probe, bool_and(state = 'ok') AS ready, count(*)::INT AS n, string_agg(dependency || '=' || state, ',' ORDER BY dependency) AS states FROM e GROUP BY 1"),

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking as K
+from ..operators import indexing as X
 from ..operators import vectors as G
 from ..operators.reads import authors_by_paper
+from ..scratch import scratch_path
 from .views import LINKS, PAPERS, links, papers, table
 
 IDENT = {"provider": "ollama", "model": "m", "dimensions": 64, "instruction_version": "q", "indexing_version": "v1"}
@@ -25,7 +27,7 @@ def _queries(spark: SparkSession, sf: str) -> DataFrame:
 
 _VEC = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 q AS (SELECT label, e AS qe FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
-s AS (SELECT label AS topic_id, vec_id, round(list_cosine_similarity(e, qe), 6) AS score FROM v JOIN q USING (label))"""
+s AS (SELECT label AS topic_id, vec_id, list_cosine_similarity(e, qe) AS score FROM v JOIN q USING (label))"""
 
 
 def rank_topics_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,16 +36,16 @@ def rank_topics_topk(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("author_id"), F.col("s_name").alias("name"))
     own = links(spark, sf).join(ranked.select("paper_id").distinct(), "paper_id", "left_semi")
     out = ranked.join(authors_by_paper(own, names), "paper_id", "left")
-    return out.select("topic_id", "paper_id", "score", "rank", F.coalesce(F.array_join("authors", "; "), F.lit("")).alias("authors"))
+    return out.select("topic_id", "paper_id", F.round("score", 6).alias("score"), "rank", F.coalesce(F.array_join("authors", "; "), F.lit("")).alias("authors"))
 
 
 _FLAGSHIP = f"""WITH {_VEC}, {LINKS}, t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, vec_id) <= 12),
 a AS (SELECT paper_id, string_agg(s_name, '; ' ORDER BY position, author_id) AS authors FROM links JOIN supplier ON s_suppkey = author_id GROUP BY 1)
-SELECT topic_id, vec_id AS paper_id, score, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, vec_id)::INT AS rank, coalesce(authors, '') AS authors FROM t LEFT JOIN a ON a.paper_id = vec_id"""
+SELECT topic_id, vec_id AS paper_id, round(score, 6) AS score, row_number() OVER (PARTITION BY topic_id ORDER BY t.score DESC, vec_id)::INT AS rank, coalesce(authors, '') AS authors FROM t LEFT JOIN a ON a.paper_id = vec_id"""
 
 
 def search_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return G.search_chunks(_queries(spark, sf), _vectors(spark, sf)).select("topic_id", "paper_id", "score", "rank")
+    return G.search_chunks(_queries(spark, sf), _vectors(spark, sf)).select("topic_id", "paper_id", F.round("score", 6).alias("score"), "rank")
 
 
 def chunk_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +107,7 @@ def rerank_blend(spark: SparkSession, sf: str) -> DataFrame:
     ranked = G.rank_papers(_queries(spark, sf), _vectors(spark, sf), 50)
     rows = ranked.select("topic_id", F.floor((F.col("rank") - 1) / 10).cast("int").alias("batch"), ((F.col("rank") - 1) % 10 + 1).cast("int").alias("index"), ((F.col("paper_id") * 37 % 100) / 100).alias("judge"))
     index = F.when(((F.col("topic_id") + F.col("batch")) % 3 == 0) & (F.col("index") == 2), 1).otherwise(F.col("index"))
-    return G.blend(ranked, rows.withColumn("index", index))
+    return G.blend(ranked, rows.withColumn("index", index)).withColumn("score", F.round("score", 8))
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,9 +153,30 @@ def collection_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def generation_build(spark: SparkSession, sf: str) -> DataFrame:
-    v = _vectors(spark, sf)
-    _, row = G.build_generation(v.filter("point_id % 3 = 0"), v.select("point_id", "embedding").filter("point_id % 4 != 0 OR point_id % 3 = 0"), F.col("point_id"))
-    return row
+    """Two generations over all documents: one whole, one in which every ninth text is not embedded."""
+    chunks = papers(spark, sf).select("topic_id", "paper_id", F.lit("abstract").alias("chunk_type"), F.lit(0).alias("chunk_index"), F.col("abstract").alias("text"), F.sha2("abstract", 256).alias("content_hash"))
+    root = scratch_path(spark, "generations")
+    plain = lambda c: G.hashed_embedding(c, 64)
+    rows = [X.build_generation(chunks, root, g, IDENT, f"c_{g}", e) for g, e in (("whole", plain), ("torn", lambda c: F.when(F.col("paper_id") % 9 != 0, plain(c))))]
+    points = spark.read.schema(f"{X.POINTS}, gen string").parquet(f"{root}/points").groupBy("gen").agg(F.count_distinct("point_id").alias("points"))
+    return rows[0].unionByName(rows[1]).join(points.withColumnRenamed("gen", "generation").hint("broadcast"), "generation")
+
+
+def abstract_index(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of four fifths of the papers, brought up to date with all papers of which every seventh has changed, and once more."""
+    p, root = papers(spark, sf).select("topic_id", "paper_id", "abstract"), scratch_path(spark, "index")
+    X.create_tables(spark, root)
+    ensure = lambda rows: X.ensure_abstract_index(rows, root, IDENT, "c", lambda c: G.hashed_embedding(c, 64), buckets=8)
+    now = p.withColumn("abstract", F.when(F.col("paper_id") % 7 == 0, F.concat(F.lit("new "), "abstract")).otherwise(F.col("abstract")))
+    ensure(p.filter("paper_id % 5 != 0"))
+    ensure(now)
+    repeated = sum(ensure(now).values())
+    X.run_pending_cleanup(spark, root, buckets=8)
+    chunks, points, tasks = (X.read_table(spark, root, n) for n in ("chunks", "points", "cleanup"))
+    rows = chunks.select(F.lit("chunk").alias("kind"), "paper_id", "content_hash", F.col("embedding_status").alias("status"))
+    rows = rows.unionByName(points.select(F.lit("point").alias("kind"), "paper_id", "content_hash", F.size("embedding").cast("string").alias("status")))
+    rows = rows.unionByName(tasks.select(F.lit("cleanup").alias("kind"), "paper_id", F.lit(None).cast("string").alias("content_hash"), "status"))
+    return rows.withColumn("repeated", F.lit(repeated))
 
 
 def snapshot_digest(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,12 +227,12 @@ def active_identity(spark: SparkSession, sf: str) -> DataFrame:
 _BLEND = f"""WITH {_VEC}, r AS (SELECT topic_id, vec_id AS paper_id, score, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 50),
 b AS (SELECT *, (rank - 1) // 10 AS batch, (paper_id * 37 % 100) / 100.0::DOUBLE AS judge FROM r),
 n AS (SELECT topic_id, batch, count(*) AS n FROM b GROUP BY ALL),
-x AS (SELECT b.topic_id, paper_id, round(CASE WHEN (b.topic_id + b.batch) % 3 <> 0 OR n < 2 THEN 0.3::DOUBLE * score + 0.7::DOUBLE * judge ELSE score END, 8) AS score FROM b JOIN n USING (topic_id, batch))
-SELECT topic_id, paper_id, score, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, paper_id)::INT AS rank FROM x"""
+x AS (SELECT b.topic_id, paper_id, (CASE WHEN (b.topic_id + b.batch) % 3 <> 0 OR n < 2 THEN 0.3::DOUBLE * score + 0.7::DOUBLE * judge ELSE score END) AS score FROM b JOIN n USING (topic_id, batch))
+SELECT topic_id, paper_id, round(score, 8) AS score, row_number() OVER (PARTITION BY topic_id ORDER BY x.score DESC, paper_id)::INT AS rank FROM x"""
 
 QUERIES = {
     "rank_topics_topk": (rank_topics_topk, _FLAGSHIP),
-    "search_chunks": (search_chunks, f"WITH {_VEC} SELECT topic_id, vec_id AS paper_id, score, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, vec_id)::INT AS rank FROM s WHERE vec_id % 2 = 1 QUALIFY rank <= 12"),
+    "search_chunks": (search_chunks, f"WITH {_VEC} SELECT topic_id, vec_id AS paper_id, round(score, 6) AS score, row_number() OVER (PARTITION BY topic_id ORDER BY s.score DESC, vec_id)::INT AS rank FROM s WHERE vec_id % 2 = 1 QUALIFY rank <= 12"),
     "chunk_words": (chunk_words, f"WITH {_CHUNKED} SELECT doc_id, i::INT AS chunk_index, len(w[i * 40 + 1:i * 40 + 50])::INT AS words, sha256(array_to_string(w[i * 40 + 1:i * 40 + 50], ' ')) AS content_hash FROM k"),
     "chunk_paragraphs": (chunk_paragraphs, None),
     "chunk_markdown": (chunk_markdown, None),
@@ -217,7 +240,7 @@ QUERIES = {
     "pdf_index_plan": (pdf_index_plan, f"WITH {PAPERS}, {_CHUNKED}, p AS (SELECT DISTINCT doc_id FROM k WHERE i > 0 AND doc_id % 3 = 0 AND doc_id % 4 <> 0) SELECT paper_id, 'http://x/' || external_id AS pdf_url FROM papers WHERE paper_id % 5 <> 0 AND paper_id NOT IN (SELECT doc_id FROM p)"),
     "vector_checks": (vector_checks, "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'empty' WHEN vec_id % 11 = 0 THEN 'dimension' ELSE 'not finite' END AS fault FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0"),
     "query_text": (query_text, "SELECT doc_id, sha256('Instruct: find' || chr(10) || 'Query:' || text) AS hash FROM documents"),
-    "hashed_embedding": (hashed_embedding, None),
+    "hashed_embedding": (hashed_embedding, "SELECT doc_id, 16 AS n, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents"),
     "rerank_blend": (rerank_blend, _BLEND),
     "points_upsert": (points_upsert, "SELECT vec_id AS point_id, label AS topic_id, vec_id % 3 = 0 AND vec_id % 5 <> 0 AS zero FROM embeddings WHERE vec_id % 2 = 0 OR (vec_id % 3 = 0 AND vec_id % 5 <> 0)"),
     "points_delete": (points_delete, "SELECT vec_id AS point_id, label AS topic_id FROM embeddings WHERE vec_id % 3 <> 0 AND label <> 4"),
@@ -225,7 +248,8 @@ QUERIES = {
     "current_chunks": (current_chunks, "SELECT doc_id AS paper_id, doc_id % 11 <> 0 AND doc_id % 13 <> 0 AS current FROM documents WHERE doc_id % 5 <> 0"),
     "abstract_plan": (abstract_plan, "WITH p AS (SELECT source AS topic_id, doc_id AS paper_id, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 7 = 0 THEN 'changed' WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'stale' WHEN doc_id % 17 = 0 THEN 'missing' ELSE 'ok' END AS action FROM documents WHERE trim(text) <> '') SELECT *, CASE WHEN action = 'changed' THEN paper_id END AS cleanup_point FROM p"),
     "collection_check": (collection_check, "SELECT label, count(*) AS n, min(len(embedding))::INT AS low, max(len(embedding))::INT AS high FROM embeddings GROUP BY label UNION ALL SELECT -1, count(*), min(len(embedding))::INT, max(len(embedding))::INT FROM embeddings"),
-    "generation_build": (generation_build, "SELECT count(*) AS indexed_chunks, count(*) AS chunks, 'ready' AS status FROM embeddings WHERE vec_id % 3 = 0"),
+    "generation_build": (generation_build, "WITH g AS (SELECT 'whole' AS generation, count(*) AS indexed_chunks FROM documents UNION ALL SELECT 'torn', count(*) FILTER (WHERE doc_id % 9 <> 0) FROM documents), n AS (SELECT count(*) AS chunks FROM documents) SELECT generation, 'c_' || generation AS collection_name, chunks, indexed_chunks, CASE WHEN chunks = indexed_chunks THEN 'ready' ELSE 'failed' END AS status, CASE WHEN chunks <> indexed_chunks THEN 'rebuilt collection contains ' || indexed_chunks || ' points; expected ' || chunks || '; activation refused' END AS error_message, indexed_chunks AS points FROM g, n"),
+    "abstract_index": (abstract_index, "WITH d AS (SELECT doc_id AS paper_id, doc_id % 7 = 0 AS changed, sha256(CASE WHEN doc_id % 7 = 0 THEN 'new ' || text ELSE text END) AS content_hash FROM documents WHERE trim(CASE WHEN doc_id % 7 = 0 THEN 'new ' || text ELSE text END) <> '') SELECT 'chunk' AS kind, paper_id, content_hash, 'completed' AS status, 0 AS repeated FROM d UNION ALL SELECT 'point', paper_id, content_hash, '64', 0 FROM d UNION ALL SELECT 'cleanup', doc_id, NULL, 'completed', 0 FROM documents WHERE doc_id % 7 = 0 AND doc_id % 5 <> 0 AND trim(text) <> ''"),
     "snapshot_digest": (snapshot_digest, _DIGEST),
     "activation_decisions": (activation_decisions, f"WITH {_ACT} SELECT id, CASE WHEN intent IN ('completed', 'failed') THEN 'none' WHEN generation IS NULL THEN 'fail' WHEN NOT digest_ok THEN CASE WHEN coalesce(pointer, '') = 't' THEN 'restore' ELSE 'supersede' END WHEN coalesce(pointer, '') = 't' THEN CASE WHEN generation = 'active' THEN 'complete' WHEN count_ok THEN 'finish' ELSE 'restore' END WHEN coalesce(pointer, '') = 'p' THEN CASE WHEN generation = 'ready' AND count_ok THEN 'retry' ELSE 'fail' END ELSE 'supersede' END AS decision FROM a"),
     "activation_swap": (activation_swap, f"WITH {_ACT} SELECT id, CASE WHEN pointer IN ('t', 'p') THEN 't' END AS pointer FROM a"),
