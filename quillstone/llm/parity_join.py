@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +38,8 @@ from .common import table, written
 SHINGLE, PERCENT = 4, 85
 #: Words of a sketch with at most so many shingles are left out where others must agree.
 LIGHT = 1
+#: So many words of 100 more than needed there are. With fewer, many texts have too many light words to leave them all out.
+SPARE = 20
 #: Groups of texts with a common word are compared by Spark's join up to this size, and beyond it in blocks of ``BLOCK``.
 SMALL, BLOCK = 16, 2048
 #: So many texts of other components each text of a large group is compared with exactly before all are.
@@ -58,29 +59,22 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    """XXH64 of words, each computed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASHES, _MOST_HASHES = _WordHashes(), 400_000
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 def shingle_set(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; a text of fewer words is one shingle, one without words none."""
     words = (text or b"").lower().split()
-    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
-    if len(_HASHES) > _MOST_HASHES:
-        _HASHES.clear()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
     width = min(width, len(words))
     out = np.full(max(0, len(h) - width + 1) if width else 0, width, dtype=np.uint64)
     for k in range(width):
         out *= np.uint64(0x9E3779B97F4A7C15)
         out += h[k : k + len(out)]
-    return np.unique(mixed(out))
+    return distinct(mixed(out))
 
 
 def set_key(own: np.ndarray) -> int:
@@ -126,7 +120,7 @@ def join_keys(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         differ = most_different(top + top * 100 // percent, percent)
         if not differ:  # such sets can only be equal
             continue
-        m = differ + 1 + (differ + 1) * 6 // 100 + (differ >= 8)
+        m = differ + 1 + (differ + 1) * SPARE // 100 + (differ >= 8)
         part = ((own >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         light = np.bincount(part, minlength=m) <= LIGHT
         words = _words(own, part, m)
@@ -151,14 +145,14 @@ def folded(words: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
 
 
-def pairs_of_blocks(frame: pd.DataFrame, percent: int = PERCENT, closest: int | None = None) -> tuple[np.ndarray, bool]:
+def pairs_of_blocks(rows: pa.Table, percent: int = PERCENT, closest: int | None = None) -> tuple[np.ndarray, bool]:
     """Pairs (n, 2) of keys of different components whose sketches allow ``percent``: of one block, or of two blocks each
     with the other. With ``closest``, a text of the first block has only so many, those that differ least; then also
     whether any had more."""
-    words = [np.frombuffer(x, dtype=np.uint64) for x in frame["sketch"]]
+    words = [np.frombuffer(x, dtype=np.uint64) for x in rows["sketch"].to_pylist()]
     least = min(map(len, words))
     x = np.stack([folded(w, least) for w in words])
-    keys, group, n, block = (frame[c].to_numpy(dtype=np.int64) for c in ("key", "component", "n", "block"))
+    keys, group, n, block = (rows[c].to_numpy().astype(np.int64) for c in ("key", "component", "n", "block"))
     one = block == block.min()
     two = np.flatnonzero(~one) if not one.all() else np.arange(len(keys))
     out, more = [np.empty((0, 2), dtype=np.int64)], False
@@ -252,13 +246,13 @@ def large_pairs(rows: DataFrame, sets: DataFrame, percent: int, closest: int | N
     cells = cells.select("word", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "component", "block")
     cells = cells.join(sets.select("key", F.size("shingles").alias("n"), "sketch").hint("merge"), "key")
 
-    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        found, more = pairs_of_blocks(frame, percent, closest)
-        pairs = pd.DataFrame({"a": found.min(axis=1), "b": found.max(axis=1)}).astype("Int64").assign(more=pd.NA)
-        mark = pd.DataFrame({"a": [pd.NA], "b": [pd.NA], "more": [key[0]]}).astype("Int64")
-        return pd.concat([pairs.astype("Int64"), mark]) if more else pairs.astype("Int64")
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        found, more = pairs_of_blocks(table, percent, closest)
+        none = [None] if more else []
+        pairs = pa.table({"a": found.min(axis=1), "b": found.max(axis=1), "more": pa.nulls(len(found), pa.int64())})
+        return pa.concat_tables([pairs, pa.table({"a": pa.array(none, pa.int64()), "b": pa.array(none, pa.int64()), "more": pa.array([key[0].as_py()][: len(none)], pa.int64())})])
 
-    return cells.groupBy("word", "i", "j").applyInPandas(compare, "a long, b long, more long")
+    return cells.groupBy("word", "i", "j").applyInArrow(compare, "a long, b long, more long")
 
 
 def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
