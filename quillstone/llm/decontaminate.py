@@ -17,7 +17,7 @@ from .common import table, written
 SHINGLE, THRESHOLD = 5, 0.8
 #: Signatures up to this many rows (16 bytes each) and items up to this many shingles are broadcast; more are shuffled.
 BROADCAST_ROWS = 500_000
-#: Up to this many ids are sent to all tasks to filter documents; more are joined by a shuffle.
+#: Up to this many texts' hashes are sent to all tasks to filter documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 
@@ -76,16 +76,19 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     return _verified(own.join(pairs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id"), width)
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not in ``ids(doc_id)``; rows with a null id stay."""
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(ids.hint("broadcast" if small else "merge"), "doc_id", "left_anti").select(*docs.columns)
-
-
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = written(contained_items(docs, items).filter("doc_id IS NOT NULL").select("doc_id").distinct(), "contaminated")
-    return without_ids(docs, found)
+    """Documents whose text contains no benchmark item by ``contained_items``.
+
+    Rows go by their text (as a 64-bit hash), not by their id: rows with a null id or an id that others share are judged
+    like any other, and equal texts alike. Null and empty texts stay. An empty table gives no rows; other columns, whatever
+    their names, pass through.
+    """
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = written(contained_items(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    small = found.count() <= BROADCAST_IDS
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"))
+    kept = rows.join(found.hint("broadcast" if small else "merge"), "_key", "left_anti")
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,10 +67,13 @@ def op8_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The pipeline's form: the columns of documents, with n_chars of the text that is left.
 
-    Near-dedup comes later, so copies of one text count as one page here.
+    Near-dedup comes later, so copies of one text count as one page here. Else as ``drop_boilerplate``; columns of the
+    documents that are named like its counts keep their values.
     """
-    cut = drop_boilerplate(docs, copies_once=True)
-    return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    own = {c: f"_own_{c}" for c in ("n_lines", "n_dropped") if c in docs.columns}
+    cut = drop_boilerplate(docs.withColumnsRenamed(own), copies_once=True)
+    cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -5,10 +5,12 @@ import os
 import corpus_pipeline
 import numpy as np
 import pytest
+from quillstone.llm.decontaminate import decontaminated
+from quillstone.llm.line_dedup import clean_documents
 from quillstone.llm.quality_rules import judged
 from quillstone.scratch import written
 
-from .test_operators import brute_groups
+from .test_operators import brute_groups, none, odd  # noqa: F401  fixtures
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -36,3 +38,30 @@ def test_stages(spark):
     again = corpus_pipeline.run(spark, SF)
     key = lambda df: sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in df)
     assert key(again.collect()) == key(packed)
+
+
+def test_stages_on_odd_rows(spark, odd, none):  # noqa: F811
+    """Nulls in every column, empty, blank and very long texts, repeated rows and ids, clashing column names, no rows."""
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = written(stage(spark, docs, SF), name)
+            if name != "packing":
+                assert out.columns == docs.columns and out.count() <= docs.count()
+                assert out.exceptAll(docs).count() == 0  # no value of a row has changed
+    assert {r["doc_id"] for r in corpus_pipeline.packing(spark, odd, SF).collect()} == {r["doc_id"] for r in odd.collect()}
+
+
+def test_rows_are_decontaminated_by_text(spark):
+    item = "the tide gauge at the outer mole has been read twice a day since the winter of the great flood"
+    rows = [(1, "clean words of another page"), (1, f"before {item} after"), (None, item), (None, "clean"), (None, None), (2, ""), (3, item.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _key", "2 AS _row", "3 AS item_id")
+    left = decontaminated(docs, spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([rows[0], *rows[3:6]], key=repr)
+
+
+def test_line_dedup_keeps_columns_named_like_its_counts(spark):
+    rows = [(k, f"line {k}\nHome | About", "s", 9, 777, 888) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, n_lines long, n_dropped long")
+    got = clean_documents(docs).collect()
+    assert {(r["text"], r["n_lines"], r["n_dropped"]) for r in got} == {(f"line {k}", 777, 888) for k in range(20)}
