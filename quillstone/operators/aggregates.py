@@ -42,22 +42,30 @@ def batches(rows: DataFrame, group: str, size: int, *order: str) -> DataFrame:
     return rows.withColumn("batch", F.floor((n - 1) / size).cast("int"))
 
 
+def failure_list(failed: Column) -> Column:
+    """The failed items of a group (``item`` is their kind) as ``item id: cause``, in order of id, joined by semicolons."""
+    rows = F.array_sort(F.collect_list(F.when(failed, F.struct("id", "item", "cause"))))
+    return F.array_join(F.transform(rows, lambda x: F.concat(x["item"], F.lit(" "), x["id"].cast("string"), F.lit(": "), F.coalesce(x["cause"], F.lit("")))), "; ")
+
+
 def batch_progress(items: DataFrame, low: float = 0.35, span: float = 0.30) -> DataFrame:
-    """per batch: items, finished, failed, progress mark and whether it is done."""
+    """per batch: items, finished, failed, progress mark, whether it is done, and its failures as ``kind id: cause`` in order of
+    id where items have these columns."""
     done = F.count_if(F.col("kind").isin("completed", "failed"))
-    out = items.groupBy("batch").agg(F.count("*").alias("total"), done.alias("finished"), F.count_if(F.col("kind") == "failed").alias("failed"))
+    out = items.groupBy("batch").agg(F.count("*").alias("total"), done.alias("finished"), F.count_if(F.col("kind") == "failed").alias("failed"), *([failure_list(F.col("kind") == "failed").alias("failures")] if {"id", "item", "cause"} <= set(items.columns) else []))
     return out.withColumn("progress", F.round(F.lit(low) + F.lit(span) * F.col("finished") / F.col("total"), 6)).withColumn("done", F.col("finished") == F.col("total"))
 
 
 def job_metrics(events: DataFrame, max_retries: int = 3) -> DataFrame:
-    """F8: over a job log: processed, failed attempts, retries, terminal failures, queued and active jobs."""
+    """F8: over a job log: processed, failed attempts, retries, terminal failures (failure number ``max_retries`` of a job), queued
+    and active jobs."""
     per = events.groupBy("job_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("enqueued", "delivered", "completed", "failed")])
-    retries = F.least(F.col("failed"), F.lit(max_retries))
+    retries = F.least(F.col("failed"), F.lit(max_retries - 1))
     return per.agg(
         F.sum("completed").alias("processed"),
         F.sum("failed").alias("failed_attempts"),
         F.sum(retries).alias("retries"),
-        F.count_if(F.col("failed") > max_retries).alias("terminal"),
+        F.count_if(F.col("failed") >= max_retries).alias("terminal"),
         F.sum(F.greatest(F.col("enqueued") - F.col("delivered"), F.lit(0))).alias("queued"),
         F.sum(F.greatest(F.col("delivered") - F.col("completed") - F.col("failed"), F.lit(0))).alias("active"),
     )

@@ -99,6 +99,13 @@ def first_of(sources: list[DataFrame], key: str, columns: list[str]) -> DataFram
     return best.select(key, "r.*")
 
 
+def lookup_states(asked: DataFrame, sources: list[DataFrame], columns: list[str], valid: Column) -> DataFrame:
+    """E15 for ``asked(topic_id)``: the state by priority of source, and an error for an id that is none or that no source has."""
+    found = first_of(sources, "topic_id", columns).withColumn("_hit", F.lit(True))
+    error = F.when(~valid, F.concat(F.lit('invalid topic id: "'), "topic_id", F.lit('"'))).when(F.col("_hit").isNull(), F.concat(F.lit("pipeline not found: "), "topic_id"))
+    return asked.join(found, "topic_id", "left").select("topic_id", *[F.when(valid, F.col(c)).alias(c) for c in columns], error.alias("error"))
+
+
 def recovery(live: DataFrame, durable: DataFrame, checkpoints: DataFrame, terminal: list[str]) -> DataFrame:
     """Unfinished topics of both tables, the durable row first, with the stage of their last checkpoint."""
     open_ = lambda df: df.filter(~F.col("status").isin(terminal))

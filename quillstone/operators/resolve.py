@@ -261,9 +261,11 @@ def search_outcome(searches: DataFrame) -> DataFrame:
 
 
 def batch_outcome(items: DataFrame, operation: str) -> DataFrame:
-    """C9."""
-    out = items.groupBy("batch").agg(F.count("*").alias("total"), F.count_if("ok").alias("succeeded"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("kind", "id", "cause")))).alias("failures"))
-    return out.withColumn("message", F.format_string(f"{operation} completed with %d/%d successful", "succeeded", "total"))
+    """The outcome of each batch of items (kind, id, ok, cause); the message, null where nothing failed, names every failure."""
+    out = items.groupBy("batch").agg(F.count("*").alias("total"), F.count_if("ok").alias("succeeded"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("id", "kind", "cause")))).alias("failures"))
+    causes = F.array_join(F.transform("failures", lambda x: F.concat(x["kind"], F.lit(" "), x["id"].cast("string"), F.lit(": "), F.coalesce(x["cause"], F.lit("")))), "; ")
+    text = F.concat(F.format_string(f"{operation} completed with %d/%d successful: ", "succeeded", "total"), causes)
+    return out.withColumn("message", F.when(F.size("failures") > 0, text))
 
 
 def min_papers_gate(topics: DataFrame, papers: DataFrame, least: int) -> DataFrame:
@@ -273,6 +275,13 @@ def min_papers_gate(topics: DataFrame, papers: DataFrame, least: int) -> DataFra
     return j.filter(F.col("papers") < least).select("topic_id", "papers", F.format_string(f"found %d papers, need {least}", "papers").alias("message"))
 
 
+def citation_edges(hits: DataFrame) -> DataFrame:
+    """C11: distinct ``(citing, cited)`` from the references of search hits (read_search_json); a paper does not cite itself and
+    blank ids are none."""
+    edges = hits.select(F.col("hit.paperId").alias("citing"), F.explode(F.transform("hit.references", lambda r: r["paperId"])).alias("cited"))
+    return edges.filter("trim(coalesce(citing, '')) != '' AND trim(coalesce(cited, '')) != '' AND citing != cited").distinct()
+
+
 def citation_degrees(edges: DataFrame) -> DataFrame:
     """C11: distinct ``(citing, cited)`` edges -> out- and in-degree."""
     e = edges.dropDuplicates(["citing", "cited"])

@@ -192,18 +192,38 @@ def update_columns(old: DataFrame, delta: DataFrame, keys: list[str], columns: l
     return j.select(*[F.when(F.col("_has"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
 
 
-def start_embedding(chunks: DataFrame, picked: DataFrame) -> DataFrame:
-    """To ``indexing``, with the point the vector will have."""
-    j = chunks.join(picked.select("id", F.col("point_id").alias("_p")), "id", "left")
-    hit = F.col("_p").isNotNull()
-    return j.withColumn("embedding_status", F.when(hit, "indexing").otherwise(F.col("embedding_status"))).withColumn("qdrant_point_id", F.when(hit, F.col("_p")).otherwise(F.col("qdrant_point_id"))).select(*chunks.columns)
+#: The columns of a chunk that hold the identity of its vector, in the order of the identity.
+IDENTITY_COLUMNS = {"provider": "embedding_provider", "model": "embedding_model", "dimensions": "embedding_dimensions", "instruction_version": "instruction_version", "indexing_version": "indexing_version"}
+
+
+def _transition(chunks: DataFrame, picked: DataFrame, when: Column, changes: dict[str, Column]) -> DataFrame:
+    """``chunks`` with ``changes`` where a row of ``picked(id, …)`` is there (as ``p``) and ``when`` holds."""
+    j = chunks.alias("c").join(picked.withColumn("_hit", F.lit(True)).alias("p").hint("merge"), F.col("c.id") == F.col("p.id"), "left")
+    hit = F.coalesce(F.col("p._hit") & when, F.lit(False))
+    return j.select(*[F.when(hit, changes[c]).otherwise(F.col(f"c.{c}")).alias(c) if c in changes else F.col(f"c.{c}") for c in chunks.columns])
+
+
+def _identity_changes(identity: dict[str, object], collection: str) -> dict[str, Column]:
+    return {c: F.lit(identity[k]) for k, c in IDENTITY_COLUMNS.items() if k in identity} | {"qdrant_collection": F.lit(collection), "qdrant_point_id": F.col("p.point_id"), "error_message": F.lit(None).cast("string")}
+
+
+def start_embedding(chunks: DataFrame, picked: DataFrame, identity: dict[str, object], collection: str) -> DataFrame:
+    """Chunks of ``picked(id, point_id)`` to ``indexing``, with the identity, collection and point their vector will have; a
+    former error is cleared."""
+    return _transition(chunks, picked, F.lit(True), {"embedding_status": F.lit("indexing")} | _identity_changes(identity, collection))
 
 
 def finish_embedding(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     """To ``completed`` only where the point is still the chunk's; the embedded hash becomes the content's."""
-    j = chunks.join(stored.select("id", F.col("point_id").alias("_p")), "id", "left")
-    hit = F.coalesce(F.col("_p") == F.col("qdrant_point_id"), F.lit(False))
-    return j.withColumn("embedding_status", F.when(hit, "completed").otherwise(F.col("embedding_status"))).withColumn("embedded_content_hash", F.when(hit, F.col("content_hash")).otherwise(F.col("embedded_content_hash"))).select(*chunks.columns)
+    done = {"embedding_status": F.lit("completed"), "embedded_content_hash": F.col("c.content_hash"), "error_message": F.lit(None).cast("string")}
+    return _transition(chunks, stored, F.col("p.point_id") == F.col("c.qdrant_point_id"), done)
+
+
+def activate_generation(chunks: DataFrame, points: DataFrame, identity: dict[str, object], collection: str) -> DataFrame:
+    """Chunks whose content is still what the new generation embedded (``points(id, point_id, content_hash)``) move to
+    it, whatever their state; others are left for the next run."""
+    done = {"embedding_status": F.lit("completed"), "embedded_content_hash": F.col("c.content_hash")} | _identity_changes(identity, collection)
+    return _transition(chunks, points, F.col("p.content_hash") == F.col("c.content_hash"), done)
 
 
 def backfill_memberships(legacy: DataFrame, memberships: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from ..functions.text import content_hash, point_id
 from .aggregates import best_score
 
 IDENTITY = ["provider", "model", "dimensions", "instruction_version", "indexing_version"]
@@ -127,13 +128,29 @@ def blend(ranked: DataFrame, judged: DataFrame, size: int = 10, vector: float =
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("score"), "paper_id")))
 
 
-def upsert_points(old: DataFrame, new: DataFrame, identity: dict[str, object]) -> DataFrame:
-    """Points of the expected identity replace those of the same id; others are refused (left out)."""
-    ok = F.lit(True)
-    for name, value in identity.items():
-        ok = ok & F.col(name).eqNullSafe(F.lit(value))
-    good = new.filter(ok).drop(*identity)
-    return old.join(good.select("point_id"), "point_id", "left_anti").unionByName(good.select(*old.columns))
+def upsert_points(old: DataFrame, new: DataFrame, identity: dict[str, object]) -> tuple[DataFrame, DataFrame]:
+    """(points, faults). ``new`` has ``topic_id, paper_id, chunk_type, chunk_index, text, content_hash, embedding`` and the
+    columns of the identity.
+
+    An identity without any value is taken as the expected one and a missing hash is that of the text; the point's id follows
+    from both. Points replace those of the same id. A row of another identity or with a bad vector is not stored but
+    reported with its reason.
+    """
+    unset = F.lit(True)
+    for name in identity:
+        unset = unset & F.col(name).isNull()
+    own = F.concat_ws(":", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in identity])
+    want = ":".join(str(v) for v in identity.values())
+    bad = F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    size = F.coalesce(F.size("embedding"), F.lit(0))
+    where = F.concat(F.lit("validate vector for paper "), F.col("paper_id").cast("string"), F.lit(" chunk "), F.col("chunk_index").cast("string"), F.lit(": "))
+    fault = F.when(~unset & (own != want), F.concat(F.lit("embedding identity mismatch: got "), own, F.lit(f" want {want}")))
+    fault = fault.when(size <= 0, F.concat(where, F.lit("empty"))).when(size != identity["dimensions"], F.concat(where, F.lit("dimension"))).when(bad, F.concat(where, F.lit("not finite")))
+    filled = new.withColumn("content_hash", F.when(F.coalesce("content_hash", F.lit("")) == "", content_hash(F.col("text"))).otherwise(F.col("content_hash"))).withColumn("_fault", fault)
+    place = point_id(F.col("topic_id"), F.col("paper_id"), F.col("chunk_type"), F.col("chunk_index"), F.col("content_hash"), F.lit(want))
+    good = filled.filter("_fault IS NULL").withColumn("point_id", place)
+    points = old.join(good.select("point_id").hint("merge"), "point_id", "left_anti").unionByName(good.select(*old.columns))
+    return points, filled.filter("_fault IS NOT NULL").select("topic_id", "paper_id", "chunk_index", F.col("_fault").alias("fault"))
 
 
 def delete_points(points: DataFrame, ids: DataFrame | None = None, where: Column | None = None) -> DataFrame:
@@ -148,10 +165,15 @@ def existing_points(points: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def scroll(points: DataFrame, where: Column, limit: int) -> DataFrame:
-    """A bounded listing."""
+    """The first points by id that match."""
     return points.filter(where).orderBy("point_id").limit(limit)
 
 
+def point_ids(points: DataFrame) -> DataFrame:
+    """All ids of a generation; neither payload nor vectors are read."""
+    return points.select("point_id")
+
+
 def is_current(identity: dict[str, object], collection: str) -> Column:
     """Embedded as it is now, under this identity and collection."""
     names = {"provider": "embedding_provider", "model": "embedding_model", "dimensions": "embedding_dimensions"}

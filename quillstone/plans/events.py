@@ -88,6 +88,28 @@ def result_json(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.result_json(_reports(spark, sf).select("topic_id", "status", "papers", "gaps"))
 
 
+def _topics(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("doc_id")
+    status = F.when(k % 5 == 0, "failed").when(k % 3 == 0, "processing").otherwise("completed")
+    return table(spark, sf, "documents").select(k.cast("string").alias("topic_id"), F.concat(F.lit("r"), k.cast("string")).alias("run_id"), status.alias("status"), F.lit("ranking").alias("current_stage"), F.lit(0.25).alias("progress"), F.when(k % 5 == 0, 'a "bad" page').when(k % 2 == 0, "").alias("error_message"))
+
+
+def status_json(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.status_json(_topics(spark, sf))
+
+
+def refused_artefacts(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.refused(_topics(spark, sf))
+
+
+def bibliography_artefacts(spark: SparkSession, sf: str) -> DataFrame:
+    """Bibliographies of the completed topics, written a folder for each and read back."""
+    path = scratch_path(spark, "bibliographies")
+    entries = F.concat(F.lit("@article{"), F.col("topic_id"), F.lit(",\n}\n"))
+    sinks.write_text(_reports(spark, sf).withColumn("bibtex", entries), "bibtex", path)
+    return spark.read.text(path, lineSep="\n\f\n").select("topic_id", F.col("value").alias("bibtex"))
+
+
 def artefacts(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "artefacts")
     sinks.write_text(_reports(spark, sf), "markdown", path)
@@ -235,6 +257,9 @@ QUERIES = {
     "conversion_class": (conversion_class, None),
     "document_ledger": (document_ledger, "SELECT page_id AS paper_id, sha256(html) AS pdf_hash, 'docling' AS parser_provider, '1' AS parser_version, 'completed' AS status, greatest(page_id - 5, 0) AS duration_ms, '[\"a\",\"b\"]' AS warnings, NULL::VARCHAR AS error_message, 'm' AS markdown FROM pages"),
     "result_json": (result_json, f"WITH {TOPIC_PAPERS}, t AS (SELECT topic_id, string_agg(paper_id::VARCHAR, ',' ORDER BY paper_id) AS p FROM topic_papers GROUP BY 1) SELECT topic_id, '{{\"topic_id\":\"' || topic_id || '\",\"status\":\"completed\",\"papers\":[' || p || '],\"gaps\":[]}}' AS document FROM t WHERE topic_id <> 'src7'"),
+    "status_json": (status_json, "SELECT doc_id::VARCHAR AS topic_id, '{\"topic_id\":\"' || doc_id || '\",\"run_id\":\"r' || doc_id || '\",\"status\":\"' || CASE WHEN doc_id % 5 = 0 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'processing' ELSE 'completed' END || '\",\"stage\":\"ranking\",\"progress\":0.25' || CASE WHEN doc_id % 5 = 0 THEN ',\"error\":\"a \\\"bad\\\" page\"' ELSE '' END || '}' AS document FROM documents"),
+    "refused_artefacts": (refused_artefacts, "SELECT doc_id::VARCHAR AS topic_id, 'topic is ' || CASE WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'processing' END AS reason FROM documents WHERE doc_id % 5 = 0 OR doc_id % 3 = 0"),
+    "bibliography_artefacts": (bibliography_artefacts, "SELECT DISTINCT source AS topic_id, '@article{' || source || ',' || chr(10) || '}' || chr(10) AS bibtex FROM documents WHERE source <> 'src7'"),
     "artefacts": (artefacts, "SELECT DISTINCT source AS topic_id, '# Report ' || source AS markdown FROM documents WHERE source <> 'src7'"),
     "job_state": (job_state, f"WITH {JOB_EVENTS}, {_JOB} SELECT job_id, attempts, failures, retries, state FROM j"),
     "dead_letters": (dead_letters, f"WITH {JOB_EVENTS}, {_DEAD} SELECT * FROM dead"),

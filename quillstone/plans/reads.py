@@ -92,6 +92,14 @@ def state_priority(spark: SparkSession, sf: str) -> DataFrame:
     return R.first_of(list(_states(spark, sf)), "topic_id", ["status"])
 
 
+def state_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Asked for every second job and for as many ids that are none or of no topic."""
+    asked = job_events(spark, sf).select(F.col("job_id").cast("string").alias("topic_id")).distinct()
+    asked = asked.select(F.when(F.col("topic_id").cast("long") % 3 == 0, F.concat(F.lit("no id "), "topic_id")).when(F.col("topic_id").cast("long") % 5 == 0, F.concat(F.lit("99999"), "topic_id")).otherwise(F.col("topic_id")).alias("topic_id"))
+    states = [s.withColumn("topic_id", F.col("topic_id").cast("string")) for s in _states(spark, sf)]
+    return R.lookup_states(asked, states, ["status"], F.col("topic_id").rlike("^[0-9]+$"))
+
+
 def recovery_set(spark: SparkSession, sf: str) -> DataFrame:
     _, live, durable = _states(spark, sf)
     marks = job_events(spark, sf).select(F.col("job_id").alias("topic_id"), F.col("kind").alias("stage"), F.col("ts").alias("started_at"))
@@ -126,7 +134,8 @@ def batches_of_n(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_progress(spark: SparkSession, sf: str) -> DataFrame:
-    return A.batch_progress(job_events(spark, sf).withColumn("batch", F.col("job_id")))
+    e = job_events(spark, sf).withColumns({"batch": F.col("job_id"), "id": F.col("event_id"), "item": F.lit("paper"), "cause": F.col("props")})
+    return A.batch_progress(e)
 
 
 def job_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,6 +189,7 @@ QUERIES = {
     "min_topic": (min_topic, f"WITH {LINKS} SELECT paper_id, min(author_id::VARCHAR) AS topic_id FROM links GROUP BY 1"),
     "twin_rows": (twin_rows, "SELECT DISTINCT a.doc_id, a.source FROM documents a JOIN documents b ON a.source = b.source AND a.text = b.text AND a.doc_id > b.doc_id"),
     "state_priority": (state_priority, f"WITH {_STATES} SELECT d.topic_id, coalesce(lo.status, li.status, du.status) AS status, CASE WHEN lo.topic_id IS NOT NULL THEN 0 WHEN li.topic_id IS NOT NULL THEN 1 ELSE 2 END AS priority FROM d LEFT JOIN lo USING (topic_id) LEFT JOIN li USING (topic_id) LEFT JOIN du USING (topic_id)"),
+    "state_lookup": (state_lookup, f"WITH {_STATES}, a AS (SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN 'no id ' || user_id WHEN user_id % 5 = 0 THEN '99999' || user_id ELSE user_id::VARCHAR END AS topic_id FROM events) SELECT a.topic_id, coalesce(lo.status, li.status, du.status) AS status, CASE WHEN starts_with(a.topic_id, 'no') THEN 'invalid topic id: \"' || a.topic_id || '\"' WHEN lo.topic_id IS NULL AND li.topic_id IS NULL AND du.topic_id IS NULL THEN 'pipeline not found: ' || a.topic_id END AS error FROM a LEFT JOIN lo ON lo.topic_id::VARCHAR = a.topic_id LEFT JOIN li ON li.topic_id::VARCHAR = a.topic_id LEFT JOIN du ON du.topic_id::VARCHAR = a.topic_id"),
     "recovery_set": (recovery_set, f"WITH {_STATES}, {JOB_EVENTS}, m AS (SELECT job_id AS topic_id, kind AS stage FROM job_events QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, kind DESC) = 1) SELECT du.topic_id, status, coalesce(stage, 'pending') AS stage FROM du LEFT JOIN m USING (topic_id) WHERE status NOT IN ('completed', 'failed')"),
     "term_match": (term_match, f"WITH {PAPERS}, t AS (SELECT paper_id, unnest({_TERMS}) AS term FROM papers) SELECT paper_id, count(*) AS hits FROM t WHERE term IN ('the', 'of', 'tion') GROUP BY 1 HAVING count(DISTINCT term) = 3"),
     "topic_counts": (topic_counts, f"WITH {TOPIC_PAPERS} SELECT topic_id, analysis_status, count(*) AS n FROM topic_papers GROUP BY ALL"),
@@ -187,8 +197,8 @@ QUERIES = {
     "generation_dedup": (generation_dedup, "SELECT o_custkey AS model, o_orderpriority AS provider, o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'active' ELSE 'ready' END AS status FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderstatus = 'P' DESC, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END DESC NULLS LAST, o_orderdate DESC, o_orderkey DESC) = 1"),
     "analysis_text": (analysis_text, f"WITH {PAPERS}, c AS (SELECT conv_id AS paper_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS body FROM conversations WHERE role <> 'system' GROUP BY 1) SELECT paper_id, sha256(coalesce(body, abstract)) AS hash, length(coalesce(body, abstract))::INT AS n FROM papers LEFT JOIN c USING (paper_id)"),
     "batches_of_n": (batches_of_n, f"WITH {TOPIC_PAPERS} SELECT topic_id, paper_id, ((row_number() OVER (PARTITION BY topic_id ORDER BY paper_id) - 1) // 10)::INT AS batch FROM topic_papers"),
-    "batch_progress": (batch_progress, f"WITH {JOB_EVENTS}, b AS (SELECT job_id AS batch, count(*) AS total, count(*) FILTER (WHERE kind IN ('completed', 'failed')) AS finished, count(*) FILTER (WHERE kind = 'failed') AS failed FROM job_events GROUP BY 1) SELECT *, round(0.35::DOUBLE + 0.30::DOUBLE * finished / total, 6) AS progress, finished = total AS done FROM b"),
-    "job_metrics": (job_metrics, f"WITH {JOB_EVENTS}, p AS (SELECT job_id, count(*) FILTER (WHERE kind = 'enqueued') AS e, count(*) FILTER (WHERE kind = 'delivered') AS d, count(*) FILTER (WHERE kind = 'completed') AS c, count(*) FILTER (WHERE kind = 'failed') AS f FROM job_events GROUP BY 1) SELECT sum(c)::BIGINT AS processed, sum(f)::BIGINT AS failed_attempts, sum(least(f, 3))::BIGINT AS retries, count(*) FILTER (WHERE f > 3) AS terminal, sum(greatest(e - d, 0))::BIGINT AS queued, sum(greatest(d - c - f, 0))::BIGINT AS active FROM p"),
+    "batch_progress": (batch_progress, f"WITH {JOB_EVENTS}, b AS (SELECT job_id AS batch, count(*) AS total, count(*) FILTER (WHERE kind IN ('completed', 'failed')) AS finished, count(*) FILTER (WHERE kind = 'failed') AS failed, coalesce(string_agg('paper ' || event_id || ': ' || props, '; ' ORDER BY event_id) FILTER (WHERE kind = 'failed'), '') AS failures FROM job_events GROUP BY 1) SELECT *, round(0.35::DOUBLE + 0.30::DOUBLE * finished / total, 6) AS progress, finished = total AS done FROM b"),
+    "job_metrics": (job_metrics, f"WITH {JOB_EVENTS}, p AS (SELECT job_id, count(*) FILTER (WHERE kind = 'enqueued') AS e, count(*) FILTER (WHERE kind = 'delivered') AS d, count(*) FILTER (WHERE kind = 'completed') AS c, count(*) FILTER (WHERE kind = 'failed') AS f FROM job_events GROUP BY 1) SELECT sum(c)::BIGINT AS processed, sum(f)::BIGINT AS failed_attempts, sum(least(f, 2))::BIGINT AS retries, count(*) FILTER (WHERE f >= 3) AS terminal, sum(greatest(e - d, 0))::BIGINT AS queued, sum(greatest(d - c - f, 0))::BIGINT AS active FROM p"),
     "request_metrics": (request_metrics, "WITH l AS (SELECT user_id % 3 AS service, event_type AS operation, CASE WHEN event_id % 17 = 0 THEN 429 WHEN event_id % 13 = 0 THEN 503 ELSE 200 END AS status, event_id % 4 AS attempt, value AS ms, event_id % 19 = 0 AS rejected FROM events) SELECT service, operation, count(*) AS requests, count(*) FILTER (WHERE status = 429) AS throttled, count(*) FILTER (WHERE attempt > 0) AS retried, count(*) FILTER (WHERE rejected) AS rejected, round(avg(ms), 6) AS mean_ms, count(*) FILTER (WHERE status >= 500) AS server_errors FROM l GROUP BY ALL"),
     "duration_quantiles": (duration_quantiles, "SELECT user_id % 3 AS service, count(*) AS requests, true AS p50_near, true AS p95_near, true AS p99_near FROM events GROUP BY 1"),
     "token_usage": (token_usage, "WITH c AS (SELECT conv_id, role, len(string_split(text, ' ')) AS n FROM conversations) SELECT conv_id, coalesce(sum(n) FILTER (WHERE role <> 'assistant'), 0)::BIGINT AS input_tokens, coalesce(sum(n) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS output_tokens, sum(n)::BIGINT AS total_tokens FROM c GROUP BY 1"),

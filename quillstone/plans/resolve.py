@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import resolve as C
+from ..sources.records import read_search_json
 from .views import PAPERS, job_events, links, papers, table, topic_papers
 
 
@@ -83,6 +84,14 @@ def citation_degrees(spark: SparkSession, sf: str) -> DataFrame:
     return C.citation_degrees(links(spark, sf).select(F.col("paper_id").alias("citing"), F.col("author_id").alias("cited")))
 
 
+def citations_from_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order as a search hit whose references are the suppliers of its lines, read from JSON."""
+    cited = links(spark, sf).groupBy("paper_id").agg(F.collect_list(F.struct(F.concat(F.lit("s"), F.col("author_id").cast("string")).alias("paperId"))).alias("references"))
+    hit = F.struct(F.concat(F.lit("o"), F.col("paper_id").cast("string")).alias("paperId"), "references")
+    pages = cited.select(F.col("paper_id").alias("page"), F.to_json(F.struct(F.lit(1).alias("total"), F.array(hit).alias("data"))).alias("payload"))
+    return C.citation_degrees(C.citation_edges(read_search_json(pages, ["page"])))
+
+
 _REC = f"""{PAPERS}, r AS (SELECT topic_id, paper_id AS ordinal, paper_id AS k, title, source, CASE WHEN paper_id % 3 <> 0 THEN doi ELSE '' END AS doi, '' AS pdf FROM papers
   UNION ALL SELECT topic_id, paper_id + 1000000, paper_id, title || '!', CASE WHEN source = 'arxiv' THEN 'semantic_scholar' ELSE 'arxiv' END, CASE WHEN paper_id % 3 <> 0 THEN 'https://doi.org/' || doi ELSE '' END, 'http://x/' || external_id FROM papers WHERE paper_id % 5 = 0)"""
 _CLOSURE = f"""WITH RECURSIVE {_REC}, n AS (SELECT r.*, trim(regexp_replace(lower(r.title), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM r),
@@ -106,7 +115,8 @@ QUERIES = {
     "merged_papers": (merged_papers, "SELECT source AS topic_id, doc_id AS paper, 'Author ' || doc_id % 7 || ':' || CASE WHEN doc_id % 5 = 0 THEN doc_id || ';Other:' ELSE '' END AS authors FROM documents"),
     "capped_papers": (capped_papers, f"WITH {_REC} SELECT topic_id, ordinal FROM r QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY ordinal) <= 20"),
     "search_outcome": (search_outcome, f"WITH {_EV} SELECT user_id || '-' || event_id % 9 AS topic_id, count(*) FILTER (WHERE event_id % 4 = 0) AS succeeded, count(*) AS total, CASE WHEN count(*) FILTER (WHERE event_id % 4 = 0) = 0 THEN string_agg(DISTINCT kind, '; ' ORDER BY kind) END AS error FROM e GROUP BY 1"),
-    "batch_outcome": (batch_outcome, f"WITH {_EV} SELECT user_id AS batch, count(*) AS total, count(*) FILTER (WHERE kind <> 'failed') AS succeeded, 'store papers completed with ' || count(*) FILTER (WHERE kind <> 'failed') || '/' || count(*) || ' successful' AS message, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (WHERE kind = 'failed'), '') AS failed FROM e GROUP BY 1"),
+    "batch_outcome": (batch_outcome, f"WITH {_EV} SELECT user_id AS batch, count(*) AS total, count(*) FILTER (WHERE kind <> 'failed') AS succeeded, CASE WHEN count(*) FILTER (WHERE kind = 'failed') > 0 THEN 'store papers completed with ' || count(*) FILTER (WHERE kind <> 'failed') || '/' || count(*) || ' successful: ' || string_agg('failed ' || event_id || ': x', '; ' ORDER BY event_id) FILTER (WHERE kind = 'failed') END AS message, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (WHERE kind = 'failed'), '') AS failed FROM e GROUP BY 1"),
     "min_papers": (min_papers, "WITH c AS (SELECT d.source AS topic_id, count(l.doc_id) AS papers FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1) SELECT topic_id, papers, 'found ' || papers || ' papers, need 20' AS message FROM c WHERE papers < 20"),
+    "citations_from_payloads": (citations_from_payloads, "WITH e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 's' || l_suppkey AS b FROM lineitem), u AS (SELECT a AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT b, 0, 1 FROM e) SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM u GROUP BY 1"),
     "citation_degrees": (citation_degrees, "WITH e AS (SELECT DISTINCT l_orderkey AS a, l_suppkey AS b FROM lineitem), u AS (SELECT a AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT b, 0, 1 FROM e) SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM u GROUP BY 1"),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tables as D
+from ..sources import schemas
 from .views import LINKS, PAPERS, TOPIC_PAPERS, job_events, links, papers, table, topic_papers
 
 
@@ -114,12 +115,19 @@ def column_updates(spark: SparkSession, sf: str) -> DataFrame:
     return D.update_columns(t, t.filter("paper_id % 3 = 0").select("topic_id", "paper_id", F.lit(0.5).alias("score"), F.lit("completed").alias("analysis_status")), ["topic_id", "paper_id"], ["score", "analysis_status"])
 
 
+_IDENTITY = {"provider": "p", "model": "m", "dimensions": 8, "instruction_version": "q", "indexing_version": "v2"}
+
+
 def chunk_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    c = _chunks(spark, sf).withColumn("embedding_status", F.lit("pending")).withColumn("embedded_content_hash", F.lit(None).cast("string"))
+    """Started, finished and, for every seventh paper, moved to a new generation, which knows an old text of odd chunks."""
+    none = F.lit(None).cast("string")
+    c = _chunks(spark, sf).withColumns({"embedding_status": F.lit("pending"), "embedded_content_hash": none, "embedding_model": none, "qdrant_collection": none, "error_message": F.lit("late")})
     point = F.concat(F.lit("p"), F.col("id"))
-    begun = D.start_embedding(c, c.filter("paper_id % 2 = 0").select("id", point.alias("point_id")))
+    begun = D.start_embedding(c, c.filter("paper_id % 2 = 0").select("id", point.alias("point_id")), _IDENTITY, "c1")
     done = D.finish_embedding(begun, c.filter("paper_id % 3 = 0").select("id", F.when(F.col("chunk_index") % 2 == 0, point).otherwise("other").alias("point_id")))
-    return done.select("id", "embedding_status", "qdrant_point_id", "embedded_content_hash")
+    moved = c.filter("paper_id % 7 = 0").select("id", F.concat(F.lit("g"), "id").alias("point_id"), F.when(F.col("chunk_index") % 2 == 0, F.col("content_hash")).otherwise("old").alias("content_hash"))
+    out = D.activate_generation(done, moved, _IDENTITY | {"model": "n"}, "c2")
+    return out.select("id", "embedding_status", "qdrant_point_id", "embedded_content_hash", "embedding_model", "qdrant_collection", "error_message")
 
 
 def backfills(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,6 +150,16 @@ def expectations(spark: SparkSession, sf: str) -> DataFrame:
     return D.violations(o, "orders", "o_orderkey", checks, {"day_customer": ["o_custkey", "o_orderpriority"]}, {"customer": ("o_custkey", table(spark, sf, "customer").filter("c_custkey % 10 != 0"), "c_custkey")})
 
 
+def table_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks and memberships against the declared rules of their tables, references to topics and papers included."""
+    p = papers(spark, sf)
+    topics = schemas.empty(spark, "research_topics").unionByName(p.filter("topic_id != 'src3'").select(F.col("topic_id").alias("id")).distinct(), allowMissingColumns=True)
+    known = schemas.empty(spark, "papers").unionByName(p.filter("paper_id % 4 != 0").select(F.col("paper_id").cast("string").alias("id")), allowMissingColumns=True)
+    rows = p.select("topic_id", F.col("paper_id").cast("string").alias("paper_id"), F.when(F.col("paper_id") % 5 == 0, "odd").otherwise("pending").alias("analysis_status"))
+    members = schemas.empty(spark, "topic_papers").unionByName(rows, allowMissingColumns=True)
+    return schemas.check_table(members, "topic_papers", {"research_topics": topics, "papers": known})
+
+
 def stamped(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", F.lit(1).alias("updated_at"))
     new = c.withColumn("c_name", F.when(F.col("c_custkey") % 4 == 0, "changed").otherwise(F.col("c_name")))
@@ -178,10 +196,11 @@ QUERIES = {
     "stage_upsert": (stage_upsert, "WITH e AS (SELECT event_id, user_id AS run_id, CASE event_type WHEN 'click' THEN 'enqueued' WHEN 'view' THEN 'delivered' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'created' END AS stage FROM events), o AS (SELECT run_id, stage, max(event_id) AS m FROM e WHERE event_id % 2 = 0 GROUP BY 1, 2), d AS (SELECT run_id, stage, max(event_id) AS n FROM e WHERE event_id % 3 = 0 GROUP BY 1, 2) SELECT run_id, stage, CASE WHEN n IS NOT NULL THEN 'running' ELSE 'completed' END AS status, CASE WHEN m IS NOT NULL AND n IS NOT NULL THEN 2 ELSE 1 END AS attempt, coalesce(n, m) AS started_at, CASE WHEN n IS NULL THEN m END AS completed_at, CASE WHEN n IS NULL THEN 'x' END AS error_message FROM o FULL JOIN d USING (run_id, stage)"),
     "topic_state": (topic_state, "SELECT doc_id AS topic_id, CASE WHEN doc_id % 6 = 0 THEN 'failed' WHEN doc_id % 2 = 0 THEN 'completed' ELSE 'processing' END AS status, CASE WHEN doc_id % 2 = 0 THEN 'report' ELSE 'ranking' END AS current_stage, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.25 END::DOUBLE AS progress, CASE WHEN doc_id % 6 = 0 THEN 'bad' END AS error_message, CASE WHEN doc_id % 4 = 0 THEN 7 WHEN doc_id % 2 = 0 AND doc_id % 6 <> 0 THEN 9 END AS completed_at FROM documents"),
     "column_updates": (column_updates, f"WITH {TOPIC_PAPERS} SELECT topic_id, paper_id, CASE WHEN paper_id % 3 = 0 THEN 0.5 ELSE score END AS score, CASE WHEN paper_id % 3 = 0 THEN 'completed' ELSE analysis_status END AS analysis_status FROM topic_papers"),
-    "chunk_transitions": (chunk_transitions, f"WITH {_CHUNKS}, c AS (SELECT paper_id || '-' || chunk_index AS id, *, paper_id % 6 = 0 AND chunk_index % 2 = 0 AS done FROM chunks) SELECT id, CASE WHEN done THEN 'completed' WHEN paper_id % 2 = 0 THEN 'indexing' ELSE 'pending' END AS embedding_status, CASE WHEN paper_id % 2 = 0 THEN 'p' || id ELSE 'p' END AS qdrant_point_id, CASE WHEN done THEN sha256(text) END AS embedded_content_hash FROM c"),
+    "chunk_transitions": (chunk_transitions, f"WITH {_CHUNKS}, c AS (SELECT paper_id || '-' || chunk_index AS id, *, paper_id % 6 = 0 AND chunk_index % 2 = 0 AS done, paper_id % 2 = 0 AS begun, paper_id % 7 = 0 AND chunk_index % 2 = 0 AS moved FROM chunks) SELECT id, CASE WHEN done OR moved THEN 'completed' WHEN begun THEN 'indexing' ELSE 'pending' END AS embedding_status, CASE WHEN moved THEN 'g' || id WHEN begun THEN 'p' || id ELSE 'p' END AS qdrant_point_id, CASE WHEN done OR moved THEN sha256(text) END AS embedded_content_hash, CASE WHEN moved THEN 'n' WHEN begun THEN 'm' END AS embedding_model, CASE WHEN moved THEN 'c2' WHEN begun THEN 'c1' END AS qdrant_collection, CASE WHEN NOT (begun OR moved) THEN 'late' END AS error_message FROM c"),
     "backfills": (backfills, f"WITH {PAPERS} SELECT 'membership' AS kind, paper_id, CASE WHEN paper_id % 2 = 0 THEN 'completed' ELSE 'pending' END AS value FROM papers WHERE paper_id % 3 <> 0 UNION ALL SELECT 'chunk', paper_id, sha256(abstract) FROM papers WHERE paper_id % 5 <> 0 AND trim(abstract) <> ''"),
     "status_remap": (status_remap, "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'ready' ELSE 'building' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'why' WHEN o_orderstatus = 'F' THEN 'unknown error' ELSE '' END AS error_message FROM orders"),
     "expectations": (expectations, "SELECT 'orders' AS table_name, 'status' AS rule, o_orderkey::VARCHAR AS key FROM orders WHERE o_orderstatus NOT IN ('O', 'F') UNION ALL SELECT 'orders', 'price', o_orderkey::VARCHAR FROM orders WHERE o_totalprice < 1000 UNION ALL SELECT 'orders', 'day_customer', o_custkey || '|' || o_orderpriority FROM orders GROUP BY o_custkey, o_orderpriority HAVING count(*) > 1 UNION ALL SELECT 'orders', 'customer', o_orderkey::VARCHAR FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)"),
+    "table_rules": (table_rules, "SELECT 'topic_papers' AS table_name, 'analysis_status value' AS rule, source AS key FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 'topic_papers', 'topic_id not in research_topics', source FROM documents WHERE source = 'src3' UNION ALL SELECT 'topic_papers', 'paper_id not in papers', source FROM documents WHERE doc_id % 4 = 0"),
     "stamped": (stamped, "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 4 = 0 THEN 2 ELSE 1 END AS updated_at FROM customer"),
     "new_topics": (new_topics, "SELECT source AS topic_id, 'topic ' || source AS topic, '[' || string_agg(DISTINCT '\"' || lang || '\"', ',' ORDER BY '\"' || lang || '\"') || ']' AS expanded_queries, 'pending' AS status, 'pending' AS current_stage, 0.0::DOUBLE AS progress FROM documents GROUP BY source"),
     "tables_roundtrip": (tables_roundtrip, f"WITH {PAPERS} SELECT paper_id, title, CASE WHEN paper_id % 3 = 0 THEN 1 ELSE year END AS year, CASE WHEN paper_id % 2 = 0 THEN year END AS before FROM papers WHERE paper_id % 2 = 0 OR paper_id % 3 = 0"),

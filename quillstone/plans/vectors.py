@@ -115,9 +115,22 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def points_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    p = _points(spark, sf)
-    new = p.filter("point_id % 3 = 0").withColumn("s", F.lit(0.0)).withColumn("model", F.when(F.col("point_id") % 5 == 0, "other").otherwise("m"))
-    return G.upsert_points(p.filter("point_id % 2 = 0"), new, {"model": "m"}).select("point_id", "topic_id", (F.col("s") == 0).alias("zero"))
+    """Vectors of every third id over those of even ones; some of another identity, without one, without a hash or too short."""
+    k = F.col("paper_id")
+    v = _vectors(spark, sf).withColumns({"topic_id": F.col("topic_id").cast("string"), "chunk_index": F.lit(0), "text": F.concat(F.lit("t"), k.cast("string"))})
+    ident = {c: F.lit(x) for c, x in IDENT.items()}
+    first, faults = G.upsert_points(spark.createDataFrame([], "point_id string, topic_id string, paper_id long, content_hash string, size int"), v.filter(k % 2 == 0).withColumns(ident | {"content_hash": F.lit(None).cast("string"), "size": F.lit(1)}), IDENT)
+    new = v.filter(k % 3 == 0).withColumns(ident).withColumn("model", F.when(k % 5 == 0, "other").otherwise(F.col("model")))
+    new = new.withColumns({c: F.when(k % 9 != 0, F.col(c)) for c in IDENT}).withColumns({"content_hash": F.when(k % 4 == 0, F.sha2("text", 256)), "embedding": F.when(k % 7 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")), "size": F.lit(2)})
+    points, faults = G.upsert_points(first, new, IDENT)
+    stored = points.select("paper_id", "size", F.col("content_hash").alias("detail"))
+    return stored.unionByName(faults.select("paper_id", F.lit(0).alias("size"), F.col("fault").alias("detail")))
+
+
+def points_scroll(spark: SparkSession, sf: str) -> DataFrame:
+    """The first hundred points of a topic, and how many ids there are in all."""
+    p = _vectors(spark, sf)
+    return G.scroll(p, F.col("topic_id") == 3, 100).select("point_id").join(G.point_ids(p).agg(F.count("*").alias("n")).hint("broadcast"))
 
 
 def points_delete(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,7 +255,8 @@ QUERIES = {
     "query_text": (query_text, "SELECT doc_id, sha256('Instruct: find' || chr(10) || 'Query:' || text) AS hash FROM documents"),
     "hashed_embedding": (hashed_embedding, "SELECT doc_id, 16 AS n, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents"),
     "rerank_blend": (rerank_blend, _BLEND),
-    "points_upsert": (points_upsert, "SELECT vec_id AS point_id, label AS topic_id, vec_id % 3 = 0 AND vec_id % 5 <> 0 AS zero FROM embeddings WHERE vec_id % 2 = 0 OR (vec_id % 3 = 0 AND vec_id % 5 <> 0)"),
+    "points_upsert": (points_upsert, "WITH d AS (SELECT vec_id AS k, sha256('t' || vec_id) AS h FROM embeddings), n AS (SELECT k, h, CASE WHEN k % 5 = 0 AND k % 9 <> 0 THEN 'embedding identity mismatch: got ollama:other:64:q:v1 want ollama:m:64:q:v1' WHEN k % 7 = 0 THEN 'validate vector for paper ' || k || ' chunk 0: dimension' END AS fault FROM d WHERE k % 3 = 0) SELECT k AS paper_id, 0 AS size, fault AS detail FROM n WHERE fault IS NOT NULL UNION ALL SELECT k, 2, h FROM n WHERE fault IS NULL UNION ALL SELECT k, 1, h FROM d WHERE k % 2 = 0 AND k NOT IN (SELECT k FROM n WHERE fault IS NULL)"),
+    "points_scroll": (points_scroll, "SELECT vec_id AS point_id, (SELECT count(*) FROM embeddings) AS n FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 100"),
     "points_delete": (points_delete, "SELECT vec_id AS point_id, label AS topic_id FROM embeddings WHERE vec_id % 3 <> 0 AND label <> 4"),
     "points_present": (points_present, "SELECT doc_id * 3 AS point_id FROM documents WHERE doc_id * 3 IN (SELECT vec_id FROM embeddings)"),
     "current_chunks": (current_chunks, "SELECT doc_id AS paper_id, doc_id % 11 <> 0 AND doc_id % 13 <> 0 AS current FROM documents WHERE doc_id % 5 <> 0"),

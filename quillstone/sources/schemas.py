@@ -57,6 +57,19 @@ KEYS = {
     "pipeline_stage_checkpoints": [["run_id", "stage"]],
 }
 
+#: Fixed values: (column, table, key) that a table refers to.
+REFERENCES = {
+    "paper_authors": [("paper_id", "papers", "id"), ("author_id", "authors", "id")],
+    "topic_papers": [("topic_id", "research_topics", "id"), ("paper_id", "papers", "id")],
+    "paper_chunks": [("topic_id", "research_topics", "id"), ("paper_id", "papers", "id")],
+    "paper_documents": [("paper_id", "papers", "id")],
+    "embedding_activation_intents": [("generation_id", "embedding_generations", "id")],
+    "research_gaps": [("topic_id", "research_topics", "id")],
+    "novel_directions": [("topic_id", "research_topics", "id"), ("gap_id", "research_gaps", "id")],
+    "embedding_cleanup_tasks": [("topic_id", "research_topics", "id"), ("paper_id", "papers", "id")],
+    "pipeline_stage_checkpoints": [("run_id", "research_topics", "run_id"), ("topic_id", "research_topics", "id")],
+}
+
 #: Columns that may not be negative, and the one that lies in [0, 1].
 NOT_NEGATIVE = {"chunk_index", "duration_ms", "indexed_chunks", "attempts", "position"}
 SHARES = {"progress"}
@@ -71,13 +84,14 @@ def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(path)
 
 
-def check_table(rows: DataFrame, name: str) -> DataFrame:
-    """Every broken rule of a table: values, ranges, keys and, for generations, at most one active."""
+def check_table(rows: DataFrame, name: str, others: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Every broken rule of a table: values, ranges, keys, references to those of the ``others`` that are given and, for
+    generations, at most one active."""
     rules = {f"{c} value": F.col(c).isin(v) for (t, c), v in VALUES.items() if t == name}
     rules |= {f"{c} negative": F.col(c) >= 0 for c in rows.columns if c in NOT_NEGATIVE}
     rules |= {f"{c} outside 0-1": F.col(c).between(0, 1) for c in rows.columns if c in SHARES}
     key = KEYS[name][0][0]
-    out = violations(rows, name, key, rules or {"key": F.col(key).isNotNull()}, {"unique " + ", ".join(k): k for k in KEYS[name]})
+    out = violations(rows, name, key, rules or {"key": F.col(key).isNotNull()}, {"unique " + ", ".join(k): k for k in KEYS[name]}, {f"{c} not in {t}": (c, others[t], k) for c, t, k in REFERENCES.get(name, []) if t in (others or {})})
     if name == "embedding_generations":
         twice = rows.filter("status = 'active'").agg(F.count("*").alias("n")).filter("n > 1")
         out = out.unionByName(twice.select(F.lit(name).alias("table_name"), F.lit("one active").alias("rule"), F.col("n").cast("string").alias("key")))

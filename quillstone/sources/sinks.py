@@ -19,8 +19,10 @@ def result_json(reports: DataFrame) -> DataFrame:
 
 
 def status_json(topics: DataFrame) -> DataFrame:
-    """A10: the light status document of every topic."""
-    return topics.select("topic_id", F.to_json(F.struct("topic_id", "status", "current_stage", "progress", F.coalesce("error_message", F.lit("")).alias("error"))).alias("document"))
+    """A10: the light status document of every topic (topic_id, run_id, status, current_stage, progress, error_message); an empty
+    error is left out."""
+    error = F.when(F.coalesce("error_message", F.lit("")) != "", F.col("error_message")).alias("error")
+    return topics.select("topic_id", F.to_json(F.struct("topic_id", "run_id", "status", F.col("current_stage").alias("stage"), "progress", error)).alias("document"))
 
 
 def refused(topics: DataFrame) -> DataFrame:
