@@ -23,7 +23,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quota_plan(spark: SparkSession, sf: str) -> DataFrame:
-    q = papers(spark, sf).filter("paper_id % 9 != 0").select("topic_id", F.col("paper_id").alias("position"), F.col("external_id").alias("query"))
+    q = papers(spark, sf).select("topic_id", F.col("paper_id").alias("position"), F.col("external_id").alias("query"))
     return C.allocate_quota(q, 50)
 
 
@@ -106,7 +106,7 @@ SELECT topic_id, min(ordinal) AS ordinal, count(*) AS members, arg_min(source, o
 _EV = "e AS (SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 'enqueued' WHEN 'view' THEN 'delivered' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'created' END AS kind, value FROM events)"
 _W = "regexp_split_to_array(text, '[ \\n]+')"
 QUERIES = {
-    "quota_plan": (quota_plan, f"WITH {PAPERS}, q AS (SELECT topic_id, external_id AS query, row_number() OVER (PARTITION BY topic_id ORDER BY paper_id) - 1 AS k FROM papers WHERE paper_id % 9 <> 0 QUALIFY k < 50), n AS (SELECT *, count(*) OVER (PARTITION BY topic_id) AS n FROM q) SELECT topic_id, query, (50 // n + CASE WHEN k < 50 % n THEN 1 ELSE 0 END)::INT AS quota, unnest(['semantic_scholar', 'arxiv']) AS source FROM n"),
+    "quota_plan": (quota_plan, f"WITH {PAPERS}, q AS (SELECT topic_id, external_id AS query, row_number() OVER (PARTITION BY topic_id ORDER BY paper_id) - 1 AS k FROM papers QUALIFY k < 50), n AS (SELECT *, count(*) OVER (PARTITION BY topic_id) AS n FROM q) SELECT topic_id, query, (50 // n + CASE WHEN k < 50 % n THEN 1 ELSE 0 END)::INT AS quota, unnest(['semantic_scholar', 'arxiv']) AS source FROM n"),
     "relaxed_queries": (relaxed_queries, f"WITH d AS (SELECT doc_id, source, list_slice({_W}, 1, doc_id % 7 + 1) AS q, list_slice({_W}, 1, doc_id % 5 + 1) AS k FROM documents) SELECT doc_id, CASE WHEN len(q) <= 1 THEN source ELSE array_to_string(list_slice(q, 1, greatest(2, len(q) // 2)), ' ') END AS queries, CASE WHEN len(k) <= 2 THEN '' ELSE array_to_string(list_slice(k, 1, greatest(1, len(k) // 2)), ' ') END AS keywords FROM d"),
     "fallback_level": (fallback_level, f"WITH {_EV}, f AS (SELECT user_id AS topic_id, (event_id % 3)::INT AS level, count(*) AS papers, max(value) < 190 AS ok FROM e GROUP BY ALL) SELECT topic_id, coalesce(min(level) FILTER (WHERE papers >= 22 AND ok), max(level)) AS level FROM f GROUP BY 1"),
     "reconcile_closure": (reconcile_closure, _CLOSURE),

@@ -78,8 +78,8 @@ def _chunk_state(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_refresh(spark: SparkSession, sf: str) -> DataFrame:
     c = _chunk_state(spark, sf)
-    new = c.filter("chunk_index < 5 OR doc_id % 2 = 0").select("doc_id", "chunk_index", F.when(F.col("chunk_index") % 2 == 1, F.reverse("content_hash")).otherwise(F.col("content_hash")).alias("content_hash"))
-    return K.plan_refresh(c.filter("chunk_index < 8"), new, ["doc_id"])
+    new = c.filter("(doc_id + chunk_index) % 5 != 4").select("doc_id", "chunk_index", F.when(F.col("chunk_index") % 2 == 1, F.reverse("content_hash")).otherwise(F.col("content_hash")).alias("content_hash"))
+    return K.plan_refresh(c.filter("(doc_id + chunk_index) % 7 != 3"), new, ["doc_id"])
 
 
 def pdf_index_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,7 +249,7 @@ QUERIES = {
     "chunk_words": (chunk_words, f"WITH {_CHUNKED} SELECT doc_id, i::INT AS chunk_index, len(w[i * 40 + 1:i * 40 + 50])::INT AS words, sha256(array_to_string(w[i * 40 + 1:i * 40 + 50], ' ')) AS content_hash FROM k"),
     "chunk_paragraphs": (chunk_paragraphs, None),
     "chunk_markdown": (chunk_markdown, None),
-    "chunk_refresh": (chunk_refresh, f"WITH {_CHUNKED}, o AS (SELECT doc_id, i FROM k WHERE i < 8), n AS (SELECT doc_id, i FROM k WHERE i < 5 OR doc_id % 2 = 0), j AS (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.i, n.i)::INT AS chunk_index, CASE WHEN n.i IS NULL THEN 'removed' WHEN o.i IS NULL THEN 'added' WHEN n.i % 2 = 1 THEN 'replaced' ELSE 'retained' END AS action FROM o FULL JOIN n ON o.doc_id = n.doc_id AND o.i = n.i) SELECT *, action <> 'removed' AND NOT (action = 'retained' AND doc_id % 4 <> 0) AS embed FROM j"),
+    "chunk_refresh": (chunk_refresh, f"WITH {_CHUNKED}, o AS (SELECT doc_id, i FROM k WHERE (doc_id + i) % 7 <> 3), n AS (SELECT doc_id, i FROM k WHERE (doc_id + i) % 5 <> 4), j AS (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.i, n.i)::INT AS chunk_index, CASE WHEN n.i IS NULL THEN 'removed' WHEN o.i IS NULL THEN 'added' WHEN n.i % 2 = 1 THEN 'replaced' ELSE 'retained' END AS action FROM o FULL JOIN n ON o.doc_id = n.doc_id AND o.i = n.i) SELECT *, action <> 'removed' AND NOT (action = 'retained' AND doc_id % 4 <> 0) AS embed FROM j"),
     "pdf_index_plan": (pdf_index_plan, f"WITH {PAPERS}, {_CHUNKED}, p AS (SELECT DISTINCT doc_id FROM k WHERE i > 0 AND doc_id % 3 = 0 AND doc_id % 4 <> 0) SELECT paper_id, 'http://x/' || external_id AS pdf_url FROM papers WHERE paper_id % 5 <> 0 AND paper_id NOT IN (SELECT doc_id FROM p)"),
     "vector_checks": (vector_checks, "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'empty' WHEN vec_id % 11 = 0 THEN 'dimension' ELSE 'not finite' END AS fault FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0"),
     "query_text": (query_text, "SELECT doc_id, sha256('Instruct: find' || chr(10) || 'Query:' || text) AS hash FROM documents"),
