@@ -40,8 +40,8 @@ def features(texts: list[str], rows: int = 64) -> Iterator[tuple[np.ndarray, np.
         same[1:] = (word[1:] == word[:-1]) & (piece[1:] == piece[:-1])
         kind = np.where(codes < 128, _CLASS[np.minimum(codes, 127)], np.uint64(1))
         shape = kind[:-2] << np.uint64(16) | kind[1:-1] << np.uint64(8) | kind[2:]
-        owns = owner[1:-1]
-        keys = [piece * size + mix(word, 3, BITS), owns * size + mix(shape, 4, BITS), piece[same] * size + 7]
+        own = owner[1:-1] == owner[2:]  # but not around the space behind a text, where the next one begins
+        keys = [piece * size + mix(word, 3, BITS), owner[1:-1][own] * size + mix(shape[own], 4, BITS), piece[same] * size + 7]
         yield np.asarray(at), np.bincount(np.concatenate(keys), minlength=len(part) * size).reshape(len(part), size)
 
 
