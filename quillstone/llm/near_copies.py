@@ -10,7 +10,8 @@ verified is joined into components. Then the pairs of texts within reach that st
 compared, every one of them, so no candidate pair is left out. Most of these are well below the similarity, so a shard first bounds them by
 sketches: bit b of a text's sketch is the parity of its shingles that hash to b. Common shingles cancel, so two sketches
 differ in no more bits than their texts have shingles of their own; a pair that differs in more than the similarity
-allows is none, and only the others leave the shard.
+allows is none, and only the others leave the shard. A sketch has a bit a shingle at least, so it tells long texts apart
+as well as short ones; a wider one is folded in halves to be compared with a narrower one.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from .simhash import band_masks, build_tree, fingerprint, route, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 SEEDS, MAX_BITS, BANDS = 4, 8, 5
-SKETCH_BITS = 1024
+SKETCH_BITS = 1024  # of a text of that many shingles or fewer; doubled until it has a bit a shingle
+#: Pairs of one text beyond this many are verified in several tasks, each with a copy of the text's shingles.
+PAIRS_A_PART = 256
 #: Up to this many text keys are sent to all tasks to filter documents; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 FPS = [f"f{k}" for k in range(SEEDS)]
@@ -108,9 +111,17 @@ def spanning(keys: np.ndarray, x: np.ndarray, component: np.ndarray) -> np.ndarr
 
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
-    """The parities of distinct shingle hashes by their top bits, as 64-bit words."""
-    at = (shingles.view(np.uint64) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=SKETCH_BITS) & 1, bitorder="little").view(np.uint64)
+    """The parities of distinct shingle hashes by their low bits, as 64-bit words."""
+    bits = max(SKETCH_BITS, 1 << (len(shingles) - 1).bit_length() if len(shingles) else 0)
+    at = shingles & np.int64(bits - 1)
+    return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").view(np.uint64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same shingles at a smaller width of 64-bit words."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
 
 
 def may_be_similar(sketch: np.ndarray, n: np.ndarray, own_sketch: np.ndarray, own_n: int) -> np.ndarray:
@@ -120,17 +131,29 @@ def may_be_similar(sketch: np.ndarray, n: np.ndarray, own_sketch: np.ndarray, ow
     return differ <= (n + own_n) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-6
 
 
-def remaining(keys: np.ndarray, x: np.ndarray, component: np.ndarray, sketch: np.ndarray, n_shingles: np.ndarray) -> np.ndarray:
+def remaining(keys: np.ndarray, x: np.ndarray, component: np.ndarray, sketch: list[np.ndarray], n_shingles: np.ndarray) -> np.ndarray:
     """All candidate pairs of different components that may be similar. Rows of the largest component are not compared
-    with each other."""
+    with each other, and neither are texts of which one has less than ``SIMILARITY`` of the other's shingles."""
     names, code, n = np.unique(component, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return np.empty((0, 2), dtype=np.int64)
+    width = np.array([len(s) for s in sketch])
+    table = {}
+    for w in np.unique(width).tolist():  # at each width the sketches of texts of that width and of the next
+        rows = np.flatnonzero((width == w) | (width == 2 * w))
+        at = np.zeros(len(x), dtype=np.int64)
+        at[rows] = np.arange(len(rows))
+        table[w] = at, np.stack([folded(sketch[i], w) for i in rows])
     out = []
     for i in np.flatnonzero(code != n.argmax()):
         hit = np.flatnonzero((_bits(x, x[i]) <= MAX_BITS) & (code != code[i]) & ((code == n.argmax()) | (keys > keys[i])))
-        hit = hit[may_be_similar(sketch[hit], n_shingles[hit], sketch[i], n_shingles[i])]
-        out.append(np.stack([np.full(len(hit), keys[i]), keys[hit]], axis=1))
+        hit = hit[np.minimum(n_shingles[hit], n_shingles[i]) >= SIMILARITY * np.maximum(n_shingles[hit], n_shingles[i]) - 1e-6]
+        both = np.minimum(width[hit], width[i])
+        for w in np.unique(both).tolist():
+            at, words = table[w]
+            some = hit[both == w]
+            some = some[may_be_similar(words[at[some]], n_shingles[some], words[at[i]], n_shingles[i])]
+            out.append(np.stack([np.full(len(some), keys[i]), keys[some]], axis=1))
     return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
 
 
@@ -171,13 +194,14 @@ def candidates(texts: DataFrame, trees: Broadcast, chosen: list[int], all_pairs:
         x = frame["fp"].to_numpy(dtype=np.int64).view(np.uint64)
         own = [frame["key"].to_numpy(dtype=np.int64), x, frame["component"].to_numpy(dtype=np.int64)]
         if all_pairs:
-            own += [np.frombuffer(b"".join(frame["sketch"]), dtype=np.uint64).reshape(len(x), -1), frame["n"].to_numpy(dtype=np.int64)]
+            sketch, n = [np.frombuffer(s, dtype=np.uint64) for s in frame["sketch"]], frame["n"].to_numpy(dtype=np.int64)
         out = [np.empty((0, 2), dtype=np.int64)]
         for rows in _cells(x, trees.value[key[0]][1], reach, 2048):
             if len(rows) <= 8192:
                 rows = rows[_linked(x[rows])]
             if len(rows) > 1:
-                out.append((remaining if all_pairs else spanning)(*(column[rows] for column in own)))
+                part = [column[rows] for column in own]
+                out.append(remaining(*part, [sketch[i] for i in rows], n[rows]) if all_pairs else spanning(*part))
         pairs = np.concatenate(out)
         pairs = np.unique(np.sort(pairs, axis=1), axis=0) if all_pairs else forest_of(pairs)
         return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
@@ -203,10 +227,19 @@ def shingle_sets(docs: DataFrame, texts: DataFrame, keys: DataFrame) -> DataFram
     return rows.select("key", "text").mapInArrow(run, SETS).dropDuplicates(["key"])
 
 
+def _with_shingles(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str, name: str) -> DataFrame:
+    """``rows``, one for each of the pairs, with the shingles of their texts ``side``. A text with many pairs has its shingles
+    copied once for every ``PAIRS_A_PART`` of them, so that no task gets all pairs of a hot text."""
+    parts = pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_A_PART).cast("int").alias("parts")).filter("parts > 1")
+    dealt = rows.join(parts.hint("merge"), side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    own = sets.select(F.col("key").alias(side), F.col("shingles").alias(name)).join(parts.hint("merge"), side, "left")
+    own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(own.hint("merge"), [side, "part"]).drop("part")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose texts share ``SIMILARITY`` of their shingles. Two texts without any word are alike."""
-    one = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
-    both = one.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
+    both = _with_shingles(_with_shingles(pairs, pairs, sets, "a", "x"), pairs, sets, "b", "y")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= F.lit(SIMILARITY) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 

@@ -349,6 +349,39 @@ def test_sketches_pass_every_similar_pair_and_few_others():
     assert not none.any() and near_copies.may_be_similar(none[None], np.array([0]), none, 0).all()
 
 
+def test_sketches_of_long_texts_that_share_a_template():
+    """300 texts of 3,000 shingles with a common half: none is similar, and hardly any pair leaves the shard."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+    template = draw(1500)
+    sets = [np.union1d(template, draw(1500 if k % 2 else 900)) for k in range(300)]
+    sets += [np.union1d(sets[0][200:], draw(5)), np.union1d(draw(1060), template), draw(4090), draw(4100)]  # one near copy; others near a fold
+    n, keys = np.array([len(x) for x in sets]), np.arange(len(sets))
+    got = near_copies.remaining(keys, np.zeros(len(sets), dtype=np.uint64), keys, [near_copies.sketch_of(x) for x in sets], n)
+    similar = {(i, j) for i in keys for j in keys[i + 1 :] if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    found = {tuple(sorted(pair)) for pair in got.tolist()}
+    assert similar == {(0, 300)} and similar <= found and len(found) <= 3
+
+
+def test_sketches_fold():
+    a = np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 5000)
+    words = len(near_copies.sketch_of(a[:1000]))
+    assert (near_copies.folded(near_copies.sketch_of(a), words) ^ near_copies.folded(near_copies.sketch_of(a[1000:]), words) == near_copies.sketch_of(a[:1000])).all()
+
+
+@pytest.mark.parametrize("part", [256, 7])
+def test_pairs_of_a_hot_text_are_dealt_to_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(near_copies, "PAIRS_A_PART", part)
+    rows = [(k, list(range(k % 7, 60 + k % 5)) if k % 3 else [k], None) for k in range(100)]
+    sets = spark.createDataFrame(rows, near_copies.SETS)
+    pairs = [(0, k) for k in range(1, 100)] + [(1, k) for k in range(2, 100)] + [(k, 99) for k in range(2, 99)]
+    want = {(a, b) for a, b in pairs for x, y in [(set(rows[a][1]), set(rows[b][1]))] if len(x & y) >= 0.8 * len(x | y)}
+    got = near_copies.verified(spark.createDataFrame(pairs, "a long, b long"), sets).collect()
+    assert len(got) == len(want) > 50 and {(r["a"], r["b"]) for r in got} == want
+    text = near_copies._with_shingles(*[spark.createDataFrame(pairs, "a long, b long")] * 2, sets, "a", "x").groupBy("a").agg(F.countDistinct("x").alias("n"), F.count("*").alias("pairs"))
+    assert {(r["n"], r["pairs"] == sum(a == r["a"] for a, _ in pairs)) for r in text.collect()} == {(1, True)}
+
+
 def test_near_copies_keep_a_defined_row(spark):
     a, b, c = ("one two three four five six seven " * 9, "ONE two three four five six seven " * 9, "other words of a text that is alone in its group")
     rows = [(7, a, "y"), (7, a, "x"), (7, b, "z"), (7, c, "w"), (9, a, "v"), (None, b, "u"), (None, c, "t"), (None, "null id alone here", "s")]
