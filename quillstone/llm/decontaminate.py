@@ -4,7 +4,9 @@ A short item and a long document have next to no Jaccard similarity, so banded s
 Here each size of item (its number of distinct shingles q) is a partition of its own with its own signature length: the
 ``q - ceil(threshold * q) + 1`` smallest hashes of its shingles. A document that contains at least ``threshold`` of the
 shingles must contain one of these, so looking the document's shingle hashes up among the signatures finds every match.
-Candidates are then verified by comparing the shingles themselves. Built-in functions only.
+Candidates are then verified by comparing the shingles themselves. Items of fewer words than a shingle are a partition for
+each number of words: their one shingle is the whole item, and it is looked up in the documents' windows of that width.
+Built-in functions only.
 """
 
 from __future__ import annotations
@@ -34,10 +36,14 @@ def _hashes(words: str, width: int) -> Column:
     return F.transform(_positions(words, width), lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(width)]))
 
 
+def _windows(words: str, width: int) -> Column:
+    return F.transform(_positions(words, width), lambda i: F.array_join(F.slice(words, i + 1, width), " "))
+
+
 def signatures(items: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(item rows with their shingles and the count a match needs, (hash, item_id) signature rows)."""
     made = items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long"), words_of(F.col("text")).alias("words"))
-    made = made.withColumn("shingles", F.array_distinct(F.transform(_positions("words", width), lambda i: F.array_join(F.slice("words", i + 1, width), " "))))
+    made = made.withColumn("shingles", F.array_distinct(_windows("words", width)))
     made = made.withColumn("hashes", F.array_distinct(_hashes("words", width)))
     made = made.select("item_id", "shingles", "hashes", F.ceil(F.lit(threshold) * F.size("shingles") - 1e-9).cast("int").alias("need"))
     made = written(made, "benchmark-items").filter(F.size("shingles") > 0)
@@ -58,11 +64,33 @@ def _verified(candidates: DataFrame, width: int) -> DataFrame:
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(doc_id, item_id, n_shingles, n_found, containment)`` of every item of which a document has ``threshold`` or more.
 
-    Words are lower-case runs of letters and digits, shingles are ``width`` words. Null and empty texts match nothing, and
-    neither do items of fewer than ``width`` words, which have no shingle. Repeated rows with one id give one row with
+    Words are lower-case runs of letters and digits, shingles are ``width`` words. An item of fewer words is one shingle, the
+    whole of it, which a document contains as a window of that many words. Null and empty texts match nothing, and neither
+    do items without a word. Repeated rows with one id give one row with
     the larger count. Null ids are reported as null doc_ids; items without an id are left out. Empty tables give no rows;
     other columns are ignored.
     """
+    short = short_items(docs, items, width, broadcast_rows)
+    return _long_items(docs, items, threshold, width, broadcast_rows).unionByName(short)
+
+
+def short_items(docs: DataFrame, items: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
+    """Rows of ``contained_items`` for items of 1 to ``width`` - 1 words. Only windows as wide as some such item are made."""
+    made = items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long"), words_of(F.col("text")).alias("words"))
+    made = made.filter(F.size("words").between(1, width - 1)).select("item_id", F.size("words").alias("n"), F.array_join("words", " ").alias("s")).distinct()
+    made = written(made, "short-items")
+    counts = {r["n"]: r["items"] for r in made.groupBy("n").agg(F.count("*").alias("items")).collect()}
+    hint = "broadcast" if sum(counts.values()) <= broadcast_rows else "merge"
+    own = docs.select(F.col("doc_id").cast("long"), words_of(F.col("text")).alias("words"))
+    windows = [_windows("words", n) for n in sorted(counts)]
+    own = own.select("doc_id", F.explode_outer(F.array_distinct(F.concat(*windows)) if windows else F.array().cast("array<string>")).alias("s"))
+    found = own.join(made.hint(hint), "s").select("doc_id", "item_id").distinct() if windows else docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
+    one = F.lit(1).cast("long")
+    return found.select("doc_id", "item_id", one.alias("n_shingles"), one.alias("n_found"), F.lit(1.0).alias("containment"))
+
+
+def _long_items(docs: DataFrame, items: DataFrame, threshold: float, width: int, broadcast_rows: int) -> DataFrame:
+    """Rows of ``contained_items`` for items of ``width`` words or more."""
     made, signature = signatures(items, threshold, width)
     size = made.agg(F.sum(F.size("hashes")).alias("n")).first()["n"] or 0
     own = docs.select(F.col("doc_id").cast("long"), words_of(F.col("text")).alias("words")).withColumn("hashes", _hashes("words", width))
@@ -95,9 +123,11 @@ def op5_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_SQL_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+
+
 def _sql_shingles(source: str, key: str) -> str:
-    words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
-    return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) AS s FROM (SELECT {key}, {words} AS w FROM {source}) WHERE len(w) >= {SHINGLE}"
+    return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) AS s FROM (SELECT {key}, {_SQL_WORDS} AS w FROM {source}) WHERE len(w) >= {SHINGLE}"
 
 
 OP5_SQL = f"""
@@ -106,4 +136,8 @@ d AS ({_sql_shingles("documents", "doc_id")}),
 m AS (SELECT doc_id, item_id, count(*) AS k FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n AS n_shingles, k AS n_found, round(k::DOUBLE / n, 6) AS containment
 FROM m JOIN q USING (item_id) WHERE k >= ceil({THRESHOLD}::DOUBLE * n - 1e-9)
+UNION ALL
+SELECT DISTINCT doc_id, item_id, 1, 1, 1.0::DOUBLE
+FROM (SELECT doc_id, ' ' || array_to_string({_SQL_WORDS}, ' ') || ' ' AS t FROM documents)
+JOIN (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL) ON len(w) BETWEEN 1 AND {SHINGLE - 1} AND contains(t, ' ' || array_to_string(w, ' ') || ' ')
 """

@@ -404,7 +404,7 @@ def key_of(spark, text):
 def test_containment(spark, odd, none, rows):
     rng = random.Random(5)
     vocabulary = [f"v{i}" for i in range(3000)]
-    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 60)))) for k in range(40)] + [(100, "too short"), (101, None), (102, ""), (None, "a b c d e f g"), (103, "same w w w w w w w same")]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 60)))) for k in range(40)] + [(100, "too short"), (104, "V7"), (105, "v3, v3"), (106, "..."), (107, "too short"), (101, None), (102, ""), (None, "a b c d e f g"), (103, "same w w w w w w w same")]
     docs = []
     for k in range(120):
         filler = [rng.choice(vocabulary) for _ in range(rng.randint(0, 400))]
@@ -417,17 +417,18 @@ def test_containment(spark, odd, none, rows):
             item = item[: len(item) // 2]
         at = rng.randint(0, len(filler))
         docs.append((k, " ".join(filler[:at] + item + filler[at:])))
-    docs += [(200, None), (201, ""), (None, items[0][1]), (0, docs[0][1])]
+    docs += [(200, None), (201, ""), (None, items[0][1]), (0, docs[0][1]), (202, "this is Too short"), (None, "too, short"), (203, "too shortish"), (204, "v3 v3 v3"), (205, "v3 x v3 v7"), (206, "v33 v3")]
     d, i = spark.createDataFrame(docs, "doc_id long, text string").withColumn("h", F.lit(1)), spark.createDataFrame(items, "item_id long, text string").withColumn("need", F.lit(1))
     got = {(r["doc_id"], r["item_id"]): (r["n_shingles"], r["n_found"]) for r in decontaminate.contained_items(d, i, broadcast_rows=rows).collect()}
-    shingles = lambda t: {tuple(w[n : n + 5]) for w in [re.findall(r"[^\W_]+", (t or "").lower())] for n in range(len(w) - 4)}
+    shingles = lambda t, k=5: {tuple(w[n : n + k]) for w in [re.findall(r"[^\W_]+", (t or "").lower())] for n in range(len(w) - k + 1)}
     want = {}
     for k, t in docs:
         for j, q in items:
-            s = shingles(q)
-            if j is not None and s and len(s & shingles(t)) >= 0.8 * len(s):
-                want[k, j] = (len(s), len(s & shingles(t)))
-    assert got == want and len(want) > 40
+            width = max(1, min(5, len(re.findall(r"[^\W_]+", q or ""))))
+            s = shingles(q, width)
+            if j is not None and s and len(s & shingles(t, width)) >= 0.8 * len(s):
+                want[k, j] = (len(s), len(s & shingles(t, width)))
+    assert got == want and len(want) > 40 and {(202, 100), (202, 107), (None, 100), (204, 105), (205, 104)} <= set(want) and (203, 100) not in want
     assert decontaminate.contained_items(none, i, broadcast_rows=rows).count() == 0
     assert decontaminate.contained_items(odd, i.filter("item_id < 0"), broadcast_rows=rows).count() == 0
     left = {r["doc_id"] for r in decontaminate.decontaminated(d, i).collect()}
@@ -671,3 +672,19 @@ def test_against_sql(spark, query, sql):
     df = query(spark, SF).select(*want.columns)
     key = lambda rows: sorted((tuple(r) for r in rows), key=repr)
     assert key(df.collect()) == key(want.fetchall())
+
+
+def test_short_items_against_sql(spark, tmp_path):
+    """The SQL of operator 5 on items of one to four words, next to long ones."""
+    texts = ["the gauge was read", "The GAUGE, was", "gauge", None, "", "one two three four five six seven", "five six", "gauges were read twice a day at noon", "was read; twice"]
+    docs = [(k, t) for k, t in enumerate(texts)]
+    items = [(1, "gauge was"), (2, "Gauge"), (3, "one two three four five six"), (4, "was read twice"), (5, ""), (6, "four five six seven"), (7, None)]
+    for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        spark.createDataFrame(rows, f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.sql(decontaminate.OP5_SQL)
+    got = decontaminate.op5_minhash_containment(spark, str(tmp_path)).select(*want.columns).collect()
+    key = lambda rows: sorted(tuple(r) for r in rows)
+    assert key(got) == key(want.fetchall()) and len(got) > 6
