@@ -3,11 +3,12 @@
 import os
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import pytest
-from quillstone.llm.decontaminate import decontaminated
+from quillstone.llm.decontaminate import OP5_SQL, decontaminated
 from quillstone.llm.line_dedup import clean_documents
-from quillstone.llm.quality_rules import judged
+from quillstone.llm.quality_rules import OP6_SQL
 from quillstone.scratch import written
 
 from .test_operators import brute_groups, none, odd  # noqa: F401  fixtures
@@ -16,6 +17,14 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
+def by_sql(docs, sql, query):
+    """doc_ids of a query over an operator's SQL, on these documents."""
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.sql(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{SF}/benchmark.parquet')")
+    return {doc_id for (doc_id,) in con.sql(query.replace("%s", sql)).fetchall()}
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = {}
@@ -26,10 +35,13 @@ def test_stages(spark):
             assert out.columns == docs.columns
         docs = out
     before, after = seen["quality_rules"]
-    assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in judged(before).filter("kept").select("row.doc_id").collect()}
+    assert {r["doc_id"] for r in after.collect()} == by_sql(before, OP6_SQL, "SELECT doc_id FROM (%s) WHERE kept")
     before, after = seen["near_dedup"]
     rows = sorted(before.collect(), key=lambda r: r["doc_id"])
     assert {r["doc_id"] for r in after.collect()} == {rows[g]["doc_id"] for g in brute_groups([r["text"] for r in rows])}
+    before, after = seen["decontamination"]
+    gone = by_sql(before, OP5_SQL, "SELECT doc_id FROM (%s)")
+    assert gone and {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()} - gone
     before, after = seen["packing"]
     packed = after.collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in before.collect()}
