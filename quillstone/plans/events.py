@@ -71,7 +71,7 @@ def conversion_class(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id")
     d = table(spark, sf, "documents")
     status = F.when(k % 11 == 0, "failure").when(k % 13 == 0, "partial_success").otherwise("success")
-    return d.select("doc_id", S.classify_conversion(status, S.useful_chars(F.col("text")) >= 500, k % 3 == 0).alias("class"), F.length(S.join_warnings(F.array(F.lit("w"), F.substring("text", 1, 2000)))).alias("warned"))
+    return d.select("doc_id", S.classify_conversion(status, S.useful_chars(F.col("text")) >= 500, k % 3 == 0).alias("class"), F.length(S.join_warnings(F.array(F.lit("w"), F.col("text")))).alias("warned"))
 
 
 def document_ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,7 +254,7 @@ QUERIES = {
     "search_expr": (search_expr, f"WITH {PAPERS} SELECT paper_id, 'all:' || topic_id || ' AND all:a AND all:' || external_id AS expr FROM papers"),
     "binary_checks": (binary_checks, "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'media type' WHEN page_id % 7 = 0 OR length(html) > 9000 AND page_id % 7 <> 0 THEN 'declared size' WHEN octet_length(encode(html)) > 9000 THEN 'size' WHEN NOT contains(html, '<!DOCTYPE') THEN 'signature' END AS fault FROM pages"),
     "quality_gate": (quality_gate, f"SELECT doc_id, {_USE}::INT AS n, {_USE} >= 200 AS usable FROM documents"),
-    "conversion_class": (conversion_class, None),
+    "conversion_class": (conversion_class, f"SELECT CASE WHEN doc_id % 11 = 0 THEN 'error' WHEN doc_id % 13 = 0 THEN 'partial' WHEN {_USE} >= 500 THEN 'ok' WHEN doc_id % 3 = 0 THEN 'ocr' ELSE 'rejected' END AS class, doc_id, CASE WHEN text IS NULL THEN 1 ELSE 3 + list_max(list_filter(range(0, length(left(text, 1024)) + 1), lambda k: strlen(left(text, k::INT)) <= 1024)) END::INT AS warned FROM documents"),
     "document_ledger": (document_ledger, "SELECT page_id AS paper_id, sha256(html) AS pdf_hash, 'docling' AS parser_provider, '1' AS parser_version, 'completed' AS status, greatest(page_id - 5, 0) AS duration_ms, '[\"a\",\"b\"]' AS warnings, NULL::VARCHAR AS error_message, 'm' AS markdown FROM pages"),
     "result_json": (result_json, f"WITH {TOPIC_PAPERS}, t AS (SELECT topic_id, string_agg(paper_id::VARCHAR, ',' ORDER BY paper_id) AS p FROM topic_papers GROUP BY 1) SELECT topic_id, '{{\"topic_id\":\"' || topic_id || '\",\"status\":\"completed\",\"papers\":[' || p || '],\"gaps\":[]}}' AS document FROM t WHERE topic_id <> 'src7'"),
     "status_json": (status_json, "SELECT doc_id::VARCHAR AS topic_id, '{\"topic_id\":\"' || doc_id || '\",\"run_id\":\"r' || doc_id || '\",\"status\":\"' || CASE WHEN doc_id % 5 = 0 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'processing' ELSE 'completed' END || '\",\"stage\":\"ranking\",\"progress\":0.25' || CASE WHEN doc_id % 5 = 0 THEN ',\"error\":\"a \\\"bad\\\" page\"' ELSE '' END || '}' AS document FROM documents"),
