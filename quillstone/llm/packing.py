@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .tokens import default_tokenizer, encoder
 
+#: Characters that a worker tokenizes at once: four times as many take a seventh less time and 120 MB more of memory.
+SLICE_CHARS = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -78,7 +80,7 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, wi
         enc, end, width = encoder(tokenizer), struct.pack("<I", end_id), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            flat, counts = enc.batch(batch.column(1).to_pylist())
+            flat, counts = enc.batch(batch.column(1).to_pylist(), SLICE_CHARS)
             flat, upto = memoryview(flat.astype("<u4", copy=False)).cast("B"), 0
             for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
                 ids = bytes(flat[upto : upto + 4 * n]) + end
