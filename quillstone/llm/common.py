@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What is run inside hands whole texts to Python workers ``rows`` at a time, so that neither they nor the executor's
+    Arrow buffers hold many at once. The session's own setting comes back after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def release_arrow() -> None:
+    """Hand memory that Arrow no longer uses back to the system: a worker keeps its pool from task to task (135 MB of it
+    after 20,000 tokenized texts, 7 MB when released)."""
+    pa.default_memory_pool().release_unused()
+
+
 def fold(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(k)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import stars
-from .common import written
+from .common import release_arrow, small_batches, written
 from .simhash import band_masks, build_tree, fingerprint, route, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -52,6 +52,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = np.array([fingerprint(x.as_py(), SHINGLE, SEEDS) for x in batch.column(2)], dtype=np.int64).reshape(-1, SEEDS)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(rows[:, k]) for k in range(SEEDS))], ["doc_id", "key", *FPS])
+        release_arrow()
 
     return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, " + ", ".join(f"{x} long" for x in FPS))
 
@@ -189,6 +190,7 @@ def candidates(texts: DataFrame, trees: Broadcast, chosen: list[int], all_pairs:
                     row, node = route(own.view(np.uint64), vantage, radius, mask, reach)
                     moved = {c: frame[c].to_numpy()[row] for c in ["key", "component", *extra]}
                     yield pd.DataFrame({"tree": np.full(len(row), t, dtype=np.int32), "shard": node, **moved, "fp": own[row]})
+        release_arrow()
 
     def link(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         x = frame["fp"].to_numpy(dtype=np.int64).view(np.uint64)
@@ -219,6 +221,7 @@ def shingle_sets(docs: DataFrame, texts: DataFrame, keys: DataFrame) -> DataFram
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *sets])))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat, pa.array([sketch_of(x).tobytes() for x in sets], pa.binary())], ["key", "shingles", "sketch"])
+        release_arrow()
 
     wanted = written(texts.join(keys.hint("merge"), "key").select("key", "least"), "texts-to-compare")
     hint = "broadcast" if wanted.count() <= BROADCAST_KEYS else "merge"
@@ -258,7 +261,8 @@ def text_groups(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
         named = own_texts.join(star.select(F.col("a").alias("key"), F.col("b").alias("component")).hint("merge"), "key", "left").withColumn("component", F.coalesce("component", "key"))
         pairs = written(candidates(named, trees, every, last), "candidates")
         new = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(sets.select("key").hint("merge"), "key", "left_anti")
-        sets = sets.unionByName(written(shingle_sets(docs, texts, new), "shingle-sets"))
+        with small_batches(spark):
+            sets = sets.unionByName(written(shingle_sets(docs, texts, new), "shingle-sets"))
         links = written(verified(pairs, sets), "links")
         if links.limit(1).count():
             star = stars(star.unionByName(links))
@@ -275,7 +279,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key stays; of rows equal in id and text, the one with the smallest hash of its other columns. Rows
     of one id whose texts lie in different groups stay all. An empty table gives no rows; other columns pass through.
     """
-    own = written(texts_of(docs), "text-fingerprints")
+    with small_batches(docs.sparkSession):
+        own = written(texts_of(docs), "text-fingerprints")
     texts, star = text_groups(docs, own)
     member = star.select(F.col("a").alias("key"), F.col("b").alias("group")).union(star.select("b", "b").distinct())
     member = written(member.join(texts.hint("merge"), "key"), "group-texts")

@@ -145,11 +145,11 @@ class Encoder:
         return ids, counts
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file, so that its cache outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cache_words: int = 800_000) -> Encoder:
+    """One encoder per worker process, file and size of cache, so that its cache outlives a task."""
+    if (path, cache_words) not in _ENCODERS:
+        _ENCODERS[path, cache_words] = Encoder(path, cache_words)
+    return _ENCODERS[path, cache_words]
