@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import release_arrow, small_batches, table, written
 from .tokens import default_tokenizer, encoder
 
-#: Characters that a worker tokenizes at once, and words that it remembers: more of both take less time and more memory
-#: (8 million and 800,000: a quarter less and some 200 MB more).
-SLICE_CHARS, CACHE_WORDS = 500_000, 100_000
+#: (rows of a batch, characters that a worker tokenizes at once, words that it remembers): more take less time and more
+#: memory, about a quarter less and some 200 MB a worker more.
+WIDE, LEAN = (10_000, 8_000_000, 800_000), (1_000, 500_000, 100_000)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -74,14 +74,15 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[np.ndarray,
     return where, offset
 
 
-def token_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, with_ids: bool = False, lean: bool = False) -> DataFrame:
     """Cut each document's ids (with the end id) into pieces of ``capacity``; ``with_ids`` adds the ids as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, width = encoder(tokenizer, CACHE_WORDS), struct.pack("<I", end_id), 4 * capacity
+        _, slice_chars, cache_words = LEAN if lean else WIDE
+        enc, end, width = encoder(tokenizer, cache_words), struct.pack("<I", end_id), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            flat, counts = enc.batch(batch.column(1).to_pylist(), SLICE_CHARS)
+            flat, counts = enc.batch(batch.column(1).to_pylist(), slice_chars)
             flat, upto = memoryview(flat.astype("<u4", copy=False)).cast("B"), 0
             for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
                 ids = bytes(flat[upto : upto + 4 * n]) + end
@@ -93,21 +94,23 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, wi
             kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, kinds, strict=False)], [name for name, _ in kinds])
             del batch, flat
-            release_arrow()
+            if lean:
+                release_arrow()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", ids binary" * with_ids)
 
 
-def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, group_pieces: int = 100_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, group_pieces: int = 100_000, with_ids: bool = False, lean: bool = False) -> DataFrame:
     """``docs(doc_id, text, …)`` -> one row per piece with its ``sequence_id`` and ``offset``.
 
     Pieces are dealt by hash into groups of about ``group_pieces`` (their sizes, not their texts, so a group is a few
     MB), each packed by best-fit decreasing on its own: tasks stay bounded and a group's only loss is its last open
     sequences. Null and empty texts are one end id. Repeated ids are packed row by row, a null id too. Ties in length
     are taken in the order of doc_id and piece. An empty table gives no rows; other columns are ignored.
+    ``lean`` tokenizes in less memory and more time, with the same result: for executors that other stages have filled.
     """
-    with small_batches(docs.sparkSession):
-        made = written(token_pieces(docs, capacity, tokenizer or default_tokenizer(), end_id, with_ids), "pieces")
+    with small_batches(docs.sparkSession, (LEAN if lean else WIDE)[0]):
+        made = written(token_pieces(docs, capacity, tokenizer or default_tokenizer(), end_id, with_ids, lean), "pieces")
     groups = max(1, -(-made.count() // group_pieces))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
