@@ -576,6 +576,12 @@ def test_packing(spark, odd, none):
     assert packing.pack(none).count() == 0
 
 
+@needs_tables
+def test_lean_packing_gives_the_same(docs):
+    rows = [sorted(map(tuple, packing.pack(docs, lean=lean).collect())) for lean in (False, True)]
+    assert rows[0] == rows[1] and rows[0]
+
+
 @needs_tables
 def test_packing_is_tight(docs):
     got = packing.pack(docs).collect()
