@@ -4,7 +4,9 @@ import json
 from datetime import UTC, datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from quillstone.plans.events import _followed
 from quillstone.streaming import processors as P
 from quillstone.streaming import state as J
 
@@ -97,3 +99,52 @@ def test_runs_and_topics_change_together(spark, stream):
     again = spark.createDataFrame(own.collect(), own.schema)
     J.batch_writer(out)(again, max(batches))
     assert tables() == (want, [("completed", names[-1], 1.0, None)])
+
+
+class Store:
+    """A key's state and timers, with the number of calls to them."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+
+@pytest.mark.parametrize("make", [lambda: P.JobProcessor(), lambda: P.StatusProcessor(), lambda: P.RunProcessor(dict(J.STAGES))])
+def test_a_batch_calls_the_store_twice_a_key(make):
+    fields = Row("event_id", "us", "kind", "error", "stage")
+    processor, store = make(), Store()
+    processor.init(store)
+    for batch in range(4):
+        rows = [fields(10 * batch + k, 1_000_000 * (10 * batch + k), "failed", f"e{k}", J.STAGES[k % 7][0]) for k in range(10)]
+        store.calls = 0
+        list(processor.handleInputRows((1,), iter(rows), None))
+        assert store.calls <= (2 if batch else 3)  # the state is read and written once; the first batch sets a timer
+    assert len(store.timers) <= 1
+
+
+def test_a_quarter_of_several_files_is_one_batch(spark):
+    """Times lie in the first and last quarter only; every batch has its files though the others have no events."""
+    e = spark.range(400).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.when(F.col("id") < 200, F.col("id")).otherwise(F.col("id") * 10_000)).alias("ts"), (F.col("id") % 7).alias("key"), F.lit("k").alias("kind"))
+    out = _followed(spark, e, "key", P.StatusProcessor(ttl_ms=10**12), P.STATUS_ROWS, file_events=20)
+    got = {r["key"]: r["event_id"] for r in J.current_statuses(spark, out, P.STATUS_ROWS).collect()}
+    assert got == {k: max(i for i in range(400) if i % 7 == k) for k in range(7)}
+    n = {r["batch"] for r in J.written_rows(spark, out, P.STATUS_ROWS, "set").collect()}
+    assert len(n) == 4 - 1  # the second quarter adds nothing
