@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import content_hash, word_list
 
 CHUNK = "struct<text:string,words:int>"
+#: Texts whose chunks a worker holds at once, and characters of chunks in a batch that it hands back.
+SLICE, BATCH_CHARS = 100, 1_000_000
 
 
 def word_windows(words: Column, size: int, overlap: int) -> Column:
@@ -35,6 +40,7 @@ def chunk_words(rows: DataFrame, key: str, text: str, size: int, overlap: int) -
 
 #: Unicode white space, as Java's ``(?U)\\s`` has it.
 _SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _WORDS, _ENDS, _BLANK = re.compile(_SPACE), re.compile(f"^{_SPACE}|{_SPACE}$"), re.compile(r"\n[ \t]*\n")
 
 
@@ -75,44 +81,89 @@ def pack_paragraphs(text: str | None, size: int, overlap: int) -> list[tuple[str
     return done + [("\n\n".join(parts), held)] if parts else done
 
 
+def pack_batches(batches: Iterator[pd.Series], size: int, overlap: int) -> Iterator[pd.Series]:
+    """The chunks of batches of texts, ``SLICE`` texts at a time."""
+    for texts in batches:
+        for k in range(0, len(texts), SLICE):
+            yield pd.Series([[{"text": t, "words": n} for t, n in pack_paragraphs(x, size, overlap)] for x in texts.iloc[k : k + SLICE]])
+
+
 def paragraph_chunks(text: Column, size: int, overlap: int) -> Column:
     """K3: blank-line paragraphs packed up to ``size`` words as ``array<struct<text, words>>``.
 
     A full chunk hands its last ``min(overlap, size - next)`` words to the next one; they count there. A paragraph of more
     than ``size`` words is cut by K2 with the carried words in front. The fold depends on its own carry, so it runs as a pandas
-    function, once over each text.
+    function, once over each text; the chunks of ``SLICE`` texts at a time are in a worker.
     """
     if size <= 0:
         return F.array().cast(f"array<{CHUNK}>")
     overlap = max(0, min(overlap, size - 1))
 
     @F.pandas_udf(f"array<{CHUNK}>")
-    def pack(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"text": t, "words": n} for t, n in pack_paragraphs(x, size, overlap)] for x in texts])
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return pack_batches(batches, size, overlap)
 
     return pack(text)
 
 
+def split_sections(text: str | None) -> list[tuple[int, str, str]]:
+    """(section, heading, body) of one Markdown text: lines starting with ``#`` and some text begin a section; empty bodies go."""
+    if text is None:
+        return []
+    found: list[tuple[str, list[str]]] = [("", [])]
+    for line in re.sub("\r\n?", "\n", text).split("\n"):
+        own = line.strip(_SPACES)
+        if own.startswith("#") and own.strip("#"):
+            found.append((own.lstrip("#").strip(_SPACES), []))
+        else:
+            found[-1][1].append(line)
+    out = ((k, heading, "\n".join(lines)) for k, (heading, lines) in enumerate(found))
+    return [(k, heading, body) for k, heading, body in out if body.strip(_SPACES)]
+
+
+def _per_text(rows: DataFrame, key: str, text: str, schema: str, of: Callable[[str | None], Iterable[tuple]]) -> DataFrame:
+    """The rows of every text, without a shuffle, in batches of about ``BATCH_CHARS`` characters."""
+    own = rows.select(key, text)
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = [pa.int32() if f.endswith(" int") else pa.string() for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, at, out, held = batch.schema.field(0).type, [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                columns = zip(*out, strict=True) if out else [[]] * len(names)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], [key, *names])
+
+            for i in range(batch.num_rows):
+                for row in of(batch.column(1)[i].as_py()):
+                    at.append(i)
+                    out.append(row)
+                    held += len(row[2])  # body or text
+                    if held >= BATCH_CHARS:
+                        yield flush()
+                        at, out, held = [], [], 0
+            if out:
+                yield flush()
+
+    return own.mapInArrow(run, StructType([own.schema[0], *StructType.fromDDL(schema).fields]))
+
+
 def sections(markdown: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, section, heading, body): lines starting with ``#`` and some text begin a section; empty bodies go."""
-    lines = markdown.select(key, F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n").alias("_l"))
-    trimmed = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-    is_head = lambda x: trimmed(x).rlike(r"^#+[^#\s]|^#+\s+\S")
-    lines = lines.withColumn("_at", F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: is_head(F.get(F.col("_l"), i)))))
-    rows = lines.select(key, "_l", "_at", F.posexplode("_at").alias("section", "_start"))
-    end = F.coalesce(F.get(F.col("_at"), F.col("section") + 1), F.size("_l"))
-    body = F.array_join(F.slice("_l", F.col("_start") + 2, end - F.col("_start") - 1), "\n")
-    heading = F.when(F.col("_start") >= 0, trimmed(F.regexp_replace(trimmed(F.get(F.col("_l"), F.col("_start"))), "^#+", ""))).otherwise("")
-    out = rows.select(key, "section", heading.alias("heading"), body.alias("body"))
-    return out.filter(trimmed(F.col("body")) != "")
+    """(key, section, heading, body): see ``split_sections``."""
+    return _per_text(markdown, key, text, "section int, heading string, body string", split_sections)
 
 
 def chunk_markdown(markdown: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
-    """K1: chunks of every section, numbered over the whole document."""
-    own = sections(markdown, key, text).select(key, "section", "heading", paragraph_chunks(F.col("body"), size, overlap).alias("_c"))
-    per = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section", "heading", "_c"))).alias("_s"))
-    flat = F.flatten(F.transform("_s", lambda s: F.transform(s["_c"], lambda c: F.struct(s["heading"].alias("heading"), c["text"].alias("text"), c["words"].alias("words")))))
-    return per.select(key, F.posexplode(flat).alias("chunk_index", "_x")).select(key, "chunk_index", "_x.heading", "_x.text", "_x.words")
+    """K1: chunks of every section, numbered over the whole document. In one pass over a text: no section travels with the
+    lines of the others, and nothing is grouped again."""
+    overlap = max(0, min(overlap, size - 1))
+
+    def chunks(x: str | None) -> Iterator[tuple]:
+        every = ((h, t, n) for _, h, body in split_sections(x) for t, n in pack_paragraphs(body, size, overlap)) if size > 0 else ()
+        return ((k, *c) for k, c in enumerate(every))
+
+    return _per_text(markdown, key, text, "chunk_index int, heading string, text string, words int", chunks)
 
 
 def plan_refresh(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from quillstone.operators import aggregates as A
@@ -173,3 +174,27 @@ def test_quantiles_of_merged_sketches(spark):
     assert got["requests"] == len(ms)
     for q in (50, 95, 99):
         assert abs(np.mean(ms <= got[f"p{q}"]) - q / 100) < 0.01
+
+
+def test_workers_hold_the_chunks_of_a_few_texts():
+    texts = pd.Series([f"a{i} b c\n\nd" for i in range(K.SLICE * 2 + 50)])
+    parts = list(K.pack_batches(iter([texts]), 3, 1))
+    assert [len(p) for p in parts] == [K.SLICE, K.SLICE, 50]
+    assert [[(c["text"], c["words"]) for c in x] for p in parts for x in p] == [K.pack_paragraphs(t, 3, 1) for t in texts]
+
+
+def test_sections_of_odd_texts(spark):
+    odd = ["", None, "# \n#\n##\nx", "\r\n# A\rb\r\n## \u3000 B # \u2003\n \n#\u3000c\nd", "#x\n\u00a0\n#y\nz", " \t# t \n\x1c\n", "###a#\n#!\nq\n"]
+    df = spark.createDataFrame(list(enumerate(odd)), "k int, t string")
+    got = sorted(tuple(r) for r in K.sections(df, "k", "t").collect())
+    assert got == [(2, 0, "", "# \n#\n##\nx"), (3, 1, "A", "b"), (3, 3, "c", "d"), (4, 2, "y", "z"), (5, 1, "t", "\x1c\n"), (6, 2, "!", "q\n")]
+
+
+def test_a_text_of_many_sections_is_read_once(spark):
+    """With the text's lines copied to each section this would be 10,000 times the text."""
+    n = 10_000
+    df = spark.createDataFrame([(1, "\n".join(f"# s{i}\nw{i} x" for i in range(n)))], "k int, t string")
+    out = K.chunk_markdown(df, "k", "t", 60, 10)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r["chunk_index"], r["heading"], r["text"], r["words"]) for r in out.collect())
+    assert rows == [(i, f"s{i}", f"w{i} x", 2) for i in range(n)]
