@@ -42,8 +42,14 @@ def replace_rows(spark: SparkSession, root: str, name: str, rows: DataFrame, buc
     old = read_table(spark, root, name).join(touched.hint("broadcast"), "bucket", "left_semi")  # at most ``buckets`` rows
     kept = old.join(new.select(*keys).hint("merge"), keys, "left_anti")
     columns = [c.split()[0] for c in schema.split(", ")]
-    content = written(kept.select(*columns, "bucket").unionByName(new.select(*columns, "bucket")), f"{name}-buckets")
-    content.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/{name}")
+    _put(kept.select(*columns, "bucket").unionByName(new.select(*columns, "bucket")), f"{root}/{name}", f"{name}-buckets")
+
+
+def _put(rows: DataFrame, path: str, tag: str) -> None:
+    """Whole buckets in place of those of a table that ``rows`` are read from. They are staged by bucket, so each task writes
+    the buckets it has and no row is dealt to its bucket's one task."""
+    staged = written(rows, tag, by="bucket", compression="zstd")
+    staged.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def _identity(identity: dict[str, object]) -> Column:
@@ -66,7 +72,7 @@ def ensure_abstract_index(papers: DataFrame, root: str, identity: dict[str, obje
     texts = papers.join(plan.select("topic_id", "paper_id").hint("merge"), ["topic_id", "paper_id"], "left_semi").select("topic_id", "paper_id", F.col("abstract").alias("text"))
     hashed = texts.withColumn("content_hash", content_hash(F.col("text")))
     place = point_id(F.col("topic_id"), F.col("paper_id"), F.lit("abstract"), F.lit(0), F.col("content_hash"), _identity(identity))
-    made = written(hashed.withColumns({"point_id": place, "embedding": embedder(F.col("text"))}), "embedded")
+    made = written(hashed.withColumns({"point_id": place, "embedding": embedder(F.col("text"))}), "embedded", compression="zstd")
     failed = made.filter("embedding IS NULL").limit(1).count()
     if failed:
         raise ValueError("abstracts could not be embedded; nothing was written")
@@ -94,8 +100,7 @@ def run_pending_cleanup(spark: SparkSession, root: str, buckets: int = 64) -> in
     if n:
         touched = pending.select("bucket").distinct()
         old = read_table(spark, root, "points").join(touched.hint("broadcast"), "bucket", "left_semi")
-        kept = written(old.join(pending.select("point_id").hint("merge"), "point_id", "left_anti").select(*old.columns), "points-buckets")
-        kept.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/points")
+        _put(old.join(pending.select("point_id").hint("merge"), "point_id", "left_anti").select(*old.columns), f"{root}/points", "points-buckets")
         replace_rows(spark, root, "cleanup", pending.withColumn("status", F.lit("completed")).drop("bucket"), buckets)
     return n
 

@@ -198,3 +198,22 @@ def test_a_text_of_many_sections_is_read_once(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     rows = sorted((r["chunk_index"], r["heading"], r["text"], r["words"]) for r in out.collect())
     assert rows == [(i, f"s{i}", f"w{i} x", 2) for i in range(n)]
+
+
+def test_whole_buckets_are_written_by_the_tasks_that_have_them(spark, tmp_path):
+    """Dealt to its bucket's one task, each bucket would come as one file."""
+    root = str(tmp_path)
+    X.create_tables(spark, root)
+    none = F.lit(None).cast("string")
+    rows = spark.range(0, 400, 1, 4).select(F.lit("c").alias("collection_name"), F.col("id").cast("string").alias("point_id"), F.lit("t").alias("topic_id"), F.col("id").alias("paper_id"), none.alias("reason"), F.lit("pending").alias("status"))
+    rows.write.parquet(f"{root}/new")
+    with_aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        X.replace_rows(spark, root, "cleanup", spark.read.parquet(f"{root}/new"), 2)
+        X.replace_rows(spark, root, "cleanup", spark.read.parquet(f"{root}/new").filter("paper_id < 100").withColumn("status", F.lit("completed")), 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", with_aqe)
+    assert len(list((tmp_path / "cleanup" / "bucket=0").glob("*.parquet"))) > 1
+    got = {(r["paper_id"], r["status"]) for r in X.read_table(spark, root, "cleanup").collect()}
+    assert got == {(i, "completed" if i < 100 else "pending") for i in range(400)}
