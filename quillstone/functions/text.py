@@ -205,24 +205,31 @@ _PARKED = "".join(chr(0xE000 + i) for i in range(len(_ESCAPED)))
 
 
 def flatten_tex(c: Column) -> Column:
-    """TeX to plain text; each inner white-space sign becomes one space."""
-    out = _text(c)
+    """TeX to plain text; each inner white-space sign becomes one space. Only texts with a backslash go through the
+    replacements of escapes and commands."""
+    tex = _text(c)
     for sign, park in zip(_ESCAPED, _PARKED, strict=True):
-        out = F.replace(out, F.lit("\\" + sign), F.lit(park))
-    out = F.regexp_replace(F.regexp_replace(out, r"(?U)^\s+", ""), r"(?U)\s", " ")
-    out = F.regexp_replace(out, r"\\LaTeX(?![A-Za-z])", "LaTeX")
-    out = F.regexp_replace(out, r"\\TeX(?![A-Za-z])", "TeX")
-    out = F.regexp_replace(out, r"\\(ldots|dots)(?![A-Za-z])", "…")
-    out = F.regexp_replace(F.regexp_replace(out, r"\\[A-Za-z]+", ""), r"\\(.)", "$1")
-    return strip_space(F.translate(F.translate(out, "{}", ""), _PARKED, _ESCAPED))
+        tex = F.replace(tex, F.lit("\\" + sign), F.lit(park))
+    spaced = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+", ""), r"(?U)[\s&&[^ ]]", " ")
+    tex = F.regexp_replace(spaced(tex), r"\\LaTeX(?![A-Za-z])", "LaTeX")
+    tex = F.regexp_replace(tex, r"\\TeX(?![A-Za-z])", "TeX")
+    tex = F.regexp_replace(tex, r"\\(ldots|dots)(?![A-Za-z])", "…")
+    tex = F.regexp_replace(F.regexp_replace(tex, r"\\[A-Za-z]+", ""), r"\\(.)", "$1")
+    out = F.when(F.contains(_text(c), F.lit("\\")), tex).otherwise(spaced(_text(c)))
+    for sign, text in (("{", ""), ("}", ""), *zip(_PARKED, _ESCAPED, strict=True)):
+        out = F.replace(out, F.lit(sign), F.lit(text))
+    return strip_space(out)
 
 
 def sanitize_bibtex(c: Column) -> Column:
-    """Flattened, then special signs escaped."""
-    #: What stands for each special sign in an entry.
-    signs = {"\\": r"\textbackslash{}", "{": r"\{", "}": r"\}", "%": r"\%", "&": r"\&", "#": r"\#", "$": r"\$", "_": r"\_", "^": r"\textasciicircum{}", "~": r"\textasciitilde{}"}
-    pairs = F.create_map(*[F.lit(x) for kv in signs.items() for x in kv])
-    return F.array_join(F.transform(F.split(flatten_tex(c), ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x)), "")
+    """Flattened, then special signs escaped. Whole texts are replaced, sign by sign; a backslash waits on a private code point,
+    of which a flattened text has none, while the signs whose escapes have braces or backslashes are replaced."""
+    out = F.replace(flatten_tex(c), F.lit("\\"), F.lit(_PARKED[0]))
+    for sign in "{}%&#$_":
+        out = F.replace(out, F.lit(sign), F.lit("\\" + sign))
+    for sign, text in (("^", r"\textasciicircum{}"), ("~", r"\textasciitilde{}"), (_PARKED[0], r"\textbackslash{}")):
+        out = F.replace(out, F.lit(sign), F.lit(text))
+    return out
 
 
 def bibtex_type(arxiv_id: Column, venue: Column) -> Column:

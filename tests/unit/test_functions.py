@@ -37,6 +37,17 @@ def test_sanitize(spark, raw, want):
     assert one(spark, T.sanitize_bibtex, raw) == want
 
 
+def test_sanitize_of_odd_texts_without_a_lambda_per_sign(spark, capsys):
+    signs = {"\\": r"\textbackslash{}", "{": r"\{", "}": r"\}", "%": r"\%", "&": r"\&", "#": r"\#", "$": r"\$", "_": r"\_", "^": r"\textasciicircum{}", "~": r"\textasciitilde{}"}
+    texts = ["", " \t{a}\n b\u2003c \u00a0", r"\\ \{x\} \~^~ %\% \_\^", "\ue000\ue001 \U0001f600_~\r\n#", "a\\\nb $&"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.flatten_tex(F.col("t")).alias("flat"), T.sanitize_bibtex(F.col("t")).alias("safe"))
+    for flat, safe in rows.collect():
+        assert safe == "".join(signs.get(x, x) for x in flat)
+    assert rows.first()["flat"] == "" and rows.collect()[1]["flat"] == "a  b c"
+    rows.explain()
+    assert "lambda" not in capsys.readouterr().out
+
+
 def test_uuid5(spark):
     import uuid
 
