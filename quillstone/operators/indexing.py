@@ -115,7 +115,8 @@ def build_generation(chunks: DataFrame, root: str, generation: str, identity: di
     spark = chunks.sparkSession
     wanted, stored = Observation(), Observation()
     place = point_id(F.col("topic_id"), F.col("paper_id"), F.col("chunk_type"), F.col("chunk_index"), F.col("content_hash"), _identity(identity))
-    made = chunks.observe(wanted, F.count(F.lit(1)).alias("n")).withColumns({"point_id": place, "collection_name": F.lit(collection), "embedding": embedder(F.col("text"))})
+    # observed after the embedding: a filter is not pushed below an observation, and would embed every text a second time there
+    made = chunks.withColumns({"point_id": place, "collection_name": F.lit(collection), "embedding": embedder(F.col("text"))}).observe(wanted, F.count(F.lit(1)).alias("n"))
     columns = [c.split()[0] for c in POINTS.split(", ")]
     points = made.filter(F.size("embedding") == F.lit(identity["dimensions"])).select(*columns).observe(stored, F.count(F.lit(1)).alias("n"))
     points.write.mode("overwrite").parquet(f"{root}/points/gen={generation}")

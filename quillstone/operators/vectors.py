@@ -40,8 +40,8 @@ def hashed_embedding(text: Column, dimension: int) -> Column:
     The bins are sorted once, the ends of their runs give the counts, and zeros fill the gaps between them: the work is that of
     sorting the words plus the dimension.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    bins = F.array_sort(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int")))
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    bins = F.sort_array(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int")))
     zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
     empty = F.array().cast("array<int>")
     ends_of = lambda own: F.when(F.size(own) > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.size(own), F.lit(1)) - 1), lambda i: ~F.get(own, i).eqNullSafe(F.get(own, i + 1)))).otherwise(empty)

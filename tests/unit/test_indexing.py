@@ -80,6 +80,19 @@ def test_generations(spark, tmp_path):
     assert build("c", chunks.limit(0), embedder)["status"] == "failed"
 
 
+def test_a_generation_embeds_each_text_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def counted(text):
+        calls.add(1)
+        return [1.0, 0.0, 0.0, 0.0]
+
+    chunks = spark.createDataFrame([("t", k, "pdf", k, f"text {k}", f"h{k}") for k in range(7)], "topic_id string, paper_id long, chunk_type string, chunk_index int, text string, content_hash string")
+    assert X.build_generation(chunks, str(tmp_path), "a", IDENTITY, "c", counted).first()["status"] == "ready"
+    assert calls.value == 7
+
+
 def test_hashed_embedding(spark):
     rng = random.Random(2)
     texts = ["", None, " - ", "one", "One one ONE two"] + [" ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(rng.randrange(1, 60))) for _ in range(60)]
