@@ -274,7 +274,7 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = PER
 
     def joined(star: DataFrame, pairs: DataFrame) -> DataFrame:
         links = written(verified(pairs, sets, percent), "links")
-        return stars(star.unionByName(links)) if links.limit(1).count() else star
+        return stars(star.unionByName(links), stored=True) if links.limit(1).count() else star
 
     first = written(members.filter("lo < key").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct(), "candidates")
     star = joined(docs.sparkSession.createDataFrame([], "a long, b long"), first)
