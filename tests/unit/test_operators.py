@@ -118,6 +118,15 @@ def test_keys_of_one_record_link_nothing_and_folding_starts_no_group(spark, monk
     assert "FlatMapGroups" not in capsys.readouterr().out
 
 
+def test_citations_are_spread_by_their_number(spark, monkeypatch):
+    edges = spark.createDataFrame([(a, b) for a in range(30) for b in range(a)] * 2, "citing long, cited long")
+    monkeypatch.setattr(C, "TASK_ROWS", 20)
+    assert C.spread(edges) == 44
+    out = C.citation_degrees(edges, C.spread(edges))
+    assert out.rdd.getNumPartitions() == 44
+    assert sorted(map(tuple, out.collect())) == [(k, k, 29 - k) for k in range(30)]
+
+
 def test_quota(spark):
     q = spark.createDataFrame([("t", k, f"q{k}") for k in range(3)], "topic_id string, position int, query string")
     rows = C.allocate_quota(q, 10).collect()
